@@ -46,4 +46,4 @@ def event_scored(spark, sf_dir, **kw) -> DataFrame:
 
 
 # importing the query modules fills QUERIES / ORACLE
-from . import q_core  # noqa: E402,F401
+from . import q_core, q_groups  # noqa: E402,F401

@@ -45,3 +45,28 @@ def to_buffer_records(kept: DataFrame) -> DataFrame:
     completion = F.array(F.struct(F.lit("assistant").alias("role"), F.col("content").alias("content")))
     return kept.select("prompt_idx", "gen_idx", completion.alias("completion"),
                        "advantage", "reward", F.col("gold").alias("label"))
+
+
+def score_with_gold_table(completions: DataFrame, problems: DataFrame,
+                          weights: dict | None = None) -> DataFrame:
+    """Completions (prompt_idx, gen_idx, content) joined to one gold per
+    prompt. The gold label is parsed once on the problem side, before the
+    join; Catalyst/AQE pick the join strategy from measured sizes (the gold
+    table grows with the data, so it is never forced to broadcast)."""
+    from ..functions import answers as A
+    g = A.with_parsed(problems.select("prompt_idx", "gold"), "gold", "gold_ans", gold=True)
+    d = A.with_parsed(completions, "content", "ans").join(g, "prompt_idx")
+    d = d.withColumn("correct", F.col("gold_ans.canon").isNull()
+                     | A.answers_equal(F.col("ans"), F.col("gold_ans")))
+    weights = weights or {"accuracy": C.ACCURACY_WEIGHT, "format": C.FORMAT_WEIGHT}
+    d = d.withColumn("acc", R.accuracy_reward()).withColumn("fmt", R.format_reward())
+    return d.withColumn("reward", R.weighted_reward({"accuracy": F.col("acc"), "format": F.col("fmt")},
+                                                    weights))
+
+
+def group_report(scored: DataFrame) -> DataFrame:
+    """G1 + G2 + P10 per group: accuracy mean, majority vote, mean length."""
+    stats = G.group_stats(scored.withColumn("_len", F.length("content")), reward="reward",
+                          acc="acc", length="_len")
+    votes = G.majority_run(scored)
+    return stats.join(votes, "prompt_idx", "left")
