@@ -161,3 +161,27 @@ scored AS (
                CAST(CASE WHEN regexp_matches(content, {lit(FORMAT)}) THEN 1 ELSE 0 END AS DOUBLE) AS fmt
         FROM (SELECT *, (gold_canon IS NULL OR {equal("ans", "gold")}) AS correct FROM parsed)))"""
 
+
+SEQUENCES = """e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+lp AS (SELECT vec_id, list_transform(x, lambda v: -abs(v))[2:] AS lp FROM e),
+nrows AS (SELECT count(*) AS n FROM embeddings),
+sequences AS (
+  SELECT e.vec_id AS seq_id, list_transform(e.x, lambda v: CAST(floor(abs(v) * 20) AS INTEGER)) AS input_ids,
+         a.lp AS logp, b.lp AS old_logp, c.lp AS ref_logp, (e.label - 4.5) / 3.0 AS advantage
+  FROM e JOIN lp a ON a.vec_id = e.vec_id
+  LEFT JOIN lp b ON b.vec_id = (e.vec_id + 1) % (SELECT n FROM nrows)
+  LEFT JOIN lp c ON c.vec_id = (e.vec_id + 2) % (SELECT n FROM nrows)),
+mpos AS (SELECT *, list_position(list_reverse(input_ids), 4) AS p_a, list_position(input_ids, 5) AS p_e,
+                len(input_ids) AS nl FROM sequences),
+masks AS (
+  SELECT *, list_transform(input_ids, lambda x, i: CASE WHEN p_a IS NOT NULL AND i > nl - p_a + 1 THEN 1 ELSE 0 END) AS prefix,
+            list_transform(input_ids, lambda x, i: CASE WHEN p_e IS NULL OR i <= p_e THEN 1 ELSE 0 END) AS suffix
+  FROM mpos),
+lmask AS (SELECT *, CASE WHEN nl >= 2 THEN list_transform(prefix, lambda x, i: x * suffix[i])[2:] ELSE []::INTEGER[] END AS mask
+          FROM masks)"""
+
+
+def long_form(table: str, key: str, arr: str, out: str, extra: str = "") -> str:
+    """One row per array element: (key, pos 0-based, value)."""
+    return (f"SELECT {key}, unnest(range(0, len({arr}))) AS pos, unnest({arr}) AS {out}{extra} "
+            f"FROM {table}")
