@@ -83,6 +83,23 @@ def running_sum(df, keys, pos, value, out, chunk: int = CHUNK, keep_chunk=False)
                     lambda loc, car: loc + F.coalesce(car, F.lit(0)), chunk, keep_chunk)
 
 
+def running_sums(df: DataFrame, keys, pos: str, values: Sequence[str], prefix: str = "cum_",
+                 chunk: int = CHUNK) -> DataFrame:
+    """Several prefix sums in one pass (one window, one chunk table, one join)."""
+    keys = _keys(keys)
+    d = df.withColumn("_chunk", chunk_of(pos, chunk))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    for v in values:
+        d = d.withColumn("_l_" + v, F.sum(v).over(w))
+    per_chunk = d.groupBy(*keys, "_chunk").agg(*[F.sum(v).alias("_t_" + v) for v in values])
+    wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_chunk.select(*keys, "_chunk", *[F.sum("_t_" + v).over(wc).alias("_c_" + v) for v in values])
+    d = d.join(carry, [*keys, "_chunk"], "left")
+    for v in values:
+        d = d.withColumn(prefix + v, F.col("_l_" + v) + F.coalesce(F.col("_c_" + v), F.lit(0)))
+    return d.drop("_chunk", *["_l_" + v for v in values], *["_c_" + v for v in values])
+
+
 def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank",
                 bucket: Column | None = None, bits: int = RANK_BUCKET_BITS) -> DataFrame:
     """Exact 0-based rank by ``order`` over the whole table.
