@@ -182,3 +182,49 @@ def train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, METRIC_NAMES[0]).when(k == 1, METRIC_NAMES[1]).otherwise(METRIC_NAMES[2]).alias("metric"),
         F.col("value"),
     )
+
+
+def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``run_log`` lines derived from ``events``: one run per event type, one
+    cycle per event (banner, batch line with record count, final train line,
+    written line, test line, cycle-done line), after an initial test line.
+
+    Columns: run, k1 (event id, -1 for the prologue), k2 (line in cycle), line.
+    """
+    from ..operators import runlog as RL
+
+    e = read_table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("run"), "event_id", "user_id", "value")
+
+    def f6(c):
+        return F.format_string("%.6f", c)
+
+    def metric(acc, major, reward, length):
+        return F.concat(F.lit("平均正确率："), f6(acc), F.lit("，多数投票正确率："), f6(major),
+                        F.lit("，平均奖励："), f6(reward), F.lit("，平均长度："), f6(length))
+
+    acc = (F.col("value") % 10) / 10
+    major = (F.col("user_id") % 10) / 10.0
+    reward = acc + (F.col("event_id") % 2)
+    length = F.col("value") * 3
+    t_acc = (F.col("value") % 7) / 7
+    t_major = (F.col("user_id") % 4) / 4.0
+    n = (F.lit(256) + F.col("event_id") % 7).cast("string")
+    lines = F.array(
+        F.lit(""), F.lit(RL.CYCLE_BANNER),
+        F.concat(metric(acc, major, reward, length), F.lit("，收集轨迹数量："), n),
+        metric(acc, major, reward, length),
+        F.concat(F.lit("已写入"), n, F.lit("条样本到缓冲区")),
+        metric(t_acc, t_major, t_acc + 0.5, F.col("value") * 2),
+        F.lit("周期完成，耗时: 0h 0m 1.00s"))
+    cycles = e.select("run", F.col("event_id").alias("k1"), F.posexplode(lines).alias("k2", "line"))
+    pro = e.groupBy("run").agg(F.avg("value").alias("v"))
+    prologue = pro.select("run", F.lit(-1).cast("long").alias("k1"), F.lit(0).alias("k2"),
+                          metric(F.col("v") / 100, F.col("v") / 200, F.col("v") / 50, F.col("v")).alias("line"))
+    return prologue.unionByName(cycles)
+
+
+def write_run_logs(lines: DataFrame, path: str) -> None:
+    """One text file per run (``run=<name>/part-*``), lines in order."""
+    (lines.repartition("run").sortWithinPartitions("run", "k1", "k2")
+          .select("run", "line").write.mode("overwrite").partitionBy("run").text(path))

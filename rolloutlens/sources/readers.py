@@ -48,6 +48,10 @@ def read_buffer(spark: SparkSession, path: str, legacy_array: bool = False) -> D
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per run-log file (whole text), plus its path as ``run``."""
-    return (spark.read.text(path, wholetext=True)
-                 .select(F.col("_metadata.file_path").alias("run"), F.col("value").alias("log")))
+    """One row per run-log file (whole text). ``run`` is the partition
+    folder value when the logs were written with ``partitionBy('run')``,
+    else the file path."""
+    df = spark.read.text(path, wholetext=True)
+    if "run" in df.columns:
+        return df.select("run", F.col("value").alias("log"))
+    return df.select(F.col("_metadata.file_path").alias("run"), F.col("value").alias("log"))

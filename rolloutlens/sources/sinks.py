@@ -11,14 +11,17 @@ def write_buffer(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
-def append_metrics(df: DataFrame, path: str, run: str, phase: str) -> None:
-    """Append one metric row per (step, metric) to the metrics table."""
-    cols = [c for c in df.columns if c not in ("step", "batch")]
-    step = "step" if "step" in df.columns else "batch"
-    long = df.select(F.col(step).cast("long").alias("step"),
-                     F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-                                         for c in cols])).alias("m"))
-    (long.select(F.lit(run).alias("run"), F.lit(phase).alias("phase"), "step", "m.metric", "m.value")
+def metrics_long(df: DataFrame, metric_cols, step: str = "step", keys=("run", "phase")) -> DataFrame:
+    """Stack metric columns into (run, phase, step, metric, value) rows."""
+    m = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+                            for c in metric_cols])).alias("m")
+    return (df.select(*keys, F.col(step).cast("long").alias("step"), m)
+              .select(*keys, "step", "m.metric", "m.value"))
+
+
+def append_metrics(long: DataFrame, path: str) -> None:
+    """Append metric rows to the metrics table (one write, partitioned by run)."""
+    (long.select("run", "phase", "step", "metric", "value")
          .write.mode("append").partitionBy("run").parquet(path))
 
 
