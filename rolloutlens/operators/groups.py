@@ -35,13 +35,20 @@ def group_stats(df: DataFrame, key: str = KEY, reward: str = "reward",
     return df.groupBy(key).agg(*aggs)
 
 
+def clustered(df: DataFrame, key: str = KEY, pos: str = POS) -> DataFrame:
+    """Rows of a group pipeline behind one shared exchange (see ordered.cluster)."""
+    return ordered.cluster(df, key, pos)
+
+
 def with_advantages(df: DataFrame, stats: DataFrame | None = None, key: str = KEY,
                     reward: str = "reward", eps: float = C.ADVANTAGE_EPS) -> DataFrame:
-    """advantage = (r - mean) / (std_pop + eps), group stats joined back."""
+    """advantage = (r - mean) / (std_pop + eps), group stats joined back
+    onto the clustered rows (only the per-group side moves)."""
+    d = clustered(df, key)
     if stats is None:
-        stats = group_stats(df, key, reward, acc=None)
+        stats = group_stats(d, key, reward, acc=None)
     s = stats.select(key, "mean", "std")
-    return (df.join(s, key)
+    return (ordered.attach(d, s, key)
               .withColumn("advantage", (F.col(reward) - F.col("mean")) / (F.col("std") + F.lit(eps))))
 
 
@@ -69,27 +76,28 @@ def majority_run(df: DataFrame, key: str = KEY, pos: str = POS, ans: str = "ans"
 
     Gaps and islands without a whole-group window: run starts come from the
     chunked previous-row lookup, each row's run start is a chunked running
-    max, run sizes a partial aggregate, the winner a ``max_by``.
+    max, run sizes a partial aggregate, the winner a ``max_by`` on one packed
+    bigint (longer run first, then earlier start).
     """
-    base = df.select(key, pos, ans, value,
-                     *(["gold_ans"] if "gold_ans" in df.columns else []))
+    gold_flag = (F.col("gold_ans.canon").isNull() if "gold_ans" in df.columns else F.lit(False))
+    base = df.select(key, pos, ans, value, gold_flag.alias("_gold_unparsed"))
     d = ordered.with_previous(base, key, pos, [ans], chunk=chunk)
     parsed = F.col(ans + ".canon").isNotNull()
     start = parsed & ~A.answers_equal(F.col(ans), F.col("prev_" + ans))
     d = d.withColumn("_start_pos", F.when(start, F.col(pos)))
-    d = ordered.running_max(d, key, pos, "_start_pos", "_run", chunk=chunk)
-    runs = (d.filter(parsed)
-             .groupBy(key, "_run")
-             .agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.col(value), F.col(pos)).alias("_v0")))
-    best = runs.groupBy(key).agg(
-        F.max_by(F.col("_v0"), F.struct(F.col("_n"), -F.col("_run"))).alias("_best"))
-    groups = base.groupBy(key).agg(
-        (F.max(F.col("gold_ans.canon").isNull()) if "gold_ans" in base.columns
-         else F.lit(False)).alias("_gold_unparsed"))
-    return (groups.join(best, key, "left")
-                  .select(key, F.when(F.col("_gold_unparsed"), F.lit(1.0))
-                          .otherwise(F.coalesce(F.col("_best").cast("double"), F.lit(0.0)))
-                          .alias("majority")))
+    d = ordered.running_max(d, key, pos, "_start_pos", "_run0", chunk=chunk)
+    d = d.withColumn("_run", F.when(parsed, F.col("_run0")))
+    runs = d.groupBy(key, "_run").agg(
+        F.count(F.lit(1)).alias("_n"), F.min_by(F.col(value), F.col(pos)).alias("_v0"),
+        F.max("_gold_unparsed").alias("_gu"))
+    # rank: longer run first, then earlier start (positions < 2**32)
+    rank = F.when(F.col("_run").isNotNull(),
+                  F.col("_n").cast("long") * F.lit(1 << 32) + (F.lit((1 << 32) - 1) - F.col("_run").cast("long")))
+    best = runs.groupBy(key).agg(F.max_by(F.col("_v0"), rank).alias("_best"), F.max(rank).alias("_rk"),
+                                 F.max("_gu").alias("_gu"))
+    return best.select(key, F.when(F.col("_gu"), F.lit(1.0))
+                       .when(F.col("_rk").isNull(), F.lit(0.0))
+                       .otherwise(F.col("_best").cast("double")).alias("majority"))
 
 
 def majority_mode(df: DataFrame, key: str = KEY, pos: str = POS, ans: str = "ans",

@@ -32,34 +32,52 @@ def chunk_of(pos: str, chunk: int = CHUNK) -> Column:
     return F.floor(F.col(pos) / F.lit(chunk)).cast("long")
 
 
+def cluster(df: DataFrame, keys, pos: str, chunk: int = CHUNK) -> DataFrame:
+    """The one shared exchange of a group pipeline: hash on (keys, chunk of pos).
+
+    Every later branch (windows, per-group aggregates, boundary tables)
+    starts from this same exchange, which Spark reuses, so the expensive
+    projection below it (answer parsing, rewards) runs once. A key with more
+    than ``chunk`` rows spreads over several partitions."""
+    if "_chunk" in df.columns:
+        return df
+    return df.withColumn("_chunk", chunk_of(pos, chunk)).repartition(*_keys(keys), "_chunk")
+
+
+def attach(d: DataFrame, per_key: DataFrame, keys) -> DataFrame:
+    """Join per-key values onto clustered rows on (keys, _chunk): only the
+    small per-key side moves; the clustered rows keep their partitioning."""
+    keys = _keys(keys)
+    chunks = d.select(*keys, "_chunk").distinct()
+    return d.join(chunks.join(per_key, keys), [*keys, "_chunk"])
+
+
 def with_previous(df: DataFrame, keys, pos: str, cols: Sequence[str],
                   prefix: str = "prev_", chunk: int = CHUNK) -> DataFrame:
     """Add ``prev_<c>`` = value of ``c`` at position ``pos - 1`` of the same
-    key (NULL when that position is absent)."""
+    key (NULL when that position is absent).
+
+    The row at the last position of a chunk also travels, as a ghost, into
+    the next chunk, so a plain ``lag`` inside ``(key, chunk)`` windows sees
+    across chunk borders: one exchange, no boundary table, no join. Ghosts
+    are 1/chunk extra rows and are dropped after the window."""
     keys = _keys(keys)
-    d = df.withColumn("_chunk", chunk_of(pos, chunk))
+    c = chunk_of(pos, chunk)
+    is_last = (F.col(pos) % F.lit(chunk)) == F.lit(chunk - 1)
+    d = df.drop("_chunk") if "_chunk" in df.columns else df
+    d = d.withColumn("_copy", F.explode(F.when(is_last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    d = d.withColumn("_chunk", c + F.col("_copy")).repartition(*keys, "_chunk")
     w = Window.partitionBy(*keys, "_chunk").orderBy(pos)
-    d = d.withColumn("_lag_pos", F.lag(pos).over(w))
-    for c in cols:
-        d = d.withColumn(f"_lag_{c}", F.lag(c).over(w))
-    # last row of every chunk, shifted onto the next chunk: fills the first
-    # row of a chunk, whose in-window lag is NULL
-    last = (df.withColumn("_chunk", chunk_of(pos, chunk))
-              .groupBy(*keys, "_chunk")
-              .agg(F.max_by(F.struct(F.col(pos).alias("p"), *[F.col(c) for c in cols]), F.col(pos)).alias("_last"))
-              .select(*keys, (F.col("_chunk") + 1).alias("_chunk"), "_last"))
-    d = d.join(last, [*keys, "_chunk"], "left")
-    prev_pos = F.col(pos) - 1
-    for c in cols:
-        d = d.withColumn(prefix + c, F.when(F.col("_lag_pos") == prev_pos, F.col(f"_lag_{c}"))
-                         .when(F.col("_lag_pos").isNull() & (F.col("_last.p") == prev_pos), F.col("_last")[c]))
-    return d.drop("_lag_pos", "_last", *[f"_lag_{c}" for c in cols])
+    prev_ok = F.lag(pos).over(w) == F.col(pos) - 1
+    for col in cols:
+        d = d.withColumn(prefix + col, F.when(prev_ok, F.lag(col).over(w)))
+    return d.filter(F.col("_copy") == 0).drop("_copy")
 
 
 def _running(df: DataFrame, keys, pos: str, value: str, out: str, agg, combine,
              chunk: int = CHUNK, keep_chunk: bool = False) -> DataFrame:
     keys = _keys(keys)
-    d = df if "_chunk" in df.columns else df.withColumn("_chunk", chunk_of(pos, chunk))
+    d = cluster(df, keys, pos, chunk)
     w = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_local", agg(F.col(value)).over(w))
     per_chunk = d.groupBy(*keys, "_chunk").agg(agg(F.col(value)).alias("_tot"))
@@ -87,7 +105,7 @@ def running_sums(df: DataFrame, keys, pos: str, values: Sequence[str], prefix: s
                  chunk: int = CHUNK) -> DataFrame:
     """Several prefix sums in one pass (one window, one chunk table, one join)."""
     keys = _keys(keys)
-    d = df.withColumn("_chunk", chunk_of(pos, chunk))
+    d = cluster(df, keys, pos, chunk)
     w = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     for v in values:
         d = d.withColumn("_l_" + v, F.sum(v).over(w))

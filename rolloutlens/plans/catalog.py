@@ -42,7 +42,8 @@ def doc_scored(spark, sf_dir, **kw) -> DataFrame:
 
 
 def event_scored(spark, sf_dir, **kw) -> DataFrame:
-    return S.score(FX.rollouts_events(spark, sf_dir), **kw)
+    """Events rollouts scored once and written (they feed branching group plans)."""
+    return S.scored_table(S.score(FX.rollouts_events(spark, sf_dir), **kw))
 
 
 # importing the query modules fills QUERIES / ORACLE

@@ -32,11 +32,20 @@ def score(rollouts: DataFrame, weights: dict | None = None, stutter: bool = Fals
     return d.withColumn("reward", R.weighted_reward(named, weights))
 
 
+def scored_table(scored: DataFrame) -> DataFrame:
+    """Scored rows written once (see :func:`rolloutlens.session.materialize`)
+    before the branching group work; answer structs are flattened to plain
+    columns for the parquet round trip."""
+    from ..session import materialize
+    return materialize(scored, "scored")
+
+
 def buffer_rows(scored: DataFrame, threshold: float = C.FLAT_GROUP_STD,
                 eps: float = C.ADVANTAGE_EPS) -> DataFrame:
     """W1 + F1 + F2: rows of informative groups with a positive advantage."""
-    stats = G.group_stats(scored, reward="reward", acc=None)
-    adv = G.with_advantages(scored, stats, eps=eps)
+    d = G.clustered(scored)
+    stats = G.group_stats(d, reward="reward", acc=None)
+    adv = G.with_advantages(d, stats, eps=eps)
     return G.keep_positive(G.drop_flat_groups(adv, threshold))
 
 
@@ -66,7 +75,7 @@ def score_with_gold_table(completions: DataFrame, problems: DataFrame,
 
 def group_report(scored: DataFrame) -> DataFrame:
     """G1 + G2 + P10 per group: accuracy mean, majority vote, mean length."""
-    stats = G.group_stats(scored.withColumn("_len", F.length("content")), reward="reward",
-                          acc="acc", length="_len")
-    votes = G.majority_run(scored)
+    d = G.clustered(scored.withColumn("_len", F.length("content")))
+    stats = G.group_stats(d, reward="reward", acc="acc", length="_len")
+    votes = G.majority_run(d)
     return stats.join(votes, "prompt_idx", "left")

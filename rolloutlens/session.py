@@ -68,3 +68,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an expensive intermediate once as parquet in the shared
+    checkpoint folder and read it back.
+
+    Used where one costly projection (answer parsing, rewards) feeds several
+    branches: Spark would otherwise recompute it per branch, because column
+    pruning makes the branches' exchanges differ. Parquet keeps column
+    pruning for each branch, and the written table cuts lineage, so a lost
+    executor does not send the plan back to the regex work."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

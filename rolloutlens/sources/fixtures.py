@@ -19,7 +19,18 @@ BS = "\\"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    return spread(spark.read.parquet(table_path(sf_dir, name)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a scan that has fewer partitions than the cluster has
+    cores (e.g. one single-row-group file), so per-row regex and array work
+    runs on every core. Scans of large inputs already have enough splits and
+    are returned as they are (no extra shuffle)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
 
 
 def _boxed(x: Column) -> Column:
