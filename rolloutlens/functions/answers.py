@@ -78,12 +78,15 @@ def _num_den(s: Column):
     frac_n = F.concat(grp(FRAC, 1), grp(FRAC, 2))
     slash_n = F.concat(grp(SLASH, 1), grp(SLASH, 2))
     dec_n = F.concat(grp(DECIMAL, 1), grp(DECIMAL, 2), F.rpad(grp(DECIMAL, 3), 6, "0"))
-    num = (F.when(s.rlike(FRAC), frac_n.try_cast(_DEC))
-            .when(s.rlike(SLASH), slash_n.try_cast(_DEC))
-            .when(s.rlike(DECIMAL), dec_n.try_cast(_DEC)))
-    den = (F.when(s.rlike(FRAC), grp(FRAC, 3).try_cast(_DEC))
-            .when(s.rlike(SLASH), grp(SLASH, 3).try_cast(_DEC))
-            .when(s.rlike(DECIMAL), F.lit(DECIMAL_SCALE).cast(_DEC)))
+    # the three forms are mutually exclusive; the common integer/decimal
+    # form is tested first so most rows stop after one regex
+    is_dec, is_frac, is_slash = s.rlike(DECIMAL), s.rlike(FRAC), s.rlike(SLASH)
+    num = (F.when(is_dec, dec_n.try_cast(_DEC))
+            .when(is_frac, frac_n.try_cast(_DEC))
+            .when(is_slash, slash_n.try_cast(_DEC)))
+    den = (F.when(is_dec, F.lit(DECIMAL_SCALE).cast(_DEC))
+            .when(is_frac, grp(FRAC, 3).try_cast(_DEC))
+            .when(is_slash, grp(SLASH, 3).try_cast(_DEC)))
     ok = den.isNotNull() & (den != 0)
     return F.when(ok, num), F.when(ok, den)
 
