@@ -47,4 +47,4 @@ def event_scored(spark, sf_dir, **kw) -> DataFrame:
 
 
 # importing the query modules fills QUERIES / ORACLE
-from . import q_batching, q_core, q_groups, q_normalize, q_prompts, q_runlog, q_streaming, q_tokens  # noqa: E402,F401
+from . import q_batching, q_core, q_extra, q_groups, q_normalize, q_prompts, q_runlog, q_streaming, q_tokens  # noqa: E402,F401,I001

@@ -130,8 +130,10 @@ def t9_kl_penalty(spark, sf_dir):
 
 
 def _batch(spark, sf_dir, beta):
-    t = TL.sequence_terms(FX.sequences(spark, sf_dir), beta=beta, eps_low=EPS_L, eps_high=EPS_H,
-                          kl_estimator="k3")
+    """T9's plan-time branch: with beta = 0 the reference log-probs are never
+    joined or read."""
+    t = TL.sequence_terms(FX.sequences(spark, sf_dir, with_ref=beta > 0), beta=beta, eps_low=EPS_L,
+                          eps_high=EPS_H, kl_estimator="k3")
     return TL.batch_metrics(t, 4, with_kl=beta > 0)
 
 

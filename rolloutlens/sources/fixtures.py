@@ -112,11 +112,12 @@ def _embedding_rows(spark, sf_dir):
         "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sequences(spark: SparkSession, sf_dir: str, with_ref: bool = True) -> DataFrame:
     """``sequences``: token ids and new/old/reference log-probs.
 
     input_ids = floor(|x|*20); logp = -|x| without the first element;
-    old/ref log-probs are the rows vec_id+1 / vec_id+2 (mod n).
+    old/ref log-probs are the rows vec_id+1 / vec_id+2 (mod n). Without
+    ``with_ref`` (beta = 0) the reference side is never joined.
     """
     e = _embedding_rows(spark, sf_dir)
     n = read_table(spark, sf_dir, "embeddings").select(F.count("*")).scalar()
@@ -129,9 +130,11 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.slice(F.transform("x", lambda v: -F.abs(v)), 2, 1 << 20).alias("logp"),
         ((F.col("label") - 4.5) / 3.0).alias("advantage"),
     )
-    return (base.join(old.withColumnRenamed("vec_id", "seq_id"), "seq_id", "left")
-                .join(ref.withColumnRenamed("vec_id", "seq_id"), "seq_id", "left")
-                .select("seq_id", "input_ids", "logp", "old_logp", "ref_logp", "advantage"))
+    out = base.join(old.withColumnRenamed("vec_id", "seq_id"), "seq_id", "left")
+    if not with_ref:
+        return out.select("seq_id", "input_ids", "logp", "old_logp", "advantage")
+    return (out.join(ref.withColumnRenamed("vec_id", "seq_id"), "seq_id", "left")
+               .select("seq_id", "input_ids", "logp", "old_logp", "ref_logp", "advantage"))
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
