@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 16          # rows of one key per ordered window partition
-RANK_BUCKET_BITS = 12    # 4096 buckets for global ranks
+RANK_BUCKET_BITS = 20    # <= 2**20 buckets: ~1M rows per bucket at 10**12 rows, offsets <= 16 MB
 
 
 def _keys(keys) -> list[str]:
@@ -125,7 +125,8 @@ def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank",
     ``bucket`` must be monotone in ``order`` (the default takes the top
     ``bits`` bits of a signed bigint first order column, e.g. a hash).
     Ranking happens inside buckets; the offsets come from a count table of
-    at most 2**bits rows, so no single task sorts the table.
+    at most 2**bits rows (only non-empty buckets appear), broadcast with that
+    proven bound, so no single task sorts the table.
     """
     order = list(order)
     if bucket is None:

@@ -34,8 +34,8 @@ def parse_answers(df: DataFrame, content: str = "content", gold: str = "gold",
     if stutter:
         df = df.withColumn(content, TX.remove_stutter(text))
     d = A.with_parsed(A.with_parsed(df, content, "ans"), gold, "gold_ans", gold=True)
-    return d.withColumn("correct", F.col("gold_ans.canon").isNull()
-                        | A.answers_equal(F.col("ans"), F.col("gold_ans")))
+    return d.select("*", (F.col("gold_ans.canon").isNull()
+                          | A.answers_equal(F.col("ans"), F.col("gold_ans"))).alias("correct"))
 
 
 def accuracy_reward() -> Column:
@@ -60,9 +60,10 @@ def length_reward(df: DataFrame, content: str = "content", key: str = KEY,
                   out: str = "len_reward") -> DataFrame:
     """lambda = 0.5 - (len - min)/(max - min) inside the group; correct
     -> lambda, wrong -> min(0, lambda); all lengths equal -> 0."""
-    d = df.withColumn("_len", F.length(F.col(content)))
+    from . import ordered
+    d = ordered.cluster(df.withColumn("_len", F.length(F.col(content))), key, POS)
     stats = d.groupBy(key).agg(F.min("_len").alias("_min"), F.max("_len").alias("_max"))
-    d = d.join(stats, key)
+    d = ordered.attach(d, stats, key)
     lam = F.lit(0.5) - (F.col("_len") - F.col("_min")) / (F.col("_max") - F.col("_min"))
     r = (F.when(F.col("_max") == F.col("_min"), F.lit(0.0))
           .when(F.col("correct"), lam)

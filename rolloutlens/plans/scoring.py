@@ -24,18 +24,16 @@ def score(rollouts: DataFrame, weights: dict | None = None, stutter: bool = Fals
     weights = weights or {"accuracy": C.ACCURACY_WEIGHT, "format": C.FORMAT_WEIGHT}
     d = R.parse_answers(rollouts, stutter=stutter)
     cols = R.reward_columns(set(weights) | set(extra_rewards))
-    d = d.withColumn("acc", R.accuracy_reward()).withColumn("fmt", R.format_reward())
-    for name, col in cols.items():
-        if name not in ("accuracy", "format"):
-            d = d.withColumn(name, col)
-    named = {**cols, "accuracy": F.col("acc"), "format": F.col("fmt")}
-    return d.withColumn("reward", R.weighted_reward(named, weights))
+    acc, fmt = R.accuracy_reward(), R.format_reward()
+    extra = {n: c for n, c in cols.items() if n not in ("accuracy", "format")}
+    d = d.select("*", acc.alias("acc"), fmt.alias("fmt"), *[c.alias(n) for n, c in extra.items()])
+    named = {**{n: F.col(n) for n in extra}, "accuracy": F.col("acc"), "format": F.col("fmt")}
+    return d.select("*", R.weighted_reward(named, weights).alias("reward"))
 
 
 def scored_table(scored: DataFrame) -> DataFrame:
     """Scored rows written once (see :func:`rolloutlens.session.materialize`)
-    before the branching group work; answer structs are flattened to plain
-    columns for the parquet round trip."""
+    before the branching group work."""
     from ..session import materialize
     return materialize(scored, "scored")
 

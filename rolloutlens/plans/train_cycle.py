@@ -19,6 +19,6 @@ def collection_pass(spark: SparkSession, sf_dir: str, cfg: RunConfig | None = No
                     rollouts: DataFrame | None = None) -> DataFrame:
     cfg = cfg or RunConfig()
     r = rollouts if rollouts is not None else FX.rollouts(spark, sf_dir)
-    scored = S.score(r, weights=cfg.weights)
+    scored = S.scored_table(S.score(r, weights=cfg.weights))
     kept = S.buffer_rows(scored, cfg.flat_group_std, cfg.advantage_eps)
     return S.to_buffer_records(kept)

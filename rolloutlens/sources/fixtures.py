@@ -2,7 +2,7 @@
 
 The driver ships TPC-H-style tables plus documents, events, conversations
 and embeddings; none of them holds model output. These builders derive the
-shapes the engine reads (rollouts, messages, sequences, logits, code cases,
+shapes the engine reads (rollouts, sequences, logits, problems, code cases,
 training metrics, run logs) with plain DataFrame expressions, so every
 query's work grows with the input tables. The DuckDB oracle builds the same
 rows from the same rules (``rolloutlens.plans.oracle``).
@@ -18,17 +18,28 @@ from ..session import table_path
 BS = "\\"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(table_path(sf_dir, name)))
+_SCANS: dict = {}
 
 
-def spread(df: DataFrame) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; its schema and split count are looked up once per
+    path (no footer read per query)."""
+    path = table_path(sf_dir, name)
+    key = (id(spark.sparkContext), path)
+    if key not in _SCANS:
+        df = spark.read.parquet(path)
+        _SCANS[key] = (df.schema, df.rdd.getNumPartitions())
+    schema, parts = _SCANS[key]
+    return spread(spark.read.schema(schema).parquet(path), parts)
+
+
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Rebalance a scan that has fewer partitions than the cluster has
     cores (e.g. one single-row-group file), so per-row regex and array work
     runs on every core. Scans of large inputs already have enough splits and
     are returned as they are (no extra shuffle)."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if (parts if parts is not None else df.rdd.getNumPartitions()) >= target:
         return df
     return df.repartition(target)
 
@@ -98,15 +109,6 @@ def ragged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("group_id"), F.col("l_discount").alias("value"))
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``messages``: one message list per conversation, ordered by turn."""
-    c = read_table(spark, sf_dir, "conversations")
-    return (c.groupBy("conv_id")
-             .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-             .select("conv_id", F.transform("m", lambda x: F.struct(
-                 x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))
-
-
 def _embedding_rows(spark, sf_dir):
     return read_table(spark, sf_dir, "embeddings").select(
         "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
