@@ -135,8 +135,6 @@ def register_pandas_reward(name: str, fn, input_cols=("content",)) -> None:
     Runs through Arrow batches (``pandas_udf``); built-in rewards never take
     this path.
     """
-    import pandas as pd  # noqa: F401  (needed by the pandas_udf type hints)
-
     udf = F.pandas_udf(fn, "double")
     REGISTRY[name] = lambda **kw: udf(*[F.col(c) for c in input_cols])
 

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import fixtures as FX
-from . import oracle as O
 from . import scoring as S
 
 QueryFn = Callable[[SparkSession, str], DataFrame]

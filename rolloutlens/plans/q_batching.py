@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..operators import batching as B
-from ..operators import groups as G
 from ..sources import fixtures as FX
 from . import oracle as O
 from . import scoring as S
@@ -141,9 +140,9 @@ def g5_kept_records(spark, sf_dir):
 
 
 @register("u1_chunk_concat", f"""WITH {EVENTS}
-SELECT prompt_idx, gen_idx, reward, CAST(prompt_idx * 4 / (SELECT max(prompt_idx) + 1 FROM scored) AS INTEGER) AS chunk
-FROM scored""".replace("CAST(prompt_idx * 4 / (SELECT max(prompt_idx) + 1 FROM scored) AS INTEGER)",
-                       "CAST(floor(prompt_idx * 4 / (SELECT max(prompt_idx) + 1 FROM scored)) AS INTEGER)"))
+SELECT prompt_idx, gen_idx, reward,
+       CAST(floor(prompt_idx * 4 / (SELECT max(prompt_idx) + 1 FROM scored)) AS INTEGER) AS chunk
+FROM scored""")
 def u1_chunk_concat(spark, sf_dir):
     """Results of contiguous worker chunks concatenated in input order
     (unionByName; the order lives in the keys, not in the union)."""

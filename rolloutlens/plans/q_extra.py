@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..config import RunConfig
 from ..operators import rewards as R
 from ..sources import fixtures as FX
@@ -41,7 +39,6 @@ def e2_evaluation_metrics(spark, sf_dir):
 
 
 def _newline_count(s):
-    import pandas as pd  # noqa: F401
     return s.str.count("\n").astype("float64")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.answers import answers_equal
 from ..operators import groups as G
 from ..sources import fixtures as FX
 from . import oracle as O

@@ -67,7 +67,7 @@ def t5_pad_truncate(spark, sf_dir):
 
 @register("t6_importance_ratio", f"""WITH {SEQ}, t AS (
   SELECT seq_id, list_transform(logp, lambda v, i: exp(v - old_logp[i])) AS rho FROM sequences)
-{O.long_form('t', 'seq_id', 'rho', 'rho')}""".replace("unnest(rho) AS rho", f"{O.r9('unnest(rho)')} AS rho"))
+SELECT seq_id, unnest(range(0, len(rho))) AS pos, {O.r9('unnest(rho)')} AS rho FROM t""")
 def t6_importance_ratio(spark, sf_dir):
     s = FX.sequences(spark, sf_dir)
     return _long(s.select("seq_id", TK.ratio(F.col("logp"), F.col("old_logp")).alias("rho")),
