@@ -55,7 +55,8 @@ def log_points(logs: DataFrame, run: str = "run", log: str = "log") -> DataFrame
     parts = []
     for phase in ("train", "test"):
         x = d.select(run, F.lit(phase).alias("phase"), F.posexplode("_" + phase).alias("point", "m"))
-        parts.append(x.select(run, "phase", "point", *[F.col("m." + f).alias(f) for f in FIELDS]))
+        parts.append(x.select(run, "phase", F.col("point").cast("long").alias("point"),
+                              *[F.col("m." + f).alias(f) for f in FIELDS]))
     return parts[0].unionByName(parts[1])
 
 

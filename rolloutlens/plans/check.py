@@ -52,7 +52,24 @@ def normalise(df: pd.DataFrame) -> list[tuple]:
                                           if not isinstance(x, tuple) else (False, "t", str(x)) for x in r))
 
 
+SPARK_TYPES = {"int": "int32", "bigint": "int64", "double": "float64", "string": "string",
+               "boolean": "bool", "float": "float32", "smallint": "int16", "tinyint": "int8"}
+DUCK_TYPES = {"INTEGER": "int32", "BIGINT": "int64", "DOUBLE": "float64", "VARCHAR": "string",
+              "BOOLEAN": "bool", "FLOAT": "float32", "SMALLINT": "int16", "TINYINT": "int8"}
+
+
+def type_mismatches(spark_df, con, sql: str) -> dict:
+    sp = {f.name: SPARK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+          for f in spark_df.schema.fields}
+    rel = con.sql(sql)
+    du = {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    return {k: (sp.get(k), du.get(k)) for k in set(sp) | set(du) if sp.get(k) != du.get(k)}
+
+
 def compare(spark_df, con, sql: str) -> tuple[bool, str]:
+    bad_types = type_mismatches(spark_df, con, sql)
+    if bad_types:
+        return False, f"column types differ (spark, oracle): {bad_types}"
     s = spark_df.toPandas()
     d = con.execute(sql).fetchdf()
     if sorted(s.columns) != sorted(d.columns):

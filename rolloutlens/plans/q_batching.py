@@ -24,7 +24,7 @@ adv AS (SELECT *, (reward - mean) / (std + 0.0001) AS advantage
 kept AS (SELECT *, CAST(floor(prompt_idx / {BPP}) AS BIGINT) AS batch FROM adv
          WHERE std >= 0.1 AND advantage > 0 AND prompt_idx >= {CFG.start_idx}),
 cnt AS (SELECT batch, count(*) AS n FROM kept GROUP BY batch),
-cum AS (SELECT batch, n, sum(n) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) - n AS before FROM cnt),
+cum AS (SELECT batch, n, CAST(sum(n) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS before FROM cnt),
 filled AS (
   SELECT * FROM (
     SELECT k.*, c.before + row_number() OVER (PARTITION BY k.batch ORDER BY prompt_idx, gen_idx) AS position
@@ -56,7 +56,7 @@ def r2_fill_budget(spark, sf_dir):
 
 @register("r3_next_start", f"""WITH {KEPT_SQL}
 SELECT (coalesce(min(CASE WHEN before + n >= {CFG.int_num} THEN batch END), max(batch)) + 1) * {BPP} AS next_start,
-       sum(n) AS kept_total, CAST(greatest(0, {CFG.int_num} - sum(n)) AS BIGINT) AS shortfall FROM cum""")
+       CAST(sum(n) AS BIGINT) AS kept_total, CAST(greatest(0, {CFG.int_num} - sum(n)) AS BIGINT) AS shortfall FROM cum""")
 def r3_next_start(spark, sf_dir):
     return B.next_start(_kept(spark, sf_dir), CFG)
 
@@ -76,7 +76,8 @@ def r4_wrap_schedule(spark, sf_dir):
 @register("r5_repeat_buffer", f"""WITH {KEPT_SQL}
 SELECT prompt_idx, gen_idx, rep FROM filled, range(1, {CFG.rep_num + 1}) AS t(rep)""")
 def r5_repeat_buffer(spark, sf_dir):
-    return B.repeat(_filled(spark, sf_dir), CFG.rep_num).select("prompt_idx", "gen_idx", "rep")
+    return B.repeat(_filled(spark, sf_dir), CFG.rep_num).select(
+        "prompt_idx", "gen_idx", F.col("rep").cast("long").alias("rep"))
 
 
 @register("r6_shuffle_buffer")
@@ -119,7 +120,7 @@ SELECT batch, {O.r9('sum(s_acc) OVER w / sum(n_groups) OVER w')} AS acc_ave,
        {O.r9('sum(s_major) OVER w / sum(n_groups) OVER w')} AS acc_major,
        {O.r9('sum(s_reward) OVER w / sum(n_rows) OVER w')} AS reward,
        {O.r9('sum(s_len) OVER w / sum(n_groups) OVER w')} AS length,
-       sum(n_kept) OVER w AS records
+       CAST(sum(n_kept) OVER w AS BIGINT) AS records
 FROM t WINDOW w AS (ORDER BY batch ROWS UNBOUNDED PRECEDING)""")
 def g6_cumulative_metrics(spark, sf_dir):
     """G5 + G6: metrics and kept-record count after every batch."""
@@ -165,7 +166,7 @@ nxt AS (SELECT (coalesce(min(CASE WHEN before + n >= {CFG.int_num} THEN batch EN
 k2 AS (SELECT * FROM adv WHERE std >= 0.1 AND advantage > 0 AND prompt_idx >= (SELECT s FROM nxt)),
 k2b AS (SELECT *, CAST(floor(prompt_idx / {BPP}) AS BIGINT) AS batch FROM k2),
 cnt2 AS (SELECT batch, count(*) AS n FROM k2b GROUP BY batch),
-cum2 AS (SELECT batch, sum(n) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) - n AS before FROM cnt2),
+cum2 AS (SELECT batch, CAST(sum(n) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS before FROM cnt2),
 c2 AS (SELECT 2 AS cycle, prompt_idx, gen_idx FROM (
          SELECT k.*, c.before + row_number() OVER (PARTITION BY k.batch ORDER BY prompt_idx, gen_idx) AS position
          FROM k2b k JOIN cum2 c USING (batch) WHERE c.before < {CFG.int_num}) WHERE position <= {CFG.int_num})

@@ -149,7 +149,7 @@ def p8_remove_stutter(spark, sf_dir):
     builds each pattern from the escaped last L characters."""
     d = FX.read_table(spark, sf_dir, "documents")
     s = TX.remove_stutter(F.concat(F.col("text"), F.lit(" ha ha ha")))
-    return d.select("doc_id", F.length(s).alias("clean_len"), F.right(s, F.lit(40)).alias("tail"))
+    return d.select("doc_id", F.length(s).cast("long").alias("clean_len"), F.right(s, F.lit(40)).alias("tail"))
 
 
 @register("j3_solution_join", f"""WITH {O.ROLLOUTS_EVENTS},
@@ -160,7 +160,7 @@ def j3_solution_join(spark, sf_dir):
     as the shorter list wins in a positional zip."""
     r = FX.rollouts_events(spark, sf_dir)
     sol = r.filter(F.col("gen_idx") < 6).select("prompt_idx", "gen_idx", "gold")
-    return (r.select("prompt_idx", "gen_idx", F.length("content").alias("len"))
+    return (r.select("prompt_idx", "gen_idx", F.length("content").cast("long").alias("len"))
              .join(sol, ["prompt_idx", "gen_idx"], "inner"))
 
 

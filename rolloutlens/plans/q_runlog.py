@@ -71,8 +71,8 @@ SELECT run, length(log) AS chars, len(string_split(log, chr(10))) - 1 AS lines F
 def s7_read_run_logs(spark, sf_dir):
     """Run logs written one file per run, read back whole (wholetext)."""
     lg = _logs(spark, sf_dir)
-    return lg.select("run", F.length("log").alias("chars"),
-                     (F.size(F.split("log", "\n")) - 1).alias("lines"))
+    return lg.select("run", F.length("log").cast("long").alias("chars"),
+                     (F.size(F.split("log", "\n")) - 1).cast("long").alias("lines"))
 
 
 @register("l1_train_points", f"""WITH {POINTS}

@@ -16,7 +16,7 @@ CLIP = f"least(greatest(r, {1 - EPS_L}), {1 + EPS_H})"
 
 
 def _long(df, key, arr, out, round9=False):
-    x = df.select(key, F.posexplode(arr).alias("pos", out))
+    x = df.select(key, F.posexplode(arr).alias("pos", out)).withColumn("pos", F.col("pos").cast("long"))
     return x.select(key, "pos", r9(out).alias(out)) if round9 else x
 
 
@@ -62,7 +62,7 @@ def t5_pad_truncate(spark, sf_dir):
     d = s.select("seq_id", TK.pad_or_truncate(F.col("logp"), 70).alias("a"),
                  TK.pad_or_truncate(F.col("logp"), 32).alias("b"))
     x = d.select("seq_id", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "z"))
-    return x.select("seq_id", "pos", r9("z.a").alias("padded"), r9("z.b").alias("cut_src"))
+    return x.select("seq_id", F.col("pos").cast("long").alias("pos"), r9("z.a").alias("padded"), r9("z.b").alias("cut_src"))
 
 
 @register("t6_importance_ratio", f"""WITH {SEQ}, t AS (
@@ -94,7 +94,7 @@ def t8_approx_kl(spark, sf_dir):
     s = FX.sequences(spark, sf_dir)
     d = s.select("seq_id", *[TK.approx_kl(F.col("logp"), F.col("ref_logp"), k).alias(k) for k in TK.KL_ESTIMATORS])
     x = d.select("seq_id", F.posexplode(F.arrays_zip("k1", "k2", "k3")).alias("pos", "z"))
-    return x.select("seq_id", "pos", *[r9(f"z.{k}").alias(k) for k in TK.KL_ESTIMATORS])
+    return x.select("seq_id", F.col("pos").cast("long").alias("pos"), *[r9(f"z.{k}").alias(k) for k in TK.KL_ESTIMATORS])
 
 
 BETA = 0.04
@@ -192,7 +192,7 @@ def t14_align_tokens(spark, sf_dir):
     d = d.select("seq_id", F.slice(toks, 2, F.size("logp")).alias("t"), s.alias("s"))
     x = d.select("seq_id", F.posexplode(F.arrays_zip("t", "s")).alias("pos", "z"))
     x = x.filter(F.col("z.t") != "[SEP]")
-    return x.select("seq_id", "pos", F.ltrim(F.col("z.t")).alias("token"), r9("z.s").alias("score"))
+    return x.select("seq_id", F.col("pos").cast("long").alias("pos"), F.ltrim(F.col("z.t")).alias("token"), r9("z.s").alias("score"))
 
 
 @register("j6_logprob_join", f"""WITH {SEQ}
@@ -203,7 +203,7 @@ def j6_logprob_join(spark, sf_dir):
     seq_id (inside the fixture) and zipped position by position."""
     s = FX.sequences(spark, sf_dir)
     x = s.select("seq_id", F.posexplode(F.arrays_zip("logp", "old_logp", "ref_logp")).alias("pos", "z"))
-    return x.select("seq_id", "pos", *[r9(f"z.{c}").alias(c) for c in ("logp", "old_logp", "ref_logp")])
+    return x.select("seq_id", F.col("pos").cast("long").alias("pos"), *[r9(f"z.{c}").alias(c) for c in ("logp", "old_logp", "ref_logp")])
 
 
 @register("s9_metrics_interval", f"""SELECT event_type AS run, CAST(floor(event_id / 16) AS BIGINT) AS log_step,
