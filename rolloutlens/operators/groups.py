@@ -112,10 +112,14 @@ def majority_mode(df: DataFrame, key: str = KEY, pos: str = POS, ans: str = "ans
         F.max_by("_v", F.struct(F.col("_n"), -F.col("_first"))).cast("double").alias("majority_mode"))
 
 
-def run_metrics(rows: DataFrame, groups: DataFrame, votes: DataFrame, key: str = KEY) -> DataFrame:
+def run_metrics(rows: DataFrame, groups: DataFrame, votes: DataFrame | None = None,
+                key: str = KEY) -> DataFrame:
     """Mean group accuracy, mean majority, mean of all rewards, mean of
-    group mean length - all before F1/F2. Empty input -> NULLs."""
-    g = groups.join(votes, key, "left").agg(
+    group mean length - all before F1/F2. Empty input -> NULLs. ``groups``
+    may already carry ``majority`` (see scoring.group_report)."""
+    if votes is not None:
+        groups = groups.join(votes, key, "left")
+    g = groups.agg(
         F.avg("acc_mean").alias("acc_ave"), F.avg("majority").alias("acc_major"),
         F.avg("mean_length").alias("length"), F.count(F.lit(1)).alias("n_groups"))
     r = rows.agg(F.avg("reward").alias("reward"), F.count(F.lit(1)).alias("n_rows"))

@@ -23,4 +23,4 @@ def evaluate(problems: DataFrame, completions: DataFrame, cfg: RunConfig | None
     scored = S.score_with_gold_table(joined.select("prompt_idx", "gen_idx", "content"), gold, cfg.weights)
     scored = S.scored_table(scored)
     report = S.group_report(scored)
-    return G.run_metrics(scored, report, report.select("prompt_idx"))
+    return G.run_metrics(scored, report)

@@ -107,7 +107,7 @@ FROM gs JOIN maj USING (prompt_idx)""")
 def g4_run_metrics(spark, sf_dir):
     sc = event_scored(spark, sf_dir)
     rep = S.group_report(sc)
-    m = G.run_metrics(sc, rep, rep.select("prompt_idx"))
+    m = G.run_metrics(sc, rep)
     return m.select(r9("acc_ave").alias("acc_ave"), r9("acc_major").alias("acc_major"),
                     r9("length").alias("length"), "n_groups", r9("reward").alias("reward"), "n_rows")
 
