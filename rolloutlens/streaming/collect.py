@@ -78,8 +78,12 @@ def released_groups(stream: DataFrame, cfg: RunConfig, watermark: str = "30 days
 
 
 def start_collection(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                     cfg: RunConfig, max_files_per_trigger: int = 2, available_now: bool = True):
-    """ST1: file source -> released groups -> score -> F1/F2 -> buffer folder."""
+                     cfg: RunConfig, max_files_per_trigger: int = 2, available_now: bool = True,
+                     watermark: str = "30 days", timeout_ms: int = 30 * 24 * 3600 * 1000):
+    """ST1: file source -> released groups -> score -> F1/F2 -> buffer folder.
+
+    Groups released by the timeout are not scored; their rows are reported
+    under ``<sink>/_incomplete`` (hidden from readers of the buffer)."""
     stream = (spark.readStream.schema(SOURCE_SCHEMA)
                    .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
 
@@ -88,8 +92,10 @@ def start_collection(spark: SparkSession, source_dir: str, sink_dir: str, checkp
         kept = S.buffer_rows(S.score(complete, weights=cfg.weights), cfg.flat_group_std, cfg.advantage_eps)
         (kept.select("prompt_idx", "gen_idx", "advantage", "reward", F.col("gold").alias("label"))
              .write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}"))
+        (batch.filter(~F.col("complete")).select("prompt_idx", "gen_idx")
+              .write.mode("overwrite").parquet(f"{sink_dir}/_incomplete/batch_id={batch_id}"))
 
-    w = (released_groups(stream, cfg).writeStream.foreachBatch(write_batch)
+    w = (released_groups(stream, cfg, watermark, timeout_ms).writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
