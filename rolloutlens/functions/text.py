@@ -103,6 +103,24 @@ def code_format_reward(text: Column, language: str = "python") -> Column:
     return F.when(text.rlike(code_format_pattern(language)), 1.0).otherwise(0.0)
 
 
+def length_column(text: Column, kind="chars") -> Column:
+    """P10's length: characters (default), whitespace words, or a user
+    tokenizer ``fn(str) -> list`` run as a vectorised pandas UDF."""
+    if kind == "chars":
+        return F.length(text)
+    if kind == "words":
+        return F.size(words(text))
+    if callable(kind):
+        fn = kind
+
+        @F.pandas_udf("int")
+        def n_tokens(s):
+            return s.map(lambda t: None if t is None else len(fn(t))).astype("Int32")
+
+        return n_tokens(text)
+    raise ValueError(f"unknown length kind {kind!r}")
+
+
 def words(text: Column) -> Column:
     """Lower-cased whitespace words (Python ``text.lower().split()``)."""
     return F.filter(F.split(F.lower(text), PY_WHITESPACE), lambda w: w != "")

@@ -66,6 +66,12 @@ def clipped_flags(rho: Column, adv: Column, eps_low: float, eps_high: float) ->
     return F.transform(rho, lambda r: F.when(r * adv < clip(r, eps_low, eps_high) * adv, 1.0).otherwise(0.0))
 
 
+def clip_active_flags(rho: Column, adv: Column, eps_low: float, eps_high: float) -> Column:
+    """Q4's companion: 1 where the clipped term is the one the min picks
+    (clip(rho) A < rho A), i.e. where clipping actually bounds the loss."""
+    return F.transform(rho, lambda r: F.when(clip(r, eps_low, eps_high) * adv < r * adv, 1.0).otherwise(0.0))
+
+
 def approx_kl(logp: Column, base: Column, estimator: str = "k1") -> Column:
     """k1 = d, k2 = d^2/2, k3 = exp(-d) - 1 + d with d = logp - base."""
     if estimator not in KL_ESTIMATORS:

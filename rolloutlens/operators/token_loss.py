@@ -39,6 +39,8 @@ def sequence_terms(seqs: DataFrame, assistant_id=4, eos_id=5, beta: float = C.BE
     d = d.withColumn("seq_loss", F.try_divide(F.col("s_loss"), F.col("s_mask").cast("double")))
     d = d.withColumn("s_clip", TK.masked_sum(TK.clipped_flags(F.col("_rho"), adv, eps_low, eps_high),
                                              F.col("mask")))
+    d = d.withColumn("s_clip_active", TK.masked_sum(TK.clip_active_flags(F.col("_rho"), adv, eps_low, eps_high),
+                                                    F.col("mask")))
     if beta > 0.0:
         d = d.withColumn("s_kl", TK.masked_sum(F.col("_kl"), F.col("mask")))
     return d.drop("_rho", "_loss", "_kl")
@@ -52,6 +54,7 @@ def batch_metrics(terms: DataFrame, batch_size: int = C.PER_DEVICE_BATCH,
             F.sum(F.col("seq_loss").isNull().cast("int")).alias("n_empty"),
             F.avg("s_mask").alias("completion_length"),
             F.try_divide(F.sum("s_clip"), F.sum("s_mask").cast("double")).alias("clip_ratio"),
+            F.try_divide(F.sum("s_clip_active"), F.sum("s_mask").cast("double")).alias("clip_active_ratio"),
             F.count(F.lit(1)).alias("n_seqs")]
     if with_kl:
         aggs.append(F.avg(F.col("s_kl") / (F.col("s_mask") + F.lit(C.MASKED_EPS))).alias("kl"))

@@ -97,6 +97,17 @@ def p10_group_length(spark, sf_dir):
     return st.select("prompt_idx", r9("mean_length").alias("mean_length"))
 
 
+@register("p10_group_length_words", f"""WITH {O.ROLLOUTS}
+SELECT prompt_idx, {O.r9("avg(len(list_filter(regexp_split_to_array(lower(content), " + O.lit(O.PY_WHITESPACE) + "), lambda w: w <> '')))")}
+       AS mean_words FROM rollouts GROUP BY prompt_idx""")
+def p10_group_length_words(spark, sf_dir):
+    """P10 with the pluggable length set to whitespace words."""
+    from ..functions.text import length_column
+    r = FX.rollouts(spark, sf_dir).withColumn("_len", length_column(F.col("content"), "words"))
+    st = G.group_stats(r.withColumn("reward", F.lit(0.0)), acc=None, length="_len")
+    return st.select("prompt_idx", r9("mean_length").alias("mean_words"))
+
+
 @register("g4_run_metrics", f"""WITH {EVENTS}, {majority_sql()},
 gs AS (SELECT prompt_idx, avg(acc) AS acc_mean, avg(length(content)) AS mean_length
        FROM scored GROUP BY prompt_idx)

@@ -108,13 +108,15 @@ t AS (SELECT seq_id, advantage, mask, logp, ref_logp,
              list_transform(logp, lambda v, i: exp(v - old_logp[i])) AS rho FROM lmask),
 kl AS (SELECT *, list_transform(list_transform(logp, lambda v, i: v - ref_logp[i]), lambda d: {kl}) AS klv FROM t),
 lo AS (SELECT *, list_transform(rho, lambda r, i: -least(r * advantage, {CLIP} * advantage){" + " + str(beta) + " * klv[i]" if beta > 0 else ""}) AS loss,
-              list_transform(rho, lambda r: CASE WHEN r * advantage < {CLIP} * advantage THEN 1.0 ELSE 0.0 END) AS clipped
+              list_transform(rho, lambda r: CASE WHEN r * advantage < {CLIP} * advantage THEN 1.0 ELSE 0.0 END) AS clipped,
+              list_transform(rho, lambda r: CASE WHEN {CLIP} * advantage < r * advantage THEN 1.0 ELSE 0.0 END) AS active
        FROM kl),
 terms AS (
   SELECT seq_id, CAST(floor(seq_id / 4) AS BIGINT) AS batch,
          coalesce(list_sum(mask), 0) AS s_mask,
          coalesce(list_sum(list_transform(loss, lambda v, i: coalesce(v * mask[i], 0.0))), 0.0) AS s_loss,
          coalesce(list_sum(list_transform(clipped, lambda v, i: coalesce(v * mask[i], 0.0))), 0.0) AS s_clip,
+         coalesce(list_sum(list_transform(active, lambda v, i: coalesce(v * mask[i], 0.0))), 0.0) AS s_active,
          coalesce(list_sum(list_transform(klv, lambda v, i: coalesce(v * mask[i], 0.0))), 0.0) AS s_kl
   FROM lo)"""
 
@@ -155,11 +157,13 @@ def t11_mean_kl(spark, sf_dir):
 
 
 @register("t12_clip_ratio", f"""WITH {_terms_sql(0.0)}
-SELECT batch, {O.r9('CASE WHEN sum(s_mask) > 0 THEN sum(s_clip) / sum(s_mask) END')} AS clip_ratio
+SELECT batch, {O.r9('CASE WHEN sum(s_mask) > 0 THEN sum(s_clip) / sum(s_mask) END')} AS clip_ratio,
+       {O.r9('CASE WHEN sum(s_mask) > 0 THEN sum(s_active) / sum(s_mask) END')} AS clip_active_ratio
 FROM terms GROUP BY batch""")
 def t12_clip_ratio(spark, sf_dir):
+    """T12 (the reference's indicator) and the clip-active ratio (Q4)."""
     b = _batch(spark, sf_dir, 0.0)
-    return b.select("batch", r9("clip_ratio").alias("clip_ratio"))
+    return b.select("batch", r9("clip_ratio").alias("clip_ratio"), r9("clip_active_ratio").alias("clip_active_ratio"))
 
 
 @register("g7_completion_length", f"""WITH {_terms_sql(0.0)}

@@ -112,3 +112,14 @@ def test_dapo_clean(spark):
     q = "What is 1+1?\nSecond line."
     df = spark.createDataFrame([(DAPO_HEAD + q + DAPO_TAIL,)], "t string")
     assert df.select(TX.clean_dapo_question(F.col("t"))).first()[0] == q
+
+
+def test_length_kinds(edge_df):
+    chars = _col(edge_df, TX.length_column(F.col("t"), "chars"))
+    wds = _col(edge_df, TX.length_column(F.col("t"), "words"))
+    tok = _col(edge_df, TX.length_column(F.col("t"), lambda s: s.split()))
+    assert chars == [len(t) for t in EDGE]
+    assert wds == [len(t.lower().split()) for t in EDGE]
+    assert tok == [len(t.split()) for t in EDGE]
+    with pytest.raises(ValueError):
+        TX.length_column(F.col("t"), "bytes")
