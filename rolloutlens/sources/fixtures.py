@@ -25,10 +25,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; its schema and split count are looked up once per
     path (no footer read per query)."""
     path = table_path(sf_dir, name)
-    key = (id(spark.sparkContext), path)
+    key = (id(spark), path)
     if key not in _SCANS:
         df = spark.read.parquet(path)
-        _SCANS[key] = (df.schema, df.rdd.getNumPartitions())
+        _SCANS[key] = (df.schema, _num_partitions(df))
     schema, parts = _SCANS[key]
     return spread(spark.read.schema(schema).parquet(path), parts)
 
@@ -38,12 +38,23 @@ def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
     cores (e.g. one single-row-group file), so per-row regex and array work
     runs on every core. Scans of large inputs already have enough splits and
     are returned as they are (no extra shuffle)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if (parts if parts is not None else df.rdd.getNumPartitions()) >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - Spark Connect: leave the scan as it is
+        return df
+    parts = parts if parts is not None else _num_partitions(df)
+    if parts is None or parts >= target:
         return df
     return df.repartition(target)
 
 
+def _num_partitions(df: DataFrame) -> int | None:
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect)
+        return None
+
+
 def _boxed(x: Column) -> Column:
     return F.concat(F.lit(BS + "boxed{"), x, F.lit("}"))
 
