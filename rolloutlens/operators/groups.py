@@ -42,13 +42,13 @@ def clustered(df: DataFrame, key: str = KEY, pos: str = POS) -> DataFrame:
 
 def with_advantages(df: DataFrame, stats: DataFrame | None = None, key: str = KEY,
                     reward: str = "reward", eps: float = C.ADVANTAGE_EPS) -> DataFrame:
-    """advantage = (r - mean) / (std_pop + eps), group stats joined back
-    onto the clustered rows (only the per-group side moves)."""
-    d = clustered(df, key)
+    """advantage = (r - mean) / (std_pop + eps), group stats (partially
+    aggregated) joined back onto the clustered rows (only the per-group side
+    moves)."""
     if stats is None:
-        stats = group_stats(d, key, reward, acc=None)
+        stats = group_stats(df, key, reward, acc=None)
     s = stats.select(key, "mean", "std")
-    return (ordered.attach(d, s, key)
+    return (ordered.attach(df, s, key, POS)
               .withColumn("advantage", (F.col(reward) - F.col("mean")) / (F.col("std") + F.lit(eps))))
 
 

@@ -44,12 +44,14 @@ def cluster(df: DataFrame, keys, pos: str, chunk: int = CHUNK) -> DataFrame:
     return df.withColumn("_chunk", chunk_of(pos, chunk)).repartition(*_keys(keys), "_chunk")
 
 
-def attach(d: DataFrame, per_key: DataFrame, keys) -> DataFrame:
-    """Join per-key values onto clustered rows on (keys, _chunk): only the
-    small per-key side moves; the clustered rows keep their partitioning."""
+def attach(df: DataFrame, per_key: DataFrame, keys, pos: str, chunk: int = CHUNK) -> DataFrame:
+    """Join per-key values onto rows, clustered on (keys, chunk): only the
+    small per-key side moves. The list of (key, chunk) pairs comes from the
+    unclustered input with partial aggregation, so the full rows cross the
+    network once (in the clustering exchange)."""
     keys = _keys(keys)
-    chunks = d.select(*keys, "_chunk").distinct()
-    return d.join(chunks.join(per_key, keys), [*keys, "_chunk"])
+    chunks = df.select(*keys, chunk_of(pos, chunk).alias("_chunk")).distinct()
+    return cluster(df, keys, pos, chunk).join(chunks.join(per_key, keys), [*keys, "_chunk"])
 
 
 def with_previous(df: DataFrame, keys, pos: str, cols: Sequence[str],
@@ -74,13 +76,22 @@ def with_previous(df: DataFrame, keys, pos: str, cols: Sequence[str],
     return d.filter(F.col("_copy") == 0).drop("_copy")
 
 
+def _per_chunk(df: DataFrame, keys, pos: str, chunk: int, aggs) -> DataFrame:
+    """Per-(key, chunk) aggregates. From an unclustered input they are
+    partially aggregated before the shuffle; an input that is already
+    clustered (carries ``_chunk``) is aggregated in place."""
+    if "_chunk" in df.columns:
+        return df.groupBy(*keys, "_chunk").agg(*aggs)
+    return df.groupBy(*keys, chunk_of(pos, chunk).alias("_chunk")).agg(*aggs)
+
+
 def _running(df: DataFrame, keys, pos: str, value: str, out: str, agg, combine,
              chunk: int = CHUNK, keep_chunk: bool = False) -> DataFrame:
     keys = _keys(keys)
     d = cluster(df, keys, pos, chunk)
     w = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_local", agg(F.col(value)).over(w))
-    per_chunk = d.groupBy(*keys, "_chunk").agg(agg(F.col(value)).alias("_tot"))
+    per_chunk = _per_chunk(df, keys, pos, chunk, [agg(F.col(value)).alias("_tot")])
     wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_chunk.select(*keys, "_chunk", agg(F.col("_tot")).over(wc).alias("_carry"))
     d = d.join(carry, [*keys, "_chunk"], "left")
@@ -109,7 +120,7 @@ def running_sums(df: DataFrame, keys, pos: str, values: Sequence[str], prefix: s
     w = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     for v in values:
         d = d.withColumn("_l_" + v, F.sum(v).over(w))
-    per_chunk = d.groupBy(*keys, "_chunk").agg(*[F.sum(v).alias("_t_" + v) for v in values])
+    per_chunk = _per_chunk(df, keys, pos, chunk, [F.sum(v).alias("_t_" + v) for v in values])
     wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_chunk.select(*keys, "_chunk", *[F.sum("_t_" + v).over(wc).alias("_c_" + v) for v in values])
     d = d.join(carry, [*keys, "_chunk"], "left")

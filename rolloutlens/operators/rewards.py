@@ -61,9 +61,9 @@ def length_reward(df: DataFrame, content: str = "content", key: str = KEY,
     """lambda = 0.5 - (len - min)/(max - min) inside the group; correct
     -> lambda, wrong -> min(0, lambda); all lengths equal -> 0."""
     from . import ordered
-    d = ordered.cluster(df.withColumn("_len", F.length(F.col(content))), key, POS)
+    d = df.withColumn("_len", F.length(F.col(content)))
     stats = d.groupBy(key).agg(F.min("_len").alias("_min"), F.max("_len").alias("_max"))
-    d = ordered.attach(d, stats, key)
+    d = ordered.attach(d, stats, key, POS)
     lam = F.lit(0.5) - (F.col("_len") - F.col("_min")) / (F.col("_max") - F.col("_min"))
     r = (F.when(F.col("_max") == F.col("_min"), F.lit(0.0))
           .when(F.col("correct"), lam)

@@ -15,7 +15,7 @@ tok AS (SELECT seq_id, unnest(range(0, len(logp))) AS pos, unnest(logp) AS value
 
 
 def tokens_long(spark, sf_dir):
-    d = _masked(spark, sf_dir)
+    d = _masked(spark, sf_dir, with_old=False)
     x = d.select("seq_id", F.posexplode(F.arrays_zip("logp", "mask")).alias("pos", "z"))
     return x.select("seq_id", F.col("pos").cast("long").alias("pos"), F.col("z.logp").alias("value"),
                     F.col("z.mask").alias("m"))

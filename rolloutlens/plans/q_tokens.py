@@ -20,8 +20,8 @@ def _long(df, key, arr, out, round9=False):
     return x.select(key, "pos", r9(out).alias(out)) if round9 else x
 
 
-def _masked(spark, sf_dir):
-    s = FX.sequences(spark, sf_dir)
+def _masked(spark, sf_dir, with_old: bool = True):
+    s = FX.sequences(spark, sf_dir, with_ref=with_old, with_old=with_old)
     return (s.withColumn("prefix", TK.prefix_mask(F.col("input_ids"), 4))
              .withColumn("suffix", TK.suffix_mask(F.col("input_ids"), 5))
              .withColumn("mask", TK.loss_mask(F.col("input_ids"), 4, 5)))
@@ -29,17 +29,17 @@ def _masked(spark, sf_dir):
 
 @register("t1_prefix_mask", f"WITH {SEQ} {O.long_form('lmask', 'seq_id', 'prefix', 'prefix')}")
 def t1_prefix_mask(spark, sf_dir):
-    return _long(_masked(spark, sf_dir), "seq_id", "prefix", "prefix")
+    return _long(_masked(spark, sf_dir, with_old=False), "seq_id", "prefix", "prefix")
 
 
 @register("t2_suffix_mask", f"WITH {SEQ} {O.long_form('lmask', 'seq_id', 'suffix', 'suffix')}")
 def t2_suffix_mask(spark, sf_dir):
-    return _long(_masked(spark, sf_dir), "seq_id", "suffix", "suffix")
+    return _long(_masked(spark, sf_dir, with_old=False), "seq_id", "suffix", "suffix")
 
 
 @register("t3_loss_mask", f"WITH {SEQ} {O.long_form('lmask', 'seq_id', 'mask', 'mask')}")
 def t3_loss_mask(spark, sf_dir):
-    return _long(_masked(spark, sf_dir), "seq_id", "mask", "mask")
+    return _long(_masked(spark, sf_dir, with_old=False), "seq_id", "mask", "mask")
 
 
 @register("t4_log_softmax_gather", """WITH e AS (
@@ -177,7 +177,7 @@ def g7_completion_length(spark, sf_dir):
   SELECT seq_id, list_transform(logp, lambda v, i: (1.0 - exp(v)) * mask[i]) AS s FROM lmask)
 SELECT seq_id, unnest(range(0, len(s))) AS pos, {O.r9('unnest(s)')} AS surprise FROM t""")
 def t13_token_surprise(spark, sf_dir):
-    d = _masked(spark, sf_dir).select("seq_id", TK.surprise(F.col("logp"), F.col("mask")).alias("s"))
+    d = _masked(spark, sf_dir, with_old=False).select("seq_id", TK.surprise(F.col("logp"), F.col("mask")).alias("s"))
     return _long(d, "seq_id", "s", "surprise", round9=True)
 
 
@@ -189,7 +189,7 @@ SELECT seq_id, pos, ltrim(token) AS token, {O.r9('score')} AS score FROM z WHERE
 def t14_align_tokens(spark, sf_dir):
     """Drop the first token, pair tokens with surprise scores, left-strip
     token text, skip separator tokens (token text derived from the ids)."""
-    d = _masked(spark, sf_dir)
+    d = _masked(spark, sf_dir, with_old=False)
     toks = F.transform("input_ids", lambda x: F.when(x == 0, F.lit("[SEP]"))
                        .otherwise(F.concat(F.lit(" tok"), x.cast("string"))))
     s = TK.surprise(F.col("logp"), F.col("mask"))

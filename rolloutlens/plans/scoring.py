@@ -41,9 +41,8 @@ def scored_table(scored: DataFrame) -> DataFrame:
 def buffer_rows(scored: DataFrame, threshold: float = C.FLAT_GROUP_STD,
                 eps: float = C.ADVANTAGE_EPS) -> DataFrame:
     """W1 + F1 + F2: rows of informative groups with a positive advantage."""
-    d = G.clustered(scored)
-    stats = G.group_stats(d, reward="reward", acc=None)
-    adv = G.with_advantages(d, stats, eps=eps)
+    stats = G.group_stats(scored, reward="reward", acc=None)
+    adv = G.with_advantages(scored, stats, eps=eps)
     return G.keep_positive(G.drop_flat_groups(adv, threshold))
 
 
@@ -73,7 +72,7 @@ def score_with_gold_table(completions: DataFrame, problems: DataFrame,
 
 def group_report(scored: DataFrame) -> DataFrame:
     """G1 + G2 + P10 per group: accuracy mean, majority vote, mean length."""
-    d = G.clustered(scored.withColumn("_len", F.length("content")))
+    d = scored.withColumn("_len", F.length("content"))
     stats = G.group_stats(d, reward="reward", acc="acc", length="_len")
-    votes = G.majority_run(d)
+    votes = G.majority_run(scored)
     return stats.join(votes, "prompt_idx", "left")

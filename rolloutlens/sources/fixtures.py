@@ -125,14 +125,21 @@ def _embedding_rows(spark, sf_dir):
         "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
-def sequences(spark: SparkSession, sf_dir: str, with_ref: bool = True) -> DataFrame:
+def sequences(spark: SparkSession, sf_dir: str, with_ref: bool = True, with_old: bool = True) -> DataFrame:
     """``sequences``: token ids and new/old/reference log-probs.
 
     input_ids = floor(|x|*20); logp = -|x| without the first element;
     old/ref log-probs are the rows vec_id+1 / vec_id+2 (mod n). Without
-    ``with_ref`` (beta = 0) the reference side is never joined.
+    ``with_ref`` (beta = 0) the reference side is never joined; without
+    ``with_old`` neither is the old side (queries that read only logp).
     """
     e = _embedding_rows(spark, sf_dir)
+    if not with_old:
+        return e.select(
+            F.col("vec_id").alias("seq_id"),
+            F.transform("x", lambda v: F.floor(F.abs(v) * 20).cast("int")).alias("input_ids"),
+            F.slice(F.transform("x", lambda v: -F.abs(v)), 2, 1 << 20).alias("logp"),
+            ((F.col("label") - 4.5) / 3.0).alias("advantage"))
     n = read_table(spark, sf_dir, "embeddings").select(F.count("*")).scalar()
     lp = e.select("vec_id", F.slice(F.transform("x", lambda v: -F.abs(v)), 2, 1 << 20).alias("lp"))
     old = lp.select(F.pmod(F.col("vec_id") - 1, n).alias("vec_id"), F.col("lp").alias("old_logp"))
