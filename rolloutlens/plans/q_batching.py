@@ -37,7 +37,11 @@ def _kept(spark, sf_dir):
 
 
 def _filled(spark, sf_dir):
-    return B.fill_budget(_kept(spark, sf_dir), CFG)
+    """The budgeted buffer (at most INT_NUM rows), written once: repeat,
+    shuffle, shard assignment and the sink all read the written table
+    instead of re-running the scoring and group lineage."""
+    from ..session import materialize
+    return materialize(B.fill_budget(_kept(spark, sf_dir), CFG), "buffer")
 
 
 @register("r1_batch_id", f"""WITH {O.ROLLOUTS_EVENTS}
