@@ -45,7 +45,14 @@ def test_group_work_has_no_unpartitioned_window(spark):
     """Ordered group work never runs a window over the whole table: every
     Window node has a partition spec (the chunk and batch carries are
     partitioned too)."""
-    for name in ("g2_majority_vote", "w2_compare_previous", "w4_cumsum_forward", "r2_fill_budget"):
-        specs = _window_partition_specs(_plan(QUERIES[name](spark, SF_SMALL)))
+    from rolloutlens.operators import batching as B
+    from rolloutlens.plans.catalog import event_scored
+    from rolloutlens.plans.q_batching import CFG
+    from rolloutlens.plans.scoring import buffer_rows
+    plans = {name: _plan(QUERIES[name](spark, SF_SMALL))
+             for name in ("g2_majority_vote", "w2_compare_previous", "w4_cumsum_forward")}
+    plans["fill_budget"] = _plan(B.fill_budget(buffer_rows(event_scored(spark, SF_SMALL)), CFG))
+    for name, plan in plans.items():
+        specs = _window_partition_specs(plan)
         assert specs, name
         assert all(s.strip() for s in specs), (name, specs)
