@@ -36,8 +36,9 @@ def regex_quote(s: str) -> str:
 
 
 def last_content(messages: Column) -> Column:
-    """Content of the last message (NULL for an empty list)."""
-    return F.try_element_at(messages, F.lit(-1))["content"]
+    """Content of the last message (NULL for an empty list). ``get``
+    returns NULL out of range under ANSI too."""
+    return F.get(messages, F.size(messages) - 1)["content"]
 
 
 def clean_dapo_question(text: Column) -> Column:

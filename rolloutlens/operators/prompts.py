@@ -17,7 +17,7 @@ def question(adapter: str, mode: str = "train") -> Column:
     if mode == "test" or adapter == "test":
         return F.col("problem")
     if adapter == "dapo":
-        return TX.clean_dapo_question(F.try_element_at(F.col("prompt"), F.lit(1))["content"])
+        return TX.clean_dapo_question(F.get(F.col("prompt"), F.lit(0))["content"])
     if adapter == "xr1":
         return F.col("problem")
     if adapter == "aime":

@@ -77,9 +77,30 @@ def released_groups(stream: DataFrame, cfg: RunConfig, watermark: str = "30 days
                                           GroupStateTimeout.EventTimeTimeout))
 
 
+def _start_with_partitions(spark: SparkSession, n: int | None, start):
+    """Start a stream whose shuffles (and state store) use ``n`` partitions.
+
+    A stream copies the session's settings when it starts, and its state
+    partition count is then fixed by the checkpoint, so the setting is
+    applied for the start only and the caller's session is left unchanged.
+    Default: the cluster's parallelism (total cores)."""
+    if n is None:
+        try:
+            n = spark.sparkContext.defaultParallelism
+        except Exception:  # noqa: BLE001 - Spark Connect
+            return start()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        return start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def start_collection(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                      cfg: RunConfig, max_files_per_trigger: int = 2, available_now: bool = True,
-                     watermark: str = "30 days", timeout_ms: int = 30 * 24 * 3600 * 1000):
+                     watermark: str = "30 days", timeout_ms: int = 30 * 24 * 3600 * 1000,
+                     state_partitions: int | None = None):
     """ST1: file source -> released groups -> score -> F1/F2 -> buffer folder.
 
     Groups released by the timeout are not scored; their rows are reported
@@ -98,11 +119,11 @@ def start_collection(spark: SparkSession, source_dir: str, sink_dir: str, checkp
     w = (released_groups(stream, cfg, watermark, timeout_ms).writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    return _start_with_partitions(spark, state_partitions, w.start)
 
 
 def start_running_metrics(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                          cfg: RunConfig, max_files_per_trigger: int = 2):
+                          cfg: RunConfig, max_files_per_trigger: int = 2, state_partitions: int | None = None):
     """ST2: running means of rewards over everything seen so far
     (complete-mode streaming aggregate, rewritten at every trigger)."""
     stream = (spark.readStream.schema(SOURCE_SCHEMA)
@@ -115,8 +136,9 @@ def start_running_metrics(spark: SparkSession, source_dir: str, sink_dir: str, c
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(sink_dir)
 
-    return (agg.writeStream.outputMode("complete").foreachBatch(write_batch)
-               .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    w = (agg.writeStream.outputMode("complete").foreachBatch(write_batch)
+            .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True))
+    return _start_with_partitions(spark, state_partitions, w.start)
 
 
 def stage_arrivals(rollouts_with_ts: DataFrame, source_dir: str, files: int = 8) -> None:

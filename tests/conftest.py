@@ -13,6 +13,9 @@ SF_ORACLE = os.environ.get("ROLLOUTLENS_TEST_SF", "/root/testdata/sf0.001")
 def spark():
     from rolloutlens.session import local_session
     s = local_session("*", shuffle_partitions=8)
+    # a query whose generated code fails to compile must fail the tests, not
+    # fall back silently to interpreted evaluation
+    s.conf.set("spark.sql.codegen.fallback", "false")
     yield s
     s.stop()
 
