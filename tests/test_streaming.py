@@ -31,3 +31,22 @@ def test_incomplete_group_times_out(spark):
     assert {r.prompt_idx for r in buf.select("prompt_idx").distinct().collect()} == set(range(1, 7))
     late = spark.read.parquet(f"{sink}/_incomplete")
     assert sorted((r.prompt_idx, r.gen_idx) for r in late.collect()) == [(0, g) for g in range(5)]
+
+
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("files_per_trigger", [1, 8])
+def test_stream_equals_batch(spark, files_per_trigger):
+    from rolloutlens.plans.q_streaming import _stage
+    from rolloutlens.plans.scoring import buffer_rows, score
+    from rolloutlens.sources import fixtures as FX
+    sf = "/root/testdata/sf0.001"
+    src = _stage(spark, sf)
+    sink, ckpt = scratch_path(spark, "par-sink"), scratch_path(spark, "par-ckpt")
+    q = ST.start_collection(spark, src, sink, ckpt, RunConfig(group_size=8), max_files_per_trigger=files_per_trigger)
+    q.awaitTermination()
+    got = sorted((r.prompt_idx, r.gen_idx, round(r.advantage, 9)) for r in spark.read.parquet(sink).collect())
+    want = sorted((r.prompt_idx, r.gen_idx, round(r.advantage, 9))
+                  for r in buffer_rows(score(FX.rollouts_events(spark, sf))).collect())
+    assert got == want and got
