@@ -1,6 +1,7 @@
 """ST1: groups are released when complete, or by the event-time timeout."""
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolloutlens.config import RunConfig
@@ -33,8 +34,6 @@ def test_incomplete_group_times_out(spark):
     assert sorted((r.prompt_idx, r.gen_idx) for r in late.collect()) == [(0, g) for g in range(5)]
 
 
-import pytest  # noqa: E402
-
 
 @pytest.mark.parametrize("files_per_trigger", [1, 8])
 def test_stream_equals_batch(spark, files_per_trigger):
