@@ -35,11 +35,6 @@ def group_stats(df: DataFrame, key: str = KEY, reward: str = "reward",
     return df.groupBy(key).agg(*aggs)
 
 
-def clustered(df: DataFrame, key: str = KEY, pos: str = POS) -> DataFrame:
-    """Rows of a group pipeline behind one shared exchange (see ordered.cluster)."""
-    return ordered.cluster(df, key, pos)
-
-
 def with_advantages(df: DataFrame, stats: DataFrame | None = None, key: str = KEY,
                     reward: str = "reward", eps: float = C.ADVANTAGE_EPS) -> DataFrame:
     """advantage = (r - mean) / (std_pop + eps), group stats (partially

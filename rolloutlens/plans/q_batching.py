@@ -104,10 +104,16 @@ def s3_seeded_shuffle(spark, sf_dir):
 SELECT prompt_idx, gen_idx, CAST(floor(r / 64) AS BIGINT) AS step, CAST(floor((r % 64) / 16) AS INTEGER) AS accum,
        CAST(floor((r % 16) / 4) AS INTEGER) AS device, CAST(r % 4 AS INTEGER) AS slot FROM rk""")
 def r7_shard_assignment(spark, sf_dir):
-    """R7 on the buffer order (position - 1): step, accumulation, device, slot."""
+    """R7 on the buffer order (position - 1): step, accumulation, device,
+    slot; written one folder per optimiser step and read back."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_shards
     d = _filled(spark, sf_dir).withColumn("r", F.col("position") - 1)
-    d = B.shard_assignment(d, "r", CFG)
-    return d.select("prompt_idx", "gen_idx", "step", "accum", "device", "slot")
+    d = B.shard_assignment(d, "r", CFG).select("prompt_idx", "gen_idx", "step", "accum", "device", "slot")
+    path = scratch_path(spark, "shards")
+    write_shards(d, path)
+    back = spark.read.parquet(path)
+    return back.select("prompt_idx", "gen_idx", F.col("step").cast("long").alias("step"), "accum", "device", "slot")
 
 
 @register("g6_cumulative_metrics", f"""WITH {KEPT_SQL}, {majority_sql()},
