@@ -30,7 +30,7 @@ from . import common as C
 
 UND = "und"
 #: Labelled documents per language that a dictionary is cut from (the fit's bound).
-SAMPLE_DOCS = 192
+SAMPLE_DOCS = 512
 #: Bytes taken from the middle of each sampled document.
 CUT_BYTES = 768
 #: Bytes compressed at once; long texts are summed over pieces, so that the
@@ -67,11 +67,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     d = d.withColumn("u", C.unit_hash(F.col("i"), salt="langid")).where(F.col("u") < rate[F.col("l")])
     middle = F.greatest(F.lit(1), (F.length("t") / 2 - F.lit(CUT_BYTES // 2)).cast("int"))
     rows = d.select("l", "u", "i", F.substring(F.col("t"), middle, F.lit(CUT_BYTES)).alias("t")).collect()
-    model = {}
-    for lang in sorted(counts):
-        cut = [plain(r["t"]) for r in sorted((r for r in rows if r["l"] == lang), key=lambda r: (r["u"], r["i"], r["t"]))]
-        model[lang] = b"\n".join(c[:CUT_BYTES] for c in cut[:sample_docs])
-    return model
+    cuts = {lang: [plain(r["t"])[:CUT_BYTES] for r in sorted((r for r in rows if r["l"] == lang), key=lambda r: (r["u"], r["i"], r["t"]))][:sample_docs]
+            for lang in sorted(counts)}
+    return {lang: b"\n".join(c) for lang, c in cuts.items()}
 
 
 def plain(text: str) -> bytes:
