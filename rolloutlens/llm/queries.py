@@ -3,17 +3,22 @@ express the operator."""
 
 from __future__ import annotations
 
-from . import bpe, langid, linededup, packing, simhash, toxicity
+from . import bpe, fingerprint, htmlmain, langid, licenses, linededup, packing, simhash, topk, toxicity
 
 QUERIES = {
     "op1_language_id": langid.query,
     "op2_line_dedup": linededup.query,
+    "op3_main_text": htmlmain.query,
+    "op4_fingerprints": fingerprint.query,
     "op5_bpe": bpe.query,
     "op6_simhash": simhash.query,
     "op7_toxicity": toxicity.query,
+    "op8_license_scan": licenses.query,
+    "op9_topk_search": topk.query,
     "op10_packing": packing.query,
 }
 
 ORACLE = {
     "op2_line_dedup": linededup.SQL,
+    "op9_topk_search": topk.SQL,
 }
