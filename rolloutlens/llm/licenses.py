@@ -151,7 +151,12 @@ class Templates:
         out = []
         for i in range(0, max(1, len(h)), step):
             part = h[i:i + step]
-            out.append(np.minimum.reduceat(self.a[:, None] * part + self.b[:, None], np.arange(0, len(part), block), axis=1))
+            value = self.a[:, None] * part + self.b[:, None]
+            if block == 2 and len(part) > 1:  # neighbours: much cheaper than a general reduction
+                pairs = np.minimum(value[:, :-1:2], value[:, 1::2])
+                out.append(np.concatenate([pairs, value[:, -1:]], axis=1) if len(part) % 2 else pairs)
+            else:
+                out.append(np.minimum.reduceat(value, np.arange(0, len(part), block), axis=1))
         return np.concatenate(out, axis=1)
 
 
@@ -172,11 +177,14 @@ def scan(t: Templates, text: str, containment: float = CONTAINMENT) -> list[tupl
         sig = np.minimum(np.minimum(padded[:, :-2], padded[:, 1:-1]), padded[:, 2:])  # windows of three blocks, a block apart
         values, bands, members, some = t.classes[size]
         seen = set()
-        for band, w in zip(*(x.tolist() for x in np.nonzero(some[(sig >> np.uint64(48)).astype(np.int64)]))):
-            e = int(np.searchsorted(values, sig[band, w]))
-            while e < len(values) and values[e] == sig[band, w]:  # templates can share a value
-                if bands[e] == band:
-                    seen.add((w, int(members[e])))
+        band, window = np.nonzero(some[(sig >> np.uint64(48)).astype(np.int64)])
+        value = sig[band, window]
+        at = np.minimum(np.searchsorted(values, value), len(values) - 1)
+        for i in np.nonzero(values[at] == value)[0].tolist():
+            e = int(at[i])
+            while e < len(values) and values[e] == value[i]:  # templates can share a value
+                if bands[e] == band[i]:
+                    seen.add((int(window[i]), int(members[e])))
                 e += 1
         for w, k in sorted(seen):
             first = w * block
