@@ -383,13 +383,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = found.where("doc <> component").select(F.col("doc").alias("_sh_gone")).distinct()
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(C.LAST_ID))
     left = docs.withColumn("_sh_id", key).join(gone.hint("shuffle_hash"), F.col("_sh_id") == F.col("_sh_gone"), "left_anti")
-    again = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
+    again = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc").alias("_sh_again"))
     if again.isEmpty():
         return left.drop("_sh_id")
     # ids with several rows: one row stays
-    repeated = left.join(again, F.col("_sh_id") == F.col("doc"), "left_semi").withColumn("_sh_text", F.xxhash64(text_col))
+    repeated = left.join(again, F.col("_sh_id") == F.col("_sh_again"), "left_semi").withColumn("_sh_text", F.xxhash64(text_col))
     one = repeated.groupBy("_sh_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col("_sh_text")).alias("_sh_row"))
-    single = left.join(again, F.col("_sh_id") == F.col("doc"), "left_anti").drop("_sh_id")
+    single = left.join(again, F.col("_sh_id") == F.col("_sh_again"), "left_anti").drop("_sh_id")
     return single.unionByName(one.select("_sh_row.*"))
 
 

@@ -93,7 +93,7 @@ class Features:
         punct = int(c[33:48].sum() + c[58:65].sum() + c[91:97].sum() + c[123:127].sum())
         symbols = int(c[[35, 36, 37, 38, 42, 64, 94, 126]].sum())
         mixed = MIXED.findall(low) if c[48:58].any() or symbols or c[33] or c[124] else []
-        spoken = sum(1 for m in mixed if self.odds(m.translate(PLAIN))[0] > 0)
+        spoken = sum(1 for m in mixed if self.odds(m.rstrip("!*|").translate(PLAIN))[0] > 0)
         runs = int(((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (raw[2:] > 64)).sum()) if size > 2 else 0
         single = np.fromiter((len(w) == 1 for w in words), bool, len(words))
         spaced = int((single[2:] & single[1:-1] & single[:-2]).sum()) if len(words) > 2 else 0
