@@ -2,17 +2,23 @@
 
 The rule is a documented subset of symbolic answer matching:
 
-1. extract the last balanced ``\\boxed{...}`` (brace depth <= 4 inside the
-   box); for gold labels only, fall back to the last ``$...$``;
-2. canonicalise with a fixed list of global replacements;
+1. extract the last balanced ``\\boxed{...}``, at any brace depth (one pass
+   over the text's braces); for gold labels only, fall back to the last
+   ``$...$``;
+2. canonicalise with a fixed list of global replacements; a plain decimal of
+   any length is brought to its normal form (no plus sign, no leading zeros,
+   no trailing fraction zeros);
 3. read the canonical text as an exact rational (num, den) in DECIMAL(18,0)
-   when it is an integer, a decimal, ``a/b`` or ``\\frac{a}{b}``;
+   when it is an integer, a decimal, ``a/b`` or ``\\frac{a}{b}``, signs allowed
+   everywhere. A fraction with over 15 digits on a side, or a decimal with
+   over 9 digits before or 6 after the point, has no rational reading: it
+   equals only its own canonical text (two such decimals still compare
+   exactly, by normal form);
 4. two answers are equal iff both are numeric with n1*d2 = n2*d1, or their
    canonical strings are equal and non-empty. NULL never equals anything.
 
 No algebra (``x+1`` vs ``1+x``), sets, intervals, matrices or tolerance.
-Every step is a JVM expression (no Python UDF), so it stays inside
-whole-stage codegen.
+Every step is a JVM expression (no Python UDF).
 """
 
 from __future__ import annotations
@@ -21,8 +27,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values: patterns of the answer rule (Java regex dialect) ---
-# last balanced \boxed{...}, possessive so long texts cannot overflow the stack
-BOXED = (r"\\boxed\{((?:[^{}]++|\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\})*+)\}")
 DOLLAR = r"\$([^$]+)\$"
 # ordered global replacements (pattern, replacement)
 CANON_STEPS = (
@@ -30,16 +34,28 @@ CANON_STEPS = (
     (r"\\left|\\right", ""),
     (r"\\[,;!]|\\ ", ""),
     (r"\\[dt]frac", r"\\frac"),
-    (r"\\(?:text|mathrm)\{[^{}]*\}\z", ""),
+    (r"[ \t\n\x0B\f\r]+", ""),
+    (r"^(.+?)\\(?:text|mathrm)\{[^{}]*\}\z", "$1"),
+    (r"^\\(?:text|mathrm)\{([^{}]*)\}\z", "$1"),
     (r"\^\{?\\circ\}?", ""),
     (r"\\?%", ""),
-    (r"[ \t\n\x0B\f\r]+", ""),
     (r"^[A-Za-z]=", ""),
     (r"\.\z", ""),
 )
-THOUSANDS = r"^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?\z"
-FRAC = r"^(-?)\\frac\{([0-9]{1,15})\}\{([0-9]{1,15})\}\z"
-SLASH = r"^(-?)([0-9]{1,15})/([0-9]{1,15})\z"
+THOUSANDS = r"^[+-]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?\z"
+# normal form of a plain decimal: these replacements in order
+PLAIN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z"
+NORMAL_STEPS = (
+    (r"^\+", ""),
+    (r"^(-?)0+(?=[0-9])", "$1"),
+    (r"^-\.", "-0."),
+    (r"^\.", "0."),
+    (r"(\.[0-9]*?)0+\z", "$1"),
+    (r"\.\z", ""),
+    (r"^-0\z", "0"),
+)
+FRAC = r"^([+-]?)\\frac\{([+-]?)([0-9]{1,15})\}\{([+-]?)([0-9]{1,15})\}\z"
+SLASH = r"^([+-]?)()([0-9]{1,15})/([+-]?)([0-9]{1,15})\z"
 DECIMAL = r"^(-?)([0-9]{1,9})(?:\.([0-9]{1,6}))?\z"
 DECIMAL_SCALE = 1000000
 # --- end of fixed values ---
@@ -47,50 +63,6 @@ DECIMAL_SCALE = 1000000
 _DEC = "decimal(18,0)"   # 15 digits max; products stay exact in decimal(37,0)
 
 
-def _last_match(text: Column, pattern: str) -> Column:
-    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
-
-
-def extract_boxed(text: Column) -> Column:
-    """A1: content of the last balanced ``\\boxed{}``, else NULL."""
-    return _last_match(text, BOXED)
-
-
-def extract_gold(text: Column) -> Column:
-    """A1 for gold labels: last box, else last ``$...$``, else NULL."""
-    return F.coalesce(extract_boxed(text), _last_match(text, DOLLAR))
-
-
-def canonical(ans: Column) -> Column:
-    """A2 step 2: canonical string; empty results become NULL (unparseable)."""
-    s = ans
-    for pat, rep in CANON_STEPS:
-        s = F.regexp_replace(s, pat, rep)
-    s = F.when(s.rlike(THOUSANDS), F.regexp_replace(s, ",", "")).otherwise(s)
-    return F.nullif(s, F.lit(""))
-
-
-def _num_den(s: Column):
-    """A2 step 3: exact rational (num, den) or (NULL, NULL)."""
-    def grp(p, i):
-        return F.regexp_extract(s, p, i)
-
-    frac_n = F.concat(grp(FRAC, 1), grp(FRAC, 2))
-    slash_n = F.concat(grp(SLASH, 1), grp(SLASH, 2))
-    dec_n = F.concat(grp(DECIMAL, 1), grp(DECIMAL, 2), F.rpad(grp(DECIMAL, 3), 6, "0"))
-    # the three forms are mutually exclusive; the common integer/decimal
-    # form is tested first so most rows stop after one regex
-    is_dec, is_frac, is_slash = s.rlike(DECIMAL), s.rlike(FRAC), s.rlike(SLASH)
-    num = (F.when(is_dec, dec_n.try_cast(_DEC))
-            .when(is_frac, frac_n.try_cast(_DEC))
-            .when(is_slash, slash_n.try_cast(_DEC)))
-    den = (F.when(is_dec, F.lit(DECIMAL_SCALE).cast(_DEC))
-            .when(is_frac, grp(FRAC, 3).try_cast(_DEC))
-            .when(is_slash, grp(SLASH, 3).try_cast(_DEC)))
-    ok = den.isNotNull() & (den != 0)
-    return F.when(ok, num), F.when(ok, den)
-
-
 def _q(s: str) -> str:
     """A Spark SQL string literal holding ``s`` exactly."""
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -100,25 +72,57 @@ def _sql_last(text: str, pattern: str) -> str:
     return f"try_element_at(regexp_extract_all({text}, {_q(pattern)}, 1), -1)"
 
 
-def _sql_canonical(raw: str) -> str:
-    s = raw
-    for pat, rep in CANON_STEPS:
+def _sql_boxed(text: str) -> str:
+    """Content of the last balanced box, any depth. The text is cut behind
+    every brace; a fold over the pieces keeps the place, the depth and a stack
+    of open boxes (where the content starts, the depth outside). The box that
+    closes last is the last match: one around it would close later."""
+    state = ("named_struct('pos', 0, 'depth', 0, 'open', CAST(array() AS array<struct<at:int,depth:int>>), "
+             "'first', 0, 'last', -1)")
+    step = r"""(a, t) -> CASE
+      WHEN endswith(t, '{') THEN named_struct('pos', a.pos + length(t), 'depth', a.depth + 1,
+        'open', CASE WHEN endswith(t, '\\boxed{')
+                     THEN array_append(a.open, named_struct('at', a.pos + length(t) + 1, 'depth', a.depth)) ELSE a.open END,
+        'first', a.first, 'last', a.last)
+      WHEN size(a.open) > 0 AND try_element_at(a.open, -1).depth = a.depth - 1 THEN named_struct('pos', a.pos + length(t),
+        'depth', a.depth - 1, 'open', slice(a.open, 1, size(a.open) - 1),
+        'first', try_element_at(a.open, -1).at, 'last', a.pos + length(t) - 1)
+      ELSE named_struct('pos', a.pos + length(t), 'depth', a.depth - 1, 'open', a.open, 'first', a.first, 'last', a.last) END"""
+    pieces = f"regexp_extract_all({text}, '[^{{}}]*+[{{}}]', 0)"
+    done = f"a -> CASE WHEN a.first > 0 THEN substring({text}, a.first, a.last - a.first + 1) END"
+    return f"CASE WHEN contains({text}, '\\\\boxed{{') THEN aggregate({pieces}, {state}, {step}, {done}) END"
+
+
+def _sql_steps(s: str, steps) -> str:
+    for pat, rep in steps:
         s = f"regexp_replace({s}, {_q(pat)}, {_q(rep)})"
-    return (f"nullif(CASE WHEN {s} RLIKE {_q(THOUSANDS)} THEN regexp_replace({s}, ',', '') "
-            f"ELSE {s} END, '')")
+    return s
+
+
+def _sql_canonical(raw: str) -> str:
+    s = _sql_steps(raw, CANON_STEPS)
+    return f"CASE WHEN {s} RLIKE {_q(THOUSANDS)} THEN regexp_replace({s}, ',', '') ELSE {s} END"
+
+
+def _sql_normal(c: str) -> str:
+    return f"nullif(CASE WHEN {c} RLIKE {_q(PLAIN)} THEN {_sql_steps(c, NORMAL_STEPS)} ELSE {c} END, '')"
 
 
 def _sql_parsed(c: str) -> str:
     def g(p, i):
         return f"regexp_extract({c}, {_q(p)}, {i})"
+
+    def signed(p):
+        """Numerator digits under the product of the signs."""
+        minus = " + ".join(f"CAST({g(p, i)} = '-' AS INT)" for i in (1, 2, 4))
+        return f"try_cast(concat(CASE WHEN ({minus}) % 2 = 1 THEN '-' ELSE '' END, {g(p, 3)}) AS {_DEC})"
     dec = f"CAST(NULL AS {_DEC})"
     is_dec, is_frac, is_slash = (f"{c} RLIKE {_q(DECIMAL)}", f"{c} RLIKE {_q(FRAC)}", f"{c} RLIKE {_q(SLASH)}")
     num = (f"CASE WHEN {is_dec} THEN try_cast(concat({g(DECIMAL, 1)}, {g(DECIMAL, 2)}, rpad({g(DECIMAL, 3)}, 6, '0')) AS {_DEC}) "
-           f"WHEN {is_frac} THEN try_cast(concat({g(FRAC, 1)}, {g(FRAC, 2)}) AS {_DEC}) "
-           f"WHEN {is_slash} THEN try_cast(concat({g(SLASH, 1)}, {g(SLASH, 2)}) AS {_DEC}) END")
+           f"WHEN {is_frac} THEN {signed(FRAC)} WHEN {is_slash} THEN {signed(SLASH)} END")
     den = (f"CASE WHEN {is_dec} THEN CAST({DECIMAL_SCALE} AS {_DEC}) "
-           f"WHEN {is_frac} THEN try_cast({g(FRAC, 3)} AS {_DEC}) "
-           f"WHEN {is_slash} THEN try_cast({g(SLASH, 3)} AS {_DEC}) END")
+           f"WHEN {is_frac} THEN try_cast({g(FRAC, 5)} AS {_DEC}) "
+           f"WHEN {is_slash} THEN try_cast({g(SLASH, 5)} AS {_DEC}) END")
     ok = f"(({den}) IS NOT NULL AND ({den}) <> 0)"
     return (f"named_struct('canon', {c}, 'num', CASE WHEN {ok} THEN {num} ELSE {dec} END, "
             f"'den', CASE WHEN {ok} THEN {den} ELSE {dec} END)")
@@ -127,25 +131,19 @@ def _sql_parsed(c: str) -> str:
 def with_parsed(df, text_col: str, out: str, gold: bool = False):
     """Add ``out`` = struct(canon, num, den) parsed from ``text_col``.
 
-    The canonical string is projected once into its own column before the
-    numeric reading refers to it many times; inlining the whole regex chain
-    into every reference would blow the generated-code size limit. Both
-    steps are sent as one SQL expression each (two calls to the JVM instead
-    of hundreds of Column-builder calls); the rule is the same as the Column
-    builders below.
+    Box, canonical text and normal form each get a column of their own before
+    the next step refers to them several times, so no step runs twice. Every
+    step is one SQL expression (one call to the JVM instead of hundreds of
+    Column-builder calls).
     """
-    from pyspark.sql import functions as F_
     t = f"`{text_col}`"
-    raw = (f"coalesce({_sql_last(t, BOXED)}, {_sql_last(t, DOLLAR)})" if gold else _sql_last(t, BOXED))
-    tmp = f"_{out}_canon"
-    return (df.withColumn(tmp, F_.expr(_sql_canonical(raw)))
-              .withColumn(out, F_.expr(_sql_parsed(f"`{tmp}`")))
-              .drop(tmp))
-
-
-def parsed_struct(canon: Column) -> Column:
-    num, den = _num_den(canon)
-    return F.struct(canon.alias("canon"), num.alias("num"), den.alias("den"))
+    raw = f"coalesce({_sql_boxed(t)}, {_sql_last(t, DOLLAR)})" if gold else _sql_boxed(t)
+    box, canon, normal = f"_{out}_box", f"_{out}_canon", f"_{out}_normal"
+    return (df.withColumn(box, F.expr(raw))
+              .withColumn(canon, F.expr(_sql_canonical(f"`{box}`")))
+              .withColumn(normal, F.expr(_sql_normal(f"`{canon}`")))
+              .withColumn(out, F.expr(_sql_parsed(f"`{normal}`")))
+              .drop(box, canon, normal))
 
 
 def answers_equal(a: Column, b: Column) -> Column:

@@ -2,10 +2,9 @@
 
 The collection loop scores ``MAX_NUM_SEQ // G`` prompts at a time and stops
 once the kept records reach the budget. Here it is two-phase: kept counts
-per batch (a small aggregate) -> prefix sums over batches (chunked scan, no
-single-task global window) -> the needed batches (at most ``budget`` of them
-hold rows, so their table has a proven size bound and is broadcast) ->
-positions inside a batch (a batch is at most ``MAX_NUM_SEQ`` rows).
+per batch and per (prompt, chunk) cell (small aggregates) -> prefix sums over
+batches and cells (chunked scans, no single-task global window) -> the cells
+that begin inside the budget -> positions inside a cell.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ POS = "gen_idx"
 def with_batch(df: DataFrame, prompts_per_batch: int, key: str = KEY) -> DataFrame:
     """Batch id = floor(prompt_idx / B) on the absolute index, so a start
     that is not a multiple of B makes the first batch short."""
-    return df.withColumn("batch", F.floor(F.col(key) / F.lit(prompts_per_batch)).cast("long"))
+    return df.withColumn("batch", F.expr(f"`{key}` div {prompts_per_batch}"))
 
 
 def batch_offsets(kept: DataFrame) -> DataFrame:
@@ -39,14 +38,21 @@ def fill_budget(kept: DataFrame, cfg: RunConfig, key: str = KEY, pos: str = POS)
 
     Adds ``batch`` and ``position`` (1-based place in the buffer)."""
     d = with_batch(kept.filter(F.col(key) >= F.lit(cfg.start_idx)), cfg.prompts_per_batch, key)
+    d = d.withColumn("_cell", ordered.chunk_of(pos))
+    # counts per (batch, prompt, chunk of generations), then what lies before each: a prompt
+    # with many generations is ranked chunk by chunk, not in one window
+    cells = d.groupBy("batch", key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     offs = batch_offsets(d)
-    # batches holding rows that can still enter the buffer: at most int_num rows
     need = offs.filter(F.col("before") < F.lit(cfg.int_num)).select("batch", "before")
-    w = Window.partitionBy("batch").orderBy(key, pos)
-    return (d.join(F.broadcast(need), "batch")
-             .withColumn("position", F.col("before") + F.row_number().over(w))
+    within = Window.partitionBy("batch").orderBy(key, "_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.join(need, "batch").select(
+        key, "_cell", (F.col("before") + F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("_start"))
+    starts = starts.filter(F.col("_start") < F.lit(cfg.int_num))
+    w = Window.partitionBy(key, "_cell").orderBy(pos)
+    return (d.join(starts, [key, "_cell"])
+             .withColumn("position", F.col("_start") + F.row_number().over(w))
              .filter(F.col("position") <= F.lit(cfg.int_num))
-             .drop("before"))
+             .drop("_start", "_cell"))
 
 
 def next_start(kept: DataFrame, cfg: RunConfig, key: str = KEY) -> DataFrame:
@@ -82,11 +88,13 @@ def repeat(df: DataFrame, rep_num: int) -> DataFrame:
 
 
 def seeded_shuffle(df: DataFrame, keys, seed: int, out: str = "shuffle_rank") -> DataFrame:
-    """A seeded permutation: exact 0-based rank by
-    (xxhash64(keys, seed), keys) - reruns agree; no global sort."""
+    """A seeded permutation: exact 0-based rank by (md5 of keys and
+    seed, keys) - reruns agree, any engine can repeat it; no global sort. The
+    rank buckets are the first five hex digits."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    d = df.withColumn("_h", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
-    return ordered.global_rank(d, ["_h", *keys], out=out).drop("_h")
+    d = df.withColumn("_h", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))))
+    bucket = F.conv(F.substring("_h", 1, 5), 16, 10).cast("long")
+    return ordered.global_rank(d, ["_h", *keys], out=out, bucket=bucket).drop("_h")
 
 
 def shard_assignment(df: DataFrame, rank: str, cfg: RunConfig) -> DataFrame:
@@ -106,8 +114,11 @@ def cumulative_batch_metrics(scored: DataFrame, groups: DataFrame, cfg: RunConfi
                              kept: DataFrame | None = None, key: str = KEY) -> DataFrame:
     """G5 + G6: after every batch, the means over everything collected so far
     (accumulators are not reset between batches): group accuracy, majority,
-    reward (over rows), group mean length; plus kept records so far."""
+    reward (over rows), group mean length; plus kept records so far. All of
+    them count from ``cfg.start_idx`` on, as the fill does."""
     b = cfg.prompts_per_batch
+    scored, groups = (x.filter(F.col(key) >= F.lit(cfg.start_idx)) for x in (scored, groups))
+    kept = kept.filter(F.col(key) >= F.lit(cfg.start_idx)) if kept is not None else None
     g = with_batch(groups, b, key).groupBy("batch").agg(
         F.sum("acc_mean").alias("s_acc"), F.sum("majority").alias("s_major"),
         F.sum("mean_length").alias("s_len"), F.count(F.lit(1)).alias("n_groups"))

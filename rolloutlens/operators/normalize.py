@@ -2,9 +2,10 @@
 
 Long form = one row per element ``(row key, position, value[, mask])``.
 "dim=1" (per sequence) groups by the row key; "dim=0" (per position) groups
-by the position. Statistics are grouped aggregates joined back (partial
-aggregation; AQE splits a hot key at the join); cumulative sums use the
-chunked scan from :mod:`rolloutlens.operators.ordered`.
+by the position. Statistics are grouped aggregates (partial aggregation);
+they come back to the rows through :func:`ordered.attach_salted`, so a hot
+key's rows are spread over many tasks. Cumulative sums use the chunked scan
+from :mod:`rolloutlens.operators.ordered`.
 """
 
 from __future__ import annotations
@@ -24,15 +25,16 @@ def cumulative_sum(df: DataFrame, key: str, pos: str, value: str, out: str = "cu
     if not reverse:
         return d.withColumnRenamed("_fwd", out)
     tot = df.groupBy(key).agg(F.sum(value).alias("_tot"))
-    return (d.join(tot, key).withColumn(out, F.col("_tot") - F.col("_fwd") + F.col(value))
-             .drop("_fwd", "_tot"))
+    return (ordered.attach_salted(d, tot, key, [key, pos])
+                   .withColumn(out, F.col("_tot") - F.col("_fwd") + F.col(value)).drop("_fwd", "_tot"))
 
 
-def zscore(df: DataFrame, key: str, value: str, out: str = "z", eps: float = C.ZSCORE_EPS) -> DataFrame:
+def zscore(df: DataFrame, key: str, value: str, out: str = "z", eps: float = C.ZSCORE_EPS, row_cols=None) -> DataFrame:
     """(x - mean) / (sample std + eps) per key; a one-element group has
-    no sample std, so its z is NULL."""
+    no sample std, so its z is NULL. ``row_cols`` (default: all columns) tell
+    a hot key's rows apart."""
     st = df.groupBy(key).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
-    return (df.join(st, key).withColumn(out, (F.col(value) - F.col("_mean")) / (F.col("_std") + F.lit(eps)))
+    return (ordered.attach_salted(df, st, key, row_cols or df.columns).withColumn(out, (F.col(value) - F.col("_mean")) / (F.col("_std") + F.lit(eps)))
               .drop("_mean", "_std"))
 
 
@@ -45,7 +47,7 @@ def masked_zscore(df: DataFrame, key: str, value: str, mask: str, out: str = "z"
                              F.stddev_samp(F.when(kept, F.col(value))).alias("_std"),
                              F.sum(kept.cast("int")).alias("_n"))
     z = (F.col(value) - F.col("_mean")) / (F.col("_std") + F.lit(eps))
-    return (df.join(st, key)
+    return (ordered.attach_salted(df, st, key, df.columns)
               .withColumn(out, F.when(kept & (F.col("_n") >= 2), z).otherwise(F.lit(float(fill_value))))
               .drop("_mean", "_std", "_n"))
 
@@ -65,6 +67,6 @@ def masked_min_max(df: DataFrame, key: str, value: str, mask: str, out: str = "s
                              F.max(F.when(kept, F.col(value))).alias("_max"))
     rng = F.col("_max") - F.col("_min")
     rng = F.when(rng == 0, F.lit(1.0)).otherwise(rng)
-    return (df.join(st, key)
+    return (ordered.attach_salted(df, st, key, df.columns)
               .withColumn(out, F.when(kept, (F.col(value) - F.col("_min")) / rng).otherwise(F.lit(0.0)))
               .drop("_min", "_max"))

@@ -29,7 +29,7 @@ def _keys(keys) -> list[str]:
 
 
 def chunk_of(pos: str, chunk: int = CHUNK) -> Column:
-    return F.floor(F.col(pos) / F.lit(chunk)).cast("long")
+    return F.expr(f"CAST(`{pos}` AS BIGINT) div {chunk}")
 
 
 def cluster(df: DataFrame, keys, pos: str, chunk: int = CHUNK) -> DataFrame:
@@ -54,6 +54,20 @@ def attach(df: DataFrame, per_key: DataFrame, keys, pos: str, chunk: int = CHUNK
     return cluster(df, keys, pos, chunk).join(chunks.join(per_key, keys), [*keys, "_chunk"])
 
 
+SALTS = 64               # pieces of a key where rows have no dense position
+
+
+def attach_salted(df: DataFrame, per_key: DataFrame, keys, row_cols: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """As :func:`attach` for rows without a dense position: a key's rows are
+    dealt over ``salts`` pieces by a hash of ``row_cols`` (columns that tell
+    a hot key's rows apart), and every piece gets the per-key values."""
+    keys = _keys(keys)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in row_cols]), F.lit(salts)).cast("int")
+    pieces = df.select(*keys, salt.alias("_salt")).distinct().join(per_key, keys)
+    d = df.withColumn("_salt", salt).repartition(*keys, "_salt")
+    return d.join(pieces, [*keys, "_salt"]).drop("_salt")
+
+
 def with_previous(df: DataFrame, keys, pos: str, cols: Sequence[str],
                   prefix: str = "prev_", chunk: int = CHUNK) -> DataFrame:
     """Add ``prev_<c>`` = value of ``c`` at position ``pos - 1`` of the same

@@ -80,3 +80,10 @@ def attach_completions(prompts: DataFrame, completions: DataFrame) -> tuple[Data
     no_completion = prompts.join(completions, keys, "left_anti").select(*keys, F.lit("no_completion").alias("issue"))
     no_prompt = completions.join(prompts, keys, "left_anti").select(*keys, F.lit("no_prompt").alias("issue"))
     return joined, no_completion.unionByName(no_prompt)
+
+
+def exploded_cases(problems: DataFrame, key: str = "prompt_idx") -> DataFrame:
+    """One row per test case of a problem's ``test_cases`` array
+    (case_id counts from 0; input and expected come from the struct)."""
+    x = problems.select(key, F.posexplode("test_cases").alias("case_id", "_case"))
+    return x.select(key, "case_id", F.col("_case.input").alias("input"), F.col("_case.expected").alias("expected"))

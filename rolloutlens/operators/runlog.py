@@ -1,28 +1,30 @@
-"""Run-log analytics (L1-L5, W3, U3): log text -> metric series.
-
-A run log is one text per run (S7). The three patterns pick the metric line
-that precedes a fixed marker; ``regexp_extract_all`` + ``arrays_zip`` +
-``posexplode`` turn each run's matches into ordered points, so the point
-number comes from the text itself, not from a window.
+"""Run-log analytics (L1-L5, W3, U3): log lines -> metric series.
+
+A run log is read line by line (S7): (run, file, block, seq, line). A point
+is a metric line that a fixed marker line follows, so every line only needs
+the two lines before it. They come from a window inside each split of a file,
+whose first lines get the last two of the split before as ghosts; no task
+holds a whole run. Points are numbered by row numbers inside splits plus the
+counts of earlier splits (one row per split).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from . import ordered
 
 # --- fixed values: the trainer's log lines and the patterns that read them ---
-METRIC_LINE = "平均正确率：{acc}，多数投票正确率：{major}，平均奖励：{reward}，平均长度：{length}"
-COUNT_SUFFIX = "，收集轨迹数量：{n}"
-WRITTEN_LINE = "已写入{n}条样本到缓冲区"
 CYCLE_BANNER = "=== 开始新的迭代周期 ==="
-CYCLE_DONE = "周期完成，耗时: {h}h {m}m {s}s"
 _M = "平均正确率：(.*?)，多数投票正确率：(.*?)，平均奖励：(.*?)，平均长度：(.*?)"
 TRAIN_POINTS = _M + r"\n已写入.*?条样本到缓冲区"
 INITIAL_TEST_POINTS = _M + r"\n\n=== 开始新的迭代周期 ==="
 CYCLE_TEST_POINTS = _M + r"\n周期完成"
+METRIC_LINE = _M + r"\z"
+WRITTEN_LINE = "^已写入.*?条样本到缓冲区"
+CYCLE_DONE = "周期完成"
 SERIES = (  # (name, phase, value)
     ("Train Format Reward", "train", "format"), ("Train Accuracy Reward", "train", "acc"),
     ("Train Major Vote Accuracy", "train", "major"), ("Train Length", "train", "length"),
@@ -34,30 +36,52 @@ SERIES = (  # (name, phase, value)
 FIELDS = ("acc", "major", "reward", "length")
 
 
-def _matches(log: Column, pattern: str) -> Column:
-    """Array of structs (acc, major, reward, length) for every match, in order."""
-    pat = "(?d)" + pattern
-    arrays = [F.regexp_extract_all(log, F.lit(pat), F.lit(i)) for i in range(1, 5)]
-    return F.transform(F.arrays_zip(*arrays), lambda z: F.struct(
-        *[z[str(i)].try_cast("double").alias(f) for i, f in enumerate(FIELDS)]))
-
-
-def log_points(logs: DataFrame, run: str = "run", log: str = "log") -> DataFrame:
+def _before(lines: DataFrame) -> DataFrame:
+    """Add ``p1`` and ``p2``, the lines one and two before in the same file."""
+    key = ["run", "file", "block"]
+    last = Window.partitionBy(*key).orderBy(F.col("seq").desc())
+    tails = lines.withColumn("_r", F.row_number().over(last)).where("_r <= 2")
+    splits = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("run", "file").orderBy("block")
+    after = splits.select(*key, F.lead("block").over(order).alias("_next"), F.lead("_n").over(order).alias("_lines"),
+                          F.lead("block", 2).over(order).alias("_second"))
+    # a last line also passes over a following split of a single line
+    to = F.filter(F.array(F.struct(F.col("_next").alias("block"), (-F.col("_r")).cast("long").alias("seq")),
+                          F.when((F.col("_r") == 1) & (F.col("_lines") == 1),
+                                 F.struct(F.col("_second").alias("block"), F.lit(-2).cast("long").alias("seq")))),
+                  lambda x: x["block"].isNotNull())
+    ghosts = tails.join(after, key).select("run", "file", F.explode(to).alias("_to"), "line") \
+        .select("run", "file", "_to.block", "_to.seq", "line", F.lit(True).alias("_ghost"))
+    w = Window.partitionBy(*key).orderBy("seq")
+    d = lines.select("run", "file", "block", "seq", "line", F.lit(False).alias("_ghost")).unionByName(ghosts)
+    return (d.withColumn("p1", F.lag("line", 1).over(w)).withColumn("p2", F.lag("line", 2).over(w))
+             .where(~F.col("_ghost")).drop("_ghost"))
+
+
+def _metrics(line: Column) -> list[Column]:
+    return [F.regexp_extract(line, "(?d)" + METRIC_LINE, i).try_cast("double").alias(f) for i, f in enumerate(FIELDS, 1)]
+
+
+def log_points(lines: DataFrame) -> DataFrame:
     """L1-L3 + U3: (run, phase, point, acc, major, reward, length).
 
-    train = L1 matches; test = L2 matches followed by L3 matches (U3), the
-    point number counting on across both parts."""
-    d = logs.select(
-        run,
-        _matches(F.col(log), TRAIN_POINTS).alias("_train"),
-        F.concat(_matches(F.col(log), INITIAL_TEST_POINTS),
-                 _matches(F.col(log), CYCLE_TEST_POINTS)).alias("_test"))
-    parts = []
-    for phase in ("train", "test"):
-        x = d.select(run, F.lit(phase).alias("phase"), F.posexplode("_" + phase).alias("point", "m"))
-        parts.append(x.select(run, "phase", F.col("point").cast("long").alias("point"),
-                              *[F.col("m." + f).alias(f) for f in FIELDS]))
-    return parts[0].unionByName(parts[1])
+    train = L1: a metric line before a "written" line. test = L2 (before a
+    blank line and the cycle banner) and then L3 (before a "cycle done" line),
+    the point number counting on across both parts (U3)."""
+    d = _before(lines)
+    metric = lambda c: F.col(c).rlike("(?d)" + METRIC_LINE)
+    part = (F.when(F.col("line").rlike(WRITTEN_LINE) & metric("p1"), 0)
+             .when(F.startswith("line", F.lit(CYCLE_BANNER)) & (F.col("p1") == "") & metric("p2"), 1)
+             .when(F.startswith("line", F.lit(CYCLE_DONE)) & metric("p1"), 2))
+    d = d.withColumn("_part", part).where("_part is not null")
+    d = d.select("run", "file", "block", "seq", "_part", F.when(F.col("_part") == 0, "train").otherwise("test").alias("phase"),
+                 *_metrics(F.when(F.col("_part") == 1, F.col("p2")).otherwise(F.col("p1"))))
+    cell = ["run", "phase", "_part", "file", "block"]
+    counts = d.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("run", "phase").orderBy("_part", "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("seq"))
+    return d.join(starts, cell).select("run", "phase", (F.col("_start") + place - 1).cast("long").alias("point"), *FIELDS)
 
 
 def series_long(points: DataFrame, run: str = "run", step: int | None = None) -> DataFrame:
@@ -81,16 +105,17 @@ def series_long(points: DataFrame, run: str = "run", step: int | None = None) ->
 
 
 def rolling_mean(df: DataFrame, keys, point: str = "point", value: str = "value",
-                 window: int = C.ROLLING_WINDOW, out: str = "smooth") -> DataFrame:
-    """Mean of the last ``window`` points; NULL for the first window-1.
+                 window: int = C.ROLLING_WINDOW, out: str = "smooth", chunk: int = ordered.CHUNK) -> DataFrame:
+    """Mean of the last ``window`` points; NULL unless all of them are
+    there and not NULL (so for the first ``window`` - 1).
 
-    Every point is copied to the ``window`` targets it contributes to and
-    summed per target: a partial aggregate, so long series spread over all
-    tasks (no whole series in one window partition)."""
+    The window runs inside chunks of a series; the last ``window`` - 1 points
+    of a chunk also travel, as ghosts, into the next, so a long series is
+    spread over many tasks."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    contrib = df.select(*keys, F.explode(F.sequence(F.col(point), F.col(point) + window - 1)).alias("_t"),
-                        F.col(value).alias("_v"))
-    sums = contrib.groupBy(*keys, "_t").agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    sm = sums.select(*keys, F.col("_t").alias(point),
-                     F.when(F.col("_n") == window, F.col("_s") / window).alias(out))
-    return df.join(sm, [*keys, point], "left")
+    carried = F.col(point) % chunk >= chunk - (window - 1)
+    d = df.withColumn("_copy", F.explode(F.when(carried, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    d = d.withColumn("_chunk", ordered.chunk_of(point, chunk) + F.col("_copy"))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(point).rangeBetween(-(window - 1), 0)
+    mean = F.when(F.count(value).over(w) == window, F.avg(value).over(w))
+    return d.withColumn(out, mean).where("_copy = 0").drop("_copy", "_chunk")

@@ -41,8 +41,14 @@ def doc_scored(spark, sf_dir, **kw) -> DataFrame:
 
 
 def event_scored(spark, sf_dir, **kw) -> DataFrame:
-    """Events rollouts scored once and written (they feed branching group plans)."""
-    return S.scored_table(S.score(FX.rollouts_events(spark, sf_dir), **kw))
+    """Scored events rollouts, for plans that read them once."""
+    return S.score(FX.rollouts_events(spark, sf_dir), **kw)
+
+
+def event_table(spark, sf_dir, columns: tuple = S.GROUP_COLUMNS, **kw) -> DataFrame:
+    """The named columns of scored events rollouts, written once, for
+    branching group plans."""
+    return S.scored_table(event_scored(spark, sf_dir, **kw), columns)
 
 
 # importing the query modules fills QUERIES / ORACLE

@@ -5,29 +5,31 @@ statement over the same parquet tables. This module holds the SQL side:
 fixture CTEs (same rules as :mod:`rolloutlens.sources.fixtures`) and text
 builders for the answer rule (same rule as
 :mod:`rolloutlens.functions.answers`, written for RE2: no possessives, no
-back-references). DuckDB string literals keep backslashes as they are.
+back-references). Equal results show that two dialects agree on the rule; the
+rule itself is checked by rows written by hand in ``tests/test_answers.py``. DuckDB string literals keep backslashes as they are.
 """
 
 from __future__ import annotations
 
 # --- fixed values: the answer rule in RE2 syntax ---
-BOXED = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)\}"
 DOLLAR = r"\$([^$]+)\$"
 CANON_STEPS = (
     (r"\\\$|\$", ""),
     (r"\\left|\\right", ""),
     (r"\\[,;!]|\\ ", ""),
     (r"\\[dt]frac", r"\\frac"),
-    (r"\\(?:text|mathrm)\{[^{}]*\}\z", ""),
+    (r"[ \t\n\x0B\f\r]+", ""),
+    (r"^(.+?)\\(?:text|mathrm)\{[^{}]*\}\z", r"\1"),
+    (r"^\\(?:text|mathrm)\{([^{}]*)\}\z", r"\1"),
     (r"\^\{?\\circ\}?", ""),
     (r"\\?%", ""),
-    (r"[ \t\n\x0B\f\r]+", ""),
     (r"^[A-Za-z]=", ""),
     (r"\.\z", ""),
 )
-THOUSANDS = r"^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?\z"
-FRAC = r"^(-?)\\frac\{([0-9]{1,15})\}\{([0-9]{1,15})\}\z"
-SLASH = r"^(-?)([0-9]{1,15})/([0-9]{1,15})\z"
+THOUSANDS = r"^[+-]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?\z"
+PLAIN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z"
+FRAC = r"^([+-]?)\\frac\{([+-]?)([0-9]{1,15})\}\{([+-]?)([0-9]{1,15})\}\z"
+SLASH = r"^([+-]?)()([0-9]{1,15})/([+-]?)([0-9]{1,15})\z"
 DECIMAL = r"^(-?)([0-9]{1,9})(?:\.([0-9]{1,6}))?\z"
 FORMAT = r"(?s)^<think>\n.*?\n</think>\n<answer>\n.*?\n</answer>\n?\z"
 STEPS = r"(Step \p{Nd}+:|^\p{Nd}+\.|\n-|\n\*|First,|Second,|Next,|Finally,)"
@@ -44,6 +46,9 @@ DAPO_TAIL = '\n\nRemember to put your answer on its own line after "Answer:".'
 # --- end of fixed values ---
 
 
+BS = "\\"
+
+
 def lit(s: str) -> str:
     """A DuckDB string literal (newlines through chr(10))."""
     parts = s.split("\n")
@@ -55,34 +60,72 @@ def last_match(text: str, pattern: str) -> str:
     return f"regexp_extract_all({text}, {lit(pattern)}, 1)[-1]"
 
 
+def last_boxed(text: str) -> str:
+    """Content of the last balanced box, any depth: a fold over the pieces
+    that end with a brace (pos, depth, stack of open boxes, first, last)."""
+    cell = "{'at': 0, 'depth': 0}"
+    state = "'t': {t}, 'pos': {pos}, 'depth': {depth}, 'open': {open}, 'first': {first}, 'last': {last}"
+
+    def st(**kw):
+        return "{" + state.format(**kw) + "}"
+    zero = dict(pos="0", depth="0", open=f"[{cell}][:0]", first="0", last="-1")
+    keep = dict(t="''", pos="a.pos + length(x.t)", open="a.open", first="a.first", last="a.last")
+    push = f"CASE WHEN ends_with(x.t, '{BS}boxed{{') THEN list_append(a.open, {{'at': a.pos + CAST(length(x.t) AS INTEGER) + 1, 'depth': a.depth}}) ELSE a.open END"
+    keep["pos"] = "a.pos + CAST(length(x.t) AS INTEGER)"
+    opened = st(**{**keep, "depth": "a.depth + 1", "open": push})
+    closed = st(**{**keep, "depth": "a.depth - 1", "open": "a.open[:len(a.open) - 1]", "first": "a.open[-1].at",
+                   "last": "a.pos + CAST(length(x.t) AS INTEGER) - 1"})
+    stray = st(**{**keep, "depth": "a.depth - 1"})
+    step = (f"CASE WHEN ends_with(x.t, '{{') THEN {opened} "
+            f"WHEN len(a.open) > 0 AND a.open[-1].depth = a.depth - 1 THEN {closed} ELSE {stray} END")
+    pieces = f"list_transform(regexp_extract_all({text}, '[^{{}}]*[{{}}]'), lambda brace_piece: {st(t='brace_piece', **zero)})"
+    # the fold starts from a state, so a text without a brace gives that state
+    fold = f"list_reduce({pieces}, lambda a, x: {step}, {st(t=chr(39) * 2, **zero)})"
+    cut = f"list_transform([{fold}], lambda f: CASE WHEN f.first > 0 THEN substring({text}, f.first, f.last - f.first + 1) END)[1]"
+    return f"CASE WHEN contains({text}, '{BS}boxed{{') THEN {cut} END"
+
+
 def canon(x: str) -> str:
     s = x
     for pat, rep in CANON_STEPS:
         s = f"regexp_replace({s}, {lit(pat)}, {lit(rep)}, 'g')"
-    return (f"nullif(CASE WHEN regexp_matches({s}, {lit(THOUSANDS)}) "
-            f"THEN replace({s}, ',', '') ELSE {s} END, '')")
+    return f"CASE WHEN regexp_matches({s}, {lit(THOUSANDS)}) THEN replace({s}, ',', '') ELSE {s} END"
+
+
+def normal(c: str) -> str:
+    """Normal form of a plain decimal, by its parts."""
+    whole = f"coalesce(nullif(ltrim(regexp_extract({c}, '^[+-]?([0-9]*)', 1), '0'), ''), '0')"
+    frac = f"rtrim(regexp_extract({c}, '[.]([0-9]*)$', 1), '0')"
+    number = f"{whole} || CASE WHEN {frac} = '' THEN '' ELSE '.' || {frac} END"
+    sign = f"CASE WHEN starts_with({c}, '-') AND {number} <> '0' THEN '-' ELSE '' END"
+    return f"nullif(CASE WHEN regexp_matches({c}, {lit(PLAIN)}) THEN {sign} || {number} ELSE {c} END, '')"
 
 
 def num_den(c: str) -> tuple[str, str]:
     def g(p, i):
         return f"regexp_extract({c}, {lit(p)}, {i})"
 
+    def signed(p):
+        minus = " + ".join(f"CAST({g(p, i)} = '-' AS INTEGER)" for i in (1, 2, 4))
+        return f"TRY_CAST(CASE WHEN ({minus}) % 2 = 1 THEN '-' ELSE '' END || {g(p, 3)} AS {dec})"
+
     dec = "DECIMAL(18,0)"
-    num = (f"CASE WHEN regexp_matches({c}, {lit(FRAC)}) THEN TRY_CAST({g(FRAC, 1)} || {g(FRAC, 2)} AS {dec}) "
-           f"WHEN regexp_matches({c}, {lit(SLASH)}) THEN TRY_CAST({g(SLASH, 1)} || {g(SLASH, 2)} AS {dec}) "
+    num = (f"CASE WHEN regexp_matches({c}, {lit(FRAC)}) THEN {signed(FRAC)} "
+           f"WHEN regexp_matches({c}, {lit(SLASH)}) THEN {signed(SLASH)} "
            f"WHEN regexp_matches({c}, {lit(DECIMAL)}) THEN TRY_CAST({g(DECIMAL, 1)} || {g(DECIMAL, 2)} "
            f"|| rpad({g(DECIMAL, 3)}, 6, '0') AS {dec}) END")
-    den = (f"CASE WHEN regexp_matches({c}, {lit(FRAC)}) THEN TRY_CAST({g(FRAC, 3)} AS {dec}) "
-           f"WHEN regexp_matches({c}, {lit(SLASH)}) THEN TRY_CAST({g(SLASH, 3)} AS {dec}) "
+    den = (f"CASE WHEN regexp_matches({c}, {lit(FRAC)}) THEN TRY_CAST({g(FRAC, 5)} AS {dec}) "
+           f"WHEN regexp_matches({c}, {lit(SLASH)}) THEN TRY_CAST({g(SLASH, 5)} AS {dec}) "
            f"WHEN regexp_matches({c}, {lit(DECIMAL)}) THEN CAST(1000000 AS {dec}) END")
     return num, den
 
 
 def parsed_cols(text: str, prefix: str, gold: bool = False) -> str:
     """Select-list fragment: <prefix>_canon from ``text`` (one CTE level)."""
-    raw = (f"coalesce({last_match(text, BOXED)}, {last_match(text, DOLLAR)})"
-           if gold else last_match(text, BOXED))
-    return f"{canon(raw)} AS {prefix}_canon"
+    raw = f"coalesce({last_boxed(text)}, {last_match(text, DOLLAR)})" if gold else last_boxed(text)
+    # a list of one holds each step's value, so that the next may use it often
+    step = f"list_transform([{raw}], lambda b: {canon('b')})"
+    return f"list_transform({step}, lambda c: {normal('c')})[1] AS {prefix}_canon"
 
 
 def numeric_cols(prefix: str) -> str:
@@ -105,9 +148,6 @@ def r9(x: str) -> str:
 
 # -- fixtures ---------------------------------------------------------------
 
-BS = "\\"
-
-
 def _boxed(x: str) -> str:
     return f"('{BS}boxed{{' || {x} || '}}')"
 
@@ -133,7 +173,7 @@ ROLLOUTS = f"""rollouts AS (
       SELECT *, CASE WHEN doc_id % 5 = 0 THEN '{BS}frac{{' || CAST(CAST(a AS INTEGER) * 2 AS VARCHAR) || '}}{{2}}'
                      WHEN doc_id % 5 = 1 THEN a || '.0' ELSE a END AS ans
       FROM (
-        SELECT doc_id, left(text, 300) AS body,
+        SELECT doc_id, text AS body,
                CAST(CAST(doc_id * doc_id + floor(doc_id / 3) AS BIGINT) % 4 AS VARCHAR) AS a,
                (doc_id * 13) % 10 AS m
         FROM documents))))"""

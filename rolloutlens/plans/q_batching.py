@@ -10,7 +10,7 @@ from ..operators import batching as B
 from ..sources import fixtures as FX
 from . import oracle as O
 from . import scoring as S
-from .catalog import event_scored, r9, register
+from .catalog import event_scored, event_table, r9, register
 from .q_groups import EVENTS, majority_sql
 
 # events rollouts have 8 completions per prompt; budget as in the 7B config
@@ -33,7 +33,7 @@ filled AS (
 
 
 def _kept(spark, sf_dir):
-    return S.buffer_rows(event_scored(spark, sf_dir))
+    return S.buffer_rows(event_table(spark, sf_dir, (*S.GROUP_COLUMNS, "content")))
 
 
 def _filled(spark, sf_dir):
@@ -84,18 +84,21 @@ def r5_repeat_buffer(spark, sf_dir):
         "prompt_idx", "gen_idx", F.col("rep").cast("long").alias("rep"))
 
 
-@register("r6_shuffle_buffer")
+@register("r6_shuffle_buffer", f"""WITH {KEPT_SQL},
+rp AS (SELECT prompt_idx, gen_idx, CAST(rep AS INTEGER) AS rep FROM filled, range(1, {CFG.rep_num + 1}) AS t(rep))
+SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', prompt_idx, gen_idx, rep, '{CFG.seed}')), prompt_idx, gen_idx, rep) - 1
+       AS shuffle_rank FROM rp""")
 def r6_shuffle_buffer(spark, sf_dir):
-    """R6 (no oracle: DuckDB has no Spark xxhash64): seeded permutation of
-    the repeated buffer."""
+    """Seeded permutation of the repeated buffer."""
     d = B.repeat(_filled(spark, sf_dir), CFG.rep_num)
     return B.seeded_shuffle(d, ["prompt_idx", "gen_idx", "rep"], CFG.seed).select(
         "prompt_idx", "gen_idx", "rep", "shuffle_rank")
 
 
-@register("s3_seeded_shuffle")
+@register("s3_seeded_shuffle", """SELECT doc_id, lang,
+  row_number() OVER (ORDER BY md5(concat_ws('|', doc_id, '42')), doc_id) - 1 AS shuffle_rank FROM documents""")
 def s3_seeded_shuffle(spark, sf_dir):
-    """S3 (no oracle): seeded shuffle of the training rows (documents)."""
+    """S3: seeded shuffle of the training rows (documents)."""
     d = FX.read_table(spark, sf_dir, "documents").select("doc_id", "lang")
     return B.seeded_shuffle(d, "doc_id", 42)
 
@@ -117,13 +120,13 @@ def r7_shard_assignment(spark, sf_dir):
 
 
 @register("g6_cumulative_metrics", f"""WITH {KEPT_SQL}, {majority_sql()},
-gs AS (SELECT prompt_idx, avg(acc) AS acc_mean, avg(length(content)) AS mean_length FROM scored GROUP BY prompt_idx),
+gs AS (SELECT prompt_idx, avg(acc) AS acc_mean, avg(length(content)) AS mean_length FROM scored WHERE prompt_idx >= {CFG.start_idx} GROUP BY prompt_idx),
 g AS (SELECT CAST(floor(prompt_idx / {BPP}) AS BIGINT) AS batch, sum(acc_mean) AS s_acc, sum(majority) AS s_major,
              sum(mean_length) AS s_len, count(*) AS n_groups FROM gs JOIN maj USING (prompt_idx) GROUP BY 1),
 r AS (SELECT CAST(floor(prompt_idx / {BPP}) AS BIGINT) AS batch, sum(reward) AS s_reward, count(*) AS n_rows
-      FROM scored GROUP BY 1),
+      FROM scored WHERE prompt_idx >= {CFG.start_idx} GROUP BY 1),
 k AS (SELECT CAST(floor(prompt_idx / {BPP}) AS BIGINT) AS batch, count(*) AS n_kept FROM adv
-      WHERE std >= 0.1 AND advantage > 0 GROUP BY 1),
+      WHERE std >= 0.1 AND advantage > 0 AND prompt_idx >= {CFG.start_idx} GROUP BY 1),
 t AS (SELECT batch, s_acc, s_major, s_len, n_groups, s_reward, n_rows, coalesce(n_kept, 0) AS n_kept
       FROM g FULL JOIN r USING (batch) LEFT JOIN k USING (batch))
 SELECT batch, {O.r9('sum(s_acc) OVER w / sum(n_groups) OVER w')} AS acc_ave,
@@ -134,9 +137,9 @@ SELECT batch, {O.r9('sum(s_acc) OVER w / sum(n_groups) OVER w')} AS acc_ave,
 FROM t WINDOW w AS (ORDER BY batch ROWS UNBOUNDED PRECEDING)""")
 def g6_cumulative_metrics(spark, sf_dir):
     """G5 + G6: metrics and kept-record count after every batch."""
-    sc = event_scored(spark, sf_dir)
+    sc = event_table(spark, sf_dir)
     rep = S.group_report(sc)
-    d = B.cumulative_batch_metrics(sc, rep, CFG, kept=_kept(spark, sf_dir))
+    d = B.cumulative_batch_metrics(sc, rep, CFG, kept=S.buffer_rows(sc))
     return d.select("batch", *[r9(c).alias(c) for c in ("acc_ave", "acc_major", "reward", "length")],
                     F.col("records").cast("long").alias("records"))
 
@@ -155,19 +158,12 @@ SELECT prompt_idx, gen_idx, reward,
        CAST(floor(prompt_idx * 4 / (SELECT max(prompt_idx) + 1 FROM scored)) AS INTEGER) AS chunk
 FROM scored""")
 def u1_chunk_concat(spark, sf_dir):
-    """Results of contiguous worker chunks concatenated in input order
-    (unionByName; the order lives in the keys, not in the union)."""
+    """Results of contiguous worker chunks, in input order. The chunk is a
+    column of one scan and one scoring pass; the order lives in the keys."""
     r = FX.rollouts_events(spark, sf_dir)
     top = r.select((F.max("prompt_idx") + 1)).scalar()
-    parts = []
-    for c in range(4):
-        lo, hi = top * c / 4, top * (c + 1) / 4
-        chunk = r.filter((F.col("prompt_idx") >= lo) & (F.col("prompt_idx") < hi))
-        parts.append(S.score(chunk).select("prompt_idx", "gen_idx", "reward", F.lit(c).alias("chunk")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    chunk = F.floor(F.col("prompt_idx") * 4 / top).cast("int")
+    return event_scored(spark, sf_dir).select("prompt_idx", "gen_idx", "reward", chunk.alias("chunk"))
 
 
 @register("u2_append_cycles", f"""WITH {KEPT_SQL},

@@ -10,7 +10,7 @@ from ..operators import rewards as R
 from ..sources import fixtures as FX
 from . import oracle as O
 from . import scoring as S
-from .catalog import doc_scored, event_scored, r9, register
+from .catalog import doc_scored, event_scored, event_table, r9, register
 
 K = "prompt_idx, gen_idx"
 DOCS = O.scored_ctes(O.ROLLOUTS)
@@ -181,14 +181,14 @@ ADV_SQL = f"""adv AS (
 @register("w1_group_advantage", f"""WITH {EVENTS}, {ADV_SQL}
 SELECT {K}, reward, {O.r9('advantage')} AS advantage FROM adv""")
 def w1_group_advantage(spark, sf_dir):
-    d = G.with_advantages(event_scored(spark, sf_dir))
+    d = G.with_advantages(event_table(spark, sf_dir))
     return d.select("prompt_idx", "gen_idx", "reward", r9("advantage").alias("advantage"))
 
 
 @register("f1_drop_flat_groups", f"""WITH {EVENTS}, {ADV_SQL}
 SELECT {K}, reward, {O.r9('std')} AS std FROM adv WHERE std >= 0.1""")
 def f1_drop_flat_groups(spark, sf_dir):
-    d = G.drop_flat_groups(G.with_advantages(event_scored(spark, sf_dir)))
+    d = G.drop_flat_groups(G.with_advantages(event_table(spark, sf_dir)))
     return d.select("prompt_idx", "gen_idx", "reward", r9("std").alias("std"))
 
 
@@ -197,6 +197,6 @@ SELECT {K}, {O.r9('advantage')} AS advantage, reward, gold AS label
 FROM adv WHERE std >= 0.1 AND advantage > 0""")
 def f2_positive_advantage(spark, sf_dir):
     """W1 + F1 + F2: the buffer rows of one collection pass."""
-    d = S.buffer_rows(event_scored(spark, sf_dir))
+    d = S.buffer_rows(event_table(spark, sf_dir))
     return d.select("prompt_idx", "gen_idx", r9("advantage").alias("advantage"), "reward",
                     F.col("gold").alias("label"))

@@ -8,7 +8,7 @@ from ..operators import groups as G
 from ..sources import fixtures as FX
 from . import oracle as O
 from . import scoring as S
-from .catalog import event_scored, r9, register
+from .catalog import event_scored, event_table, r9, register
 
 EVENTS = O.scored_ctes(O.ROLLOUTS_EVENTS)
 NOGOLD = O.scored_ctes(O.ROLLOUTS_EVENTS + """,
@@ -46,14 +46,14 @@ maj AS (
 @register("g2_majority_vote", f"""WITH {EVENTS}, {majority_sql()}
 SELECT prompt_idx, CAST(majority AS DOUBLE) AS majority FROM maj""")
 def g2_majority_vote(spark, sf_dir):
-    return G.majority_run(event_scored(spark, sf_dir))
+    return G.majority_run(event_table(spark, sf_dir))
 
 
 @register("g2_majority_vote_documents", f"""WITH {O.scored_ctes(O.ROLLOUTS)}, {majority_sql()}
 SELECT prompt_idx, CAST(majority AS DOUBLE) AS majority FROM maj""")
 def g2_majority_vote_documents(spark, sf_dir):
     from .catalog import doc_scored
-    return G.majority_run(doc_scored(spark, sf_dir))
+    return G.majority_run(S.scored_table(doc_scored(spark, sf_dir)))
 
 
 @register("w2_compare_previous", f"""WITH {EVENTS}, {majority_sql()}
@@ -68,7 +68,7 @@ def w2_compare_previous(spark, sf_dir):
 def _nogold(spark, sf_dir):
     r = FX.rollouts_events(spark, sf_dir)
     r = r.withColumn("gold", F.when(F.col("prompt_idx") % 5 == 0, F.lit("no label")).otherwise(F.col("gold")))
-    return S.score(r)
+    return S.scored_table(S.score(r))
 
 
 @register("f3_unparseable_gold", f"""WITH {NOGOLD}, {majority_sql()}
@@ -116,7 +116,7 @@ SELECT {O.r9("avg(acc_mean)")} AS acc_ave, {O.r9("avg(majority)")} AS acc_major,
        (SELECT {O.r9("avg(reward)")} FROM scored) AS reward, (SELECT count(*) FROM scored) AS n_rows
 FROM gs JOIN maj USING (prompt_idx)""")
 def g4_run_metrics(spark, sf_dir):
-    sc = event_scored(spark, sf_dir)
+    sc = event_table(spark, sf_dir)
     rep = S.group_report(sc)
     m = G.run_metrics(sc, rep)
     return m.select(r9("acc_ave").alias("acc_ave"), r9("acc_major").alias("acc_major"),

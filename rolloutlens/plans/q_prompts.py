@@ -140,16 +140,24 @@ def p9_render_messages(spark, sf_dir):
     return joined.select("prompt_idx", "gen_idx", TX.render_messages(F.col("messages")).alias("rendered"))
 
 
-P8_SQL = "SELECT doc_id, length(s) AS clean_len, right(s, 40) AS tail FROM (SELECT doc_id, CASE WHEN regexp_matches((text || ' ha ha ha'), ('(' || regexp_escape(right((text || ' ha ha ha'), 1)) || '){3,}$')) THEN regexp_replace((text || ' ha ha ha'), ('(' || regexp_escape(right((text || ' ha ha ha'), 1)) || '){3,}$'), '') WHEN regexp_matches((text || ' ha ha ha'), ('(' || regexp_escape(right((text || ' ha ha ha'), 2)) || '){3,}$')) THEN regexp_replace((text || ' ha ha ha'), ('(' || regexp_escape(right((text || ' ha ha ha'), 2)) || '){3,}$'), '') WHEN regexp_matches((text || ' ha ha ha'), ('(' || regexp_escape(right((text || ' ha ha ha'), 3)) || '){3,}$')) THEN regexp_replace((text || ' ha ha ha'), ('(' || regexp_escape(right((text || ' ha ha ha'), 3)) || '){3,}$'), '') WHEN regexp_matches((text || ' ha ha ha'), ('(' || regexp_escape(right((text || ' ha ha ha'), 4)) || '){3,}$')) THEN regexp_replace((text || ' ha ha ha'), ('(' || regexp_escape(right((text || ' ha ha ha'), 4)) || '){3,}$'), '') WHEN regexp_matches((text || ' ha ha ha'), ('(' || regexp_escape(right((text || ' ha ha ha'), 5)) || '){3,}$')) THEN regexp_replace((text || ' ha ha ha'), ('(' || regexp_escape(right((text || ' ha ha ha'), 5)) || '){3,}$'), '') ELSE (text || ' ha ha ha') END AS s FROM documents)"
+def _p8_sql() -> str:
+    text = "(text || ' ha ha ha')"
+    cases = []
+    for n in range(1, 6):
+        pat = f"('(' || regexp_escape(right({text}, {n})) || '){{3,}}$')"
+        cases.append(f"WHEN regexp_matches({text}, {pat}) THEN regexp_replace({text}, {pat}, '')")
+    return f"""SELECT doc_id, length(s) AS clean_len, md5(s) AS clean_md5
+FROM (SELECT doc_id, CASE {' '.join(cases)} ELSE {text} END AS s FROM documents)"""
 
 
-@register("p8_remove_stutter", P8_SQL)
+@register("p8_remove_stutter", _p8_sql())
 def p8_remove_stutter(spark, sf_dir):
     """P8 over whole documents. RE2 has no back-references, so the oracle
     builds each pattern from the escaped last L characters."""
     d = FX.read_table(spark, sf_dir, "documents")
     s = TX.remove_stutter(F.concat(F.col("text"), F.lit(" ha ha ha")))
-    return d.select("doc_id", F.length(s).cast("long").alias("clean_len"), F.right(s, F.lit(40)).alias("tail"))
+    d = d.select("doc_id", s.alias("s"))
+    return d.select("doc_id", F.length("s").cast("long").alias("clean_len"), F.md5("s").alias("clean_md5"))
 
 
 @register("j3_solution_join", f"""WITH {O.ROLLOUTS_EVENTS},
@@ -186,16 +194,34 @@ def a11_code_pass_rate(spark, sf_dir):
 
 
 @register("j5_code_cases_join", f"""WITH {CASES_SQL},
-comp AS (SELECT DISTINCT user_id AS completion_id FROM events WHERE user_id % 2 = 0)
+comp AS (SELECT DISTINCT user_id AS completion_id FROM events WHERE event_type <> 'error')
 SELECT completion_id, case_id, CAST(returncode = 0 AND trim(stdout) = trim(expected) AS INTEGER) AS passed
 FROM comp JOIN cases USING (completion_id)""")
 def j5_code_cases_join(spark, sf_dir):
-    """Code completions joined with their executed test cases."""
+    """Executed test cases of the completions that ran (a user with an
+    event that is no error). A semi join of two plain scans: AQE splits a hot
+    user's partition, and nobody is grouped first."""
     cases = FX.code_cases(spark, sf_dir)
-    comp = FX.read_table(spark, sf_dir, "events").filter(F.col("user_id") % 2 == 0) \
-             .select(F.col("user_id").alias("completion_id")).distinct()
+    comp = FX.read_table(spark, sf_dir, "events").where(F.col("event_type") != "error") \
+             .select(F.col("user_id").alias("completion_id"))
     passed = (F.col("returncode") == 0) & (F.trim("stdout") == F.trim("expected"))
-    return comp.join(cases, "completion_id").select("completion_id", "case_id", passed.cast("int").alias("passed"))
+    return cases.join(comp, "completion_id", "left_semi").select("completion_id", "case_id", passed.cast("int").alias("passed"))
+
+
+@register("j5_snippet_cases", f"""WITH {O.ROLLOUTS},
+code AS (SELECT prompt_idx, gen_idx, coalesce(regexp_extract_all(content, {O.lit(O.CODE_BLOCK)}, 1)[-1], '') AS code FROM rollouts),
+cases AS (SELECT DISTINCT prompt_idx, unnest([0, 1, 2, 3]) AS case_id FROM rollouts)
+SELECT prompt_idx, gen_idx, CAST(case_id AS INTEGER) AS case_id, code, 'print(' || CAST(case_id AS VARCHAR) || ')' AS expected,
+       CAST(trim(code, chr(10)) = 'print(' || CAST(case_id AS VARCHAR) || ')' AS INTEGER) AS passed
+FROM code JOIN cases USING (prompt_idx) WHERE code <> ''""")
+def j5_snippet_cases(spark, sf_dir):
+    """J5 from the arrays: every problem's ``test_cases`` exploded, joined to
+    the snippet (A10) of every completion of the problem."""
+    r = FX.rollouts(spark, sf_dir)
+    code = r.select("prompt_idx", "gen_idx", TX.extract_code(F.col("content")).alias("code")).where("code <> ''")
+    cases = P.exploded_cases(FX.problems_code(spark, sf_dir))
+    passed = F.btrim("code", F.lit("\n")) == F.col("expected")
+    return code.join(cases, "prompt_idx").select("prompt_idx", "gen_idx", "case_id", "code", "expected", passed.cast("int").alias("passed"))
 
 
 @register("s4_s5_buffer_roundtrip", f"""WITH {KEPT_SQL}

@@ -15,21 +15,26 @@ from .catalog import r9, register
 
 def _m(acc, major, reward, length):
     return (f"'平均正确率：' || printf('%.6f', {acc}) || '，多数投票正确率：' || printf('%.6f', {major}) || "
-            f"'，平均奖励：' || printf('%.6f', {reward}) || '，平均长度：' || printf('%.6f', {length})")
+            f"'，平均奖励：' || printf('%.6f', {reward}) || '，平均长度：' || {length}")
+
+
+def _f6(x):
+    return f"printf('%.6f', {x})"
 
 
 ACC, MAJ = "((value % 10) / 10)", "((user_id % 10) / 10.0)"
+LENGTH = "CASE WHEN event_id % 50 = 7 THEN 'n/a' ELSE printf('%.6f', value * 3) END"
 N = "CAST(256 + event_id % 7 AS VARCHAR)"
-LOGS = f"""ev AS (SELECT event_type AS run, event_id, user_id, value FROM events),
+LOGS = f"""ev AS (SELECT event_type || '-' || CAST(event_id // 1024 AS VARCHAR) AS run, event_id, user_id, value FROM events),
 lines AS (
-  SELECT run, -1 AS k1, 0 AS k2, {_m('v / 100', 'v / 200', 'v / 50', 'v')} AS line
+  SELECT run, -1 AS k1, 0 AS k2, {_m('v / 100', 'v / 200', 'v / 50', _f6('v'))} AS line
   FROM (SELECT run, avg(value) AS v FROM ev GROUP BY run)
   UNION ALL SELECT run, event_id, 0, '' FROM ev
   UNION ALL SELECT run, event_id, 1, {O.lit(RL.CYCLE_BANNER)} FROM ev
-  UNION ALL SELECT run, event_id, 2, {_m(ACC, MAJ, f'{ACC} + event_id % 2', 'value * 3')} || '，收集轨迹数量：' || {N} FROM ev
-  UNION ALL SELECT run, event_id, 3, {_m(ACC, MAJ, f'{ACC} + event_id % 2', 'value * 3')} FROM ev
+  UNION ALL SELECT run, event_id, 2, {_m(ACC, MAJ, f'{ACC} + event_id % 2', LENGTH)} || '，收集轨迹数量：' || {N} FROM ev
+  UNION ALL SELECT run, event_id, 3, {_m(ACC, MAJ, f'{ACC} + event_id % 2', LENGTH)} FROM ev
   UNION ALL SELECT run, event_id, 4, '已写入' || {N} || '条样本到缓冲区' FROM ev
-  UNION ALL SELECT run, event_id, 5, {_m('((value % 7) / 7)', '((user_id % 4) / 4.0)', '((value % 7) / 7) + 0.5', 'value * 2')} FROM ev
+  UNION ALL SELECT run, event_id, 5, {_m('((value % 7) / 7)', '((user_id % 4) / 4.0)', '((value % 7) / 7) + 0.5', _f6('value * 2'))} FROM ev
   UNION ALL SELECT run, event_id, 6, '周期完成，耗时: 0h 0m 1.00s' FROM ev),
 logs AS (SELECT run, string_agg(line, chr(10) ORDER BY k1, k2) || chr(10) AS log FROM lines GROUP BY run)"""
 
@@ -69,10 +74,9 @@ def _logs(spark, sf_dir):
 @register("s7_read_run_logs", f"""WITH {LOGS}
 SELECT run, length(log) AS chars, len(string_split(log, chr(10))) - 1 AS lines FROM logs""")
 def s7_read_run_logs(spark, sf_dir):
-    """Run logs written one file per run, read back whole (wholetext)."""
-    lg = _logs(spark, sf_dir)
-    return lg.select("run", F.length("log").cast("long").alias("chars"),
-                     (F.size(F.split("log", "\n")) - 1).cast("long").alias("lines"))
+    """Run logs written one file per run, read back line by line."""
+    return _logs(spark, sf_dir).groupBy("run").agg(F.sum(F.length("line") + 1).cast("long").alias("chars"),
+                                                   F.count(F.lit(1)).alias("lines"))
 
 
 @register("l1_train_points", f"""WITH {POINTS}
@@ -101,7 +105,7 @@ def l4_l5_metric_series(spark, sf_dir):
 
 @register("w3_rolling_mean", f"""WITH {LONG}
 SELECT run, series, point, {O.r9('value')} AS value,
-       {O.r9('CASE WHEN count(*) OVER w = 5 THEN avg(value) OVER w END')} AS smooth
+       {O.r9('CASE WHEN count(value) OVER w = 5 THEN avg(value) OVER w END')} AS smooth
 FROM long WINDOW w AS (PARTITION BY run, series ORDER BY point ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def w3_rolling_mean(spark, sf_dir):
     """5-point rolling mean of every series (first 4 points empty)."""

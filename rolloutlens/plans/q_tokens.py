@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tokens as TK
+from ..functions.text import PY_WHITESPACE
 from ..operators import token_loss as TL
 from ..sources import fixtures as FX
 from . import oracle as O
@@ -58,7 +59,7 @@ SELECT seq_id, unnest(range(0, 70)) AS pos, {O.r9('unnest(a)')} AS padded, {O.r9
 FROM (SELECT seq_id, a, list_concat(b, list_transform(range(0, 38), lambda i: NULL::DOUBLE)) AS b FROM t)""")
 def t5_pad_truncate(spark, sf_dir):
     """T5 both ways: pad 63 log-probs to 70, cut them to 32 (long form)."""
-    s = FX.sequences(spark, sf_dir)
+    s = FX.sequences(spark, sf_dir, with_ref=False, with_old=False)
     d = s.select("seq_id", TK.pad_or_truncate(F.col("logp"), 70).alias("a"),
                  TK.pad_or_truncate(F.col("logp"), 32).alias("b"))
     x = d.select("seq_id", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "z"))
@@ -69,7 +70,7 @@ def t5_pad_truncate(spark, sf_dir):
   SELECT seq_id, list_transform(logp, lambda v, i: exp(v - old_logp[i])) AS rho FROM sequences)
 SELECT seq_id, unnest(range(0, len(rho))) AS pos, {O.r9('unnest(rho)')} AS rho FROM t""")
 def t6_importance_ratio(spark, sf_dir):
-    s = FX.sequences(spark, sf_dir)
+    s = FX.sequences(spark, sf_dir, with_ref=False)
     return _long(s.select("seq_id", TK.ratio(F.col("logp"), F.col("old_logp")).alias("rho")),
                  "seq_id", "rho", "rho", round9=True)
 
@@ -79,7 +80,7 @@ def t6_importance_ratio(spark, sf_dir):
 u AS (SELECT seq_id, list_transform(rho, lambda r: -least(r * advantage, {CLIP} * advantage)) AS loss FROM t)
 SELECT seq_id, unnest(range(0, len(loss))) AS pos, {O.r9('unnest(loss)')} AS loss FROM u""")
 def t7_clipped_surrogate(spark, sf_dir):
-    s = FX.sequences(spark, sf_dir)
+    s = FX.sequences(spark, sf_dir, with_ref=False)
     rho = TK.ratio(F.col("logp"), F.col("old_logp"))
     d = s.select("seq_id", TK.surrogate(rho, F.col("advantage"), EPS_L, EPS_H).alias("loss"))
     return _long(d, "seq_id", "loss", "loss", round9=True)
@@ -91,7 +92,7 @@ SELECT seq_id, unnest(range(0, len(d))) AS pos, {O.r9('unnest(d)')} AS k1,
        {O.r9('unnest(list_transform(d, lambda x: x * x / 2.0))')} AS k2,
        {O.r9('unnest(list_transform(d, lambda x: exp(-x) - 1.0 + x))')} AS k3 FROM t""")
 def t8_approx_kl(spark, sf_dir):
-    s = FX.sequences(spark, sf_dir)
+    s = FX.sequences(spark, sf_dir, with_old=False)
     d = s.select("seq_id", *[TK.approx_kl(F.col("logp"), F.col("ref_logp"), k).alias(k) for k in TK.KL_ESTIMATORS])
     x = d.select("seq_id", F.posexplode(F.arrays_zip("k1", "k2", "k3")).alias("pos", "z"))
     return x.select("seq_id", F.col("pos").cast("long").alias("pos"), *[r9(f"z.{k}").alias(k) for k in TK.KL_ESTIMATORS])
@@ -182,21 +183,21 @@ def t13_token_surprise(spark, sf_dir):
 
 
 @register("t14_align_tokens", f"""WITH {SEQ}, t AS (
-  SELECT seq_id, list_transform(input_ids, lambda x: CASE WHEN x = 0 THEN '[SEP]' ELSE ' tok' || CAST(x AS VARCHAR) END) AS toks,
+  SELECT seq_id, list_transform(input_ids, lambda x: CASE WHEN x = 0 THEN '[SEP]' WHEN x % 2 = 0 THEN chr(10) || chr(9) || ' tok' || CAST(x AS VARCHAR) ELSE ' tok' || CAST(x AS VARCHAR) END) AS toks,
          list_transform(logp, lambda v, i: (1.0 - exp(v)) * mask[i]) AS s FROM lmask),
 z AS (SELECT seq_id, unnest(range(0, len(s))) AS pos, unnest(toks[2:len(s) + 1]) AS token, unnest(s) AS score FROM t)
-SELECT seq_id, pos, ltrim(token) AS token, {O.r9('score')} AS score FROM z WHERE token <> '[SEP]'""")
+SELECT seq_id, pos, regexp_replace(token, {O.lit('^' + O.PY_WHITESPACE)}, '') AS token, {O.r9('score')} AS score FROM z WHERE token <> '[SEP]'""")
 def t14_align_tokens(spark, sf_dir):
     """Drop the first token, pair tokens with surprise scores, left-strip
     token text, skip separator tokens (token text derived from the ids)."""
     d = _masked(spark, sf_dir, with_old=False)
     toks = F.transform("input_ids", lambda x: F.when(x == 0, F.lit("[SEP]"))
-                       .otherwise(F.concat(F.lit(" tok"), x.cast("string"))))
+                       .when(x % 2 == 0, F.concat(F.lit("\n\t tok"), x.cast("string"))).otherwise(F.concat(F.lit(" tok"), x.cast("string"))))
     s = TK.surprise(F.col("logp"), F.col("mask"))
     d = d.select("seq_id", F.slice(toks, 2, F.size("logp")).alias("t"), s.alias("s"))
     x = d.select("seq_id", F.posexplode(F.arrays_zip("t", "s")).alias("pos", "z"))
     x = x.filter(F.col("z.t") != "[SEP]")
-    return x.select("seq_id", F.col("pos").cast("long").alias("pos"), F.ltrim(F.col("z.t")).alias("token"), r9("z.s").alias("score"))
+    return x.select("seq_id", F.col("pos").cast("long").alias("pos"), F.regexp_replace(F.col("z.t"), "^" + PY_WHITESPACE, "").alias("token"), r9("z.s").alias("score"))
 
 
 @register("j6_logprob_join", f"""WITH {SEQ}

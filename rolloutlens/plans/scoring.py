@@ -23,7 +23,7 @@ def score(rollouts: DataFrame, weights: dict | None = None, stutter: bool = Fals
     """
     weights = weights or {"accuracy": C.ACCURACY_WEIGHT, "format": C.FORMAT_WEIGHT}
     d = R.parse_answers(rollouts, stutter=stutter)
-    cols = R.reward_columns(set(weights) | set(extra_rewards))
+    cols = R.reward_columns(list(dict.fromkeys([*weights, *extra_rewards])))
     acc, fmt = R.accuracy_reward(), R.format_reward()
     extra = {n: c for n, c in cols.items() if n not in ("accuracy", "format")}
     d = d.select("*", acc.alias("acc"), fmt.alias("fmt"), *[c.alias(n) for n, c in extra.items()])
@@ -31,11 +31,16 @@ def score(rollouts: DataFrame, weights: dict | None = None, stutter: bool = Fals
     return d.select("*", R.weighted_reward(named, weights).alias("reward"))
 
 
-def scored_table(scored: DataFrame) -> DataFrame:
-    """Scored rows written once (see :func:`rolloutlens.session.materialize`)
-    before the branching group work."""
+#: What group work reads: no texts.
+GROUP_COLUMNS = ("prompt_idx", "gen_idx", "gold", "ans", "gold_ans", "acc", "reward", "content_length")
+
+
+def scored_table(scored: DataFrame, columns: tuple = GROUP_COLUMNS) -> DataFrame:
+    """The named columns of scored rows, written once (see
+    :func:`rolloutlens.session.materialize`) before branching group work."""
     from ..session import materialize
-    return materialize(scored, "scored")
+    d = scored.withColumn("content_length", F.length("content"))
+    return materialize(d.select(*columns), "scored")
 
 
 def buffer_rows(scored: DataFrame, threshold: float = C.FLAT_GROUP_STD,
@@ -72,7 +77,7 @@ def score_with_gold_table(completions: DataFrame, problems: DataFrame,
 
 def group_report(scored: DataFrame) -> DataFrame:
     """G1 + G2 + P10 per group: accuracy mean, majority vote, mean length."""
-    d = scored.withColumn("_len", F.length("content"))
-    stats = G.group_stats(d, reward="reward", acc="acc", length="_len")
+    length = F.col("content_length") if "content_length" in scored.columns else F.length("content")
+    stats = G.group_stats(scored.withColumn("_len", length), reward="reward", acc="acc", length="_len")
     votes = G.majority_run(scored)
     return stats.join(votes, "prompt_idx", "left")

@@ -18,41 +18,9 @@ from ..session import table_path
 BS = "\\"
 
 
-_SCANS: dict = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; its schema and split count are looked up once per
-    path (no footer read per query)."""
-    path = table_path(sf_dir, name)
-    key = (id(spark), path)
-    if key not in _SCANS:
-        df = spark.read.parquet(path)
-        _SCANS[key] = (df.schema, _num_partitions(df))
-    schema, parts = _SCANS[key]
-    return spread(spark.read.schema(schema).parquet(path), parts)
-
-
-def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Rebalance a scan that has fewer partitions than the cluster has
-    cores (e.g. one single-row-group file), so per-row regex and array work
-    runs on every core. Scans of large inputs already have enough splits and
-    are returned as they are (no extra shuffle)."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - Spark Connect: leave the scan as it is
-        return df
-    parts = parts if parts is not None else _num_partitions(df)
-    if parts is None or parts >= target:
-        return df
-    return df.repartition(target)
-
-
-def _num_partitions(df: DataFrame) -> int | None:
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect)
-        return None
+    """A driver table, split as Spark splits the scan."""
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def _boxed(x: Column) -> Column:
@@ -68,7 +36,7 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     a = ((doc * doc + F.floor(doc / 3)) % 4).cast("string")
     g = (F.floor(doc / 8) % 4).cast("string")
-    body = F.left(F.col("text"), F.lit(300))
+    body = F.col("text")
     ans = (F.when(doc % 5 == 0, F.concat(F.lit(BS + "frac{"), (a.cast("int") * 2).cast("string"), F.lit("}{2}")))
             .when(doc % 5 == 1, F.concat(a, F.lit(".0")))
             .otherwise(a))
@@ -117,7 +85,7 @@ def rollouts_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ragged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rollouts_ragged``: unordered groups of varying size from lineitem."""
     li = read_table(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_orderkey").alias("group_id"), F.col("l_discount").alias("value"))
+    return li.select(F.col("l_orderkey").alias("group_id"), F.col("l_discount").alias("value"), "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def _embedding_rows(spark, sf_dir):
@@ -125,6 +93,10 @@ def _embedding_rows(spark, sf_dir):
         "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
+def _without_first(a: Column) -> Column:
+    return F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
+
+
 def sequences(spark: SparkSession, sf_dir: str, with_ref: bool = True, with_old: bool = True) -> DataFrame:
     """``sequences``: token ids and new/old/reference log-probs.
 
@@ -134,27 +106,18 @@ def sequences(spark: SparkSession, sf_dir: str, with_ref: bool = True, with_old:
     ``with_old`` neither is the old side (queries that read only logp).
     """
     e = _embedding_rows(spark, sf_dir)
-    if not with_old:
-        return e.select(
-            F.col("vec_id").alias("seq_id"),
-            F.transform("x", lambda v: F.floor(F.abs(v) * 20).cast("int")).alias("input_ids"),
-            F.slice(F.transform("x", lambda v: -F.abs(v)), 2, 1 << 20).alias("logp"),
-            ((F.col("label") - 4.5) / 3.0).alias("advantage"))
-    n = read_table(spark, sf_dir, "embeddings").select(F.count("*")).scalar()
-    lp = e.select("vec_id", F.slice(F.transform("x", lambda v: -F.abs(v)), 2, 1 << 20).alias("lp"))
-    old = lp.select(F.pmod(F.col("vec_id") - 1, n).alias("vec_id"), F.col("lp").alias("old_logp"))
-    ref = lp.select(F.pmod(F.col("vec_id") - 2, n).alias("vec_id"), F.col("lp").alias("ref_logp"))
-    base = e.select(
+    logp = _without_first(F.transform("x", lambda v: -F.abs(v)))
+    out = e.select(
         F.col("vec_id").alias("seq_id"),
         F.transform("x", lambda v: F.floor(F.abs(v) * 20).cast("int")).alias("input_ids"),
-        F.slice(F.transform("x", lambda v: -F.abs(v)), 2, 1 << 20).alias("logp"),
-        ((F.col("label") - 4.5) / 3.0).alias("advantage"),
-    )
-    out = base.join(old.withColumnRenamed("vec_id", "seq_id"), "seq_id", "left")
-    if not with_ref:
-        return out.select("seq_id", "input_ids", "logp", "old_logp", "advantage")
-    return (out.join(ref.withColumnRenamed("vec_id", "seq_id"), "seq_id", "left")
-               .select("seq_id", "input_ids", "logp", "old_logp", "ref_logp", "advantage"))
+        logp.alias("logp"), ((F.col("label") - 4.5) / 3.0).alias("advantage"))
+    if not (with_old or with_ref):
+        return out
+    n = read_table(spark, sf_dir, "embeddings").select(F.count("*")).scalar()
+    for back, name, wanted in ((1, "old_logp", with_old), (2, "ref_logp", with_ref)):
+        if wanted:
+            out = out.join(e.select(F.pmod(F.col("vec_id") - back, n).alias("seq_id"), logp.alias(name)), "seq_id", "left")
+    return out
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,6 +165,13 @@ def code_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def problems_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems with ``test_cases`` arrays: four per prompt of ``rollouts``."""
+    d = read_table(spark, sf_dir, "documents").where(F.col("doc_id") % 8 == 0)  # a prompt's first completion
+    case = lambda k: F.struct(F.lit(str(k)).alias("input"), F.lit(f"print({k})").alias("expected"))
+    return d.select((F.expr("doc_id div 8")).alias("prompt_idx"), F.array(*map(case, range(4))).alias("test_cases"))
+
+
 METRIC_NAMES = ("completion_length", "kl", "clip_ratio")
 
 
@@ -219,28 +189,30 @@ def train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``run_log`` lines derived from ``events``: one run per event type, one
-    cycle per event (banner, batch line with record count, final train line,
-    written line, test line, cycle-done line), after an initial test line.
+    """``run_log`` lines derived from ``events``: a run per event type and
+    1,024 events, so runs grow in number with the data; one cycle per event
+    (banner, batch line with record count, final train line, written line,
+    test line, cycle-done line), after an initial test line. Every 50th event
+    logs no number as its length, which reads as NULL.
 
     Columns: run, k1 (event id, -1 for the prologue), k2 (line in cycle), line.
     """
     from ..operators import runlog as RL
 
     e = read_table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("run"), "event_id", "user_id", "value")
+        F.concat("event_type", F.lit("-"), F.expr("event_id div 1024").cast("string")).alias("run"), "event_id", "user_id", "value")
 
     def f6(c):
         return F.format_string("%.6f", c)
 
     def metric(acc, major, reward, length):
         return F.concat(F.lit("平均正确率："), f6(acc), F.lit("，多数投票正确率："), f6(major),
-                        F.lit("，平均奖励："), f6(reward), F.lit("，平均长度："), f6(length))
+                        F.lit("，平均奖励："), f6(reward), F.lit("，平均长度："), length)
 
     acc = (F.col("value") % 10) / 10
     major = (F.col("user_id") % 10) / 10.0
     reward = acc + (F.col("event_id") % 2)
-    length = F.col("value") * 3
+    length = F.when(F.col("event_id") % 50 == 7, F.lit("n/a")).otherwise(f6(F.col("value") * 3))
     t_acc = (F.col("value") % 7) / 7
     t_major = (F.col("user_id") % 4) / 4.0
     n = (F.lit(256) + F.col("event_id") % 7).cast("string")
@@ -249,12 +221,12 @@ def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(metric(acc, major, reward, length), F.lit("，收集轨迹数量："), n),
         metric(acc, major, reward, length),
         F.concat(F.lit("已写入"), n, F.lit("条样本到缓冲区")),
-        metric(t_acc, t_major, t_acc + 0.5, F.col("value") * 2),
+        metric(t_acc, t_major, t_acc + 0.5, f6(F.col("value") * 2)),
         F.lit("周期完成，耗时: 0h 0m 1.00s"))
     cycles = e.select("run", F.col("event_id").alias("k1"), F.posexplode(lines).alias("k2", "line"))
     pro = e.groupBy("run").agg(F.avg("value").alias("v"))
     prologue = pro.select("run", F.lit(-1).cast("long").alias("k1"), F.lit(0).alias("k2"),
-                          metric(F.col("v") / 100, F.col("v") / 200, F.col("v") / 50, F.col("v")).alias("line"))
+                          metric(F.col("v") / 100, F.col("v") / 200, F.col("v") / 50, f6(F.col("v"))).alias("line"))
     return prologue.unionByName(cycles)
 
 

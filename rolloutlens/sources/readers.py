@@ -47,11 +47,18 @@ def read_buffer(spark: SparkSession, path: str, legacy_array: bool = False) -> D
     return r.json(path)
 
 
-def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per run-log file (whole text). ``run`` is the partition
-    folder value when the logs were written with ``partitionBy('run')``,
-    else the file path."""
-    df = spark.read.text(path, wholetext=True)
-    if "run" in df.columns:
-        return df.select("run", F.col("value").alias("log"))
-    return df.select(F.col("_metadata.file_path").alias("run"), F.col("value").alias("log"))
+def read_run_logs(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Run logs line by line (run, file, block, seq, line).
+
+    Files are split like any text, so no task holds a whole run; (file, block,
+    seq) is a line's order in its run: where its split begins, then its place
+    in the split. ``run`` is the partition folder value when the logs were
+    written with ``partitionBy('run')``, else the file path. ``whole`` reads
+    one row per file instead (run, log), for small logs only."""
+    df = spark.read.text(path, wholetext=whole)
+    file = F.col("_metadata.file_path")
+    run = F.col("run").cast("string") if "run" in df.columns else file
+    if whole:
+        return df.select(run.alias("run"), F.col("value").alias("log"))
+    return df.select(run.alias("run"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))

@@ -22,10 +22,16 @@ def build_log(cycles=7):
     return "\n".join(lines) + "\n"
 
 
-def test_points_match_python_re(spark):
+def as_lines(spark, log, per_split):
+    """The log as read line by line, cut into splits of ``per_split`` lines."""
+    rows = [("run1", "f", 100 * (i // per_split), i, x) for i, x in enumerate(log.split("\n")[:-1])]
+    return spark.createDataFrame(rows, "run string, file string, block long, seq long, line string").repartition(3)
+
+
+@pytest.mark.parametrize("per_split", [1, 2, 3, 7, 1000])
+def test_points_match_python_re(spark, per_split):
     log = build_log()
-    df = spark.createDataFrame([("run1", log)], "run string, log string")
-    pts = RL.log_points(df).toPandas()
+    pts = RL.log_points(as_lines(spark, log, per_split)).toPandas()
     train = re.findall(RL.TRAIN_POINTS, log)
     test = re.findall(RL.INITIAL_TEST_POINTS, log) + re.findall(RL.CYCLE_TEST_POINTS, log)
     for phase, want in (("train", train), ("test", test)):
@@ -37,11 +43,32 @@ def test_points_match_python_re(spark):
 
 def test_rolling_mean_matches_pandas(spark):
     log = build_log(12)
-    df = spark.createDataFrame([("run1", log)], "run string, log string")
-    s = RL.series_long(RL.log_points(df))
+    s = RL.series_long(RL.log_points(as_lines(spark, log, 9)))
     got = RL.rolling_mean(s, ["run", "series"]).toPandas()
     for series, g in got.groupby("series"):
         g = g.sort_values("point")
         want = pd.Series(list(g.value)).rolling(window=5).mean()
         assert [None if pd.isna(x) else pytest.approx(x) for x in want] == \
                [None if pd.isna(x) else x for x in g.smooth]
+
+
+@pytest.mark.parametrize("chunk", [3, 5, 64])
+def test_rolling_mean_with_nulls_and_chunk_borders(spark, chunk):
+    values = [float(k * k % 17) for k in range(40)]
+    values[6] = values[21] = None
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)], "series string, point long, value double")
+    got = [r.smooth for r in RL.rolling_mean(df, "series", chunk=max(chunk, 4)).orderBy("point").collect()]
+    want = pd.Series(values, dtype=float).rolling(window=5).mean()
+    assert [None if pd.isna(x) else pytest.approx(x) for x in want] == got
+
+
+def test_files_are_read_line_by_line_and_whole(spark, tmp_path):
+    from rolloutlens.sources import readers as RD
+    log = build_log(5)
+    for run in ("a", "b"):
+        (tmp_path / f"run={run}").mkdir()
+        (tmp_path / f"run={run}" / "part-0").write_text(log, encoding="utf-8")
+    lines = RD.read_run_logs(spark, str(tmp_path))
+    pts = RL.log_points(lines).groupBy("run", "phase").count().collect()
+    assert sorted((r["run"], r["phase"], r["count"]) for r in pts) == [(x, p, n) for x in "ab" for p, n in (("test", 6), ("train", 5))]
+    assert [r.log for r in RD.read_run_logs(spark, str(tmp_path), whole=True).collect()] == [log, log]
