@@ -1,17 +1,20 @@
 """Streaming collection (ST1) and running metrics (ST2).
 
 ST1: completions arrive as files (prompt_idx, gen_idx, gold, content,
-arrival_ts). ``applyInPandasWithState`` keyed by prompt_idx holds the rows of
-an unfinished group (at most G rows per key) and releases the group once all
-G generations are in; an event-time timeout (watermark on arrival_ts)
-releases groups that will never complete, flagged ``complete = False``, so
-state cannot grow without bound. Each micro-batch of released groups is then
-scored with the same native plan as the batch path (``foreachBatch``) and
-appended to the buffer folder, one sub-folder per batch id, overwritten on
-retry (idempotent).
-
-ST2: running metrics as a streaming aggregation in complete mode over the
-scored rows.
+arrival_ts). Redelivered rows are dropped by ``dropDuplicatesWithinWatermark``
+on (prompt_idx, gen_idx), so they can neither complete a group nor release it
+twice. ``applyInPandasWithState`` keyed by prompt_idx then holds the rows of an
+unfinished group (at most G per key) and releases the group once all G
+generations are in; an event-time timeout releases groups that will never
+complete, flagged ``complete = False``, so state cannot grow without bound.
+Each micro-batch's released rows are written once, then scored with the same
+native plan as the batch path and put into the buffer folder, one sub-folder
+per batch id, overwritten on retry (idempotent). Groups that are still open
+when a run ends are reported by :func:`open_groups`.
+
+ST2: running metrics (G4: group accuracy, majority, reward, length) as sums
+per micro-batch of released groups, one row per batch id, overwritten on
+retry; the running values are the sums' quotients.
 """
 
 from __future__ import annotations
@@ -53,9 +56,11 @@ def group_collector(group_size: int, timeout_ms: int):
             g0, s0, c0, max_ts = state.get
             gen, gold, content = list(g0), list(s0), list(c0)
         for pdf in pdfs:
-            gen += [int(x) for x in pdf["gen_idx"]]
-            gold += list(pdf["gold"])
-            content += list(pdf["content"])
+            for g, s, c in zip(pdf["gen_idx"], pdf["gold"], pdf["content"]):
+                if int(g) not in gen:  # a row beyond the watermark may come again
+                    gen.append(int(g))
+                    gold.append(s)
+                    content.append(c)
             max_ts = max(max_ts, int(pd.to_datetime(pdf["arrival_ts"]).max().value // 1_000_000))
         if len(gen) >= group_size:
             state.remove()
@@ -71,6 +76,7 @@ def released_groups(stream: DataFrame, cfg: RunConfig, watermark: str = "30 days
                     timeout_ms: int = 30 * 24 * 3600 * 1000) -> DataFrame:
     """ST1 first half: stream of released groups (complete or timed out)."""
     return (stream.withWatermark("arrival_ts", watermark)
+                  .dropDuplicatesWithinWatermark(["prompt_idx", "gen_idx"])
                   .groupBy("prompt_idx")
                   .applyInPandasWithState(group_collector(cfg.group_size, timeout_ms),
                                           OUT_SCHEMA, STATE_SCHEMA, "append",
@@ -97,51 +103,84 @@ def _start_with_partitions(spark: SparkSession, n: int | None, start):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def _source(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None) -> DataFrame:
+    r = spark.readStream.schema(SOURCE_SCHEMA)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(source_dir)
+
+
+def _run(spark: SparkSession, released: DataFrame, write_batch, checkpoint_dir: str, available_now: bool, state_partitions: int | None):
+    w = released.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return _start_with_partitions(spark, state_partitions, w.start)
+
+
+def _written_once(batch: DataFrame, path: str) -> DataFrame:
+    """The batch's rows as a table: later branches do not run the state function again."""
+    batch.write.mode("overwrite").parquet(path)
+    return batch.sparkSession.read.parquet(path)
+
+
 def start_collection(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                     cfg: RunConfig, max_files_per_trigger: int = 2, available_now: bool = True,
+                     cfg: RunConfig, max_files_per_trigger: int | None = None, available_now: bool = True,
                      watermark: str = "30 days", timeout_ms: int = 30 * 24 * 3600 * 1000,
                      state_partitions: int | None = None):
     """ST1: file source -> released groups -> score -> F1/F2 -> buffer folder.
 
-    Groups released by the timeout are not scored; their rows are reported
-    under ``<sink>/_incomplete`` (hidden from readers of the buffer)."""
-    stream = (spark.readStream.schema(SOURCE_SCHEMA)
-                   .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
-
+    All released rows are under ``<sink>/_released`` (hidden from readers of
+    the buffer); groups released by the timeout are not scored and reported
+    under ``<sink>/_incomplete``."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        complete = batch.filter(F.col("complete")).drop("complete")
-        kept = S.buffer_rows(S.score(complete, weights=cfg.weights), cfg.flat_group_std, cfg.advantage_eps)
+        rows = _written_once(batch, f"{sink_dir}/_released/batch_id={batch_id}")
+        complete = rows.filter(F.col("complete")).drop("complete")
+        scored = S.scored_table(S.score(complete, weights=cfg.weights), ("prompt_idx", "gen_idx", "gold", "reward"))
+        kept = S.buffer_rows(scored, cfg.flat_group_std, cfg.advantage_eps)
         (kept.select("prompt_idx", "gen_idx", "advantage", "reward", F.col("gold").alias("label"))
              .write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}"))
-        (batch.filter(~F.col("complete")).select("prompt_idx", "gen_idx")
-              .write.mode("overwrite").parquet(f"{sink_dir}/_incomplete/batch_id={batch_id}"))
+        (rows.filter(~F.col("complete")).select("prompt_idx", "gen_idx")
+             .write.mode("overwrite").parquet(f"{sink_dir}/_incomplete/batch_id={batch_id}"))
 
-    w = (released_groups(stream, cfg, watermark, timeout_ms).writeStream.foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint_dir))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return _start_with_partitions(spark, state_partitions, w.start)
+    released = released_groups(_source(spark, source_dir, max_files_per_trigger), cfg, watermark, timeout_ms)
+    return _run(spark, released, write_batch, checkpoint_dir, available_now, state_partitions)
 
 
-def start_running_metrics(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                          cfg: RunConfig, max_files_per_trigger: int = 2, state_partitions: int | None = None):
-    """ST2: running means of rewards over everything seen so far
-    (complete-mode streaming aggregate, rewritten at every trigger)."""
-    stream = (spark.readStream.schema(SOURCE_SCHEMA)
-                   .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
-    scored = S.score(stream.drop("arrival_ts"), weights=cfg.weights)
-    agg = scored.agg(F.avg("acc").alias("acc_ave"), F.avg("fmt").alias("format_ave"),
-                     F.avg("reward").alias("reward"), F.avg(F.length("content")).alias("length"),
-                     F.count(F.lit(1)).alias("n_rows"))
+def open_groups(spark: SparkSession, source_dir: str, sink_dir: str) -> DataFrame:
+    """Groups with arrivals that no batch has released yet: prompt_idx, n
+    (different generations so far). A batch report, run when a stream has
+    ended or beside it."""
+    seen = spark.read.schema(SOURCE_SCHEMA).parquet(source_dir).select("prompt_idx", "gen_idx").distinct()
+    released = spark.read.parquet(f"{sink_dir}/_released").select("prompt_idx").distinct()
+    return seen.join(released, "prompt_idx", "left_anti").groupBy("prompt_idx").agg(F.count(F.lit(1)).alias("n"))
+
 
+def start_running_metrics(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
+                          cfg: RunConfig, max_files_per_trigger: int | None = None, available_now: bool = True,
+                          watermark: str = "30 days", timeout_ms: int = 30 * 24 * 3600 * 1000,
+                          state_partitions: int | None = None):
+    """ST2: sums of the G4 metrics per micro-batch of complete groups; read
+    them with :func:`running_metrics`."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_dir)
+        scored = S.scored_table(S.score(batch.filter(F.col("complete")).drop("complete"), weights=cfg.weights))
+        groups = S.group_report(scored).agg(
+            F.sum("acc_mean").alias("s_acc"), F.sum("majority").alias("s_major"), F.sum("mean_length").alias("s_length"),
+            F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("mean") * F.col("n")).alias("s_reward"), F.sum("n").alias("n_rows"))
+        groups.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
-    w = (agg.writeStream.outputMode("complete").foreachBatch(write_batch)
-            .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True))
-    return _start_with_partitions(spark, state_partitions, w.start)
+    released = released_groups(_source(spark, source_dir, max_files_per_trigger), cfg, watermark, timeout_ms)
+    return _run(spark, released, write_batch, checkpoint_dir, available_now, state_partitions)
+
+
+def running_metrics(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The metrics over everything released so far (one row)."""
+    t = spark.read.parquet(sink_dir).agg(*[F.sum(c).alias(c) for c in ("s_acc", "s_major", "s_length", "n_groups", "s_reward", "n_rows")])
+    return t.select(F.try_divide("s_acc", "n_groups").alias("acc_ave"), F.try_divide("s_major", "n_groups").alias("acc_major"),
+                    F.try_divide("s_length", "n_groups").alias("length"), F.try_divide("s_reward", "n_rows").alias("reward"),
+                    "n_groups", "n_rows")
 
 
-def stage_arrivals(rollouts_with_ts: DataFrame, source_dir: str, files: int = 8) -> None:
-    """Write completions as arrival files ordered by arrival time."""
-    (rollouts_with_ts.repartitionByRange(files, "arrival_ts")
-                     .write.mode("overwrite").parquet(source_dir))
+def stage_arrivals(rollouts_with_ts: DataFrame, source_dir: str, files: int | None = None) -> None:
+    """Write completions as arrival files ordered by arrival time; their
+    number follows the input's partitioning unless given."""
+    d = rollouts_with_ts.repartitionByRange(files, "arrival_ts") if files else rollouts_with_ts.repartitionByRange("arrival_ts")
+    d.write.mode("overwrite").parquet(source_dir)
