@@ -22,6 +22,30 @@ CASES = [  # (content, gold, expected equal)
     (r"\boxed{}", r"\boxed{1}", False),
     (r"\boxed{x+1}", r"\boxed{1+x}", False),
     (r"\boxed{7}", r"the answer is $7$", True),
+    # any brace depth, nested and unclosed boxes
+    (r"\boxed{1{2{3{4{5{6{7{8}}}}}}}}", r"\boxed{1{2{3{4{5{6{7{8}}}}}}}}", True),
+    (r"\boxed{1{2{3{4{5{6{7{8}}}}}}}}", r"\boxed{1{2{3{4{5{6{7{9}}}}}}}}", False),
+    (r"\boxed{a \boxed{b}}", r"\boxed{b}", False),
+    (r"\boxed{open \boxed{5}", r"\boxed{5}", True),
+    (r"} stray { \boxed{5}", r"\boxed{5}", True),
+    # text answers and units
+    (r"\boxed{\text{yes}}", r"\boxed{yes}", True),
+    (r"\boxed{\text{yes}}", r"\boxed{\text{no}}", False),
+    (r"\boxed{wrong}", r"\boxed{\text{yes}}", False),
+    # signs
+    (r"\boxed{\frac{-1}{2}}", r"\boxed{-\frac{1}{2}}", True),
+    (r"\boxed{\frac{-1}{2}}", r"\boxed{-0.5}", True),
+    (r"\boxed{\frac{-1}{-2}}", r"\boxed{0.5}", True),
+    (r"\boxed{3/-4}", r"\boxed{-0.75}", True),
+    (r"\boxed{+5}", r"\boxed{5}", True),
+    (r"\boxed{.5}", r"\boxed{0.5}", True),
+    (r"\boxed{-.5}", r"\boxed{1/2}", False),
+    (r"\boxed{-0}", r"\boxed{0}", True),
+    # decimals of any length
+    (r"\boxed{1234567890}", r"\boxed{1234567890.0}", True),
+    (r"\boxed{0.12345670}", r"\boxed{0.1234567}", True),
+    (r"\boxed{00012345678901234567890.5000}", r"\boxed{12345678901234567890.5}", True),
+    (r"\boxed{12345678901234567890}", r"\boxed{12345678901234567891}", False),
 ]
 
 
@@ -36,3 +60,15 @@ def test_unparseable_is_null(spark):
     df = spark.createDataFrame([("nothing",), (r"\boxed{ }",)], "c string")
     df = A.with_parsed(df, "c", "a")
     assert [r[0] for r in df.select("a.canon").collect()] == [None, None]
+
+
+def test_gold_with_a_box_is_parseable(spark):
+    golds = [r"\boxed{\text{yes}}", r"\boxed{1{2{3{4{5{6}}}}}}", r"\boxed{\frac{-1}{2}}", r"\boxed{.5}", r"\boxed{123456789012345678901234567890}"]
+    df = A.with_parsed(spark.createDataFrame([(g,) for g in golds], "g string"), "g", "b", gold=True)
+    assert all(r[0] is not None for r in df.select("b.canon").collect())
+
+
+def test_long_text_with_many_braces(spark):
+    text = "{x} " * 20000 + r"\boxed{4{2}}" + " }" * 500
+    df = A.with_parsed(spark.createDataFrame([(text,)], "c string"), "c", "a")
+    assert df.select("a.canon").first()[0] == "4{2}"

@@ -58,3 +58,61 @@ def test_majority_with_hot_key(hot):
             i = j + 1
         assert got[k] == best, k
     assert got[0] == 1.0  # the run of 7s (5,000 long) straddles the chunk border and wins
+
+
+def _sparse_hot(spark, n=6000):
+    """One key with two thirds of the rows, at hash-like positions."""
+    key = F.when(F.col("id") % 3 < 2, F.lit(0)).otherwise(F.col("id") % 50 + 1).cast("long")
+    return spark.range(n).select(key.alias("k"), F.abs(F.xxhash64("id")).alias("pos"), (F.col("id") % 97).cast("double").alias("v"),
+                                 (F.col("id") % 4 != 0).cast("int").alias("m"))
+
+
+def _same(got, want, cols):
+    a, b = ({(r["k"], r["pos"]): [None if r[c] is None else round(r[c], 6) for c in cols] for r in d.collect()} for d in (got, want))
+    assert a == b and a
+
+
+def test_normalisers_with_hot_key(spark):
+    from rolloutlens.operators import normalize as N
+    df = _sparse_hot(spark)
+    w, kept = Window.partitionBy("k"), F.col("m") != 0
+    mv = F.when(kept, F.col("v"))
+    _same(N.zscore(df, "k", "v"), df.withColumn("z", (F.col("v") - F.avg("v").over(w)) / (F.stddev_samp("v").over(w) + 1e-4)), ["z"])
+    _same(N.masked_zscore(df, "k", "v", "m"),
+          df.withColumn("z", F.when(kept, (F.col("v") - F.avg(mv).over(w)) / (F.stddev_samp(mv).over(w) + 1e-4)).otherwise(0.0)), ["z"])
+    _same(N.masked_min_max(df, "k", "v", "m"),
+          df.withColumn("scaled", F.when(kept, (F.col("v") - F.min(mv).over(w)) / (F.max(mv).over(w) - F.min(mv).over(w))).otherwise(0.0)), ["scaled"])
+
+
+def test_cumulative_sums_with_hot_key(spark):
+    from rolloutlens.operators import normalize as N
+    df = _sparse_hot(spark, 3000)
+    w = Window.partitionBy("k").orderBy("pos")
+    _same(N.cumulative_sum(df, "k", "pos", "v"), df.withColumn("cumsum", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))), ["cumsum"])
+    _same(N.cumulative_sum(df, "k", "pos", "v", reverse=True),
+          df.withColumn("cumsum", F.sum("v").over(w.rowsBetween(0, Window.unboundedFollowing))), ["cumsum"])
+
+
+def test_hot_key_spans_many_tasks(spark):
+    df = _sparse_hot(spark)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        d = OR.attach_salted(df, df.groupBy("k").agg(F.avg("v").alias("a")), "k", df.columns)
+        tasks = d.where("k = 0").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert tasks >= 4
+
+
+def test_budget_fill_with_hot_prompt(spark):
+    from rolloutlens.config import RunConfig
+    from rolloutlens.operators import batching as B
+    n = OR.CHUNK + 700
+    hot = spark.range(n).select(F.lit(25).cast("long").alias("prompt_idx"), F.col("id").cast("int").alias("gen_idx"))
+    rest = spark.range(800).select(F.expr("id div 8").alias("prompt_idx"), (F.col("id") % 8).cast("int").alias("gen_idx")).where("prompt_idx <> 25")
+    kept = hot.unionByName(rest)
+    cfg = RunConfig(group_size=8, max_num_seq=192, int_num=n + 100, rep_num=2, start_idx=10)
+    got = sorted((r.position, r.prompt_idx, r.gen_idx) for r in B.fill_budget(kept, cfg).collect())
+    rows = sorted((r.prompt_idx, r.gen_idx) for r in kept.where("prompt_idx >= 10").collect())[:n + 100]
+    assert got == [(k + 1, *r) for k, r in enumerate(rows)]
