@@ -89,9 +89,13 @@ def add_scaled(a: Column, b: Column, beta: float) -> Column:
 
 
 def masked_sum(values: Column, mask: Column) -> Column:
-    """sum(v * m) over the aligned prefix of both arrays."""
-    return F.aggregate(F.zip_with(values, mask, lambda v, m: F.coalesce(v * m, F.lit(0.0))),
-                       F.lit(0.0), lambda acc, x: acc + x)
+    """sum(v * m); arrays of different lengths are refused, since a value would
+    be missing for some token. A NULL array gives NULL."""
+    total = F.aggregate(F.zip_with(values, mask, lambda v, m: F.coalesce(v * m, F.lit(0.0))),
+                        F.lit(0.0), lambda acc, x: acc + x)
+    return (F.when(values.isNull() | mask.isNull(), F.lit(None).cast("double"))
+             .when(F.size(values) == F.size(mask), total)
+             .otherwise(F.raise_error(F.lit("log-probs and mask differ in length")).cast("double")))
 
 
 def mask_sum(mask: Column) -> Column:

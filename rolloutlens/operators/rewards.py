@@ -124,6 +124,18 @@ REGISTRY: dict[str, RewardFactory] = {
 }
 
 
+#: Rewards that need the whole group: DataFrame -> DataFrame with the column ``out``.
+GROUP_REGISTRY: dict[str, Callable[..., DataFrame]] = {
+    "length": length_reward,
+}
+
+
+def register_group_reward(name: str, fn: Callable[..., DataFrame]) -> None:
+    """Add a group-aware reward: ``fn(df, out=name)`` over parsed rollouts
+    (content, gold, correct, all of a prompt's completions) adds ``out``."""
+    GROUP_REGISTRY[name] = fn
+
+
 def register_reward(name: str, factory: RewardFactory) -> None:
     """Add a reward: a factory returning a Column over the rollout table."""
     REGISTRY[name] = factory

@@ -95,6 +95,29 @@ def r6_shuffle_buffer(spark, sf_dir):
         "prompt_idx", "gen_idx", "rep", "shuffle_rank")
 
 
+@register("e1_collection_cycle", f"""WITH {KEPT_SQL},
+rp AS (SELECT prompt_idx, gen_idx, advantage, reward, gold, content, CAST(rep AS INTEGER) AS rep FROM filled, range(1, {CFG.rep_num + 1}) AS t(rep))
+SELECT prompt_idx, gen_idx, rep, {O.r9('advantage')} AS advantage, reward, gold AS label, content,
+       row_number() OVER (ORDER BY md5(concat_ws('|', prompt_idx, gen_idx, rep, '{CFG.seed}')), prompt_idx, gen_idx, rep) - 1
+       AS shuffle_rank FROM rp""")
+def e1_collection_cycle(spark, sf_dir):
+    """Entry 1 end to end: rollouts -> scores -> F1/F2 -> budget fill (R2) ->
+    repeat (R5) -> seeded shuffle (R6) -> JSON buffer (S4), read back (S5)."""
+    from pyspark.sql import types as T
+
+    from .. import schemas
+    from ..session import scratch_path
+    from ..sources import sinks as SK
+    from . import train_cycle as TC
+    d = TC.collection_cycle(_kept(spark, sf_dir), CFG)
+    path = scratch_path(spark, "cycle-buffer")
+    SK.write_buffer(d, path)
+    schema = T.StructType([*schemas.BUFFER.fields, *[f for f in d.schema.fields if f.name not in schemas.BUFFER.names]])
+    back = spark.read.schema(schema).json(path)
+    return back.select("prompt_idx", "gen_idx", "rep", r9("advantage").alias("advantage"), "reward", "label",
+                       F.col("completion")[0]["content"].alias("content"), "shuffle_rank")
+
+
 @register("s3_seeded_shuffle", """SELECT doc_id, lang,
   row_number() OVER (ORDER BY md5(concat_ws('|', doc_id, '42')), doc_id) - 1 AS shuffle_rank FROM documents""")
 def s3_seeded_shuffle(spark, sf_dir):

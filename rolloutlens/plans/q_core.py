@@ -155,6 +155,19 @@ def a7_length_reward(spark, sf_dir):
     return d.select("prompt_idx", "gen_idx", r9("len_reward").alias("len_reward"))
 
 
+@register("a13_weighted_with_length", f"""WITH {DOCS}
+SELECT {K}, {O.r9("""reward + 0.5 * (CASE WHEN mx = mn THEN 0.0
+  WHEN correct THEN 0.5 - (len - mn) / (mx - mn)
+  ELSE least(0.0, 0.5 - (len - mn) / (mx - mn)) END)""")} AS reward
+FROM (SELECT *, CAST(length(content) AS DOUBLE) AS len,
+             min(length(content)) OVER (PARTITION BY prompt_idx) AS mn,
+             max(length(content)) OVER (PARTITION BY prompt_idx) AS mx FROM scored)""")
+def a13_weighted_with_length(spark, sf_dir):
+    """A13 over accuracy, format and the group-aware length reward."""
+    d = doc_scored(spark, sf_dir, weights={"accuracy": 1.0, "format": 1.0, "length": 0.5})
+    return d.select("prompt_idx", "gen_idx", r9("reward").alias("reward"))
+
+
 # -- groups: G1, G3, W1, F1, F2 (events rollouts: 8 per prompt) ----------------
 
 @register("g1_group_accuracy", f"""WITH {EVENTS}

@@ -219,3 +219,25 @@ def s9_metrics_interval(spark, sf_dir):
     """Training metrics averaged per log interval."""
     m = TL.interval_metrics(FX.train_metrics(spark, sf_dir))
     return m.select("run", "log_step", "metric", r9("value").alias("value"), "n")
+
+
+@register("s9_training_metrics_sink", f"""WITH {_terms_sql(BETA)},
+b AS (SELECT batch, avg(CASE WHEN s_mask > 0 THEN s_loss / s_mask END) AS loss, avg(s_mask) AS completion_length,
+             avg(s_kl / (s_mask + 0.0001)) AS kl, CASE WHEN sum(s_mask) > 0 THEN sum(s_clip) / sum(s_mask) END AS clip_ratio
+      FROM terms GROUP BY batch),
+m AS (SELECT batch // 4 AS step, unnest(['loss', 'completion_length', 'kl', 'clip_ratio']) AS metric,
+             unnest([loss, completion_length, kl, clip_ratio]) AS value FROM b)
+SELECT 'train' AS phase, step, metric, {O.r9('avg(value)')} AS value FROM m GROUP BY step, metric""")
+def s9_training_metrics_sink(spark, sf_dir):
+    """Entry 3 end to end: sequences -> J6 -> T1-T12, G7 per batch -> averages
+    per logging interval (4 batches) -> appended to the metrics table (S9) and
+    read back."""
+    from ..session import scratch_path
+    from ..sources import sinks as SK
+    b = _batch(spark, sf_dir, BETA)
+    names = ("loss", "completion_length", "kl", "clip_ratio")
+    step = b.groupBy(F.expr("batch div 4").alias("step")).agg(*[F.avg(n).alias(n) for n in names])
+    rows = SK.metrics_long(step.select(F.lit("run").alias("run"), F.lit("train").alias("phase"), "step", *names), names)
+    path = scratch_path(spark, "train-metrics")
+    SK.append_metrics(rows, path)
+    return spark.read.parquet(path).select("phase", "step", "metric", r9("value").alias("value"))

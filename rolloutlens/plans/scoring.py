@@ -19,15 +19,21 @@ def score(rollouts: DataFrame, weights: dict | None = None, stutter: bool = Fals
           extra_rewards: tuple = ()) -> DataFrame:
     """P7/A1-A4/A13 on a rollout table (prompt_idx, gen_idx, gold, content).
 
-    Adds ``ans``, ``gold_ans``, ``correct``, ``acc``, ``fmt``, ``reward``.
+    Adds ``ans``, ``gold_ans``, ``correct``, ``acc``, ``fmt``, ``reward`` and a
+    column per further reward; group-aware rewards (A7, user ones) may be
+    weighted like any other.
     """
     weights = weights or {"accuracy": C.ACCURACY_WEIGHT, "format": C.FORMAT_WEIGHT}
     d = R.parse_answers(rollouts, stutter=stutter)
-    cols = R.reward_columns(list(dict.fromkeys([*weights, *extra_rewards])))
+    names = list(dict.fromkeys([*weights, *extra_rewards]))
+    grouped = [n for n in names if n in R.GROUP_REGISTRY]
+    for n in grouped:
+        d = R.GROUP_REGISTRY[n](d, out=n)
+    cols = R.reward_columns([n for n in names if n not in grouped])
     acc, fmt = R.accuracy_reward(), R.format_reward()
     extra = {n: c for n, c in cols.items() if n not in ("accuracy", "format")}
     d = d.select("*", acc.alias("acc"), fmt.alias("fmt"), *[c.alias(n) for n, c in extra.items()])
-    named = {**{n: F.col(n) for n in extra}, "accuracy": F.col("acc"), "format": F.col("fmt")}
+    named = {**{n: F.col(n) for n in [*grouped, *extra]}, "accuracy": F.col("acc"), "format": F.col("fmt")}
     return d.select("*", R.weighted_reward(named, weights).alias("reward"))
 
 

@@ -9,6 +9,7 @@ and :mod:`rolloutlens.sources.sinks`.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..sources import fixtures as FX
@@ -19,6 +20,19 @@ def collection_pass(spark: SparkSession, sf_dir: str, cfg: RunConfig | None = No
                     rollouts: DataFrame | None = None) -> DataFrame:
     cfg = cfg or RunConfig()
     r = rollouts if rollouts is not None else FX.rollouts(spark, sf_dir)
-    scored = S.scored_table(S.score(r, weights=cfg.weights))
+    scored = S.scored_table(S.score(r, weights=cfg.weights), (*S.GROUP_COLUMNS, "content"))
     kept = S.buffer_rows(scored, cfg.flat_group_std, cfg.advantage_eps)
     return S.to_buffer_records(kept)
+
+
+def collection_cycle(kept: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Entry 1 from the kept rows (with ``content``) on: fill the budget, write
+    the buffer rows once, repeat, shuffle; buffer records with their keys,
+    ``rep`` and ``shuffle_rank``."""
+    from ..operators import batching as B
+    from ..session import materialize
+    buffer = materialize(B.fill_budget(kept, cfg), "buffer")
+    d = B.seeded_shuffle(B.repeat(buffer, cfg.rep_num), ["prompt_idx", "gen_idx", "rep"], cfg.seed)
+    completion = F.array(F.struct(F.lit("assistant").alias("role"), F.col("content").alias("content")))
+    return d.select("prompt_idx", "gen_idx", "rep", completion.alias("completion"), "advantage", "reward",
+                    F.col("gold").alias("label"), "shuffle_rank")
