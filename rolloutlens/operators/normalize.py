@@ -18,10 +18,12 @@ from . import ordered
 
 
 def cumulative_sum(df: DataFrame, key: str, pos: str, value: str, out: str = "cumsum",
-                   reverse: bool = False, chunk: int = ordered.CHUNK) -> DataFrame:
+                   reverse: bool = False, chunk: int = ordered.CHUNK, dense: bool = True) -> DataFrame:
     """Running sum of ``value`` along ``pos`` inside ``key``; reverse =
-    suffix sum (total - prefix + value)."""
-    d = ordered.running_sum(df, key, pos, value, "_fwd", chunk=chunk)
+    suffix sum (total - prefix + value). ``dense=False`` for positions that are
+    ids or hashes: chunks are then ranges of positions."""
+    by = None if dense else ordered.range_chunk(df, pos, chunk)
+    d = ordered.running_sum(df, key, pos, value, "_fwd", chunk=chunk, by=by)
     if not reverse:
         return d.withColumnRenamed("_fwd", out)
     tot = df.groupBy(key).agg(F.sum(value).alias("_tot"))

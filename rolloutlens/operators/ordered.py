@@ -32,6 +32,21 @@ def chunk_of(pos: str, chunk: int = CHUNK) -> Column:
     return F.expr(f"CAST(`{pos}` AS BIGINT) div {chunk}")
 
 
+MOST_RANGES = 256        # ranges of sparse positions
+
+
+def range_chunk(df: DataFrame, pos: str, rows: int = CHUNK) -> Column:
+    """A chunk for positions that are not dense (ids, hashes, times): the range
+    of the position among quantiles of all positions, about ``rows`` rows to a
+    range and at most ``MOST_RANGES`` of them. A key then has no more chunks
+    than there are ranges, however its positions are spread."""
+    n = min(MOST_RANGES, -(-df.count() // rows))
+    if n < 2:
+        return F.lit(0).cast("long")
+    cuts = df.select(F.percentile_approx(pos, [k / n for k in range(1, n)], 20 * n).alias("c")).first()["c"]
+    return F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col(pos))).cast("long")
+
+
 def cluster(df: DataFrame, keys, pos: str, chunk: int = CHUNK) -> DataFrame:
     """The one shared exchange of a group pipeline: hash on (keys, chunk of pos).
 
@@ -100,8 +115,10 @@ def _per_chunk(df: DataFrame, keys, pos: str, chunk: int, aggs) -> DataFrame:
 
 
 def _running(df: DataFrame, keys, pos: str, value: str, out: str, agg, combine,
-             chunk: int = CHUNK, keep_chunk: bool = False) -> DataFrame:
+             chunk: int = CHUNK, keep_chunk: bool = False, by: Column | None = None) -> DataFrame:
     keys = _keys(keys)
+    if by is not None:  # chunks of the caller's own, monotone in pos
+        df = df.withColumn("_chunk", by).repartition(*keys, "_chunk")
     d = cluster(df, keys, pos, chunk)
     w = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_local", agg(F.col(value)).over(w))
@@ -120,10 +137,10 @@ def running_max(df, keys, pos, value, out, chunk: int = CHUNK, keep_chunk=False)
                     lambda loc, car: F.greatest(loc, car), chunk, keep_chunk)
 
 
-def running_sum(df, keys, pos, value, out, chunk: int = CHUNK, keep_chunk=False) -> DataFrame:
+def running_sum(df, keys, pos, value, out, chunk: int = CHUNK, keep_chunk=False, by: Column | None = None) -> DataFrame:
     """``out`` = sum of ``value`` over positions <= pos of the same key."""
     return _running(df, keys, pos, value, out, F.sum,
-                    lambda loc, car: loc + F.coalesce(car, F.lit(0)), chunk, keep_chunk)
+                    lambda loc, car: loc + F.coalesce(car, F.lit(0)), chunk, keep_chunk, by)
 
 
 def running_sums(df: DataFrame, keys, pos: str, values: Sequence[str], prefix: str = "cum_",

@@ -42,7 +42,7 @@ SELECT seq_id, pos, {O.r9('sum(value) OVER (PARTITION BY pos ORDER BY seq_id ROW
 FROM tok""")
 def w4_cumsum_dim0(spark, sf_dir):
     """W4 along dim 0: across sequences at each position."""
-    d = N.cumulative_sum(tokens_long(spark, sf_dir), "pos", "seq_id", "value")
+    d = N.cumulative_sum(tokens_long(spark, sf_dir), "pos", "seq_id", "value", dense=False)
     return d.select("seq_id", "pos", r9("cumsum").alias("cumsum"))
 
 

@@ -239,5 +239,5 @@ def s9_training_metrics_sink(spark, sf_dir):
     step = b.groupBy(F.expr("batch div 4").alias("step")).agg(*[F.avg(n).alias(n) for n in names])
     rows = SK.metrics_long(step.select(F.lit("run").alias("run"), F.lit("train").alias("phase"), "step", *names), names)
     path = scratch_path(spark, "train-metrics")
-    SK.append_metrics(rows, path)
+    SK.append_metrics(rows, path, batch=0)
     return spark.read.parquet(path).select("phase", "step", "metric", r9("value").alias("value"))

@@ -24,6 +24,9 @@ LOCAL_DEFAULTS = {
 }
 
 
+_SCRATCH: list[str] = []
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "rolloutlens") -> SparkSession:
     """A local session for tests and the bench (the cluster brings its own)."""
@@ -64,7 +67,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder (for written tables)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this driver has named so far; for the owner
+    of the session to call once their readers are done. Returns how many."""
+    jvm, n = spark._jvm, 0
+    while _SCRATCH:
+        p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return n
 
 
 def table_path(sf_dir: str, name: str) -> str:

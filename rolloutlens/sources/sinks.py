@@ -19,10 +19,12 @@ def metrics_long(df: DataFrame, metric_cols, step: str = "step", keys=("run", "p
               .select(*keys, "step", "m.metric", "m.value"))
 
 
-def append_metrics(long: DataFrame, path: str) -> None:
-    """Append metric rows to the metrics table (one write, partitioned by run)."""
+def append_metrics(long: DataFrame, path: str, batch: str | int) -> None:
+    """Add metric rows to the metrics table (one write, partitioned by
+    run). Rows go to the folder of their ``batch``, which a retry overwrites,
+    so nothing is counted twice."""
     (long.select("run", "phase", "step", "metric", "value")
-         .write.mode("append").partitionBy("run").parquet(path))
+         .write.mode("overwrite").partitionBy("run").parquet(f"{path}/batch={batch}"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:

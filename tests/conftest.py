@@ -17,6 +17,8 @@ def spark():
     # fall back silently to interpreted evaluation
     s.conf.set("spark.sql.codegen.fallback", "false")
     yield s
+    from rolloutlens.session import drop_scratch
+    drop_scratch(s)
     s.stop()
 
 

@@ -93,6 +93,15 @@ def test_cumulative_sums_with_hot_key(spark):
           df.withColumn("cumsum", F.sum("v").over(w.rowsBetween(0, Window.unboundedFollowing))), ["cumsum"])
 
 
+def test_sparse_positions_share_ranges(spark):
+    from rolloutlens.operators import normalize as N
+    df = _sparse_hot(spark, 4000)
+    w = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    _same(N.cumulative_sum(df, "k", "pos", "v", chunk=150, dense=False), df.withColumn("cumsum", F.sum("v").over(w)), ["cumsum"])
+    chunks = df.where("k = 0").select(OR.range_chunk(df, "pos", 150).alias("c")).groupBy("c").count().collect()
+    assert 20 <= len(chunks) <= 27 and max(r["count"] for r in chunks) < 400  # not one chunk per row
+
+
 def test_hot_key_spans_many_tasks(spark):
     df = _sparse_hot(spark)
     old = spark.conf.get("spark.sql.adaptive.enabled")
