@@ -2,7 +2,7 @@
 
 A run log is read line by line (S7): (run, file, block, seq, line). A point
 is a metric line that a fixed marker line follows, so every line only needs
-the two lines before it. They come from a window inside each split of a file,
+the two lines before it (``seq`` counts up by one inside a split). They come from a window inside each split of a file,
 whose first lines get the last two of the split before as ghosts; no task
 holds a whole run. Points are numbered by row numbers inside splits plus the
 counts of earlier splits (one row per split).
@@ -39,9 +39,9 @@ FIELDS = ("acc", "major", "reward", "length")
 def _before(lines: DataFrame) -> DataFrame:
     """Add ``p1`` and ``p2``, the lines one and two before in the same file."""
     key = ["run", "file", "block"]
-    last = Window.partitionBy(*key).orderBy(F.col("seq").desc())
-    tails = lines.withColumn("_r", F.row_number().over(last)).where("_r <= 2")
-    splits = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    # a row per split; its last two lines are those that end the count
+    splits = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("seq").alias("_end"))
+    tails = lines.join(splits.select(*key, "_end"), key).where("seq >= _end - 1").withColumn("_r", F.expr("_end - seq + 1"))
     order = Window.partitionBy("run", "file").orderBy("block")
     after = splits.select(*key, F.lead("block").over(order).alias("_next"), F.lead("_n").over(order).alias("_lines"),
                           F.lead("block", 2).over(order).alias("_second"))
