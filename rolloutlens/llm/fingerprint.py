@@ -90,7 +90,11 @@ class PrefixHash:
         return a << SHIFT | b
 
     def span(self, first: int, last: int) -> int:
-        return int(self.spans(np.array([first]), np.array([last]))[0])
+        """One span's hash, in plain integers (a binary search asks for many)."""
+        out = 0
+        for h, p in zip(self.h, _POWERS):
+            out = out << 31 | (int(h[last]) - int(h[first])) * int(p.down[first]) % int(PRIME)
+        return out
 
     def windows(self, size: int, since: int = 0) -> np.ndarray:
         """Hashes of all windows that start at ``since`` or later; a shorter text is one window."""
