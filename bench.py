@@ -32,8 +32,8 @@ HEADLINE = [
     "t4_log_softmax_gather", "t10_sequence_loss", "t12_clip_ratio",
     # budget fill and buffer
     "r2_fill_budget",
-    # whole-text stutter removal, run logs line by line, cumulative metrics, one streamed collection
-    "p8_remove_stutter", "l1_train_points", "w3_rolling_mean", "g6_cumulative_metrics", "st1_streaming_buffer",
+    # whole-text stutter removal, cumulative metrics
+    "p8_remove_stutter", "g6_cumulative_metrics",
 ]
 
 
