@@ -5,9 +5,11 @@ that enclose it. A linear classifier gives every block a score (log odds of
 content); positive scores are capacities from the source, negative ones to
 the sink. Smoothness edges join neighbouring blocks, weaker the farther apart
 they are in the element tree, and blocks that follow each other under the
-same parent. The minimum cut separates content from boilerplate at the least
-total cost. Blocks whose own capacity outweighs all their edges are decided
-at once (an exact reduction); the rest go through max-flow.
+same parent. The bonus of an article ends at a boilerplate element inside it
+(advert, notice, reader comments), and an article in there, as a comment may
+be, brings no new one. The minimum cut separates content from boilerplate at
+the least total cost. Blocks whose own capacity outweighs all their edges are
+decided at once (an exact reduction); the rest go through max-flow.
 
 Defined results: null and empty html give the empty text, as does a page
 without a content block. Broken markup is read as far as it goes: unclosed
@@ -59,6 +61,8 @@ BOILER_HINT = re.compile(
     r"social\w*|related|recommend\w*|recirc|widgets?|pager|pagination|tags|taglist|copyright|legal|disclaimer|skip\w*|paywall|outbrain|taboola|"
     r"navigation|contentinfo|complementary|banner|search)$", re.I)
 CONTENT_HINT = re.compile(r"^(article\w*|main|content|contents|post|entry|story|storybody|body|text|richtext|hentry|prose)$", re.I)
+#: An article's own header holds its title and standfirst: these words, as the header tag, are no firm sign inside content.
+HEADER_HINT = re.compile(r"^header\w*$", re.I)
 HINT_WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 SENTENCE_END = (".", "!", "?", "…", "。", ":", "\"", "”", "»")
 
@@ -74,6 +78,7 @@ class Element:
     score: float  # of all enclosing elements, the strongest sign of each kind
     boiler: float
     content: float
+    shut: bool  # in a boilerplate element that stands in content: no content sign counts
     depth: int
     parent: "Element | None"
     number: int
@@ -89,29 +94,30 @@ class Block:
     score: float = 0.0
 
 
-def _signs(tag: str, attributes: str, parent: Element | None) -> tuple[float, float]:
-    """(boilerplate, content) evidence of one element."""
+def _signs(tag: str, attributes: str, parent: Element | None) -> tuple[float, float, bool]:
+    """(boilerplate, content) evidence of one element, and whether the element is firmly boilerplate."""
     boiler, content = BOILER_TAGS.get(tag, 0.0), CONTENT_TAGS.get(tag, 0.0)
+    firm = boiler <= BOILER_TAGS["fieldset"] and tag != "header"
     if attributes and tag not in ("html", "body"):
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                boiler = min(boiler, HIDDEN)
+                boiler, firm = min(boiler, HIDDEN), True
             elif name in ("class", "id", "role"):
                 for token in value.split():
                     words = [token, *re.split(r"[-_]+", token)]
                     if tag in CONTENT_TAGS:  # its classes name the template's features, unless it is a comment
                         words = [w for w in words if w.lower() in ("comment", "comments", "reply")]
-                    if any(BOILER_HINT.match(w) for w in words if w):
-                        boiler = min(boiler, HINT)
+                    if hints := [w for w in words if BOILER_HINT.match(w)]:
+                        boiler, firm = min(boiler, HINT), firm or not all(map(HEADER_HINT.match, hints))
                     elif any(CONTENT_HINT.match(w) for w in words if w):
                         content = max(content, GOOD_HINT)
-    return boiler, content
+    return boiler, content, firm
 
 
 def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks in page order."""
-    root = Element("#page", 0.0, 0.0, 0.0, 0, None, 0)
+    root = Element("#page", 0.0, 0.0, 0.0, False, 0, None, 0)
     top, found, current = root, [], None
     links = headings = 0
     pos, count, n = 0, 0, len(page)
@@ -212,9 +218,11 @@ def blocks(page: str) -> list[Block]:
             flush()
         elif tag in ("td", "th"):
             text(" ")
-        boiler, content = _signs(tag, attributes, top)
+        boiler, content, firm = _signs(tag, attributes, top)
         boiler, content, count = min(boiler, top.boiler), max(content, top.content), count + 1
-        top = Element(tag, boiler + content, boiler, content, top.depth + 1, top, count)
+        shut = top.shut or (firm and content > 0)
+        content = 0.0 if shut else content
+        top = Element(tag, boiler + content, boiler, content, shut, top.depth + 1, top, count)
         links += tag == "a"
         headings += tag in HEADINGS
     if top is not root:

@@ -47,6 +47,29 @@ def test_boilerplate_goes_and_the_article_stays(page, noise):
     assert got == f"The title & more\n\n{BODY}\n\n{PLAIN_MORE}"
 
 
+LONG = "Readers of these pages get twenty per cent off every order that they place with us before the end of May."
+TEN = "Buy this thing now, it is cheap and very good."
+
+
+@pytest.mark.parametrize("noise", [
+    f"<div class='ad'>{TEN}</div>", f"<div class='ad'>{LONG}</div>", f"<div class='ad'>{LONG[:-1]}</div>", f"<div class='ad'><p>{LONG}</p></div>",
+    f"<div class='ad'><p>{LONG}</p><p>{LONG}</p></div>", f"<p class='advert'>{LONG}</p>", f"<div class='ad'><div class='text'><p>{LONG}</p></div></div>",
+    f"<div class='notice'>{LONG}</div>", f"<p class='notice'>{LONG}</p>", f"<div id='cookie-notice'><h2>{LONG}</h2><p>{LONG}</p></div>",
+    f"<aside><p>{LONG}</p></aside>", f"<form><fieldset><p>{LONG}</p></fieldset></form>", f"<div hidden><p>{LONG}</p></div>",
+    *[f"<p class='comment'>{LONG}</p>" * k for k in (1, 2, 3, 4, 9)], f"<section class='comments'><article><p>{LONG}</p></article></section>",
+    f"<article class='comment'><p>{LONG}</p></article>", f"<ol class='commentlist'><li class='comment'><p>{LONG}</p></li></ol>"])
+@pytest.mark.parametrize("page", ["<article><p>{b}</p>{n}<p>{m}</p></article>", "<article><p>{b}</p><p>{m}</p>{n}</article>",
+                                  "<main><article>{n}<p>{b}</p><p>{m}</p></article></main>", "<main><div class='content'><p>{b}</p><p>{m}</p></div>{n}</main>"])
+def test_long_boilerplate_inside_the_article_goes(page, noise):
+    assert H.main_text(page.format(n=noise, b=BODY, m=MORE)) == f"{BODY}\n\n{PLAIN_MORE}"
+
+
+@pytest.mark.parametrize("header", ["<header>{}</header>", "<header class='entry-header'>{}</header>", "<div class='article-header'>{}</div>"])
+def test_the_standfirst_in_an_article_header_stays(header):
+    page = "<article>" + header.format(f"<p>{LONG}</p>") + f"<p>{BODY}</p></article>"
+    assert H.main_text(page) == f"{LONG}\n\n{BODY}"
+
+
 def test_white_space_references_and_short_blocks():
     page = f"<article><p>{BODY}</p><p> a&nbsp;&lt;b&gt;\n c<br>d &#x41;&#66; </p><ul><li>one item</li><li>two</ul><pre>x\n  y</pre><p>{BODY}</p></article>"
     assert H.main_text(page).split("\n\n") == [BODY, "a <b> c d AB", "one item", "two", "x y", BODY]
