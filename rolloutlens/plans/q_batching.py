@@ -32,6 +32,11 @@ filled AS (
   WHERE position <= {CFG.int_num})"""
 
 
+#: Every kept row with its place, whatever the budget and the start index.
+KEPT_ALL_SQL = f"""{KEPT_SQL},
+kept_all AS (SELECT *, row_number() OVER (ORDER BY prompt_idx, gen_idx) AS position FROM adv WHERE std >= 0.1 AND advantage > 0)"""
+
+
 def _kept(spark, sf_dir):
     return S.buffer_rows(event_table(spark, sf_dir, (*S.GROUP_COLUMNS, "content")))
 
@@ -44,6 +49,14 @@ def _filled(spark, sf_dir):
     return materialize(B.fill_budget(_kept(spark, sf_dir), CFG), "buffer")
 
 
+def _kept_all(spark, sf_dir):
+    """All kept rows with ``position``, written once: the fill without a
+    budget, from the first prompt on."""
+    from ..session import materialize
+    whole = RunConfig(**{**CFG.__dict__, "start_idx": 0, "int_num": 2**62})
+    return materialize(B.fill_budget(_kept(spark, sf_dir), whole), "kept")
+
+
 @register("r1_batch_id", f"""WITH {O.ROLLOUTS_EVENTS}
 SELECT prompt_idx, gen_idx, CAST(floor(prompt_idx / {BPP}) AS BIGINT) AS batch FROM rollouts""")
 def r1_batch_id(spark, sf_dir):
@@ -84,6 +97,14 @@ def r5_repeat_buffer(spark, sf_dir):
         "prompt_idx", "gen_idx", F.col("rep").cast("long").alias("rep"))
 
 
+@register("r5_repeat_kept", f"""WITH {KEPT_ALL_SQL}
+SELECT prompt_idx, gen_idx, rep FROM kept_all, range(1, {CFG.rep_num + 1}) AS t(rep)""")
+def r5_repeat_kept(spark, sf_dir):
+    """R5 over all kept rows, without a budget."""
+    return B.repeat(_kept(spark, sf_dir), CFG.rep_num).select(
+        "prompt_idx", "gen_idx", F.col("rep").cast("long").alias("rep"))
+
+
 @register("r6_shuffle_buffer", f"""WITH {KEPT_SQL},
 rp AS (SELECT prompt_idx, gen_idx, CAST(rep AS INTEGER) AS rep FROM filled, range(1, {CFG.rep_num + 1}) AS t(rep))
 SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', prompt_idx, gen_idx, rep, '{CFG.seed}')), prompt_idx, gen_idx, rep) - 1
@@ -95,6 +116,18 @@ def r6_shuffle_buffer(spark, sf_dir):
         "prompt_idx", "gen_idx", "rep", "shuffle_rank")
 
 
+@register("r6_shuffle_kept", f"""WITH {KEPT_ALL_SQL},
+rp AS (SELECT prompt_idx, gen_idx, CAST(rep AS INTEGER) AS rep FROM kept_all, range(1, {CFG.rep_num + 1}) AS t(rep))
+SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', prompt_idx, gen_idx, rep, '{CFG.seed}')), prompt_idx, gen_idx, rep) - 1
+       AS shuffle_rank FROM rp""")
+def r6_shuffle_kept(spark, sf_dir):
+    """R6 over all kept rows, repeated, without a budget; their keys are written once."""
+    from ..session import materialize
+    d = B.repeat(materialize(_kept(spark, sf_dir).select("prompt_idx", "gen_idx"), "kept"), CFG.rep_num)
+    return B.seeded_shuffle(d, ["prompt_idx", "gen_idx", "rep"], CFG.seed).select(
+        "prompt_idx", "gen_idx", "rep", "shuffle_rank")
+
+
 @register("e1_collection_cycle", f"""WITH {KEPT_SQL},
 rp AS (SELECT prompt_idx, gen_idx, advantage, reward, gold, content, CAST(rep AS INTEGER) AS rep FROM filled, range(1, {CFG.rep_num + 1}) AS t(rep))
 SELECT prompt_idx, gen_idx, rep, {O.r9('advantage')} AS advantage, reward, gold AS label, content,
@@ -142,6 +175,22 @@ def r7_shard_assignment(spark, sf_dir):
     return back.select("prompt_idx", "gen_idx", F.col("step").cast("long").alias("step"), "accum", "device", "slot")
 
 
+@register("r7_shard_kept", f"""WITH {KEPT_ALL_SQL}, rk AS (SELECT prompt_idx, gen_idx, position - 1 AS r FROM kept_all)
+SELECT prompt_idx, gen_idx, CAST(floor(r / 64) AS BIGINT) AS step, CAST(floor((r % 64) / 16) AS INTEGER) AS accum,
+       CAST(floor((r % 16) / 4) AS INTEGER) AS device, CAST(r % 4 AS INTEGER) AS slot FROM rk""")
+def r7_shard_kept(spark, sf_dir):
+    """R7 over all kept rows in prompt order, without a budget. The rows of a
+    step meet in one task before the write, so a folder gets one file."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_shards
+    d = _kept_all(spark, sf_dir).withColumn("r", F.col("position") - 1)
+    d = B.shard_assignment(d, "r", CFG).select("prompt_idx", "gen_idx", "step", "accum", "device", "slot")
+    path = scratch_path(spark, "shards")
+    write_shards(d.repartition("step"), path)
+    back = spark.read.parquet(path)
+    return back.select("prompt_idx", "gen_idx", F.col("step").cast("long").alias("step"), "accum", "device", "slot")
+
+
 @register("g6_cumulative_metrics", f"""WITH {KEPT_SQL}, {majority_sql()},
 gs AS (SELECT prompt_idx, avg(acc) AS acc_mean, avg(length(content)) AS mean_length FROM scored WHERE prompt_idx >= {CFG.start_idx} GROUP BY prompt_idx),
 g AS (SELECT CAST(floor(prompt_idx / {BPP}) AS BIGINT) AS batch, sum(acc_mean) AS s_acc, sum(majority) AS s_major,

@@ -13,7 +13,7 @@ from ..sources import sinks as SK
 from ..session import scratch_path
 from . import oracle as O
 from .catalog import r9, register
-from .q_batching import KEPT_SQL, _filled
+from .q_batching import KEPT_ALL_SQL, KEPT_SQL, _filled, _kept
 
 BOX = "'\\boxed{' || CAST(item_id AS VARCHAR) || '}'"
 
@@ -229,7 +229,17 @@ SELECT prompt_idx, gen_idx, {O.r9('advantage')} AS advantage, reward, gold AS la
 def s4_s5_buffer_roundtrip(spark, sf_dir):
     """S4 -> S5: the budgeted buffer written as JSON lines into the shared
     checkpoint folder and read back with the declared schema."""
-    buf = _filled(spark, sf_dir)
+    return _roundtrip(spark, _filled(spark, sf_dir))
+
+
+@register("s4_s5_kept_roundtrip", f"""WITH {KEPT_ALL_SQL}
+SELECT prompt_idx, gen_idx, {O.r9('advantage')} AS advantage, reward, gold AS label, content FROM kept_all""")
+def s4_s5_kept_roundtrip(spark, sf_dir):
+    """S4 -> S5 over all kept rows, without a budget."""
+    return _roundtrip(spark, _kept(spark, sf_dir))
+
+
+def _roundtrip(spark, buf):
     rec = buf.select("prompt_idx", "gen_idx",
                      F.array(P.message("assistant", F.col("content"))).alias("completion"),
                      "advantage", "reward", F.col("gold").alias("label"))
