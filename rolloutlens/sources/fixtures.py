@@ -167,9 +167,9 @@ def code_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def problems_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems with ``test_cases`` arrays: four per prompt of ``rollouts``."""
-    d = read_table(spark, sf_dir, "documents").where(F.col("doc_id") % 8 == 0)  # a prompt's first completion
+    d = read_table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).cast("long").alias("prompt_idx")).distinct()
     case = lambda k: F.struct(F.lit(str(k)).alias("input"), F.lit(f"print({k})").alias("expected"))
-    return d.select((F.expr("doc_id div 8")).alias("prompt_idx"), F.array(*map(case, range(4))).alias("test_cases"))
+    return d.select("prompt_idx", F.array(*map(case, range(4))).alias("test_cases"))
 
 
 METRIC_NAMES = ("completion_length", "kl", "clip_ratio")

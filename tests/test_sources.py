@@ -23,3 +23,12 @@ def test_legacy_array_buffer(spark):
     SK.write_buffer(RD.read_buffer(spark, d, legacy_array=True), out)
     again = RD.read_buffer(spark, out).orderBy("gen_idx").collect()
     assert [r.asDict(recursive=True) for r in again] == [r.asDict(recursive=True) for r in back]
+
+
+def test_code_problems_of_prompts_without_their_first_id(spark, tmp_path):
+    from rolloutlens.sources import fixtures as FX
+    rows = [(i, "t") for i in (0, 1, 9, 10, 23, 24)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = FX.problems_code(spark, str(tmp_path)).collect()
+    assert sorted(r.prompt_idx for r in got) == [0, 1, 2, 3]
+    assert {len(r.test_cases) for r in got} == {4}
