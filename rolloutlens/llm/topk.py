@@ -13,6 +13,9 @@ spread evenly; queries are dealt into blocks too and meet every row block.
 A task holds one block of each. The k best of every block are merged per
 query.
 
+The length of the vectors is the most common one of the table (the longer of
+two equally common ones); a code has as many segments as it needs.
+
 Defined results: rows with a null id, or whose vector is null, empty or of
 another length than most, have no code and take no part. Ties go to the
 smaller id. Repeated rows are separate rows. A query is itself among the rows.
@@ -38,20 +41,32 @@ SEGMENT = 16
 
 
 def codes(rows: DataFrame, id_col: str, vector_col: str, bits: int = 64) -> DataFrame:
-    """id, code (64 bits, signed): bit i of value i above zero."""
+    """id, code: bit i of value i above zero, as a signed long, or an array of longs where there are over 64 bits."""
     v = F.col(vector_col)
-    weight = F.transform(v, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    code = F.aggregate(weight, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+    def word(part):
+        weight = F.transform(part, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(weight, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    code = word(v) if bits <= 64 else F.array(*[word(F.slice(v, a + 1, 64)) for a in range(0, bits, 64)])
     return rows.where(F.col(id_col).isNotNull() & (F.size(v) == bits)).select(F.col(id_col).cast("long").alias("id"), code.alias("code"))
 
 
+def common_length(rows: DataFrame, id_col: str, vector_col: str) -> int:
+    """The most common length of the vectors that can take part; 64 if there is none."""
+    n = rows.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).groupBy(F.size(vector_col).alias("n")).count()
+    top = n.orderBy(F.desc("count"), F.desc("n")).first()
+    return top["n"] if top else 64
+
+
 class MultiIndex:
-    """One block of codes, listed by the value of each 16-bit segment."""
+    """One block of codes (a column for each 64 bits, if over 64), listed by the value of each 16-bit segment."""
 
-    def __init__(self, ids: np.ndarray, code: np.ndarray):
+    def __init__(self, ids: np.ndarray, code: np.ndarray, bits: int = 64):
         order = np.argsort(ids, kind="stable")
         self.ids, self.code = ids[order], code[order].view(np.uint64)
-        self.parts = [((self.code >> np.uint64(SEGMENT * j)) & np.uint64(2**SEGMENT - 1)).astype(np.int64) for j in range(64 // SEGMENT)]
+        self.words = self.code.reshape(len(ids), -1)
+        self.parts = [((self.words[:, SEGMENT * j // 64] >> np.uint64(SEGMENT * j % 64)) & np.uint64(2**SEGMENT - 1)).astype(np.int64)
+                      for j in range(-(-bits // SEGMENT))]
         self.rows = [np.argsort(p, kind="stable") for p in self.parts]
         self.start = [np.concatenate([[0], np.cumsum(np.bincount(p, minlength=2**SEGMENT))]) for p in self.parts]
         self.masks: dict[int, np.ndarray] = {}
@@ -73,14 +88,14 @@ class MultiIndex:
 
     def search(self, q: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the k nearest rows, ties by id."""
-        m, code = len(self.parts), np.uint64(q)
+        m, code = len(self.parts), np.array([(q >> (64 * w)) & (2**64 - 1) for w in range(self.words.shape[1])], np.uint64)
         best, dist = np.zeros(0, np.int64), np.zeros(0, np.int64)
         own = [(q >> (SEGMENT * j)) & (2**SEGMENT - 1) for j in range(m)]
         for a in range(SEGMENT + 1):
             for j in range(m):
                 new = self.bucket(j, own[j] ^ self.at_radius(a))
                 if len(new):
-                    d = np.bitwise_count(self.code[new] ^ code).astype(np.int64)
+                    d = np.bitwise_count(self.words[new] ^ code).sum(axis=1, dtype=np.int64)
                     if len(best) == k:
                         near = d <= dist[-1]
                         new, d = new[near], d[near]
@@ -96,33 +111,41 @@ class MultiIndex:
 FOUND = pa.schema([("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("distance", pa.int32())])
 
 
-def _search_block(k: int):
+def _number(code: int | list[int]) -> int:
+    return sum((w % 2**64) << (64 * j) for j, w in enumerate(code if isinstance(code, list) else [code]))
+
+
+def _search_block(k: int, bits: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
             return FOUND.empty_table()
-        index = MultiIndex(rows.column("id").to_numpy(), rows.column("code").to_numpy())
-        got = [(q, *index.search(c % 2**64, k)) for q, c in zip(queries.column("id").to_pylist(), queries.column("code").to_pylist())]
+        code = rows.column("code").to_numpy()
+        index = MultiIndex(rows.column("id").to_numpy(), np.stack(code) if bits > 64 else code, bits)
+        got = [(q, *index.search(_number(c), k)) for q, c in zip(queries.column("id").to_pylist(), queries.column("code").to_pylist())]
         return pa.table([np.repeat([g[0] for g in got], [len(g[1]) for g in got]), np.concatenate([g[1] for g in got]),
                          np.concatenate([g[2] for g in got]).astype(np.int32)], schema=FOUND)
     return run
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """rows, queries: id and code. query_id, rank, neighbor_id, distance."""
+def search(rows: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES,
+           bits: int = 64) -> DataFrame:
+    """rows, queries: id and code of so many bits. query_id, rank, neighbor_id, distance."""
     n, q = rows.count(), queries.count()
     rb, qb = max(1, -(-n // block_rows)), max(1, -(-q // block_queries))
     # each task has one row block and one query block; both are dealt by hash
     left = rows.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(rb))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long"))))
     right = queries.withColumn("q", F.pmod(F.xxhash64("id", F.lit("q")), F.lit(qb))).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rb - 1).cast("long"))))
     near = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(
-        _search_block(k), "query_id long, neighbor_id long, distance int")
+        _search_block(k, bits), "query_id long, neighbor_id long, distance int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    rows = C.written(codes(C.table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "topk-codes")
-    return search(rows, rows.where(F.col("id") % QUERY_EVERY == 0))
+    table = C.table(spark, sf_dir, "embeddings")
+    bits = common_length(table, "vec_id", "embedding")
+    rows = C.written(codes(table, "vec_id", "embedding", bits), "topk-codes")
+    return search(rows, rows.where(F.col("id") % QUERY_EVERY == 0), bits=bits)
 
 
 SQL = """

@@ -55,3 +55,16 @@ def test_codes_of_edge_vectors(spark):
     assert got == {1: signed(sum(1 << b for b in range(0, 64, 3))), 5: 0, 6: 0}
     none = K.codes(spark.createDataFrame([], schema), "vec_id", "embedding")
     assert K.search(none, none).count() == 0
+
+
+@pytest.mark.parametrize("bits", [8, 32, 100, 128])
+def test_vectors_of_another_length_than_64(spark, tmp_path, bits):
+    rng = random.Random(bits)
+    rows = [(i, [rng.choice([-1.0, 1.0]) for _ in range(bits)]) for i in range(150)] + [(200, [1.0] * 64), (201, None), (202, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    codes = [(i, sum(1 << b for b, x in enumerate(v) if x > 0)) for i, v in rows[:150]]
+    want = []
+    for q, c in codes[::K.QUERY_EVERY]:
+        near = sorted((bin(c ^ x).count("1"), i) for i, x in codes)[:K.K]
+        want += [(q, r + 1, i, d) for r, (d, i) in enumerate(near)]
+    assert sorted(map(tuple, K.query(spark, str(tmp_path)).collect())) == sorted(want)
