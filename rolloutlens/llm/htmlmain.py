@@ -35,8 +35,9 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\
                  r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 
-#: Elements without text for a reader; their content is skipped up to the end tag.
-SKIPPED = frozenset("script style template iframe object svg math title noembed noframes canvas audio video head".split())
+#: Elements without text for a reader (scripts, styles, embedded media, a formula's source beside its signs); their content is skipped
+#: up to the end tag. Formulas and the fallback text of <object> are read inline.
+SKIPPED = frozenset("script style template iframe svg title noembed noframes canvas audio video head annotation annotation-xml".split())
 RAW = frozenset("script style title iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(

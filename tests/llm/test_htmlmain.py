@@ -70,6 +70,13 @@ def test_the_standfirst_in_an_article_header_stays(header):
     assert H.main_text(page) == f"{LONG}\n\n{BODY}"
 
 
+def test_formulas_and_fallback_text_are_read_inline():
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation encoding='application/x-tex'>E=m</annotation></semantics></math>"
+    page = (f"<article><p>{BODY}</p><p>We see that {formula} holds for all of them, as was to be shown.</p>"
+            f"<p>The table <object data='t.pdf'><param name='a'>of all results</object> is <svg><path d=''/><title>x</title></svg>here.</p></article>")
+    assert H.main_text(page).split("\n\n") == [BODY, "We see that E=m holds for all of them, as was to be shown.", "The table of all results is here."]
+
+
 def test_white_space_references_and_short_blocks():
     page = f"<article><p>{BODY}</p><p> a&nbsp;&lt;b&gt;\n c<br>d &#x41;&#66; </p><ul><li>one item</li><li>two</ul><pre>x\n  y</pre><p>{BODY}</p></article>"
     assert H.main_text(page).split("\n\n") == [BODY, "a <b> c d AB", "one item", "two", "x y", BODY]
