@@ -8,11 +8,12 @@ The rule is a documented subset of symbolic answer matching:
 2. canonicalise with a fixed list of global replacements; a plain decimal of
    any length is brought to its normal form (no plus sign, no leading zeros,
    no trailing fraction zeros);
-3. read the canonical text as an exact rational (num, den) in DECIMAL(18,0)
+3. read the canonical text as an exact rational (num, den) in DECIMAL(19,0)
    when it is an integer, a decimal, ``a/b`` or ``\\frac{a}{b}``, signs allowed
-   everywhere. A fraction with over 15 digits on a side, or a decimal with
-   over 9 digits before or 6 after the point, has no rational reading: it
-   equals only its own canonical text (two such decimals still compare
+   everywhere; the scale of a decimal is taken from its digits. Products of 19
+   digits each fill the 38 that DECIMAL holds. A fraction with over 19 digits
+   on a side, or a decimal with over 19 in all or 18 after the point, has no
+   rational reading: it equals only its own canonical text (two such decimals still compare
    exactly, by normal form);
 4. two answers are equal iff both are numeric with n1*d2 = n2*d1, or their
    canonical strings are equal and non-empty. NULL never equals anything.
@@ -54,13 +55,12 @@ NORMAL_STEPS = (
     (r"\.\z", ""),
     (r"^-0\z", "0"),
 )
-FRAC = r"^([+-]?)\\frac\{([+-]?)([0-9]{1,15})\}\{([+-]?)([0-9]{1,15})\}\z"
-SLASH = r"^([+-]?)()([0-9]{1,15})/([+-]?)([0-9]{1,15})\z"
-DECIMAL = r"^(-?)([0-9]{1,9})(?:\.([0-9]{1,6}))?\z"
-DECIMAL_SCALE = 1000000
+FRAC = r"^([+-]?)\\frac\{([+-]?)([0-9]{1,19})\}\{([+-]?)([0-9]{1,19})\}\z"
+SLASH = r"^([+-]?)()([0-9]{1,19})/([+-]?)([0-9]{1,19})\z"
+DECIMAL = r"^(-?)([0-9]{1,19})(?:\.([0-9]{1,18}))?\z"
 # --- end of fixed values ---
 
-_DEC = "decimal(18,0)"   # 15 digits max; products stay exact in decimal(37,0)
+_DEC = "decimal(19,0)"   # 19 digits max; products stay exact in decimal(38,0)
 
 
 def _q(s: str) -> str:
@@ -118,9 +118,9 @@ def _sql_parsed(c: str) -> str:
         return f"try_cast(concat(CASE WHEN ({minus}) % 2 = 1 THEN '-' ELSE '' END, {g(p, 3)}) AS {_DEC})"
     dec = f"CAST(NULL AS {_DEC})"
     is_dec, is_frac, is_slash = (f"{c} RLIKE {_q(DECIMAL)}", f"{c} RLIKE {_q(FRAC)}", f"{c} RLIKE {_q(SLASH)}")
-    num = (f"CASE WHEN {is_dec} THEN try_cast(concat({g(DECIMAL, 1)}, {g(DECIMAL, 2)}, rpad({g(DECIMAL, 3)}, 6, '0')) AS {_DEC}) "
+    num = (f"CASE WHEN {is_dec} THEN try_cast(concat({g(DECIMAL, 1)}, {g(DECIMAL, 2)}, {g(DECIMAL, 3)}) AS {_DEC}) "
            f"WHEN {is_frac} THEN {signed(FRAC)} WHEN {is_slash} THEN {signed(SLASH)} END")
-    den = (f"CASE WHEN {is_dec} THEN CAST({DECIMAL_SCALE} AS {_DEC}) "
+    den = (f"CASE WHEN {is_dec} THEN try_cast(rpad('1', 1 + length({g(DECIMAL, 3)}), '0') AS {_DEC}) "
            f"WHEN {is_frac} THEN try_cast({g(FRAC, 5)} AS {_DEC}) "
            f"WHEN {is_slash} THEN try_cast({g(SLASH, 5)} AS {_DEC}) END")
     ok = f"(({den}) IS NOT NULL AND ({den}) <> 0)"
