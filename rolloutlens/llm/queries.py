@@ -3,7 +3,7 @@ express the operator."""
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, htmlmain, langid, licenses, linededup, packing, simhash, topk, toxicity
+from . import bpe, fingerprint, htmlmain, langid, licenses, linededup, mixing, packing, simhash, topk, toxicity
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_topk_search": topk.query,
     "op10_packing": packing.query,
+    "op12_mixing": mixing.query,
 }
 
 ORACLE = {
