@@ -3,7 +3,7 @@ express the operator."""
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, htmlmain, langid, licenses, linededup, mixing, packing, simhash, topk, toxicity
+from . import bpe, fingerprint, htmlmain, langid, licenses, linededup, mixing, packing, repeats, simhash, topk, toxicity
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_topk_search": topk.query,
     "op10_packing": packing.query,
+    "op11_periodic_runs": repeats.query,
     "op12_mixing": mixing.query,
 }
 
 ORACLE = {
     "op2_line_dedup": linededup.SQL,
     "op9_topk_search": topk.SQL,
+    "op11_periodic_runs": repeats.SQL,
 }
