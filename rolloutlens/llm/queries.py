@@ -3,7 +3,7 @@ express the operator."""
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, htmlmain, langid, licenses, linededup, mixing, packing, repeats, simhash, topk, toxicity
+from . import bpe, fingerprint, htmlmain, langid, licenses, linededup, mixing, packing, repeats, simhash, topk, toxicity, whitening
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_packing": packing.query,
     "op11_periodic_runs": repeats.query,
     "op12_mixing": mixing.query,
+    "op13_whitening": whitening.query,
 }
 
 ORACLE = {
