@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
+from ..session import materialize
 from . import ordered
 
 KEY = "prompt_idx"
 POS = "gen_idx"
+WHOLE = 1 << 60          # a budget that takes all
 
 
 def with_batch(df: DataFrame, prompts_per_batch: int, key: str = KEY) -> DataFrame:
@@ -36,22 +38,35 @@ def fill_budget(kept: DataFrame, cfg: RunConfig, key: str = KEY, pos: str = POS)
     """R2: whole batches in order (from ``cfg.start_idx``) until the kept
     count reaches ``cfg.int_num``, then the first ``int_num`` records.
 
-    Adds ``batch`` and ``position`` (1-based place in the buffer)."""
+    Adds ``batch`` and ``position`` (1-based place in the buffer). The counts
+    per batch are taken first; then only the batches that the buffer needs
+    are read again, by a filter on the key that reaches the scan."""
     d = with_batch(kept.filter(F.col(key) >= F.lit(cfg.start_idx)), cfg.prompts_per_batch, key)
+    need = materialize(batch_offsets(d).filter(F.col("before") < F.lit(cfg.int_num)).select("batch", "before"), "need")
+    if cfg.int_num < WHOLE:
+        last = need.agg(F.max("batch")).first()[0]
+        d = d.filter(F.col(key) < F.lit(0 if last is None else (last + 1) * cfg.prompts_per_batch))
+    return placed(d, need, cfg.int_num, key, pos)
+
+
+def placed(d: DataFrame, first: DataFrame, int_num: int, key: str = KEY, pos: str = POS, carry: tuple = ()) -> DataFrame:
+    """Rows of ``d`` (with ``batch``) that lie in the first ``int_num`` places,
+    with ``position``. ``first``: batch, ``before`` (places taken before the
+    batch) and ``carry`` columns.
+
+    Rows are counted per (batch, prompt, chunk of generations), then what lies
+    before each: a prompt with many generations is ranked chunk by chunk, not
+    in one window."""
     d = d.withColumn("_cell", ordered.chunk_of(pos))
-    # counts per (batch, prompt, chunk of generations), then what lies before each: a prompt
-    # with many generations is ranked chunk by chunk, not in one window
     cells = d.groupBy("batch", key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    offs = batch_offsets(d)
-    need = offs.filter(F.col("before") < F.lit(cfg.int_num)).select("batch", "before")
     within = Window.partitionBy("batch").orderBy(key, "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.join(need, "batch").select(
-        key, "_cell", (F.col("before") + F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("_start"))
-    starts = starts.filter(F.col("_start") < F.lit(cfg.int_num))
+    starts = cells.join(first, "batch").select(
+        key, "_cell", *carry, (F.col("before") + F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("_start"))
+    starts = starts.filter(F.col("_start") < F.lit(int_num))
     w = Window.partitionBy(key, "_cell").orderBy(pos)
     return (d.join(starts, [key, "_cell"])
              .withColumn("position", F.col("_start") + F.row_number().over(w))
-             .filter(F.col("position") <= F.lit(cfg.int_num))
+             .filter(F.col("position") <= F.lit(int_num))
              .drop("_start", "_cell"))
 
 

@@ -53,7 +53,7 @@ def _kept_all(spark, sf_dir):
     """All kept rows with ``position``, written once: the fill without a
     budget, from the first prompt on."""
     from ..session import materialize
-    whole = RunConfig(**{**CFG.__dict__, "start_idx": 0, "int_num": 2**62})
+    whole = RunConfig(**{**CFG.__dict__, "start_idx": 0, "int_num": B.WHOLE})
     return materialize(B.fill_budget(_kept(spark, sf_dir), whole), "kept")
 
 
@@ -128,6 +128,53 @@ def r6_shuffle_kept(spark, sf_dir):
         "prompt_idx", "gen_idx", "rep", "shuffle_rank")
 
 
+#: As CFG with a small buffer, so that a run has many cycles.
+CYCLES = RunConfig(**{**CFG.__dict__, "int_num": 96})
+
+#: Every cycle by recursion: where a cycle that begins with a batch ends, then from end to end.
+CYCLES_SQL = f"""{KEPT_SQL},
+whole AS (SELECT coalesce(sum(n), 0) AS total, max(batch) AS top FROM cum),
+ends AS (SELECT a.before AS began, min(struct_pack(upto := b.before + b.n, batch := b.batch)) AS e
+         FROM cum a JOIN cum b ON b.before < a.before + {CYCLES.int_num} AND b.before + b.n >= a.before + {CYCLES.int_num} GROUP BY a.before),
+path AS (SELECT 1 AS cycle, before AS began, CAST({CYCLES.start_idx} AS BIGINT) AS start_idx FROM cum WHERE before = 0
+         UNION ALL SELECT p.cycle + 1, e.e.upto, (e.e.batch + 1) * {BPP} FROM path p JOIN ends e USING (began) JOIN cum c ON c.before = e.e.upto),
+schedule AS (SELECT CAST(cycle AS BIGINT) AS cycle, began, start_idx, (coalesce(e.e.batch, top) + 1) * {BPP} AS next_start,
+                    CAST(coalesce(e.e.upto, total) - began AS BIGINT) AS kept FROM path LEFT JOIN ends e USING (began), whole)"""
+
+
+@register("r2_r3_all_cycles", f"""WITH RECURSIVE {CYCLES_SQL}
+SELECT cycle, start_idx, next_start, kept, CAST(greatest(0, {CYCLES.int_num} - kept) AS BIGINT) AS shortfall FROM schedule""")
+def r2_r3_all_cycles(spark, sf_dir):
+    """R2 + R3 for every cycle of a run: where it starts and ends, by pointer doubling."""
+    from ..operators import cycles as CY
+    return CY.cycle_schedule(_kept(spark, sf_dir).select("prompt_idx", "gen_idx"), CYCLES)
+
+
+@register("u2_all_cycle_buffers", f"""WITH RECURSIVE {CYCLES_SQL}
+SELECT cycle, prompt_idx, gen_idx, position FROM (
+  SELECT s.cycle, k.prompt_idx, k.gen_idx, row_number() OVER (PARTITION BY s.cycle ORDER BY prompt_idx, gen_idx) AS position
+  FROM kept k JOIN schedule s ON k.prompt_idx >= s.start_idx AND k.prompt_idx < s.next_start)
+WHERE position <= {CYCLES.int_num}""")
+def u2_all_cycle_buffers(spark, sf_dir):
+    """U2 over every cycle of a run: the records of all buffers."""
+    from ..operators import cycles as CY
+    from ..session import materialize
+    kept = materialize(_kept(spark, sf_dir).select("prompt_idx", "gen_idx"), "kept")
+    return CY.fill_cycles(kept, CYCLES).select("cycle", "prompt_idx", "gen_idx", "position")
+
+
+@register("r3_state_table", f"""WITH RECURSIVE {CYCLES_SQL}
+SELECT cycle, start_idx, next_start, kept, CAST(0 AS BIGINT) AS shortfall FROM schedule WHERE kept >= {CYCLES.int_num}""")
+def r3_state_table(spark, sf_dir):
+    """Buffers and state rows of all full cycles, run in two goes: two
+    cycles first, then from the state table on."""
+    from ..session import materialize, scratch_path
+    from . import train_cycle as TC
+    kept, out = materialize(_kept(spark, sf_dir).select("prompt_idx", "gen_idx"), "kept"), scratch_path(spark, "run")
+    TC.run_cycles(kept, CYCLES, out, 2)
+    return TC.run_cycles(kept, CYCLES, out, 2**31).select("cycle", "start_idx", "next_start", "kept", "shortfall")
+
+
 @register("e1_collection_cycle", f"""WITH {KEPT_SQL},
 rp AS (SELECT prompt_idx, gen_idx, advantage, reward, gold, content, CAST(rep AS INTEGER) AS rep FROM filled, range(1, {CFG.rep_num + 1}) AS t(rep))
 SELECT prompt_idx, gen_idx, rep, {O.r9('advantage')} AS advantage, reward, gold AS label, content,

@@ -1,7 +1,8 @@
-"""Sources: problem sets, buffers, run logs."""
+"""Sources: problem sets, buffers, run logs (S1, S2, S5, S7), state of a run."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,3 +63,22 @@ def read_run_logs(spark: SparkSession, path: str, whole: bool = False) -> DataFr
         return df.select(run.alias("run"), F.col("value").alias("log"))
     return df.select(run.alias("run"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
+
+
+STATE = "start_idx long, next_start long, kept long, shortfall long, cycle long"
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The state table of a run (R3): a row per finished cycle, none at first."""
+    try:
+        return spark.read.schema(STATE).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STATE)
+
+
+def resume_point(spark: SparkSession, path: str, start_idx: int) -> tuple[int, int]:
+    """Finished cycles and the index at which the next one starts."""
+    row = read_state(spark, path).agg(F.max(F.struct("cycle", "next_start")).alias("s")).first()["s"]
+    return (0, start_idx) if row is None else (row["cycle"], row["next_start"])

@@ -1,4 +1,4 @@
-"""Sinks: buffer files, metrics table, shard layout."""
+"""Sinks: buffer files, metrics table, shard layout (S4, S8, R7), state of a run."""
 
 from __future__ import annotations
 
@@ -30,3 +30,9 @@ def append_metrics(long: DataFrame, path: str, batch: str | int) -> None:
 def write_shards(df: DataFrame, path: str) -> None:
     """R7's layout: one folder per optimiser step."""
     df.write.mode("overwrite").partitionBy("step").parquet(path)
+
+
+def write_by_cycle(df: DataFrame, path: str) -> None:
+    """A folder per ``cycle``. Folders of the cycles at hand are overwritten,
+    others stay, so a retried cycle is there once."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cycle").parquet(path)
