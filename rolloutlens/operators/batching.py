@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
+from ..functions import permute
 from ..session import materialize
 from . import ordered
 
@@ -112,6 +113,12 @@ def seeded_shuffle(df: DataFrame, keys, seed: int, out: str = "shuffle_rank") ->
     return ordered.global_rank(d, ["_h", *keys], out=out, bucket=bucket).drop("_h")
 
 
+def permuted_shuffle(df: DataFrame, position: str, n: int, seed: int, out: str = "shuffle_rank") -> DataFrame:
+    """S3 / R6 for rows that know their dense place (0..n-1): a seeded
+    permutation computed inside the row, with no sort and no exchange."""
+    return permute.with_permuted(df, position, n, seed, out)
+
+
 def shard_assignment(df: DataFrame, rank: str, cfg: RunConfig) -> DataFrame:
     """Rank -> (step, accum, device, slot); one optimiser step takes
     per_device_batch x grad_accum x num_devices records."""

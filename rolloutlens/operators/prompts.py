@@ -1,5 +1,6 @@
 """Prompt side: questions, gold labels, group expansion, message lists
-(P1-P6, P9) and the prompt <-> completion join (J1)."""
+(P1-P6, P9) and the prompt <-> completion join (J1),
+by keys or by place."""
 
 from __future__ import annotations
 
@@ -82,6 +83,18 @@ def attach_completions(prompts: DataFrame, completions: DataFrame) -> tuple[Data
     return joined, no_completion.unionByName(no_prompt)
 
 
+def pair_by_position(left: DataFrame, right: DataFrame, position: str = "row_pos") -> DataFrame:
+    """J1 / J3 without keys: the rows of two tables at the same place, as a zip
+    of two lists does; places beyond the shorter table have no pair. Both carry
+    their dense ``position`` (:func:`rolloutlens.sources.readers.read_positioned`).
+    Places are unique, so the join has no hot key. Other columns of the same
+    name would be ambiguous, so they raise."""
+    clash = (set(map(str.lower, left.columns)) & set(map(str.lower, right.columns))) - {position.lower()}
+    if clash:
+        raise ValueError(f"both tables have the columns {sorted(clash)}")
+    return left.join(right, position)
+
+
 def exploded_cases(problems: DataFrame, key: str = "prompt_idx") -> DataFrame:
     """One row per test case of a problem's ``test_cases`` array
     (case_id counts from 0; input and expected come from the struct)."""

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
+from ..functions import permute as PM
 from ..operators import batching as B
 from ..sources import fixtures as FX
 from . import oracle as O
@@ -206,6 +207,33 @@ def s3_seeded_shuffle(spark, sf_dir):
     return B.seeded_shuffle(d, "doc_id", 42)
 
 
+@register("s3_permuted_rows", f"""WITH d AS (SELECT doc_id, lang, row_number() OVER () - 1 AS row_pos FROM documents),
+shuffled AS ({PM.permuted_sql('d', 'row_pos', '(SELECT count(*) FROM d)', 42, 'shuffle_rank')})
+SELECT doc_id, lang, row_pos, shuffle_rank FROM shuffled""")
+def s3_permuted_rows(spark, sf_dir):
+    """S3: seeded shuffle of the training rows (documents) by their places in
+    the files, without a sort or an exchange of the rows."""
+    from ..session import table_path
+    from ..sources import readers as RD
+    d = RD.read_positioned(spark, table_path(sf_dir, "documents")).select("doc_id", "lang", "row_pos")
+    n = FX.read_table(spark, sf_dir, "documents").count()
+    return B.permuted_shuffle(d, "row_pos", n, 42)
+
+
+@register("r6_permuted_kept", f"""WITH {KEPT_ALL_SQL},
+rp AS (SELECT prompt_idx, gen_idx, CAST(rep AS INTEGER) AS rep, (position - 1) * {CFG.rep_num} + rep - 1 AS place
+       FROM kept_all, range(1, {CFG.rep_num + 1}) AS t(rep)),
+shuffled AS ({PM.permuted_sql('rp', 'place', '(SELECT count(*) FROM rp)', CFG.seed, 'shuffle_rank')})
+SELECT prompt_idx, gen_idx, rep, shuffle_rank FROM shuffled""")
+def r6_permuted_kept(spark, sf_dir):
+    """R6 over all kept rows, repeated, from their places in the buffer: the
+    copies of a record lie side by side and are permuted inside the row."""
+    from ..session import materialize
+    d = materialize(_kept_all(spark, sf_dir).select("prompt_idx", "gen_idx", "position"), "kept")
+    d = B.repeat(d, CFG.rep_num).withColumn("place", (F.col("position") - 1) * CFG.rep_num + F.col("rep") - 1)
+    return B.permuted_shuffle(d, "place", d.count(), CFG.seed).select("prompt_idx", "gen_idx", "rep", "shuffle_rank")
+
+
 @register("r7_shard_assignment", f"""WITH {KEPT_SQL}, rk AS (SELECT prompt_idx, gen_idx, position - 1 AS r FROM filled)
 SELECT prompt_idx, gen_idx, CAST(floor(r / 64) AS BIGINT) AS step, CAST(floor((r % 64) / 16) AS INTEGER) AS accum,
        CAST(floor((r % 16) / 4) AS INTEGER) AS device, CAST(r % 4 AS INTEGER) AS slot FROM rk""")
@@ -285,6 +313,22 @@ def u1_chunk_concat(spark, sf_dir):
     return event_scored(spark, sf_dir).select("prompt_idx", "gen_idx", "reward", chunk.alias("chunk"))
 
 
+@register("u1_positional_chunks", f"""WITH {EVENTS}
+SELECT row_number() OVER (ORDER BY prompt_idx, gen_idx) - 1 AS row_pos, reward FROM scored""")
+def u1_positional_chunks(spark, sf_dir):
+    """U1 without keys: the results of four workers, each with files of its
+    own, read back as one list in worker, file and row order."""
+    from ..session import scratch_path
+    from ..sources import readers as RD
+    d = event_scored(spark, sf_dir).select("prompt_idx", "gen_idx", "reward")
+    top = FX.rollouts_events(spark, sf_dir).select((F.max("prompt_idx") + 1)).scalar()
+    base = scratch_path(spark, "workers")
+    d = d.withColumn("worker", F.floor(F.col("prompt_idx") * 4 / top).cast("int"))
+    d.repartitionByRange("prompt_idx", "gen_idx").sortWithinPartitions("prompt_idx", "gen_idx") \
+        .select("reward", "worker").write.partitionBy("worker").parquet(base)
+    return RD.read_positioned(spark, *[f"{base}/worker={k}" for k in range(4)]).select("row_pos", "reward")
+
+
 @register("u2_append_cycles", f"""WITH {KEPT_SQL},
 c1 AS (SELECT 1 AS cycle, prompt_idx, gen_idx FROM filled),
 nxt AS (SELECT (coalesce(min(CASE WHEN before + n >= {CFG.int_num} THEN batch END), max(batch)) + 1) * {BPP} AS s FROM cum),

@@ -128,6 +128,24 @@ def j1_missing_report(spark, sf_dir):
     return P.attach_completions(pr, comp)[1]
 
 
+@register("j1_positional_pairs", f"""WITH {O.ROLLOUTS_EVENTS}
+SELECT 'Problem ' || CAST(prompt_idx AS VARCHAR) AS question, gold, content FROM rollouts
+WHERE prompt_idx < (SELECT max(prompt_idx) FROM rollouts) OR gen_idx < 3""")
+def j1_positional_pairs(spark, sf_dir):
+    """J1 + P6 without keys: a list of prompts and a shorter list of outputs,
+    in files of different sizes, paired by place; the assistant turn appended."""
+    r = FX.rollouts_events(spark, sf_dir)
+    top = r.select(F.max("prompt_idx")).scalar()
+    keys, prompts, outputs = ["prompt_idx", "gen_idx"], scratch_path(spark, "prompt-list"), scratch_path(spark, "output-list")
+    messages = P.two_message_prompt(F.lit("Solve it."), F.concat(F.lit("Problem "), F.col("prompt_idx").cast("string")))
+    r.repartitionByRange(*keys).sortWithinPartitions(*keys).select(messages.alias("messages"), "gold").write.parquet(prompts)
+    some = r.where((F.col("prompt_idx") < top) | (F.col("gen_idx") < 3))
+    some.repartitionByRange(7, *keys).sortWithinPartitions(*keys).select("content").write.parquet(outputs)
+    pairs = P.pair_by_position(RD.read_positioned(spark, prompts), RD.read_positioned(spark, outputs))
+    turns = pairs.select("gold", P.append_turn(F.col("messages"), F.col("content")).alias("messages"))
+    return turns.select(F.col("messages")[1]["content"].alias("question"), "gold", F.col("messages")[2]["content"].alias("content"))
+
+
 @register("p9_render_messages", f"""WITH {J1_SQL}
 SELECT prompt_idx, gen_idx,
        '<|system|>' || chr(10) || {SYS} || chr(10) || '<|user|>' || chr(10) || text || chr(10)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,36 @@ def read_buffer(spark: SparkSession, path: str, legacy_array: bool = False) -> D
     return r.json(path)
 
 
+#: Files of a read whose offsets are sent to every task.
+MOST_FILES = 1 << 20
+
+
+def read_positioned(spark: SparkSession, *paths: str, position: str = "row_pos") -> DataFrame:
+    """Parquet rows with their dense place (0, 1, 2 ...) in the order of the
+    paths as given, of the files by name, and of the rows in a file.
+
+    A row's place is its index in its file, which the reader knows, plus the
+    rows of the files before; these are counted from the footers alone. So no
+    row is moved or sorted, and a task that runs again gives the same places.
+    The offsets are a row per file, of which the driver has listed all."""
+    parts = [spark.read.parquet(p) for p in paths]
+    place = lambda k, d: (F.lit(k).alias("_chunk"), d["_metadata.file_path"].alias("_file"))
+    counts = None
+    for k, d in enumerate(parts):
+        c = d.select(*place(k, d)).groupBy("_chunk", "_file").agg(F.count(F.lit(1)).alias("_n"))
+        counts = c if counts is None else counts.unionByName(c)
+    before = Window.orderBy("_chunk", "_file").rowsBetween(Window.unboundedPreceding, -1)  # files, not rows
+    offsets = counts.select("_chunk", "_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if sum(len(d.inputFiles()) for d in parts) <= MOST_FILES:
+        offsets = F.broadcast(offsets)
+    rows = None
+    for k, d in enumerate(parts):
+        r = d.select("*", *place(k, d), d["_metadata.row_index"].alias("_row"))
+        rows = r if rows is None else rows.unionByName(r)
+    return rows.join(offsets, ["_chunk", "_file"]).withColumn(position, F.col("_before") + F.col("_row")) \
+        .drop("_chunk", "_file", "_before", "_row")
+
+
 def read_run_logs(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """Run logs line by line (run, file, block, seq, line).
 
