@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import text as TX
 from ..operators import prompts as P
 from ..operators import rewards as R
@@ -268,6 +269,20 @@ def _roundtrip(spark, buf):
                        TX.last_content(F.col("completion")).alias("content"))
 
 
+@register("s5_json_arrays", f"""WITH {KEPT_ALL_SQL}
+SELECT prompt_idx, gen_idx, {O.r9('advantage')} AS advantage, reward, gold AS label, content FROM kept_all""")
+def s5_json_arrays(spark, sf_dir):
+    """S5 over all kept rows: buffers as the trainer leaves them, an indented
+    JSON array a file, read in ranges of 64 KB."""
+    from ..plans.scoring import to_buffer_records
+    from ..sources.json_array import read_json_array
+    path = scratch_path(spark, "array-buffers")
+    FX.write_json_arrays(to_buffer_records(_kept(spark, sf_dir)), path)
+    d = read_json_array(spark, path, schemas.BUFFER, 1 << 16)
+    return d.select("prompt_idx", "gen_idx", r9("advantage").alias("advantage"), "reward", "label",
+                    F.col("completion")[0]["content"].alias("content"))
+
+
 @register("s6_buffer_head", f"""WITH {KEPT_SQL}
 SELECT prompt_idx, gen_idx, position FROM filled ORDER BY position LIMIT 1""")
 def s6_buffer_head(spark, sf_dir):

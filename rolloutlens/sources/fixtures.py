@@ -10,7 +10,7 @@ rows from the same rules (``rolloutlens.plans.oracle``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table_path
@@ -234,3 +234,17 @@ def write_run_logs(lines: DataFrame, path: str) -> None:
     """One text file per run (``run=<name>/part-*``), lines in order."""
     (lines.repartition("run").sortWithinPartitions("run", "k1", "k2")
           .select("run", "line").write.mode("overwrite").partitionBy("run").text(path))
+
+
+def write_json_arrays(records: DataFrame, path: str, prompts: int = 512) -> None:
+    """One indented JSON array per file, of the records of ``prompts`` prompts in order."""
+    d = records.withColumn("_file", F.expr(f"prompt_idx div {prompts}"))
+    order = Window.partitionBy("_file").orderBy("prompt_idx", "gen_idx")
+    comma = F.when(F.row_number().over(order) > 1, F.lit(",")).otherwise(F.lit(""))
+    text = F.concat(comma, F.to_json(F.struct(*records.columns), {"pretty": "true"}))
+    lines = d.select("_file", F.lit(1).alias("_part"), "prompt_idx", "gen_idx", text.alias("value"))
+    ends = d.select("_file").distinct().select("_file", F.explode(F.array(F.struct(F.lit(0).alias("p"), F.lit("[").alias("v")),
+                                                                          F.struct(F.lit(2).alias("p"), F.lit("]").alias("v")))).alias("e"))
+    ends = ends.select("_file", F.col("e.p").alias("_part"), F.lit(0).cast("long").alias("prompt_idx"), F.lit(0).alias("gen_idx"), F.col("e.v").alias("value"))
+    (lines.unionByName(ends).repartition("_file").sortWithinPartitions("_file", "_part", "prompt_idx", "gen_idx")
+          .select("_file", "value").write.partitionBy("_file").text(path))

@@ -40,12 +40,12 @@ def lower_columns(df: DataFrame) -> DataFrame:
 
 def read_buffer(spark: SparkSession, path: str, legacy_array: bool = False) -> DataFrame:
     """Buffer records with the declared schema. JSON lines are
-    splittable; ``legacy_array`` reads one JSON array per file (one task per
-    file - only for old single-file buffers)."""
-    r = spark.read.schema(schemas.BUFFER)
+    splittable; ``legacy_array`` reads files that hold one JSON array each,
+    cut into byte ranges (:mod:`rolloutlens.sources.json_array`)."""
     if legacy_array:
-        r = r.option("multiLine", "true")
-    return r.json(path)
+        from .json_array import read_json_array
+        return read_json_array(spark, path, schemas.BUFFER)
+    return spark.read.schema(schemas.BUFFER).json(path)
 
 
 #: Files of a read whose offsets are sent to every task.
