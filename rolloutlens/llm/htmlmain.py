@@ -14,6 +14,7 @@ decided at once (an exact reduction); the rest go through max-flow.
 Defined results: null and empty html give the empty text, as does a page
 without a content block. Broken markup is read as far as it goes: unclosed
 elements end with their parent, an unclosed comment or script ends the page.
+The time is linear in the page's length, whatever its markup.
 Repeated rows get equal results, long pages are read whole.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,9 +32,13 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                 r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
+#: What may open a tag, a comment or a declaration.
+OPENING = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+DECLARED = re.compile(r"<[!?]")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+BORDER = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
+DATA_NAME = re.compile(r"(?<![\w-])data-([a-z]+)(?=[-=\s/]|$)", re.I)
 
 #: Elements without text for a reader (scripts, styles, embedded media, a formula's source beside its signs); their content is skipped
 #: up to the end tag. Formulas and the fallback text of <object> are read inline.
@@ -55,20 +60,34 @@ SCOPE = frozenset("ul ol dl table select menu body html article section main div
 BOILER_TAGS = {"nav": -7.0, "footer": -7.0, "aside": -7.0, "form": -7.0, "button": -7.0, "select": -7.0, "textarea": -7.0, "menu": -7.0,
                "dialog": -7.0, "noscript": -7.0, "header": -6.0, "fieldset": -6.0, "address": -1.0, "label": -3.0}
 CONTENT_TAGS = {"article": 3.0, "main": 2.5}
-BOILER_HINT = re.compile(
-    r"^(ads?|adv|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner\w*|menu\w*|nav\w*|sidebar\w*|side|rail|foot\w*|header\w*|masthead|"
-    r"topbar|toolbar|breadcrumbs?|crumbs?|comments?|commentlist|reply|replies|respond|disqus\w*|discussion|cookies?|consent|gdpr|"
-    r"notices?|notification\w*|alerts?|popup\w*|modal\w*|overlay|newsletter|subscribe\w*|subscription|signup|login|search\w*|share\w*|sharing|"
-    r"social\w*|related|recommend\w*|recirc|widgets?|pager|pagination|tags|taglist|copyright|legal|disclaimer|skip\w*|paywall|outbrain|taboola|"
-    r"navigation|contentinfo|complementary|banner|search)$", re.I)
+#: Class words that name boilerplate and little else, and ordinary words that often do.
+FIRM_WORDS = (r"ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|menu\w*|nav\w*|sidebar\w*|foot\w*|header\w*|masthead|"
+              r"topbar|toolbar|breadcrumbs?|crumbs?|comments?|commentlist|reply|replies|respond|disqus\w*|cookies?|gdpr|"
+              r"notices?|notification\w*|popup\w*|modal\w*|newsletter|subscribe\w*|signup|share\w*|sharing|"
+              r"related|recommend\w*|recirc|widgets?|pager|pagination|taglist|copyright|disclaimer|paywall|outbrain|taboola|"
+              r"navigation|contentinfo|complementary")
+SOFT_WORDS = r"side|rail|discussion|consent|alerts?|overlay|subscription|login|search\w*|social\w*|tags|legal|skip\w*"
+#: Words of layout, which say nothing about what an element holds.
+LAYOUT_WORDS = (r"site|page|main|global|top|bottom|left|right|center|upper|lower|inner|outer|primary|secondary|mobile|desktop|sticky|fixed|"
+                r"container|wrapper|wrap|holder|box|block|area|zone|slot|unit|space|section|panel|region|module|component|group|list|item|items|row|"
+                r"col|column|grid|bar|strip|form|field|link|links|button|buttons|btn|icon|icons|title|heading|js|is|has|the|of|and|\d+|[a-z]\d*|[a-z]{2}")
+BOILER_HINT = re.compile(rf"^(?:(?:{FIRM_WORDS})(?:{LAYOUT_WORDS})?|(?:{LAYOUT_WORDS})(?:nav|menu|footer|sidebar|banner|comments?))$", re.I)
+SOFT_HINT = re.compile(rf"^(?:{SOFT_WORDS})$", re.I)
+LAYOUT = re.compile(rf"^(?:{LAYOUT_WORDS})$", re.I)
+AD_WORD = re.compile(r"^(?:ads?|adv|advert\w*|adsense|sponsor\w*)$", re.I)
+#: Headings of the readers' part of a page, whatever its class.
+READERS = re.compile(r"^(?:\d+ )?(?:(?:all |add )?(?:comments?|replies)|(?:your |our |user |reader |readers?['’]?s? )+(?:comments?|opinions|reactions|letters|responses|views|voices)|"
+                     r"what (?:our |other )?(?:readers|users|people) (?:think|say|are saying)|leave (?:a|your) (?:comment|reply)|join the (?:discussion|conversation)|"
+                     r"(?:leser)?kommentare|leserbriefe|commentaires|comentarios|commenti)(?: \(?\d+\)?)?:?$", re.I)
 CONTENT_HINT = re.compile(r"^(article\w*|main|content|contents|post|entry|story|storybody|body|text|richtext|hentry|prose)$", re.I)
 #: An article's own header holds its title and standfirst: these words, as the header tag, are no firm sign inside content.
 HEADER_HINT = re.compile(r"^header\w*$", re.I)
-HINT_WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 SENTENCE_END = (".", "!", "?", "…", "。", ":", "\"", "”", "»")
 
 #: Weights of the other features.
 BASE, PER_LOG_WORD, SENTENCE, LINKS, HEADING, PROSE, HIDDEN, HINT, GOOD_HINT = -1.5, 0.8, 0.8, -4.0, 1.0, 0.5, -8.0, -7.0, 1.0
+#: A hint among other words weighs its share of HINT, an ordinary word this at most: whole sentences can outweigh either.
+SOFT = -4.0
 #: Smoothness: neighbours, and neighbours under one parent.
 ADJACENT, SIBLING = 1.0, 0.6
 
@@ -83,6 +102,8 @@ class Element:
     depth: int
     parent: "Element | None"
     number: int
+    block: "Element | None" = None  # itself or the nearest enclosing block
+    ended_by: dict = field(default_factory=dict)  # start tag: the open element that it ends
 
 
 @dataclass
@@ -91,35 +112,134 @@ class Block:
     parts: list = field(default_factory=list)
     linked: int = 0
     heading: bool = False
+    readers: bool = False
     text: str = ""
     score: float = 0.0
 
 
+def _class_sign(value: str) -> tuple[float, bool, bool]:
+    """(boilerplate evidence, firm, content) of the words of one class, id or role.
+
+    A token that is a hint, or whose words are hints and words of layout only,
+    counts in full. Other words beside a hint (in its token or in other
+    tokens) may mean that it names a topic: the hint counts by its share."""
+    firm = soft = other = header = 0
+    content = False
+    for token in value.split():
+        words = [w for w in re.split(r"[-_:]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token)) if w]
+        if BOILER_HINT.match(token):
+            words = [token]
+        for w in words:
+            if BOILER_HINT.match(w):
+                firm += 1
+                header += bool(HEADER_HINT.match(w))
+            elif SOFT_HINT.match(w):
+                soft += 1
+            elif CONTENT_HINT.match(w):
+                content = True
+            elif not LAYOUT.match(w):
+                other += 1
+    if not firm + soft:
+        return 0.0, False, content
+    share = (firm + soft) / (firm + soft + other)
+    return max(HINT if firm else SOFT, HINT) * share, bool(firm > header and share == 1), False
+
+
 def _signs(tag: str, attributes: str, parent: Element | None) -> tuple[float, float, bool]:
     """(boilerplate, content) evidence of one element, and whether the element is firmly boilerplate."""
     boiler, content = BOILER_TAGS.get(tag, 0.0), CONTENT_TAGS.get(tag, 0.0)
     firm = boiler <= BOILER_TAGS["fieldset"] and tag != "header"
+    if "-" in tag and any(AD_WORD.match(w) for w in tag.split("-")):
+        boiler, firm = HINT, True
     if attributes and tag not in ("html", "body"):
+        if tag not in CONTENT_TAGS and "data-" in attributes and any(map(AD_WORD.match, DATA_NAME.findall(attributes))):
+            boiler, firm = min(boiler, HINT), True
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 boiler, firm = min(boiler, HIDDEN), True
             elif name in ("class", "id", "role"):
-                for token in value.split():
-                    words = [token, *re.split(r"[-_]+", token)]
-                    if tag in CONTENT_TAGS:  # its classes name the template's features, unless it is a comment
-                        words = [w for w in words if w.lower() in ("comment", "comments", "reply")]
-                    if hints := [w for w in words if BOILER_HINT.match(w)]:
-                        boiler, firm = min(boiler, HINT), firm or not all(map(HEADER_HINT.match, hints))
-                    elif any(CONTENT_HINT.match(w) for w in words if w):
-                        content = max(content, GOOD_HINT)
+                if tag in CONTENT_TAGS:  # its classes name the template's features, unless it is a comment
+                    value = " ".join(w for w in re.split(r"[-_\s]+", value) if w.lower() in ("comment", "comments", "reply"))
+                sign, sure, good = _class_sign(value)
+                boiler, firm = min(boiler, sign), firm or sure
+                content = max(content, GOOD_HINT if good else 0.0)
     return boiler, content, firm
 
 
+class Scanner:
+    """Finds the next tag in time linear in the page, however broken: what
+    has been looked for without success is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last_end, self.last_quote = page.rfind(">"), {q: page.rfind(q) for q in "\"'"}
+        self.failed: set[int] = set()  # borders from which no end outside quotes follows
+        self.absent: set[str] = set()  # elements without a further end tag
+
+    def attributes_end(self, start: int) -> int:
+        """Where the tag ends that is open at ``start``: at the first > outside quotes, else at the first > at all."""
+        seen, at = [], start
+        while m := BORDER.search(self.page, at):
+            j = m.start()
+            if j in self.failed:
+                break
+            if m.group() == ">":
+                return j
+            seen.append(j)
+            if self.last_quote[m.group()] <= j:
+                break
+            at = self.page.find(m.group(), j + 1) + 1
+        self.failed.update(seen)
+        return self.page.find(">", start)
+
+    def next(self, pos: int) -> tuple[int, int, str, bool, str, str] | None:
+        """(start, end, name, whether an end tag, attributes, text) of the next
+        tag, comment or declaration (no name; text: that of a CDATA section)."""
+        page, n = self.page, len(self.page)
+        m = OPENING.search(page, pos)
+        if m and m.start() > self.last_end:  # no tag from here on
+            m = DECLARED.search(page, m.start())
+        if not m:
+            return None
+        start = m.start()
+        for opening, ending in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")):
+            if page.startswith(opening, start):
+                at = page.find(ending, start + len(opening))
+                text = page[start + 9:at if at >= 0 else n] if ending == "]]>" else ""
+                return start, at + len(ending) if at >= 0 else n, "", False, "", text
+        ending = page[start + 1] == "/"
+        name = NAME.match(page, start + 1 + ending)
+        end = self.attributes_end(name.end())
+        return start, end + 1, name.group().lower(), ending, page[name.end():end], ""
+
+    def behind(self, what: str, pattern: str, pos: int) -> re.Match | None:
+        if what in self.absent:
+            return None
+        m = re.compile(pattern, re.I).search(self.page, pos)
+        if m is None:
+            self.absent.add(what)
+        return m
+
+
+#: Start tags, the elements that they end, and those that a search for them stops at.
+ENDING = {k: (frozenset(v), SCOPE - set(v)) for k, v in ENDS.items()} | {
+    "p": (frozenset(("p",)), frozenset(("body", "article", "section", "div", "td", "li", "blockquote")))}
+CONCERNED = frozenset().union(*(a | b for a, b in ENDING.values()))
+
+
+def _ended_by(e: Element) -> dict:
+    """For each start tag the element that it would end, if it came inside ``e``."""
+    if e.tag not in CONCERNED:
+        return e.parent.ended_by
+    return {k: e if e.tag in ends else None if e.tag in stop else e.parent.ended_by.get(k) for k, (ends, stop) in ENDING.items()}
+
+
 def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks in page order."""
     root = Element("#page", 0.0, 0.0, 0.0, False, 0, None, 0)
-    top, found, current = root, [], None
+    root.block = root
+    top, found, current, scan, open_tags = root, [], None, Scanner(page), Counter()
     links = headings = 0
     pos, count, n = 0, 0, len(page)
 
@@ -130,7 +250,7 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if raw.isspace():
                 return
-            current = Block(nearest())
+            current = Block(top.block)
         raw = html.unescape(raw) if "&" in raw else raw
         current.parts.append(raw)
         if links:
@@ -138,12 +258,6 @@ def blocks(page: str) -> list[Block]:
         if headings:
             current.heading = True
 
-    def nearest() -> Element:
-        e = top
-        while e.parent is not None and e.tag not in BLOCKS:
-            e = e.parent
-        return e
-
     def flush() -> None:
         nonlocal current
         if current is not None:
@@ -162,35 +276,25 @@ def blocks(page: str) -> list[Block]:
                 headings -= 1
             if top.tag in BLOCKS:
                 flush()
+            open_tags[top.tag] -= 1
             top = top.parent
 
-    def open_(tags: tuple, stop: frozenset) -> Element | None:
-        e = top
-        while e.parent is not None:
-            if e.tag in tags:
-                return e
-            if e.tag in stop:
-                return None
-            e = e.parent
-        return None
-
     while pos < n:
-        m = TAG.search(page, pos)
-        text(page[pos:m.start()] if m else page[pos:])
-        if not m:
+        got = scan.next(pos)
+        text(page[pos:got[0]] if got else page[pos:])
+        if not got:
             break
-        pos = m.end()
-        name = m.group(2) or m.group(5)
-        if name is None:
-            if m.group().startswith("<![CDATA["):
-                text(m.group()[9:].removesuffix("]]>"))
+        _, pos, tag, ending, attributes, inner = got
+        if not tag:
+            text(inner)
             continue
-        tag, attributes, ending = name.lower(), m.group(3) or m.group(6) or "", bool(m.group(1) or m.group(4))
         if ending:
             if tag == "br":
                 text(" ")
-            e = open_((tag,), frozenset())
-            if e is not None:
+            if open_tags[tag]:
+                e = top
+                while e.tag != tag:
+                    e = e.parent
                 close(e)
             elif tag == "p":
                 flush()
@@ -205,16 +309,16 @@ def blocks(page: str) -> list[Block]:
             if tag in BLOCKS:
                 flush()
             if tag == "head":
-                body = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, pos)
-                pos = (body.start() if body and body.group()[1] != "/" else body.end()) if body else pos
+                body = scan.behind("head", r"</head\s*>|<body[\s>]", pos)
+                pos = (body.start() if body.group()[1] != "/" else body.end()) if body else pos
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+            end = scan.behind(tag, rf"</{re.escape(tag)}\s*>", pos)
             pos = end.end() if end else (n if tag in RAW else pos)
             continue
-        if tag in ENDS and (e := open_(ENDS[tag], SCOPE - set(ENDS[tag]))):
+        if e := top.ended_by.get(tag) if tag in ENDS else None:
             close(e)
         if tag in BLOCKS:
-            if e := open_(("p",), frozenset(("body", "article", "section", "div", "td", "li", "blockquote"))):
+            if e := top.ended_by.get("p"):
                 close(e)
             flush()
         elif tag in ("td", "th"):
@@ -224,14 +328,33 @@ def blocks(page: str) -> list[Block]:
         shut = top.shut or (firm and content > 0)
         content = 0.0 if shut else content
         top = Element(tag, boiler + content, boiler, content, shut, top.depth + 1, top, count)
+        top.block, top.ended_by = top if tag in BLOCKS else top.parent.block, _ended_by(top)
+        open_tags[tag] += 1
         links += tag == "a"
         headings += tag in HEADINGS
     if top is not root:
         close(_outermost(top))
     flush()
+    _mark_readers(found)
     return found
 
 
+def _mark_readers(found: list[Block]) -> None:
+    """A short heading that announces the readers' part, if it opens a section
+    of its own, makes that section boilerplate."""
+    seen: dict[int, bool] = {}  # elements with a block so far: whether in a readers' part
+    for b in found:
+        path, e, section = [], b.parent, b.parent.parent
+        if (b.parent.tag in HEADINGS and b.parent.tag != "h1" and section is not None and section.parent is not None
+                and section.number not in seen and section.tag not in (*CONTENT_TAGS, "body", "html") and len(b.text) < 60 and READERS.match(b.text)):
+            seen[section.number] = True
+        while e is not None and e.number not in seen:
+            path.append(e.number)
+            e = e.parent
+        b.readers = e is not None and seen[e.number]
+        seen.update(dict.fromkeys(path, b.readers))
+
+
 def _outermost(e: Element) -> Element:
     while e.parent is not None and e.parent.parent is not None:
         e = e.parent
@@ -242,6 +365,8 @@ def score(b: Block) -> float:
     """Log odds of content."""
     words = b.text.count(" ") + 1
     s = BASE + PER_LOG_WORD * min(5.0, words.bit_length()) + b.parent.score
+    if b.readers:
+        s += min(0.0, HINT - b.parent.boiler) - b.parent.content
     s += PROSE * (b.parent.tag in PROSE_TAGS) + SENTENCE * b.text.endswith(SENTENCE_END) + LINKS * min(1.0, b.linked / max(1, len(b.text)))
     if b.heading:
         s += HEADING

@@ -94,6 +94,69 @@ def test_broken_and_long_pages():
     assert H.main_text(many) == "\n\n".join([BODY] * 3000)
 
 
+MB = 1 << 20
+BROKEN = {
+    "open tags": "<a ", "open quotes": '<a "', "bold, other ends": "<b>" * 8000 + "</i>", "svg": "<svg>", "quotes with ends": "<a '>'", "mixed quotes": "<a '\"b>",
+    "quoted ends": "<a x=\"y>", "nested blocks": "<p><div>" + "<b>" * 8000, "headings in bold": "<h2>", "rules": "x<hr>", "comments": "<!-- ", "ends": "</",
+    "list items": "<li><ul>" + "<b>" * 2000 + "<li>", "cells": "<td>", "heads": "<head>", "names": "<aaaa", "references": "&amp", "unknown data": "<![CDATA[x",
+    "classes": "<div class='a b c d'", "paragraphs": f"<p>{BODY}</p>", "short paragraphs": "<p>One or two.</p>", "links": "<p><a href=x>one</a> two three four.</p>"}
+
+
+@pytest.mark.parametrize("kind", sorted(BROKEN))
+@pytest.mark.parametrize("end", ["", ">", "'>", '">'])
+def test_time_is_linear_in_the_page(kind, end):
+    import time
+    unit = BROKEN[kind]
+    page = (unit * (MB // len(unit) + 1))[:MB] + end
+    t = time.process_time()
+    H.main_text(page[:MB // 8])
+    small = time.process_time() - t
+    t = time.process_time()
+    H.main_text(page)
+    whole = time.process_time() - t
+    assert whole < 20 and whole < 30 * small + 0.5, (small, whole)  # eight times as long a page
+
+
+def test_scanner_reads_tags_as_the_rule_says():
+    """Against the rule as one regular expression, on short random pages."""
+    rule = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+                      r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+    rng = random.Random(4)
+    for _ in range(20000):
+        page = "".join(rng.choice(["<", ">", "a", "<a ", "</b", "'", '"', "<!--", "-->", " ", "x=", "/", "<![CDATA[", "]]>", "<?"]) for _ in range(rng.randint(1, 16)))
+        scan, pos = H.Scanner(page), 0
+        while pos <= len(page):
+            m, got = rule.search(page, pos), scan.next(pos)
+            if m is None:
+                assert got is None, page
+                break
+            name = m.group(2) or m.group(5) or ""
+            assert got[:5] == (m.start(), m.end(), name.lower(), bool(m.group(1) or m.group(4)), m.group(3) or m.group(6) or ""), page
+            pos = m.end()
+
+
+TOPIC = "The council voted on the new rules last night, and most members spoke in favour of them at length."
+
+
+@pytest.mark.parametrize("page", [
+    "<main><div class='legal news'><p>{t}</p><p>{b}</p></div></main>", "<main><section id='search-for-truth'><p>{t}</p><p>{b}</p></section></main>",
+    "<article><section class='social-issues'><p>{t}</p><p>{b}</p></section></article>", "<main><div class='related-work'><p>{t}</p><p>{b}</p></div></main>",
+    "<article><div id='the-long-notice-period'><p>{t}</p><p>{b}</p></div></article>", "<main><div class='legal'><p>{t}</p><p>{b}</p></div></main>",
+    "<article><section><h2>Letters to a friend</h2><p>{t}</p><p>{b}</p></section></article>", "<main><div data-id='comments' data-adult='no'><p>{t}</p><p>{b}</p></div></main>"])
+def test_a_class_word_among_others_does_not_remove_prose(page):
+    assert H.main_text(page.format(t=TOPIC, b=BODY)).endswith(f"{TOPIC}\n\n{BODY}")
+
+
+@pytest.mark.parametrize("noise", [
+    f"<div class='adunit'><p>{LONG}</p></div>", f"<div data-ad='top'><p>{LONG}</p></div>", f"<div data-ad-slot=12><p>{LONG}</p></div>",
+    f"<amp-ad><p>{LONG}</p></amp-ad>", f"<div class='topBanner'><p>{LONG}</p></div>", f"<div class='sponsored-content box-2'><p>{LONG}</p></div>",
+    f"<div class='x1 adcontainer js-slot'><p>{LONG}</p></div>", f"<section class='voices'><h2>What our readers think</h2><p>{LONG}</p><div><p>{LONG}</p></div></section>",
+    f"<section><h3>Reader opinions (3)</h3><div><b>Ann</b><p>{LONG}</p></div><div><b>Bob</b><p>{LONG}</p></div></section>",
+    f"<div><h4>12 Comments</h4><ol><li><p>{LONG}</p></li></ol></div>", f"<div class='social-share'><p>{LONG}</p></div>"])
+def test_boilerplate_without_a_plain_class_word_goes(noise):
+    assert H.main_text(f"<article><p>{BODY}</p><p>{MORE}</p>{noise}</article>") == f"{BODY}\n\n{PLAIN_MORE}"
+
+
 def test_page_table_against_its_article_element(spark):
     import html
     rows = C.table(spark, "/root/testdata/sf0.01", "pages").collect()
