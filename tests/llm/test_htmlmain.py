@@ -120,7 +120,7 @@ def test_time_is_linear_in_the_page(kind, end):
 def test_scanner_reads_tags_as_the_rule_says():
     """Against the rule as one regular expression, on short random pages."""
     rule = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                      r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+                      r"|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.S)
     rng = random.Random(4)
     for _ in range(20000):
         page = "".join(rng.choice(["<", ">", "a", "<a ", "</b", "'", '"', "<!--", "-->", " ", "x=", "/", "<![CDATA[", "]]>", "<?"]) for _ in range(rng.randint(1, 16)))
