@@ -9,16 +9,19 @@ ends when the kth verified distance is within that bound, so the result is
 exact: no row outside can be nearer or, at equal distance, have a smaller id.
 
 Rows are dealt into blocks by a hash of the id, so common vectors or sources
-spread evenly; queries are dealt into blocks too and meet every row block.
-A task holds one block of each. The k best of every block are merged per
-query.
+spread evenly, and are shuffled once. A block's rows reach their task first
+and become its index, once; then all queries stream past it in batches, so a
+task holds the index and one batch. There are as many blocks as cores until
+``BLOCK_ROWS`` rows fill one; only the queries are copied per block. The k best
+of every block are merged per query row.
 
 The length of the vectors is the most common one of the table (the longer of
 two equally common ones); a code has as many segments as it needs.
 
 Defined results: rows with a null id, or whose vector is null, empty or of
 another length than most, have no code and take no part. Ties go to the
-smaller id. Repeated rows are separate rows. A query is itself among the rows.
+smaller id. Repeated rows are separate rows, also as queries: each has its
+own k rows. A query is itself among the rows.
 Fewer rows than k: all of them. An empty table gives no rows.
 """
 
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 K = 10
-#: Rows of an index block, and queries of a query block.
-BLOCK_ROWS, BLOCK_QUERIES = 200_000, 2_000
+#: Most rows of an index block (about 50 bytes each for 64 bits).
+BLOCK_ROWS = 2_000_000
 QUERY_EVERY = 20
 SEGMENT = 16
 
@@ -108,36 +111,52 @@ class MultiIndex:
         return self.ids[best], dist
 
 
-FOUND = pa.schema([("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("distance", pa.int32())])
+FOUND = pa.schema([("q", pa.int64()), ("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("distance", pa.int32())])
 
 
 def _number(code: int | list[int]) -> int:
     return sum((w % 2**64) << (64 * j) for j, w in enumerate(code if isinstance(code, list) else [code]))
 
 
-def _search_block(k: int, bits: int):
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        if not rows.num_rows or not queries.num_rows:
-            return FOUND.empty_table()
-        code = rows.column("code").to_numpy()
-        index = MultiIndex(rows.column("id").to_numpy(), np.stack(code) if bits > 64 else code, bits)
-        got = [(q, *index.search(_number(c), k)) for q, c in zip(queries.column("id").to_pylist(), queries.column("code").to_pylist())]
-        return pa.table([np.repeat([g[0] for g in got], [len(g[1]) for g in got]), np.concatenate([g[1] for g in got]),
-                         np.concatenate([g[2] for g in got]).astype(np.int32)], schema=FOUND)
+def _search_blocks(k: int, bits: int):
+    """Batches sorted by block, a block's rows (q null) before the queries."""
+    def built(held: list[pa.RecordBatch]) -> MultiIndex:
+        t = pa.Table.from_batches(held)
+        code = t.column("code").to_numpy()
+        return MultiIndex(t.column("id").to_numpy(), np.stack(code) if bits > 64 else code, bits)
+
+    def run(batches):
+        block, held, index = None, [], None
+        for batch in batches:
+            r, is_row = batch.column("r").to_numpy(), batch.column("q").is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (is_row[1:] != is_row[:-1]))).tolist() if len(r) else []
+            for a, z in zip(cuts, [*cuts[1:], len(r)]):
+                part = batch.slice(a, z - a)
+                if r[a] != block:
+                    block, held, index = r[a], [], None
+                if is_row[a]:
+                    held.append(part)
+                elif held or index:
+                    index, held = index or built(held), []
+                    got = [index.search(_number(c), k) for c in part.column("code").to_pylist()]
+                    n = [len(g[0]) for g in got]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(part.column("q").to_numpy(), n)), pa.array(np.repeat(part.column("id").to_numpy(), n)),
+                         pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]).astype(np.int32))], schema=FOUND)
     return run
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES,
-           bits: int = 64) -> DataFrame:
-    """rows, queries: id and code of so many bits. query_id, rank, neighbor_id, distance."""
-    n, q = rows.count(), queries.count()
-    rb, qb = max(1, -(-n // block_rows)), max(1, -(-q // block_queries))
-    # each task has one row block and one query block; both are dealt by hash
-    left = rows.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(rb))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long"))))
-    right = queries.withColumn("q", F.pmod(F.xxhash64("id", F.lit("q")), F.lit(qb))).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rb - 1).cast("long"))))
-    near = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(
-        _search_block(k, bits), "query_id long, neighbor_id long, distance int")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
+def search(rows: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, bits: int = 64) -> DataFrame:
+    """rows, queries: id and code of so many bits. query_id, rank, neighbor_id,
+    distance; k rows (or as many as there are) for every row of ``queries``."""
+    n = rows.count()
+    blocks = max(1, -(-n // block_rows), min(C.shuffle_partitions(rows.sparkSession), -(-n // 1000)))
+    asked = C.written(queries.select("id", "code").withColumn("q", F.monotonically_increasing_id()), "topk-queries")
+    left = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("r"), F.lit(None).cast("long").alias("q"), "id", "code")
+    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("r"), "q", "id", "code")
+    near = left.unionByName(right).repartition(blocks, "r").sortWithinPartitions("r", F.col("q").asc_nulls_first()) \
+        .mapInArrow(_search_blocks(k, bits), "q long, query_id long, neighbor_id long, distance int")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "neighbor_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
 
 
@@ -149,15 +168,17 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH c AS (
-  SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
-  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64
+WITH n AS (
+  SELECT len(embedding) AS n FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1
+), c AS (
+  SELECT row_number() OVER () AS place, vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = (SELECT n FROM n)
 ), p AS (
-  SELECT q.id AS query_id, r.id AS neighbor_id,
+  SELECT q.place, q.id AS query_id, r.id AS neighbor_id,
          CAST(list_sum(list_transform(list_zip(q.bits, r.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
   FROM c q, c r WHERE q.id % 20 = 0
 ), k AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM p
+  SELECT *, CAST(row_number() OVER (PARTITION BY place ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM p
 )
 SELECT query_id, rank, neighbor_id, distance FROM k WHERE rank <= 10
 """

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolloutlens.llm import topk as K
@@ -28,14 +29,29 @@ def test_results_equal_all_distances(spark, k, blocks):
     rows += [(500 + i, centres[0]) for i in range(100)]  # one very common code: ties by id
     rows += [(900, 0), (900, 0), (901, 2**64 - 1)]  # a repeated row
     df = spark.createDataFrame([(i, signed(c)) for i, c in rows], "id long, code long").repartition(3)
-    got = K.search(df, df.where("id % 20 = 0"), k, block_rows=blocks, block_queries=15)
+    got = K.search(df, df.where("id % 20 = 0"), k, block_rows=blocks)
     queries = [(i, c) for i, c in rows if i % 20 == 0]
-    if blocks == 1000 and k != 600:
-        got_rows = sorted(map(tuple, got.where("query_id <> 900").collect()))
-        assert got_rows == plain(rows, [x for x in queries if x[0] != 900], k)
-    else:
-        assert {r["query_id"] for r in got.collect()} == {q for q, _ in queries}
-        assert sorted(map(tuple, got.where("query_id <> 900").collect())) == plain(rows, [x for x in queries if x[0] != 900], k)
+    assert sorted(map(tuple, got.collect())) == plain(rows, queries, k)
+
+
+def test_repeated_query_rows_have_their_own_neighbours(spark, tmp_path):
+    bits = [([1.0] * n + [-1.0] * (64 - n)) for n in range(65)]
+    rows = [(0, bits[5]), (0, bits[5]), (1, bits[4]), (2, bits[7]), (3, bits[1]), (20, bits[40]), (20, bits[60])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    codes = [(i, sum(1 << b for b, x in enumerate(v) if x > 0)) for i, v in rows]
+    got = sorted(map(tuple, K.query(spark, str(tmp_path)).collect()))
+    assert got == plain(codes, [c for c in codes if c[0] % 20 == 0], K.K)
+    assert [g[2] for g in got if g[0] == 0 and g[1] <= 3] == [0, 0, 0, 0, 1, 1]
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert sorted(con.execute(K.SQL).fetchall()) == got
+
+
+def test_rows_are_shuffled_once_and_queries_per_block(spark):
+    df = spark.range(3000).select("id", F.xxhash64("id").alias("code"))
+    plan = K.search(df, df.where("id % 20 = 0"), 3, block_rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(r#") == 1 and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_search_stops_early_on_near_codes():
