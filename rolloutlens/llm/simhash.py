@@ -323,10 +323,23 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     plan = {"groups": groups, "n": n, "p": sums / n, "frequent": frequent, "max_bits": max_bits,
             "salts": [{v: -(-c // BUCKET) for v, c in f.items() if c > BUCKET} for f in frequent]}
     keys = distinct.select("fp").mapInArrow(functools.partial(_keys, plan), "part int, value long, salt int, probe int, fp long")
+    if n // FREQUENT > BUCKET:  # values too many to name on the driver can fill more than a bucket
+        keys = _split(keys, count.where((F.col("n") > BUCKET) & (F.col("n") <= max(8, n // FREQUENT))))
     return (keys.repartition("part", "value", "salt").sortWithinPartitions("part", "value", "salt", "probe")
             .mapInArrow(functools.partial(_verify, max_bits), "a long, b long").distinct())
 
 
+def _split(keys: DataFrame, large: DataFrame) -> DataFrame:
+    """Keys of the values of ``large`` (part, value, n; a row per value, met by
+    a join) over as many salts as they fill buckets: each index entry in
+    one, each probe in all."""
+    salts = large.select("part", "value", F.ceil(F.col("n") / BUCKET).cast("int").alias("salts"))
+    mixed = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
+    own = F.when(F.col("salts").isNull(), F.array("salt")).when(F.col("probe") == 0, F.array(mixed)) \
+        .otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    return keys.join(salts, ["part", "value"], "left").withColumn("salt", F.explode(own)).select("part", "value", "salt", "probe", "fp")
+
+
 def _packed(group: list[int]):
     return functools.reduce(lambda x, y: x.bitwiseOR(y), [
         F.shiftleft(F.shiftrightunsigned(F.col("fp"), bit).bitwiseAND(F.lit(1).cast("long")), j) for j, bit in enumerate(group)])

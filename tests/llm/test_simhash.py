@@ -76,8 +76,13 @@ def test_links_reach_every_pair(spark, bits):
     assert {c: root(c) for c in codes} == want
 
 
-def test_hot_values_are_salted_without_loss(spark, monkeypatch):
+@pytest.mark.parametrize("frequent", [2000, 2, 1])
+def test_hot_values_are_salted_without_loss(spark, monkeypatch, frequent):
+    """Values over a bucket are split whether the driver names them (frequent) or a join does."""
     monkeypatch.setattr(S, "BUCKET", 16)
+    monkeypatch.setattr(S, "FREQUENT", frequent)
+    split = []
+    monkeypatch.setattr(S, "_split", lambda k, c, f=S._split: split.append(1) or f(k, c))
     rng = random.Random(9)
     base = rng.getrandbits(64)
     codes = {base}
@@ -94,6 +99,19 @@ def test_hot_values_are_salted_without_loss(spark, monkeypatch):
     signed = [c - 2**64 if c >= 2**63 else c for c in codes]
     up = plain_components([(s, s % 2**64) for s in signed], 2)
     assert {s: comp.get(s, s) for s in signed} == up
+    assert bool(split) == (frequent < 20)
+
+
+def test_split_puts_entries_apart_and_probes_everywhere(spark, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET", 10)
+    keys = spark.createDataFrame([(0, 5, 0, probe, fp) for probe in (0, 1) for fp in range(95)] + [(0, 6, 0, 0, 1), (1, 5, 3, 1, 2)],
+                                 "part int, value long, salt int, probe int, fp long")
+    got = S._split(keys, spark.createDataFrame([(0, 5, 95)], "part int, value long, n long")).collect()
+    entries = [r for r in got if r["value"] == 5 and r["part"] == 0 and r["probe"] == 0]
+    assert sorted(r["fp"] for r in entries) == list(range(95)) and {r["salt"] for r in entries} == set(range(10))
+    probes = [(r["fp"], r["salt"]) for r in got if r["value"] == 5 and r["part"] == 0 and r["probe"] == 1]
+    assert sorted(probes) == [(f, s) for f in range(95) for s in range(10)]
+    assert sorted(tuple(r) for r in got if (r["part"], r["value"]) != (0, 5)) == [(0, 6, 0, 0, 1), (1, 5, 3, 1, 2)]
 
 
 def test_thresholds_cover_the_distance():
