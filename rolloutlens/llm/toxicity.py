@@ -288,11 +288,13 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 def _keep_batches(model: dict, text_col: str, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     s = Scorer(model)
     for b in C.sliced(batches):
-        yield b.filter(pa.array(s.score(C.texts(b, text_col)) < threshold, pa.bool_()))
+        clean = (s.score(C.texts(b, text_col)) < threshold) | b.column(text_col).is_null().to_numpy(zero_copy_only=False)
+        yield b.filter(pa.array(clean, pa.bool_()))
 
 
 def keep_clean(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The input's rows and columns without the documents scored as toxic."""
+    """The input's rows and columns without the documents scored as toxic. A
+    null text holds nothing toxic and stays, whatever the score of the empty text."""
     return docs.mapInArrow(functools.partial(_keep_batches, model, text_col, threshold), docs.schema)
 
 

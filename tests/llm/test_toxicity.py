@@ -96,4 +96,12 @@ def test_stage_keeps_schema_and_clean_rows(edges, model):
     got = X.keep_clean(edges, model)
     s = X.Scorer(model)
     assert got.schema == edges.schema
-    assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(str(i) for i, t in EDGES if s.score([t or ""])[0] < X.THRESHOLD)
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(str(i) for i, t in EDGES if t is None or s.score([t or ""])[0] < X.THRESHOLD)
+
+
+def test_null_texts_stay_whatever_the_labels(documents, spark):
+    """All labels 1: the empty text is scored as toxic, the null text is kept by rule."""
+    docs = documents([(1, None), (2, "any words"), (3, ""), (None, None)])
+    m = X.fit(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"))
+    assert m["rate"] == 1.0
+    assert [(r["doc_id"], r["text"]) for r in X.keep_clean(docs, m).orderBy("doc_id").collect()] == [(None, None), (1, None)]
