@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 
 from rolloutlens.llm import common as C
 from rolloutlens.llm import fingerprint as G
@@ -49,7 +50,7 @@ def test_likeness_estimates_the_jaccard_index():
 
 
 def plain(rows):
-    rows = sorted((C.LAST_ID if i is None else i, t or "") for i, t in rows)
+    rows = sorted(((C.LAST_ID if i is None else i, t or "") for i, t in rows), key=lambda r: (r[0], (xxhash.xxh64(r[1].encode(), 42).intdigest() + 2**63) % 2**64))
     out = []
     for k, (i, t) in enumerate(rows):
         nxt = rows[(k + 1) % len(rows)][1]
@@ -84,3 +85,11 @@ def test_document_table_edits_are_near_and_successors_are_not(spark):
     near = sorted(r["near_edited"] for r in got)
     after = sorted(r["near_next"] for r in got)
     assert near[len(near) // 20] > 0.4 and after[len(after) * 9 // 10] < 0.1
+
+
+def test_a_hot_id_fills_many_ranges(documents, spark):
+    rows = [(7, f"text number {k} of one and the same id") for k in range(600)] + [(k, f"other {k}") for k in range(300)] + [(None, f"null {k}") for k in range(300)]
+    from pyspark.sql import functions as F
+    dealt = G.ranges(documents(rows)).where("ahead = 0").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert len(dealt) > 4 and max(r["n"] for r in dealt) < 500 and sum(r["n"] for r in dealt) == len(rows)
+    assert sorted(map(tuple, G.fingerprints(documents(rows)).collect())) == plain(rows)
