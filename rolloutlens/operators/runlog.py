@@ -1,11 +1,14 @@
 """Run-log analytics (L1-L5, W3, U3): log lines -> metric series.
 
-A run log is read line by line (S7): (run, file, block, seq, line). A point
-is a metric line that a fixed marker line follows, so every line only needs
-the two lines before it (``seq`` counts up by one inside a split). They come from a window inside each split of a file,
-whose first lines get the last two of the split before as ghosts; no task
-holds a whole run. Points are numbered by row numbers inside splits plus the
-counts of earlier splits (one row per split).
+A run log is read line by line (S7): (run, file, block, seq, line); ``seq``
+counts up by one inside a split of a file. A point is a metric line that a fixed
+marker line follows. The text is scanned once: of every split only the lines
+that may be part of a point are kept, as numbers and flags (a few per cent of
+the text), in one row with the split's first and last place. That table is
+written. What follows works on it: neighbouring lines are neighbours in the
+row, the last two lines of a split are handed to the next one through a table
+of a row per split, and points are numbered by the counts of earlier splits. No
+task holds a whole run, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -14,11 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import materialize
 from . import ordered
 
 # --- fixed values: the trainer's log lines and the patterns that read them ---
 CYCLE_BANNER = "=== 开始新的迭代周期 ==="
-_M = "平均正确率：(.*?)，多数投票正确率：(.*?)，平均奖励：(.*?)，平均长度：(.*?)"
+METRIC_PREFIX = "平均正确率："
+_M = METRIC_PREFIX + "(.*?)，多数投票正确率：(.*?)，平均奖励：(.*?)，平均长度：(.*?)"
 TRAIN_POINTS = _M + r"\n已写入.*?条样本到缓冲区"
 INITIAL_TEST_POINTS = _M + r"\n\n=== 开始新的迭代周期 ==="
 CYCLE_TEST_POINTS = _M + r"\n周期完成"
@@ -36,52 +41,86 @@ SERIES = (  # (name, phase, value)
 FIELDS = ("acc", "major", "reward", "length")
 
 
-def _before(lines: DataFrame) -> DataFrame:
-    """Add ``p1`` and ``p2``, the lines one and two before in the same file."""
-    key = ["run", "file", "block"]
-    # a row per split; its last two lines are those that end the count
-    splits = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("seq").alias("_end"))
-    tails = lines.join(splits.select(*key, "_end"), key).where("seq >= _end - 1").withColumn("_r", F.expr("_end - seq + 1"))
-    order = Window.partitionBy("run", "file").orderBy("block")
-    after = splits.select(*key, F.lead("block").over(order).alias("_next"), F.lead("_n").over(order).alias("_lines"),
-                          F.lead("block", 2).over(order).alias("_second"))
-    # a last line also passes over a following split of a single line
-    to = F.filter(F.array(F.struct(F.col("_next").alias("block"), (-F.col("_r")).cast("long").alias("seq")),
-                          F.when((F.col("_r") == 1) & (F.col("_lines") == 1),
-                                 F.struct(F.col("_second").alias("block"), F.lit(-2).cast("long").alias("seq")))),
-                  lambda x: x["block"].isNotNull())
-    ghosts = tails.join(after, key).select("run", "file", F.explode(to).alias("_to"), "line") \
-        .select("run", "file", "_to.block", "_to.seq", "line", F.lit(True).alias("_ghost"))
-    w = Window.partitionBy(*key).orderBy("seq")
-    d = lines.select("run", "file", "block", "seq", "line", F.lit(False).alias("_ghost")).unionByName(ghosts)
-    return (d.withColumn("p1", F.lag("line", 1).over(w)).withColumn("p2", F.lag("line", 2).over(w))
-             .where(~F.col("_ghost")).drop("_ghost"))
+SPLIT = ["run", "file", "block"]
+WRITTEN, BANNER, DONE, BLANK = range(4)
+
+
+def split_records(lines: DataFrame) -> DataFrame:
+    """A row per split: run, file, block, first, last (seq of its lines) and
+    ``recs``, its lines that may be part of a point, in order: seq, mark (what
+    follows a point), metric (whether it is a metric line) and its numbers.
+    One scan; a split is read by one task, so its row is made before the shuffle."""
+    line = F.col("line")
+    mark = (F.when(line == "", BLANK).when(F.startswith(line, F.lit(CYCLE_BANNER)), BANNER)
+             .when(F.startswith(line, F.lit(CYCLE_DONE)), DONE).when(line.rlike(WRITTEN_LINE), WRITTEN))
+    is_metric = F.contains(line, F.lit(METRIC_PREFIX)) & line.rlike("(?d)" + METRIC_LINE)
+    d = lines.select(*SPLIT, "seq", "line", mark.alias("mark"), is_metric.alias("metric"))
+    rec = F.struct("seq", "mark", "metric", *[F.when(F.col("metric"), m).alias(f) for f, m in zip(FIELDS, _metrics(line))])
+    return d.groupBy(*SPLIT).agg(F.min("seq").alias("first"), F.max("seq").alias("last"),
+                                 F.sort_array(F.collect_list(F.when(F.col("mark").isNotNull() | F.col("metric"), rec))).alias("recs"))
 
 
 def _metrics(line: Column) -> list[Column]:
     return [F.regexp_extract(line, "(?d)" + METRIC_LINE, i).try_cast("double").alias(f) for i, f in enumerate(FIELDS, 1)]
 
 
+def _with_tails(splits: DataFrame) -> DataFrame:
+    """``recs`` of every split after those of the last two lines before it,
+    which get the places that they would have in this split."""
+    tail = F.filter("recs", lambda r: r["seq"] >= F.col("last") - 1)
+    t = splits.select(*SPLIT, "first", "last", (F.col("last") - F.col("first") + 1).alias("n"), tail.alias("tail"))
+    w = Window.partitionBy("run", "file").orderBy("block")  # a row per split
+    for c in ("last", "n", "tail"):
+        t = t.withColumn(f"{c}1", F.lag(c).over(w))
+    for c in ("last", "tail"):
+        t = t.withColumn(f"{c}2", F.lag(c, 2).over(w))
+
+    def moved(tail, last, back):
+        return F.transform(tail, lambda r: r.withField("seq", F.col("first") - back - (F.col(last) - r["seq"])))
+    none = F.filter("tail", lambda r: F.lit(False))
+    one = F.coalesce(moved(F.col("tail1"), "last1", 1), none)
+    two = F.when(F.col("n1") == 1, moved(F.filter("tail2", lambda r: r["seq"] == F.col("last2")), "last2", 2))  # a split of one line before
+    ghosts = t.select(*SPLIT, F.sort_array(F.concat(one, F.coalesce(two, none))).alias("ghosts"))
+    return splits.join(ghosts, SPLIT).select(*SPLIT, "first", F.concat("ghosts", "recs").alias("recs"))
+
+
+def _points(recs: str) -> Column:
+    """The points that end in a split: part (0 after L1's marker, 1 L2's, 2 L3's) and the numbers."""
+    def point(r, p, q):
+        after_one = (p["seq"] == r["seq"] - 1) & p["metric"]
+        after_two = (p["seq"] == r["seq"] - 1) & (p["mark"] == BLANK) & (q["seq"] == r["seq"] - 2) & q["metric"]
+        part = F.when((r["mark"] == WRITTEN) & after_one, 0).when((r["mark"] == BANNER) & after_two, 1).when((r["mark"] == DONE) & after_one, 2)
+        part = F.when(r["seq"] >= F.col("first"), part)  # the lines before made theirs in their own split
+        return F.struct(part.alias("part"), *[F.when(r["mark"] == BANNER, q[f]).otherwise(p[f]).alias(f) for f in FIELDS])
+    # side by side with the list one and two places later: no element is looked up by its place, which would cost the list each time
+    r = F.col(recs)
+    later = lambda k: F.concat(*[F.transform(F.slice(recs, 1, 1), lambda x: F.when(F.lit(False), x))] * k, r)
+    two = F.zip_with(r, later(1), lambda r, p: F.struct(r.alias("r"), p.alias("p")))
+    return F.filter(F.zip_with(two, later(2), lambda x, q: point(x["r"], x["p"], q)), lambda x: x["part"].isNotNull())
+
+
 def log_points(lines: DataFrame) -> DataFrame:
     """L1-L3 + U3: (run, phase, point, acc, major, reward, length).
 
     train = L1: a metric line before a "written" line. test = L2 (before a
     blank line and the cycle banner) and then L3 (before a "cycle done" line),
     the point number counting on across both parts (U3)."""
-    d = _before(lines)
-    metric = lambda c: F.col(c).rlike("(?d)" + METRIC_LINE)
-    part = (F.when(F.col("line").rlike(WRITTEN_LINE) & metric("p1"), 0)
-             .when(F.startswith("line", F.lit(CYCLE_BANNER)) & (F.col("p1") == "") & metric("p2"), 1)
-             .when(F.startswith("line", F.lit(CYCLE_DONE)) & metric("p1"), 2))
-    d = d.withColumn("_part", part).where("_part is not null")
-    d = d.select("run", "file", "block", "seq", "_part", F.when(F.col("_part") == 0, "train").otherwise("test").alias("phase"),
-                 *_metrics(F.when(F.col("_part") == 1, F.col("p2")).otherwise(F.col("p1"))))
-    cell = ["run", "phase", "_part", "file", "block"]
-    counts = d.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("run", "phase").orderBy("_part", "file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy("seq"))
-    return d.join(starts, cell).select("run", "phase", (F.col("_start") + place - 1).cast("long").alias("point"), *FIELDS)
+    splits = materialize(split_records(lines), "log-splits")
+    d = materialize(_with_tails(splits).select(*SPLIT, _points("recs").alias("points")).where(F.size("points") > 0), "log-points")
+    def count(part):
+        return F.size(F.filter("points", lambda x: x["part"] == part)).cast("long")
+    counts = d.select(*SPLIT, *[count(k).alias(f"n{k}") for k in range(3)])  # a row per split
+    run = Window.partitionBy("run")
+    before = run.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    start = [F.coalesce(F.sum(f"n{k}").over(before), F.lit(0)) for k in range(3)]
+    starts = counts.select(*SPLIT, start[0].alias("s0"), start[1].alias("s1"), (start[2] + F.sum("n1").over(run)).alias("s2"))
+    numbered = d.join(starts, SPLIT)
+    def numbers(k):
+        return F.transform(F.filter("points", lambda x: x["part"] == k), lambda x, i: x.withField("point", F.col(f"s{k}") + i))
+    parts = F.concat(*map(numbers, range(3)))
+    p = numbered.select("run", F.explode(parts).alias("p"))
+    return p.select("run", F.when(F.col("p.part") == 0, "train").otherwise("test").alias("phase"),
+                    F.col("p.point").cast("long").alias("point"), *[F.col(f"p.{f}").alias(f) for f in FIELDS])
 
 
 def series_long(points: DataFrame, run: str = "run", step: int | None = None) -> DataFrame:
@@ -92,16 +131,10 @@ def series_long(points: DataFrame, run: str = "run", step: int | None = None) ->
         C.NUM_DEVICES * C.PER_DEVICE_BATCH * C.GRAD_ACCUM)
     value = {"format": F.col("reward") - F.col("acc"), "acc": F.col("acc"),
              "major": F.col("major"), "length": F.col("length")}
-    per_phase = {}
-    for name, phase, v in SERIES:
-        per_phase.setdefault(phase, []).append(F.struct(F.lit(name).alias("series"), value[v].alias("value")))
-    out = None
-    for phase, structs in per_phase.items():
-        x = (points.filter(F.col("phase") == phase)
-                   .select(run, "point", F.explode(F.array(*structs)).alias("s"))
-                   .select(run, "s.series", "point", (F.col("point") * step).alias("step"), "s.value"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    of = {phase: F.array(*[F.struct(F.lit(name).alias("series"), value[v].alias("value")) for name, p, v in SERIES if p == phase])
+          for phase in ("train", "test")}
+    x = points.select(run, "point", F.explode(F.when(F.col("phase") == "train", of["train"]).otherwise(of["test"])).alias("s"))
+    return x.select(run, "s.series", "point", (F.col("point") * step).alias("step"), "s.value")
 
 
 def rolling_mean(df: DataFrame, keys, point: str = "point", value: str = "value",

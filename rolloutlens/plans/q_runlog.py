@@ -25,7 +25,7 @@ def _f6(x):
 ACC, MAJ = "((value % 10) / 10)", "((user_id % 10) / 10.0)"
 LENGTH = "CASE WHEN event_id % 50 = 7 THEN 'n/a' ELSE printf('%.6f', value * 3) END"
 N = "CAST(256 + event_id % 7 AS VARCHAR)"
-LOGS = f"""ev AS (SELECT event_type || '-' || CAST(event_id // 1024 AS VARCHAR) AS run, event_id, user_id, value FROM events),
+LOGS = f"""ev AS (SELECT event_type || '-' || CAST(event_id // 16384 AS VARCHAR) AS run, event_id, user_id, value FROM events),
 lines AS (
   SELECT run, -1 AS k1, 0 AS k2, {_m('v / 100', 'v / 200', 'v / 50', _f6('v'))} AS line
   FROM (SELECT run, avg(value) AS v FROM ev GROUP BY run)

@@ -190,7 +190,7 @@ def train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``run_log`` lines derived from ``events``: a run per event type and
-    1,024 events, so runs grow in number with the data; one cycle per event
+    16,384 events, so runs grow in number with the data; one cycle per event
     (banner, batch line with record count, final train line, written line,
     test line, cycle-done line), after an initial test line. Every 50th event
     logs no number as its length, which reads as NULL.
@@ -200,7 +200,7 @@ def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import runlog as RL
 
     e = read_table(spark, sf_dir, "events").select(
-        F.concat("event_type", F.lit("-"), F.expr("event_id div 1024").cast("string")).alias("run"), "event_id", "user_id", "value")
+        F.concat("event_type", F.lit("-"), F.expr("event_id div 16384").cast("string")).alias("run"), "event_id", "user_id", "value")
 
     def f6(c):
         return F.format_string("%.6f", c)

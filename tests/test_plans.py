@@ -56,3 +56,17 @@ def test_group_work_has_no_unpartitioned_window(spark):
         specs = _window_partition_specs(plan)
         assert specs, name
         assert all(s.strip() for s in specs), (name, specs)
+
+
+def test_run_logs_are_scanned_once(spark, monkeypatch):
+    """The text is read by the one plan that makes the table of splits; it
+    moves only that table, and all later plans read what is written."""
+    from rolloutlens.operators import runlog as RL
+    plans = []
+    monkeypatch.setattr(RL, "materialize", lambda d, name, f=RL.materialize: plans.append(_plan(d)) or f(d, name))
+    for name in ("l1_train_points", "l2_l3_test_points", "l4_l5_metric_series", "w3_rolling_mean"):
+        plans.clear()
+        plans.append(_plan(QUERIES[name](spark, SF_SMALL)))
+        made = [p for p in plans if "FileScan text" in p]
+        assert len(made) == 1 and made[0].count("FileScan text") == 1 and made[0].count("Exchange") == 1, name
+        assert sum(p.count("Exchange") for p in plans) <= 12, name
