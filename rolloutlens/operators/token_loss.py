@@ -8,7 +8,7 @@ so a large batch is reduced map-side before its one shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -65,3 +65,44 @@ def interval_metrics(metrics: DataFrame, keys=("run", "log_step")) -> DataFrame:
     """Average every metric over its log interval (then reset)."""
     return metrics.groupBy(*keys, "metric").agg(F.avg("value").alias("value"),
                                                 F.count(F.lit(1)).alias("n"))
+
+
+def chunk_state(logits: Column, offset: Column, target: Column) -> Column:
+    """What a chunk of a position's logits adds to its log-softmax: the chunk's
+    maximum, the sum of exp(x - maximum), and the target's logit if it is here."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.when(x == F.lit(float("-inf")), 0.0).otherwise(F.exp(x - top)))
+    here = (target >= offset) & (target < offset + F.size(logits))
+    return F.struct(top.alias("top"), total.alias("total"), F.when(here, F.get(logits, (target - offset).cast("int"))).alias("hit"))
+
+
+def merged_logp(states: Column) -> Column:
+    """log softmax at the target from the states of all chunks of a position,
+    in any order: the sums are scaled to the common maximum as they meet."""
+    def merge(a, s):
+        top = F.greatest(a["top"], s["top"])
+        scaled = lambda x: F.when(x["total"] > 0, x["total"] * F.exp(x["top"] - top)).otherwise(F.lit(0.0))
+        return F.struct(top.alias("top"), (scaled(a) + scaled(s)).alias("total"), F.coalesce(a["hit"], s["hit"]).alias("hit"))
+    start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("total"), F.lit(None).cast("double").alias("hit"))
+    return F.aggregate(states, start, merge, lambda a: F.when(a["total"] > 0, a["hit"] - a["top"] - F.log(a["total"])))
+
+
+def per_token_logps(chunks: DataFrame, sequences: DataFrame | None = None, key: str = "seq_id") -> DataFrame:
+    """T4 for every token: (key, pos, logp), the log-probability of token pos + 1
+    after the tokens up to pos, from stored logits of T positions and V ids.
+
+    ``chunks``: key, pos, offset, logits (the ids offset, offset + 1 ...): a
+    position's logits may span any number of rows, so a row need not hold a
+    whole vocabulary. The target is the column ``target`` of the chunks, or
+    else token pos + 1 of ``sequences`` (key, input_ids). Every chunk is
+    reduced to three numbers before the shuffle; a position's states are as
+    many as its chunks. Ids that are masked out (logit -inf) add nothing; a
+    target outside the chunks, or without a logit, gives NULL."""
+    d = chunks
+    if sequences is not None:
+        d = d.join(sequences.select(key, "input_ids"), key)
+        d = d.withColumn("target", F.get("input_ids", (F.col("pos") + 1).cast("int"))).where(F.col("pos") + 1 < F.size("input_ids"))
+    doubles = F.transform("logits", lambda x: x.cast("double"))
+    d = d.where(F.size("logits") > 0).select(key, "pos", "offset", "target", doubles.alias("logits"))
+    d = d.select(key, "pos", chunk_state(F.col("logits"), F.col("offset"), F.col("target")).alias("state"))
+    return d.groupBy(key, "pos").agg(F.collect_list("state").alias("states")).select(key, "pos", merged_logp(F.col("states")).alias("logp"))

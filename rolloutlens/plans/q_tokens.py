@@ -52,6 +52,19 @@ def t4_log_softmax_gather(spark, sf_dir):
     return lg.select("seq_id", r9(TK.log_softmax_gather(F.col("logits"), F.col("target"))).alias("logp"))
 
 
+@register("t4_per_token_logps", """WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x,
+         list_transform(embedding[1:9], lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 50) % 64 AS INTEGER)) AS ids FROM embeddings),
+p AS (SELECT vec_id, ids, pos, list_transform(list_concat(x[pos * 8 + 1:], x[1:pos * 8]), lambda v: v * (1 + pos / 8)) AS l
+      FROM e, range(0, 8) AS t(pos))
+SELECT vec_id AS seq_id, CAST(pos AS INTEGER) AS pos,
+       """ + O.r9("l[ids[pos + 2] + 1] - list_max(l) - ln(list_sum(list_transform(l, lambda v: exp(v - list_max(l)))))") + """ AS logp FROM p""")
+def t4_per_token_logps(spark, sf_dir):
+    """T4 for every token of a sequence, its logits spread over rows of 24 ids."""
+    d = TL.per_token_logps(FX.logit_chunks(spark, sf_dir), FX.token_sequences(spark, sf_dir))
+    return d.select("seq_id", "pos", r9("logp").alias("logp"))
+
+
 @register("t5_pad_truncate", f"""WITH {SEQ}, t AS (
   SELECT seq_id, list_transform(range(1, 71), lambda i: coalesce(logp[i], 0.0)) AS a,
          list_transform(range(1, 33), lambda i: coalesce(logp[i], 0.0)) AS b FROM sequences)

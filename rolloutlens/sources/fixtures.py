@@ -127,6 +127,26 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("label").alias("target"))
 
 
+POSITIONS, VOCABULARY = 8, 64
+
+
+def token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``seq_id`` and ``input_ids`` (nine ids below 64) of every embedding."""
+    return _embedding_rows(spark, sf_dir).select(F.col("vec_id").alias("seq_id"), F.transform(
+        F.slice("x", 1, POSITIONS + 1), lambda v: (F.floor(F.abs(v) * 50) % VOCABULARY).cast("int")).alias("input_ids"))
+
+
+def logit_chunks(spark: SparkSession, sf_dir: str, width: int = 24) -> DataFrame:
+    """Logits of eight positions and 64 ids per embedding, ``width`` ids to a
+    row: seq_id, pos, offset, logits. Position p's are the vector, turned by 8 p
+    places and scaled by 1 + p / 8."""
+    e = _embedding_rows(spark, sf_dir).select(F.col("vec_id").alias("seq_id"), "x", F.explode(F.sequence(F.lit(0), F.lit(POSITIONS - 1))).alias("pos"))
+    turned = F.concat(F.slice("x", F.col("pos") * 8 + 1, F.lit(VOCABULARY)), F.slice("x", F.lit(1), F.col("pos") * 8))
+    e = e.select("seq_id", "pos", F.transform(turned, lambda v: v * (1 + F.col("pos") / 8)).alias("x"))
+    e = e.select("seq_id", "pos", "x", F.explode(F.sequence(F.lit(0), F.lit(VOCABULARY - 1), F.lit(width))).alias("offset"))
+    return e.select("seq_id", "pos", "offset", F.slice("x", F.col("offset") + 1, F.lit(width)).alias("logits"))
+
+
 def problems_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``problems_test`` from ``benchmark``: problem text and answer."""
     b = read_table(spark, sf_dir, "benchmark")
