@@ -28,9 +28,9 @@ CANON_STEPS = (
 )
 THOUSANDS = r"^[+-]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?\z"
 PLAIN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z"
-FRAC = r"^([+-]?)\\frac\{([+-]?)([0-9]{1,15})\}\{([+-]?)([0-9]{1,15})\}\z"
-SLASH = r"^([+-]?)()([0-9]{1,15})/([+-]?)([0-9]{1,15})\z"
-DECIMAL = r"^(-?)([0-9]{1,9})(?:\.([0-9]{1,6}))?\z"
+FRAC = r"^([+-]?)\\frac\{([+-]?)([0-9]{1,19})\}\{([+-]?)([0-9]{1,19})\}\z"
+SLASH = r"^([+-]?)()([0-9]{1,19})/([+-]?)([0-9]{1,19})\z"
+DECIMAL = r"^(-?)([0-9]{1,19})(?:\.([0-9]{1,18}))?\z"
 FORMAT = r"(?s)^<think>\n.*?\n</think>\n<answer>\n.*?\n</answer>\n?\z"
 STEPS = r"(Step \p{Nd}+:|^\p{Nd}+\.|\n-|\n\*|First,|Second,|Next,|Finally,)"
 CODE_BLOCK = r"(?s)```python\n(.*?)```"
@@ -109,14 +109,14 @@ def num_den(c: str) -> tuple[str, str]:
         minus = " + ".join(f"CAST({g(p, i)} = '-' AS INTEGER)" for i in (1, 2, 4))
         return f"TRY_CAST(CASE WHEN ({minus}) % 2 = 1 THEN '-' ELSE '' END || {g(p, 3)} AS {dec})"
 
-    dec = "DECIMAL(18,0)"
+    dec = "DECIMAL(19,0)"  # products fill the 38 digits of a DECIMAL
     num = (f"CASE WHEN regexp_matches({c}, {lit(FRAC)}) THEN {signed(FRAC)} "
            f"WHEN regexp_matches({c}, {lit(SLASH)}) THEN {signed(SLASH)} "
            f"WHEN regexp_matches({c}, {lit(DECIMAL)}) THEN TRY_CAST({g(DECIMAL, 1)} || {g(DECIMAL, 2)} "
-           f"|| rpad({g(DECIMAL, 3)}, 6, '0') AS {dec}) END")
+           f"|| {g(DECIMAL, 3)} AS {dec}) END")
     den = (f"CASE WHEN regexp_matches({c}, {lit(FRAC)}) THEN TRY_CAST({g(FRAC, 5)} AS {dec}) "
            f"WHEN regexp_matches({c}, {lit(SLASH)}) THEN TRY_CAST({g(SLASH, 5)} AS {dec}) "
-           f"WHEN regexp_matches({c}, {lit(DECIMAL)}) THEN CAST(1000000 AS {dec}) END")
+           f"WHEN regexp_matches({c}, {lit(DECIMAL)}) THEN TRY_CAST(rpad('1', 1 + CAST(length({g(DECIMAL, 3)}) AS INTEGER), '0') AS {dec}) END")
     return num, den
 
 
@@ -188,6 +188,19 @@ ROLLOUTS_EVENTS = f"""rollouts AS (
                    || {_boxed("ans")} || {lit(chr(10) + "</answer>")} END AS content
   FROM (SELECT *, CAST(CAST(floor(value) AS BIGINT) % 3 AS VARCHAR) AS ans FROM events))"""
 
+def _wide_form(form: str, n: str) -> str:
+    """Number ``n`` (up to 19 digits) written in one of eight forms; the last two are n / 1000."""
+    forms = [f"CAST({n} AS VARCHAR)", f"'{BS}frac{{' || {n} || '}}{{1}}'", f"'-{BS}dfrac{{' || {n} || '}}{{-1}}'", f"{n} || '/1'",
+             f"format('{{:,}}', {n})", f"{n} || '.0'", f"'{BS}frac{{' || {n} || '}}{{1000}}'",
+             f"({n} // 1000) || '.' || lpad(CAST({n} % 1000 AS VARCHAR), 3, '0')"]
+    return _boxed(f"CASE {form} " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms)) + " END")
+
+
+#: Pairs of answers from the orders; the same rules as ``fixtures.wide_answers``.
+WIDE_ANSWERS = f"""wide0 AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) * 100000000000 + o_orderkey AS n FROM orders),
+wide1 AS (SELECT k, k % 8 AS fa, (k // 8) % 8 AS fb, n, n + CAST(k % 7 = 0 AS BIGINT) AS m FROM wide0),
+rollouts AS (SELECT k AS prompt_idx, 0 AS gen_idx, {_wide_form("fa", "n")} AS content, {_wide_form("fb", "m")} AS gold FROM wide1)"""
+
 
 def scored_ctes(rollouts_cte: str = ROLLOUTS, fmt_weight: float = 1.0, acc_weight: float = 1.0,
                 src: str = "rollouts") -> str:

@@ -47,6 +47,19 @@ def a2_answer_equal(spark, sf_dir):
                     F.col("ans.num").isNotNull().cast("int").alias("numeric"))
 
 
+@register("a2_wide_numbers", f"""WITH {O.scored_ctes(O.WIDE_ANSWERS)}
+SELECT prompt_idx, ans_canon, gold_canon, CAST({O.equal("ans", "gold")} AS INTEGER) AS equal,
+       CAST(ans_num IS NOT NULL AS INTEGER) AS numeric FROM scored""")
+def a2_wide_numbers(spark, sf_dir):
+    """A2 on numbers of 19 digits: whole, decimal, with thousands commas, as
+    fractions of either kind with signs, equal or apart by one."""
+    from ..functions.answers import answers_equal
+    d = S.score(FX.wide_answers(spark, sf_dir))
+    return d.select("prompt_idx", F.col("ans.canon").alias("ans_canon"), F.col("gold_ans.canon").alias("gold_canon"),
+                    answers_equal(F.col("ans"), F.col("gold_ans")).cast("int").alias("equal"),
+                    F.col("ans.num").isNotNull().cast("int").alias("numeric"))
+
+
 @register("a3_accuracy_reward", f"""WITH {DOCS}
 SELECT {K}, acc FROM scored""")
 def a3_accuracy_reward(spark, sf_dir):

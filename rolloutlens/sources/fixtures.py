@@ -82,6 +82,30 @@ def rollouts_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _wide_form(form: Column, n: Column) -> Column:
+    """Number ``n`` (up to 19 digits) written in one of eight forms; the last two are n / 1000."""
+    s = n.cast("string")
+    forms = [s, F.concat(F.lit(BS + "frac{"), s, F.lit("}{1}")), F.concat(F.lit(f"-{BS}dfrac{{"), s, F.lit("}{-1}")), F.concat(s, F.lit("/1")),
+             F.format_number(n.cast("decimal(20,0)"), 0), F.concat(s, F.lit(".0")), F.concat(F.lit(BS + "frac{"), s, F.lit("}{1000}")),
+             F.concat(F.left(s, F.length(s) - 3), F.lit("."), F.right(s, F.lit(3)))]
+    c = F.when(form == 0, forms[0])
+    for i, f in enumerate(forms[1:], 1):
+        c = c.when(form == i, f)
+    return _boxed(c)
+
+
+def wide_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of an answer and a gold label from ``orders``: numbers of 19
+    digits in eight forms each, one in seven pairs apart by one.
+
+    Columns: prompt_idx, gen_idx, gold, content."""
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice")
+    o = o.withColumn("n", F.round(F.col("o_totalprice") * 100).cast("long") * F.lit(10**11) + F.col("k"))
+    m = F.col("n") + (F.col("k") % 7 == 0).cast("long")
+    return o.select(F.col("k").alias("prompt_idx"), F.lit(0).alias("gen_idx"), _wide_form(F.expr("k div 8 % 8"), m).alias("gold"),
+                    _wide_form(F.col("k") % 8, F.col("n")).alias("content"))
+
+
 def ragged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rollouts_ragged``: unordered groups of varying size from lineitem."""
     li = read_table(spark, sf_dir, "lineitem")

@@ -15,3 +15,18 @@ def test_long_numbers_compare_exactly(spark):
     from pyspark.sql import functions as F
     got = {r[0]: r[1] for r in d.select("i", A.answers_equal(F.col("a"), F.col("b"))).collect()}
     assert [got[i] for i in range(len(CASES))] == [want for *_, want in CASES]
+
+
+def test_wide_pairs_are_equal_as_numbers(spark):
+    """The registered wide pairs against Python's fractions."""
+    from fractions import Fraction
+
+    from rolloutlens.plans.catalog import QUERIES
+
+    from .conftest import SF_SMALL
+    rows = {r["o_orderkey"]: round(r["o_totalprice"] * 100) * 10**11 + r["o_orderkey"] for r in spark.read.parquet(f"{SF_SMALL}/orders.parquet").collect()}
+    got = {r["prompt_idx"]: r for r in QUERIES["a2_wide_numbers"](spark, SF_SMALL).collect()}
+    value = lambda n, form: Fraction(n, 1000 if form >= 6 else 1)
+    want = {k: int(value(n, k % 8) == value(n + (k % 7 == 0), k // 8 % 8)) for k, n in rows.items()}
+    assert {k: r["equal"] for k, r in got.items()} == want and set(want.values()) == {0, 1}
+    assert {r["numeric"] for r in got.values()} == {1} and max(len(r["ans_canon"]) for r in got.values()) >= 19
