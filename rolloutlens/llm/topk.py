@@ -11,9 +11,10 @@ exact: no row outside can be nearer or, at equal distance, have a smaller id.
 Rows are dealt into blocks by a hash of the id, so common vectors or sources
 spread evenly, and are shuffled once. A block's rows reach their task first
 and become its index, once; then all queries stream past it in batches, so a
-task holds the index and one batch. There are as many blocks as cores until
-``BLOCK_ROWS`` rows fill one; only the queries are copied per block. The k best
-of every block are merged per query row.
+task holds the index and one batch. A small table has fewer blocks than the
+cluster has partitions; each block is then copied for as many chunks of the
+queries, which does not depend on the number of queries. The k best of every
+block are merged per query row.
 
 The length of the vectors is the most common one of the table (the longer of
 two equally common ones); a code has as many segments as it needs.
@@ -39,6 +40,8 @@ from . import common as C
 K = 10
 #: Most rows of an index block (about 50 bytes each for 64 bits).
 BLOCK_ROWS = 2_000_000
+#: Fewer queries do not make up for an index.
+CHUNK_QUERIES = 64
 QUERY_EVERY = 20
 SEGMENT = 16
 
@@ -149,12 +152,17 @@ def _search_blocks(k: int, bits: int):
 def search(rows: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, bits: int = 64) -> DataFrame:
     """rows, queries: id and code of so many bits. query_id, rank, neighbor_id,
     distance; k rows (or as many as there are) for every row of ``queries``."""
-    n = rows.count()
-    blocks = max(1, -(-n // block_rows), min(C.shuffle_partitions(rows.sparkSession), -(-n // 1000)))
     asked = C.written(queries.select("id", "code").withColumn("q", F.monotonically_increasing_id()), "topk-queries")
-    left = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("r"), F.lit(None).cast("long").alias("q"), "id", "code")
-    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("r"), "q", "id", "code")
-    near = left.unionByName(right).repartition(blocks, "r").sortWithinPartitions("r", F.col("q").asc_nulls_first()) \
+    blocks = max(1, -(-rows.count() // block_rows))
+    chunks = max(1, min(C.shuffle_partitions(rows.sparkSession) // blocks, asked.count() // CHUNK_QUERIES))
+
+    def each(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    block, chunk = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.pmod(F.xxhash64("q"), F.lit(chunks))
+    left = rows.select(block.alias("b"), each(chunks).alias("c"), F.lit(None).cast("long").alias("q"), "id", "code")
+    right = asked.select(each(blocks).alias("b"), chunk.alias("c"), "q", "id", "code")
+    d = left.unionByName(right).select((F.col("b") * chunks + F.col("c")).alias("r"), "q", "id", "code")
+    near = d.repartition(blocks * chunks, "r").sortWithinPartitions("r", F.col("q").asc_nulls_first()) \
         .mapInArrow(_search_blocks(k, bits), "q long, query_id long, neighbor_id long, distance int")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "neighbor_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
