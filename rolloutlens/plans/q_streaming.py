@@ -10,6 +10,7 @@ from ..config import RunConfig
 from ..session import scratch_path
 from ..sources import fixtures as FX
 from ..streaming import collect as ST
+from ..streaming import state as KS
 from . import oracle as O
 from .catalog import r9, register
 from .q_groups import EVENTS, majority_sql
@@ -35,12 +36,15 @@ def _stage(spark, sf_dir):
     return src
 
 
-@register("st1_streaming_buffer", f"""WITH {EVENTS},
+ST1_SQL = f"""WITH {EVENTS},
 adv AS (SELECT *, (reward - mean) / (std + 0.0001) AS advantage
         FROM (SELECT *, avg(reward) OVER (PARTITION BY prompt_idx) AS mean,
                      stddev_pop(reward) OVER (PARTITION BY prompt_idx) AS std FROM scored))
 SELECT prompt_idx, gen_idx, {O.r9('advantage')} AS advantage, reward, gold AS label
-FROM adv WHERE std >= 0.1 AND advantage > 0 AND prompt_idx <> {MISSING[0]}""")
+FROM adv WHERE std >= 0.1 AND advantage > 0 AND prompt_idx <> {MISSING[0]}"""
+
+
+@register("st1_streaming_buffer", ST1_SQL)
 def st1_streaming_buffer(spark, sf_dir):
     """ST1: the streamed buffer equals the batch buffer (F2) of the groups that completed."""
     src = _stage(spark, sf_dir)
@@ -51,9 +55,12 @@ def st1_streaming_buffer(spark, sf_dir):
     return out.select("prompt_idx", "gen_idx", r9("advantage").alias("advantage"), "reward", "label")
 
 
-@register("st1_open_groups", f"""SELECT CAST({MISSING[0]} AS BIGINT) AS prompt_idx, count(*) AS n
+OPEN_SQL = f"""SELECT CAST({MISSING[0]} AS BIGINT) AS prompt_idx, count(*) AS n
 FROM events WHERE event_id // 8 = {MISSING[0]} AND event_id % 8 <> {MISSING[1]} HAVING count(*) > 0
-UNION ALL SELECT event_id // 8, count(*) FROM events WHERE event_id // 8 <> {MISSING[0]} GROUP BY 1 HAVING count(*) < 8""")
+UNION ALL SELECT event_id // 8, count(*) FROM events WHERE event_id // 8 <> {MISSING[0]} GROUP BY 1 HAVING count(*) < 8"""
+
+
+@register("st1_open_groups", OPEN_SQL)
 def st1_open_groups(spark, sf_dir):
     """ST1: groups still open when the stream has ended."""
     src = _stage(spark, sf_dir)
@@ -62,6 +69,24 @@ def st1_open_groups(spark, sf_dir):
     return ST.open_groups(spark, src, sink)
 
 
+@register("st1_keyed_state", ST1_SQL)
+def st1_keyed_state(spark, sf_dir):
+    """ST1 with a map state per group and timers (transformWithState): the same buffer."""
+    src = _stage(spark, sf_dir)
+    sink, ckpt = scratch_path(spark, "st1-sink"), scratch_path(spark, "st1-ckpt")
+    KS.start_collection(spark, src, sink, ckpt, CFG).awaitTermination()
+    return spark.read.parquet(sink).select("prompt_idx", "gen_idx", r9("advantage").alias("advantage"), "reward", "label")
+
+
+@register("st1_open_from_state", OPEN_SQL)
+def st1_open_from_state(spark, sf_dir):
+    """ST1: groups still open when the stream has ended, read from its state alone."""
+    src = _stage(spark, sf_dir)
+    sink, ckpt = scratch_path(spark, "st1-sink"), scratch_path(spark, "st1-ckpt")
+    KS.start_collection(spark, src, sink, ckpt, CFG).awaitTermination()
+    return KS.open_groups(spark, ckpt)
+
+
 @register("st2_running_metrics", f"""WITH {EVENTS}, {majority_sql()},
 done AS (SELECT * FROM scored WHERE prompt_idx <> {MISSING[0]}),
 gs AS (SELECT prompt_idx, avg(acc) AS acc_mean, avg(length(content)) AS mean_length FROM done GROUP BY prompt_idx HAVING count(*) = 8)

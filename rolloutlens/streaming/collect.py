@@ -125,7 +125,7 @@ def _written_once(batch: DataFrame, path: str) -> DataFrame:
 def start_collection(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                      cfg: RunConfig, max_files_per_trigger: int | None = None, available_now: bool = True,
                      watermark: str = "30 days", timeout_ms: int = 30 * 24 * 3600 * 1000,
-                     state_partitions: int | None = None):
+                     state_partitions: int | None = None, released=released_groups):
     """ST1: file source -> released groups -> score -> F1/F2 -> buffer folder.
 
     All released rows are under ``<sink>/_released`` (hidden from readers of
@@ -141,8 +141,8 @@ def start_collection(spark: SparkSession, source_dir: str, sink_dir: str, checkp
         (rows.filter(~F.col("complete")).select("prompt_idx", "gen_idx")
              .write.mode("overwrite").parquet(f"{sink_dir}/_incomplete/batch_id={batch_id}"))
 
-    released = released_groups(_source(spark, source_dir, max_files_per_trigger), cfg, watermark, timeout_ms)
-    return _run(spark, released, write_batch, checkpoint_dir, available_now, state_partitions)
+    groups = released(_source(spark, source_dir, max_files_per_trigger), cfg, watermark, timeout_ms)
+    return _run(spark, groups, write_batch, checkpoint_dir, available_now, state_partitions)
 
 
 def open_groups(spark: SparkSession, source_dir: str, sink_dir: str) -> DataFrame:
