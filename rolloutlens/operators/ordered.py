@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 CHUNK = 1 << 16          # rows of one key per ordered window partition
 RANK_BUCKET_BITS = 20    # <= 2**20 buckets: ~1M rows per bucket at 10**12 rows, offsets <= 16 MB
 
@@ -69,18 +71,35 @@ def attach(df: DataFrame, per_key: DataFrame, keys, pos: str, chunk: int = CHUNK
     return cluster(df, keys, pos, chunk).join(chunks.join(per_key, keys), [*keys, "_chunk"])
 
 
-SALTS = 64               # pieces of a key where rows have no dense position
+HOT_ROWS = 1 << 20       # rows of a key that one task may hold
+MOST_HOT = 1 << 16       # keys that may be called hot: so many rows at most are broadcast
+
+
+def hot_limit(total: int, hot_rows: int = HOT_ROWS) -> int:
+    """Keys with more rows than this are hot; there are at most ``MOST_HOT`` of
+    them, as each holds more than a ``MOST_HOT``th of all rows."""
+    return max(hot_rows, -(-total // MOST_HOT))
+
 
+def attach_measured(df: DataFrame, keys, aggs: Sequence[Column], hot_rows: int | None = None, of: DataFrame | None = None) -> DataFrame:
+    """Per-key aggregates (of ``of``, if its rows are cheaper to make) joined
+    back onto the rows, by the keys' measured sizes.
 
-def attach_salted(df: DataFrame, per_key: DataFrame, keys, row_cols: Sequence[str], salts: int = SALTS) -> DataFrame:
-    """As :func:`attach` for rows without a dense position: a key's rows are
-    dealt over ``salts`` pieces by a hash of ``row_cols`` (columns that tell
-    a hot key's rows apart), and every piece gets the per-key values."""
+    The aggregates are written once, with every key's exact number of rows. The
+    rows of usual keys meet theirs by a join on the key. Keys with more than
+    ``hot_rows`` rows (and more than a ``MOST_HOT``th of all) are so few that
+    their aggregates are broadcast: their rows, equal ones too, stay in the
+    tasks that read them, however many there are, and are not shuffled at all.
+    Without a hot key there is only the first join. Rows with a null key
+    belong to no group and go."""
     keys = _keys(keys)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in row_cols]), F.lit(salts)).cast("int")
-    pieces = df.select(*keys, salt.alias("_salt")).distinct().join(per_key, keys)
-    d = df.withColumn("_salt", salt).repartition(*keys, "_salt")
-    return d.join(pieces, [*keys, "_salt"]).drop("_salt")
+    stats = materialize((df if of is None else of).groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_rows")), "per-key")
+    limit = hot_limit(stats.agg(F.sum("_rows")).first()[0] or 0, hot_rows or HOT_ROWS)
+    hot = stats.where(F.col("_rows") > limit).drop("_rows")
+    if hot.isEmpty():
+        return df.join(stats.drop("_rows"), keys)
+    usual = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(stats.where(F.col("_rows") <= limit).drop("_rows"), keys)
+    return usual.unionByName(df.join(F.broadcast(hot), keys))
 
 
 def with_previous(df: DataFrame, keys, pos: str, cols: Sequence[str],

@@ -102,16 +102,27 @@ def test_sparse_positions_share_ranges(spark):
     assert 20 <= len(chunks) <= 27 and max(r["count"] for r in chunks) < 400  # not one chunk per row
 
 
-def test_hot_key_spans_many_tasks(spark):
-    df = _sparse_hot(spark)
-    old = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        d = OR.attach_salted(df, df.groupBy("k").agg(F.avg("v").alias("a")), "k", df.columns)
-        tasks = d.where("k = 0").select(F.spark_partition_id().alias("p")).distinct().count()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", old)
-    assert tasks >= 4
+@pytest.mark.parametrize("hot_rows", [10, 500, 10**6])
+def test_normalisers_do_not_depend_on_what_is_hot(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(OR, "HOT_ROWS", hot_rows)
+    test_normalisers_with_hot_key(spark)
+    test_cumulative_sums_with_hot_key(spark)
+
+
+def test_rows_of_a_hot_key_stay_where_they_are(spark):
+    """Equal rows, too: they are not shuffled."""
+    df = spark.range(0, 6000, 1, 8).select(F.when(F.col("id") % 3 < 2, F.lit(0)).otherwise(F.col("id") % 50 + 1).cast("long").alias("k"), F.lit(1.0).alias("v"))
+    d = OR.attach_measured(df, "k", [F.avg("v").alias("a"), F.sum("v").alias("s")], hot_rows=500)
+    per_task = d.where("k = 0").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert [r["n"] for r in per_task] == [500] * 8
+    assert d.count() == 6000 and {(r["k"], r["s"]) for r in d.where("k in (0, 1)").distinct().collect()} == {(0, 4000.0), (1, 40.0)}
+    plan = OR.attach_measured(df, "k", [F.avg("v").alias("a")])._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan  # no key is hot: one join
+
+
+def test_few_keys_can_be_hot():
+    for total in (0, 10**6, 10**12, 10**15):
+        assert total / OR.hot_limit(total) <= OR.MOST_HOT and OR.hot_limit(total) >= OR.HOT_ROWS
 
 
 def test_budget_fill_with_hot_prompt(spark):
