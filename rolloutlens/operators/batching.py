@@ -138,22 +138,22 @@ def cumulative_batch_metrics(scored: DataFrame, groups: DataFrame, cfg: RunConfi
     (accumulators are not reset between batches): group accuracy, majority,
     reward (over rows), group mean length; plus kept records so far. All of
     them count from ``cfg.start_idx`` on, as the fill does."""
-    b = cfg.prompts_per_batch
-    scored, groups = (x.filter(F.col(key) >= F.lit(cfg.start_idx)) for x in (scored, groups))
-    kept = kept.filter(F.col(key) >= F.lit(cfg.start_idx)) if kept is not None else None
-    g = with_batch(groups, b, key).groupBy("batch").agg(
-        F.sum("acc_mean").alias("s_acc"), F.sum("majority").alias("s_major"),
-        F.sum("mean_length").alias("s_len"), F.count(F.lit(1)).alias("n_groups"))
-    r = with_batch(scored, b, key).groupBy("batch").agg(
-        F.sum("reward").alias("s_reward"), F.count(F.lit(1)).alias("n_rows"))
-    t = g.join(r, "batch", "full_outer")
+    start = F.col(key) >= F.lit(cfg.start_idx)
+    per_prompt = groups.filter(start)
+    if not {"mean", "n"} <= set(groups.columns):
+        rows = scored.filter(start).groupBy(key).agg(F.avg("reward").alias("mean"), F.count(F.lit(1)).alias("n"))
+        per_prompt = per_prompt.join(rows, key, "full_outer")
     if kept is not None:
-        k = with_batch(kept, b, key).groupBy("batch").agg(F.count(F.lit(1)).alias("n_kept"))
-        t = t.join(k, "batch", "left")
+        per_prompt = per_prompt.join(kept.filter(start).groupBy(key).agg(F.count(F.lit(1)).alias("n_kept")), key, "left")
     else:
-        t = t.withColumn("n_kept", F.lit(0))
+        per_prompt = per_prompt.withColumn("n_kept", F.lit(0))
+    # everything per prompt, then one aggregate per batch, written: a row per batch
+    t = with_batch(per_prompt, cfg.prompts_per_batch, key).groupBy("batch").agg(
+        F.sum("acc_mean").alias("s_acc"), F.sum("majority").alias("s_major"), F.sum("mean_length").alias("s_len"),
+        F.count("acc_mean").alias("n_groups"), F.sum(F.col("mean") * F.col("n")).alias("s_reward"), F.sum("n").alias("n_rows"),
+        F.sum("n_kept").alias("n_kept"))
     t = t.fillna(0, subset=["s_acc", "s_major", "s_len", "n_groups", "s_reward", "n_rows", "n_kept"])
-    t = t.withColumn("_k", F.lit(0))
+    t = materialize(t, "batches").withColumn("_k", F.lit(0))
     t = ordered.running_sums(t, "_k", "batch",
                              ["s_acc", "s_major", "s_len", "n_groups", "s_reward", "n_rows", "n_kept"], "c_")
     return t.select(
