@@ -10,6 +10,7 @@ from ..config import RunConfig
 from ..session import scratch_path
 from ..sources import fixtures as FX
 from ..streaming import collect as ST
+from ..streaming import metrics as RM
 from ..streaming import state as KS
 from . import oracle as O
 from .catalog import r9, register
@@ -87,13 +88,16 @@ def st1_open_from_state(spark, sf_dir):
     return KS.open_groups(spark, ckpt)
 
 
-@register("st2_running_metrics", f"""WITH {EVENTS}, {majority_sql()},
+ST2_SQL = f"""WITH {EVENTS}, {majority_sql()},
 done AS (SELECT * FROM scored WHERE prompt_idx <> {MISSING[0]}),
 gs AS (SELECT prompt_idx, avg(acc) AS acc_mean, avg(length(content)) AS mean_length FROM done GROUP BY prompt_idx HAVING count(*) = 8)
 SELECT {O.r9('avg(acc_mean)')} AS acc_ave, {O.r9('avg(majority)')} AS acc_major, {O.r9('avg(mean_length)')} AS length,
        (SELECT {O.r9('avg(reward)')} FROM done SEMI JOIN gs USING (prompt_idx)) AS reward, count(*) AS n_groups,
        (SELECT count(*) FROM done SEMI JOIN gs USING (prompt_idx)) AS n_rows
-FROM gs JOIN maj USING (prompt_idx)""")
+FROM gs JOIN maj USING (prompt_idx)"""
+
+
+@register("st2_running_metrics", ST2_SQL)
 def st2_running_metrics(spark, sf_dir):
     """ST2: running metrics after the last trigger equal G4 of the complete groups."""
     src = _stage(spark, sf_dir)
@@ -101,3 +105,13 @@ def st2_running_metrics(spark, sf_dir):
     ST.start_running_metrics(spark, src, sink, ckpt, CFG).awaitTermination()
     m = ST.running_metrics(spark, sink)
     return m.select(*[r9(c).alias(c) for c in ("acc_ave", "acc_major", "length", "reward")], "n_groups", "n_rows")
+
+
+@register("st2_stream_totals", ST2_SQL)
+def st2_stream_totals(spark, sf_dir):
+    """ST2 inside the stream: group release and running totals as chained stateful operators."""
+    src = _stage(spark, sf_dir)
+    sink, ckpt = scratch_path(spark, "st2-sink"), scratch_path(spark, "st2-ckpt")
+    RM.start_running_metrics(spark, src, sink, ckpt, CFG).awaitTermination()
+    m = RM.running_metrics(spark, sink)
+    return m.select(*[r9(c).alias(c) for c in ("acc_ave", "acc_major", "length", "reward")], "n_groups", "n_rows")

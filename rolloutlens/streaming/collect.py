@@ -173,7 +173,12 @@ def start_running_metrics(spark: SparkSession, source_dir: str, sink_dir: str, c
 
 def running_metrics(spark: SparkSession, sink_dir: str) -> DataFrame:
     """The metrics over everything released so far (one row)."""
-    t = spark.read.parquet(sink_dir).agg(*[F.sum(c).alias(c) for c in ("s_acc", "s_major", "s_length", "n_groups", "s_reward", "n_rows")])
+    return metrics_of(spark.read.parquet(sink_dir))
+
+
+def metrics_of(sums: DataFrame) -> DataFrame:
+    """The means from rows of sums."""
+    t = sums.agg(*[F.sum(c).alias(c) for c in ("s_acc", "s_major", "s_length", "n_groups", "s_reward", "n_rows")])
     return t.select(F.try_divide("s_acc", "n_groups").alias("acc_ave"), F.try_divide("s_major", "n_groups").alias("acc_major"),
                     F.try_divide("s_length", "n_groups").alias("length"), F.try_divide("s_reward", "n_rows").alias("reward"),
                     "n_groups", "n_rows")

@@ -42,6 +42,9 @@ class GroupCollector(StatefulProcessor):
         self.rows = handle.getMapState(ROWS, "gen_idx int", "gold string, content string")
         self.deadline = handle.getValueState(DEADLINE, "at long")
 
+    def _entries(self, pdf: pd.DataFrame) -> Iterator[tuple[int, tuple]]:
+        return zip(pdf["gen_idx"], zip(pdf["gold"], pdf["content"]))
+
     def _released(self, prompt: int, rows: dict, complete: bool) -> pd.DataFrame:
         out = pd.DataFrame([(prompt, g, *rows[g], complete) for g in sorted(rows)], columns=COLUMNS)
         return out.astype({"prompt_idx": "int64", "gen_idx": "int32", "complete": "bool"})
@@ -56,8 +59,8 @@ class GroupCollector(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new, last = {}, 0
         for pdf in rows:
-            for g, gold, content in zip(pdf["gen_idx"], pdf["gold"], pdf["content"]):
-                new.setdefault(int(g), (gold, content))
+            for g, entry in self._entries(pdf):
+                new.setdefault(int(g), entry)
             last = max(last, int(pdf["arrival_ts"].max().value // 1_000_000))
         at = self.deadline.get()  # there while the group is open
         held = {k[0]: tuple(v) for k, v in self.rows.iterator()} if at is not None else {}
@@ -99,11 +102,17 @@ def start_collection(spark: SparkSession, source_dir: str, sink_dir: str, checkp
                      max_files_per_trigger: int | None = None, available_now: bool = True, watermark: str = "30 days",
                      timeout_ms: int = 30 * 24 * 3600 * 1000, state_partitions: int | None = None):
     """As :func:`rolloutlens.streaming.collect.start_collection`, to the same folders."""
+    return with_rocksdb(spark, lambda: ST.start_collection(
+        spark, source_dir, sink_dir, checkpoint_dir, cfg, max_files_per_trigger, available_now, watermark, timeout_ms, state_partitions,
+        released=released_groups))
+
+
+def with_rocksdb(spark: SparkSession, start):
+    """Start a stream whose state is in RocksDB; the session's own setting stays."""
     old = spark.conf.get(STORE, None)
     spark.conf.set(STORE, ROCKSDB)
     try:
-        return ST.start_collection(spark, source_dir, sink_dir, checkpoint_dir, cfg, max_files_per_trigger, available_now,
-                                   watermark, timeout_ms, state_partitions, released=released_groups)
+        return start()
     finally:
         spark.conf.unset(STORE) if old is None else spark.conf.set(STORE, old)
 
