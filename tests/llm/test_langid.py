@@ -55,3 +55,45 @@ def test_stage_keeps_schema_and_accepted_rows(edges, model):
     clf = L.Classifier(model)
     assert got.schema == edges.schema
     assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(str(i) for i, t in EDGES if clf.predict(t)[3])
+
+
+def plain_sizes(model, text):
+    """Compressed sizes of the text's pieces per language, each by a compressor of its own."""
+    import re
+
+    import zstandard
+    data = re.sub(r"[\W\d_]+", " ", text.lower()).strip().encode("utf-8", "replace")
+    while len(data) < L.SHORT_BYTES:
+        data = (data + b" ") * (L.SHORT_BYTES // (len(data) + 1) + 1)
+    out = {}
+    for lang, words in model.items():
+        total = 0
+        for i in range(0, len(data), L.PIECE_BYTES):
+            raw = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(level=L.LEVEL)
+            c = zstandard.ZstdCompressor(level=L.LEVEL, dict_data=raw, write_checksum=False, write_content_size=False, write_dict_id=False)
+            total += len(c.compress(data[i:i + L.PIECE_BYTES]))
+        out[lang] = total
+    return out
+
+
+def test_whole_table_equals_sizes_computed_one_by_one(spark):
+    """Prediction, margin and rejection of every document by brute force: the
+    fewest bytes win (ties: the first language), margins under the limit are rejected."""
+    sf = "/root/testdata/sf0.001"
+    docs = C.table(spark, sf, "documents")
+    model = L.fit(L.learn_rows(docs))
+    got = {r["doc_id"]: r for r in L.predict(docs, model).collect()}
+    query = {r["doc_id"]: r for r in L.query(spark, sf).collect()}
+    rejected = 0
+    for r in docs.collect():
+        if not any(map(str.isalpha, r["text"] or "")):
+            assert got[r["doc_id"]]["lang_pred"] == L.UND
+            continue
+        sizes = sorted((n, lang) for lang, n in plain_sizes(model, r["text"]).items())
+        margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        g = got[r["doc_id"]]
+        assert (g["lang_pred"], g["accepted"]) == (sizes[0][1], margin >= L.MIN_MARGIN) and g["margin"] == pytest.approx(margin)
+        assert query[r["doc_id"]]["lang_pred"] == sizes[0][1]
+        rejected += not g["accepted"]
+    assert len(got) == len(query) == docs.count() and rejected <= 0.05 * len(got)
