@@ -15,10 +15,15 @@ The rule is a documented subset of symbolic answer matching:
    on a side, or a decimal with over 19 in all or 18 after the point, has no
    rational reading: it equals only its own canonical text (two such decimals still compare
    exactly, by normal form);
-4. two answers are equal iff both are numeric with n1*d2 = n2*d1, or their
+4. a value of values (a tuple, set, list or interval, nested to any depth, or
+   several values with commas) gets one text for all its spellings: its parts
+   are brought to normal form by the rules above, fractions in lowest terms,
+   and the parts of a set ``\\{...\\}`` are sorted, repeats kept; the order in
+   tuples, lists and intervals counts, as do their brackets;
+5. two answers are equal iff both are numeric with n1*d2 = n2*d1, or their
    canonical strings are equal and non-empty. NULL never equals anything.
 
-No algebra (``x+1`` vs ``1+x``), sets, intervals, matrices or tolerance.
+No algebra (``x+1`` vs ``1+x``), matrices or tolerance.
 Every step is a JVM expression (no Python UDF).
 """
 
@@ -58,6 +63,9 @@ NORMAL_STEPS = (
 FRAC = r"^([+-]?)\\frac\{([+-]?)([0-9]{1,19})\}\{([+-]?)([0-9]{1,19})\}\z"
 SLASH = r"^([+-]?)()([0-9]{1,19})/([+-]?)([0-9]{1,19})\z"
 DECIMAL = r"^(-?)([0-9]{1,19})(?:\.([0-9]{1,18}))?\z"
+# a value of values, and its pieces: brackets, commas, and parts (with the braces of their commands)
+NESTED = r"^(?:\\\{|[(\[]).*(?:\\\}|[)\]])\z|,"
+PIECE = r"\\[{}]|[()\[\],]|(?:\\(?![{}])|\{(?:[^{}\\]|\\[^{}])*\}|[^()\[\],\\{}])+|[{}]"
 # --- end of fixed values ---
 
 _DEC = "decimal(19,0)"   # 19 digits max; products stay exact in decimal(38,0)
@@ -128,6 +136,31 @@ def _sql_parsed(c: str) -> str:
             f"'den', CASE WHEN {ok} THEN {den} ELSE {dec} END)")
 
 
+def _sql_nested(c: str) -> str:
+    """One text for all spellings of a value of values: a fold over its pieces
+    with a stack of open brackets, each with its parts so far."""
+    d = f"CAST({{}} AS {_DEC})"
+    parsed = f"transform(transform(regexp_extract_all({c}, {_q(PIECE)}, 0), t -> {_sql_normal('t')}), n -> {_sql_parsed('n')})"
+    gcd = (f"aggregate(sequence(1, 96), named_struct('a', {d.format('abs(p.num)')}, 'b', {d.format('p.den')}), "
+           f"(s, i) -> CASE WHEN s.b = 0 THEN s ELSE named_struct('a', s.b, 'b', {d.format('s.a % s.b')}) END, s -> s.a)")
+    lowest = (f"transform({parsed}, p -> CASE WHEN p.num IS NULL THEN p.canon ELSE element_at(transform(array({gcd}), "
+              f"g -> concat(CAST(CAST(p.num / g AS {_DEC}) AS STRING), CASE WHEN p.den = g THEN '' "
+              f"ELSE concat('/', CAST(CAST(p.den / g AS {_DEC}) AS STRING)) END)), 1) END)")
+    frame = "named_struct('open', {}, 'parts', CAST(array() AS array<string>))"
+    top, rest = "element_at(s.stack, -1)", "slice(s.stack, 1, size(s.stack) - 1)"
+    ended = f"array_append({top}.parts, s.cur)"
+    sets = f"CASE WHEN {top}.open = {_q(chr(92) + '{')} THEN array_sort({ended}) ELSE {ended} END"
+    state = "named_struct('stack', {}, 'cur', {})"
+    step = f"""(s, t) -> CASE
+      WHEN t IN ('(', '[', {_q(chr(92) + '{')}) AND s.cur = '' THEN {state.format(f"array_append(s.stack, {frame.format('t')})", "''")}
+      WHEN t = ',' THEN {state.format(f"array_append({rest}, named_struct('open', {top}.open, 'parts', {ended}))", "''")}
+      WHEN t IN (')', ']', {_q(chr(92) + '}')}) AND size(s.stack) > 1
+        THEN {state.format(rest, f"concat({top}.open, array_join({sets}, ','), t)")}
+      ELSE {state.format("s.stack", "concat(s.cur, t)")} END"""
+    whole = f"s -> concat_ws('', transform(s.stack, (f, i) -> concat(f.open, array_join(CASE WHEN i = size(s.stack) - 1 THEN {ended} ELSE f.parts END, ','))))"
+    return f"aggregate({lowest}, {state.format('array(' + frame.format(_q('')) + ')', _q(''))}, {step}, {whole})"
+
+
 def with_parsed(df, text_col: str, out: str, gold: bool = False):
     """Add ``out`` = struct(canon, num, den) parsed from ``text_col``.
 
@@ -141,7 +174,7 @@ def with_parsed(df, text_col: str, out: str, gold: bool = False):
     box, canon, normal = f"_{out}_box", f"_{out}_canon", f"_{out}_normal"
     return (df.withColumn(box, F.expr(raw))
               .withColumn(canon, F.expr(_sql_canonical(f"`{box}`")))
-              .withColumn(normal, F.expr(_sql_normal(f"`{canon}`")))
+              .withColumn(normal, F.expr(f"CASE WHEN `{canon}` RLIKE {_q(NESTED)} THEN {_sql_nested(f'`{canon}`')} ELSE {_sql_normal(f'`{canon}`')} END"))
               .withColumn(out, F.expr(_sql_parsed(f"`{normal}`")))
               .drop(box, canon, normal))
 

@@ -60,6 +60,19 @@ def a2_wide_numbers(spark, sf_dir):
                     F.col("ans.num").isNotNull().cast("int").alias("numeric"))
 
 
+@register("a2_nested_values", """WITH v AS (
+  SELECT o_orderkey AS k, o_orderkey % 5 AS a, o_custkey % 7 AS b, CAST(floor(o_totalprice) AS BIGINT) % 3 AS c FROM orders)
+SELECT k AS prompt_idx, CAST(CASE k % 4 WHEN 0 THEN a = b AND b = c AND k % 7 <> 0 WHEN 3 THEN k % 7 <> 0 AND k % 3 <> 0
+                             ELSE k % 7 <> 0 END AS INTEGER) AS equal FROM v""")
+def a2_nested_values(spark, sf_dir):
+    """A1 / A2 on tuples, sets, sets of pairs and intervals. The SQL compares the
+    values that the pairs were spelled from, not their texts: a tuple turned by
+    one place is equal if all three are, a set in another order is equal."""
+    from ..functions.answers import answers_equal
+    d = S.score(FX.nested_answers(spark, sf_dir))
+    return d.select("prompt_idx", answers_equal(F.col("ans"), F.col("gold_ans")).cast("int").alias("equal"))
+
+
 @register("a3_accuracy_reward", f"""WITH {DOCS}
 SELECT {K}, acc FROM scored""")
 def a3_accuracy_reward(spark, sf_dir):

@@ -106,6 +106,26 @@ def wide_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _wide_form(F.col("k") % 8, F.col("n")).alias("content"))
 
 
+def nested_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of values of values from ``orders``: by key a tuple, a set, a set of
+    pairs or an interval of small numbers, spelled as fractions on one side and
+    as decimals, in another order, on the other; some are not equal.
+
+    Columns: prompt_idx, gen_idx, gold, content."""
+    k = F.col("o_orderkey")
+    o = read_table(spark, sf_dir, "orders").select(k.alias("k"), (k % 5).alias("a"), (F.col("o_custkey") % 7).alias("b"),
+                                                   (F.floor("o_totalprice") % 3).alias("c"))
+    x = [F.concat(F.lit(BS + "frac{"), (F.col(n) * 2).cast("string"), F.lit("}{2}")) for n in "abc"]
+    y = [F.concat(n.cast("string"), F.lit(".0")) for n in (F.col("a") + (F.col("k") % 7 == 0).cast("long"), F.col("b"), F.col("c"))]
+    form, fmt = F.col("k") % 4, F.format_string
+    left = (F.when(form == 0, fmt("(%s, %s, %s)", *x)).when(form == 1, fmt(BS + "{%s,%s,%s" + BS + "}", *x))
+             .when(form == 2, fmt(BS + "{(%s,%s),(%s,%s)" + BS + "}", x[0], x[1], x[2], x[0])).otherwise(fmt(BS + "left(%s,%s" + BS + "right]", x[0], x[1])))
+    end = F.when(F.col("k") % 3 == 0, F.lit(")")).otherwise(F.lit("]"))
+    right = (F.when(form == 0, fmt("(%s,%s,%s)", y[1], y[2], y[0])).when(form == 1, fmt(BS + "{%s, %s, %s" + BS + "}", y[1], y[2], y[0]))
+              .when(form == 2, fmt(BS + "{(%s,%s), (%s,%s)" + BS + "}", y[2], x[0], y[0], y[1])).otherwise(fmt("(%s,%s%s", y[0], y[1], end)))
+    return o.select(F.col("k").alias("prompt_idx"), F.lit(0).alias("gen_idx"), _boxed(right).alias("gold"), _boxed(left).alias("content"))
+
+
 def ragged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rollouts_ragged``: unordered groups of varying size from lineitem."""
     li = read_table(spark, sf_dir, "lineitem")
