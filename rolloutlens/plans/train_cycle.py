@@ -41,11 +41,12 @@ def collection_cycle(kept: DataFrame, cfg: RunConfig) -> DataFrame:
 def run_cycles(kept: DataFrame, cfg: RunConfig, out_dir: str, cycles: int, until: int | None = None) -> DataFrame:
     """Entry 1's loop over ``cycles`` cycles, from wherever the run stands: the
     buffers go to ``<out_dir>/buffer`` and then a state row per cycle to
-    ``<out_dir>/state``, a folder per cycle in both. Returns the state table.
+    ``<out_dir>/state``, a folder per call in both. Returns the state table.
 
     A run that ended early, or whose data have grown, is called again and goes
-    on at the last state row's next start: a cycle whose buffer was written
-    without its state row is made again, to the same folder. Only cycles that
+    on at the last state row's next start: cycles whose buffers were written
+    without their state rows are made again, to the same folder (it is named by
+    the first of them). Only cycles that
     reach the budget are finished; the records of a short last cycle wait for
     more data. ``until``: the prompts below it are all there (default: those of
     ``kept`` are); the batch that it cuts waits, too."""
@@ -61,7 +62,7 @@ def run_cycles(kept: DataFrame, cfg: RunConfig, out_dir: str, cycles: int, until
         batches = CY.kept_batches(kept, now)
         starts = CY.cycle_starts(batches, now, cycles - done).where("to is not null")
         rows = CY.fill_cycles(kept, now, batches=batches, starts=starts)
-        shift = lambda d: d.withColumn("cycle", F.col("cycle") + F.lit(done))
+        shift = lambda d: d.withColumn("cycle", F.col("cycle") + F.lit(done)).withColumn("since", F.lit(done + 1))
         SK.write_by_cycle(shift(rows), f"{out_dir}/buffer")
         SK.write_by_cycle(shift(CY.schedule_of(batches, starts, now)), state)
     return RD.read_state(spark, state)

@@ -101,7 +101,7 @@ STATE = "start_idx long, next_start long, kept long, shortfall long, cycle long"
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """The state table of a run (R3): a row per finished cycle, none at first."""
     try:
-        return spark.read.schema(STATE).parquet(path)
+        return spark.read.schema(STATE).parquet(path).drop("since")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -33,6 +33,9 @@ def write_shards(df: DataFrame, path: str) -> None:
 
 
 def write_by_cycle(df: DataFrame, path: str) -> None:
-    """A folder per ``cycle``. Folders of the cycles at hand are overwritten,
-    others stay, so a retried cycle is there once."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cycle").parquet(path)
+    """Rows with ``cycle`` and ``since``, the first cycle of the call that makes
+    them: a folder per ``since``, so files grow in number with calls and tasks,
+    not with cycles. The folder at hand is overwritten, others stay, so a
+    retried call's cycles are there once. A file's rows are sorted by cycle."""
+    df.sortWithinPartitions("since", "cycle") \
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("since").parquet(path)

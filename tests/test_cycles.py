@@ -97,3 +97,14 @@ def test_growing_data_give_the_same_cycles(spark, tmp_path):
     for until in (10, 37, 38, 90 + 4):  # arrivals in prompt order; a batch that is cut waits
         run_cycles(frame(spark, [r for r in rows if r[0] < until]), c, out, 10_000, until=until)
     assert buffers(spark, out) == [(w[0], i + 1, *r) for w in want for i, r in enumerate(w[5])]
+
+
+def test_folders_grow_with_calls_not_with_cycles(spark, tmp_path):
+    rows, c = kept_rows(random.Random(17), 90), cfg(3)
+    want, out = [w for w in loop(rows, c) if not w[4]], tmp_path / "run"
+    kept = frame(spark, rows)
+    run_cycles(kept, c, str(out), 2)
+    assert run_cycles(kept, c, str(out), 10_000).count() == len(want) > 20
+    for part in ("buffer", "state"):
+        assert len([d for d in (out / part).iterdir() if d.is_dir()]) == 2
+    assert buffers(spark, str(out)) == [(w[0], i + 1, *r) for w in want for i, r in enumerate(w[5])]
