@@ -1,19 +1,22 @@
-"""Best-fit packing of token sequences, hierarchical.
+"""Best-fit packing of token sequences: inside partitions, then over their bins.
 
 Items are pieces of documents: a document longer than the capacity is cut
 from its end into full pieces, so only its first piece may be shorter. Full
-pieces are sequences of their own. The rest is packed in rounds:
-
- round 0: every partition best-fits its pieces, longest first;
- later:   bins that are nearly full are emitted; of the others, those with
-          the most room go up as items of fixed content, several partitions'
-          bins meet in one task, and best fit runs on them again, until one
-          task is left.
-
-No bin is split and no piece is dropped. In a best-fit result at most one bin
-is half full or less, so a bin that goes up rarely meets more than a few it
-can join; ``FORWARD`` bins with the most room per task are therefore enough,
-and the rest are emitted as they are. That bounds every merge task.
+pieces are sequences of their own. The rest is packed in two steps:
+
+ 1. every partition best-fits its pieces, longest first;
+ 2. the bins of all partitions are best-fitted as items of fixed content.
+
+Step 2 is exact over all bins, without any of them left out. Two bins of one
+partition never fit together (the later one was opened by an item that did not
+fit into the earlier one), so a partition has at most one bin that is half full
+or less, and two bins over half full never fit together either. Best fit over
+all bins therefore leaves the larger ones where they are and puts the small ones
+(at most one per partition), the fullest first, into the tightest bin. For
+that the larger bins need not move: one task sees the small bins and how many
+larger bins there are of each fill, and says which place of a fill each small
+bin goes to. The places are found by the partitions' counts of each fill.
+No bin is split and no piece is dropped.
 
 Defined results: null text is an empty document of one closing id. Repeated
 rows are separate documents; their pieces are packed separately. An empty
@@ -30,19 +33,15 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 from .bpe import byte_letters
 
 CAPACITY = 2048
-#: A bin with at most this much room is emitted.
-NEARLY_FULL = 8
-#: Pieces that one task packs in round 0.
+#: Pieces that one task packs.
 PIECES_PER_TASK = 40_000
-#: Bins that one task sends up, and tasks whose bins meet in one.
-FORWARD, FAN_IN = 2000, 8
 #: Chunks kept by a task's token cache.
 CACHE = 600_000
 
@@ -194,54 +193,100 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return where, offset, np.asarray(fill, np.int64)
 
 
-def _pack_batches(level: int, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """item, length in; item, bin, offset, fill of the bin out. A bin's number
-    holds the round and the task, so numbers never meet."""
+def _pack_batches(capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item, length in; item, bin, offset, fill of the bin, task out. A bin's
+    number holds the task, so numbers never meet."""
     from pyspark import TaskContext
     got = [(b.column("item").to_numpy(zero_copy_only=False), b.column("length").to_numpy(zero_copy_only=False)) for b in batches]
     item, length = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
     order = np.argsort(item, kind="stable")  # a task that runs again gets the same bins
     item, length = item[order], length[order]
     where, offset, fill = best_fit(length, capacity)
-    base = (level << 56) + (TaskContext.get().partitionId() << 28)
-    yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(base + where, pa.int64()), pa.array(offset, pa.int64()),
-                                      pa.array(fill[where] if len(where) else fill, pa.int64())], ["item", "bin", "offset", "fill"])
+    task = TaskContext.get().partitionId()
+    yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array((task << 32) + where, pa.int64()), pa.array(offset, pa.int64()),
+                                      pa.array(fill[where] if len(where) else fill, pa.int64()), pa.array([task] * len(item), pa.int64())],
+                                     ["item", "bin", "offset", "fill", "task"])
+
+
+def join_small(small: list[tuple[int, int]], large: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int | None, int, int, int]]:
+    """Best fit of the small bins (bin, fill) over all bins, where ``large``
+    counts the others by fill. Of every small bin that moves: bin; the small bin
+    it joins, or None and then the fill and the place (from 1) among the larger
+    bins of that fill; its offset there."""
+    count, used = dict(large), dict.fromkeys(large, 0)
+    opened: dict[int, list[tuple]] = {}  # by room: bins that a small one has opened or joined
+    rooms = sum(1 << (capacity - f) for f, n in count.items() if n and f < capacity)
+    out = []
+    for k, n in sorted(small, key=lambda x: (-x[1], x[0])):
+        fits = rooms >> n
+        if fits:
+            room = n + (fits & -fits).bit_length() - 1
+            fill = capacity - room
+            if opened.get(room):
+                target = opened[room].pop()
+            else:
+                used[fill] += 1
+                target = (None, fill, used[fill])
+            if not opened.get(room) and used.get(fill, 0) == count.get(fill, 0):
+                rooms &= ~(1 << room)
+            out.append((k, *target, fill))
+        else:
+            room, target = capacity, (k, 0, 0)
+        left = room - n
+        if left:
+            opened.setdefault(left, []).append(target)
+            rooms |= 1 << left
+    return out
 
 
-def _most_room(nearly_full: int, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's bins the underfull ones with the most room: at most FORWARD."""
-    bins: dict[int, int] = {}
-    for b in batches:
-        for k, f in zip(b.column("bin").to_pylist(), b.column("fill").to_pylist()):
-            if capacity - f > nearly_full:
-                bins[k] = f
-    up = sorted(bins.items(), key=lambda x: (x[1], x[0]))[:FORWARD]
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in up], pa.int64()), pa.array([x[1] for x in up], pa.int64()),
-                                      pa.array([((x[0] >> 28) & (2**28 - 1)) for x in up], pa.int64())], ["item", "length", "task"])
+MOVES = "bin long, to long, fill long, place long, shift long"
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, per_task: int = PIECES_PER_TASK) -> DataFrame:
+def _join_batches(capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bin (null: larger bins of a fill), fill, n in; :data:`MOVES` out."""
+    small, large = [], {}
+    for b in batches:
+        for k, f, n in zip(*(b.column(c).to_pylist() for c in ("bin", "fill", "n"))):
+            if k is None:
+                large[f] = n
+            else:
+                small.append((k, f))
+    cols = list(zip(*join_small(small, large, capacity))) or [()] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["bin", "to", "fill", "place", "shift"])
+
+
+def _moves(level: DataFrame, capacity: int) -> DataFrame:
+    """sequence_id, bin, shift: where the small bins of all tasks go."""
+    bins = C.written(level.groupBy("task", "bin").agg(F.max("fill").alias("fill")), "packing-bins")
+    small, large = bins.where(F.col("fill") * 2 <= capacity), bins.where(F.col("fill") * 2 > capacity)
+    counts = C.written(large.groupBy("fill", "task").agg(F.count(F.lit(1)).alias("n")), "packing-counts")  # a row per task and fill
+    seen = small.select("bin", "fill", F.lit(1).cast("long").alias("n")).unionByName(
+        counts.groupBy("fill").agg(F.sum("n").alias("n")).withColumn("bin", F.lit(None).cast("long")).select("bin", "fill", "n"))
+    moves = C.written(seen.repartition(1).mapInArrow(functools.partial(_join_batches, capacity), MOVES), "packing-moves")
+    # the n-th bin of a fill: its task by the counts of the tasks before, then its place there
+    before = Window.partitionBy("fill").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("fill", "task", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    wanted = moves.where("to is null").select("fill", "place").distinct()
+    wanted = wanted.join(begins, "fill").where("place > _before and place <= _before + n") \
+        .select("fill", "place", "task", (F.col("place") - F.col("_before")).alias("_nth"))
+    numbered = large.join(wanted.select("fill", "task").distinct(), ["fill", "task"]) \
+        .withColumn("_nth", F.row_number().over(Window.partitionBy("fill", "task").orderBy("bin")).cast("long"))
+    found = wanted.join(numbered, ["fill", "task", "_nth"]).select("fill", "place", F.col("bin").alias("_large"))
+    return moves.join(found, ["fill", "place"], "left").select(
+        F.col("bin").alias("sequence_id"), F.coalesce("to", "_large").alias("bin"), "shift")
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES_PER_TASK) -> DataFrame:
     """items (item long, distinct; length) to item, sequence_id, offset."""
     items = items.select("item", "length")
     tasks = max(1, -(-items.count() // per_task))
-    pack_out = "item long, bin long, offset long, fill long"
-    level = C.written(items.repartition(tasks, F.xxhash64("item")).mapInArrow(functools.partial(_pack_batches, 0, capacity), pack_out),
-                      "packing-0")
-    result, k = level.select("item", F.col("bin").alias("sequence_id"), "offset"), 0
-    while tasks > 1:
-        k, before, tasks = k + 1, tasks, -(-tasks // FAN_IN)
-        # a round's files are read in any split; bins of one task meet again by its number
-        task = F.shiftright("bin", 28).bitwiseAND(F.lit(2**28 - 1))
-        one = level.groupBy("bin").agg(F.max("fill").alias("fill"))
-        up = one.repartitionById(before, task.cast("int")).mapInArrow(functools.partial(_most_room, nearly_full, capacity),
-                                                                      "item long, length long, task long")
-        up = up.withColumn("to", F.expr(f"task div {FAN_IN}"))
-        level = C.written(up.repartitionById(tasks, F.col("to").cast("int")).select("item", "length")
-                          .mapInArrow(functools.partial(_pack_batches, k, capacity), pack_out), f"packing-{k}")
-        moved = level.select(F.col("item").alias("sequence_id"), "bin", F.col("offset").alias("shift"))
-        result = result.join(moved, "sequence_id", "left").select(
-            "item", F.coalesce("bin", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
-    return result
+    level = C.written(items.repartition(tasks, F.xxhash64("item")).mapInArrow(
+        functools.partial(_pack_batches, capacity), "item long, bin long, offset long, fill long, task long"), "packing-0")
+    result = level.select("item", F.col("bin").alias("sequence_id"), "offset")
+    if tasks == 1:
+        return result
+    return result.join(_moves(level, capacity), "sequence_id", "left").select(
+        "item", F.coalesce("bin", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

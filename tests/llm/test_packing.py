@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 from rolloutlens.llm import packing as P
 
@@ -75,6 +76,39 @@ def test_items_over_half_stay_apart(spark):
     assert check_places(got, P.CAPACITY) == 500
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_bins_of_all_tasks_are_best_fitted_whatever_their_room(spark, seed):
+    rng = random.Random(seed)
+    items = list(enumerate(rng.choices([2047, 2041, 7], [16, 3, 1], k=400)))
+    df = spark.createDataFrame(items, "item long, length long")
+    per_task, tasks = 20, 20
+    placed = df.repartition(tasks, F.xxhash64("item")).select(F.spark_partition_id().alias("task"), "item", "length").collect()
+    fills = []  # plain: all tasks' bins in one best fit
+    for t in range(tasks):
+        fills += P.best_fit(np.array([r["length"] for r in sorted(placed, key=lambda r: r["item"]) if r["task"] == t], np.int64))[2].tolist()
+    want = len(P.best_fit(np.array(fills))[2])
+    assert want < len(fills)
+    got = P.pack(df, per_task=per_task).join(df, "item").collect()
+    assert sorted((r["item"], r["length"]) for r in got) == items
+    assert check_places(got, P.CAPACITY) == want
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_small_bins_by_counts_equal_best_fit_over_all(seed):
+    rng = random.Random(seed)
+    fills = [rng.randint(51, 100) for _ in range(rng.randint(0, 12))]
+    small = [(100 + k, rng.randint(1, 50)) for k in range(rng.randint(1, 25))]
+    moves = P.join_small(small, {f: fills.count(f) for f in fills}, 100)
+    _, _, want = P.best_fit(np.array(fills + [f for _, f in small]), 100)
+    size, bins = dict(small), {("large", f, n + 1): f for f in set(fills) for n in range(fills.count(f))}
+    bins |= {k: n for k, n in small if k not in {m[0] for m in moves}}
+    for k, to, fill, place, shift in moves:
+        at = ("large", fill, place) if to is None else to
+        assert bins[at] == shift
+        bins[at] += size[k]
+    assert sorted(bins.values()) == sorted(want.tolist())
+
+
 def test_documents_and_empty_table(documents):
     got = P.pack_documents(documents(EDGES), capacity=64).collect()
     assert len(got) == P.pieces(documents(EDGES), capacity=64).count()
