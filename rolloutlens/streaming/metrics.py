@@ -60,19 +60,18 @@ def majority(rows: list[tuple]) -> float:
 class GroupMetrics(KS.GroupCollector):
     """A row of metrics for every group that completes."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getMapState(KS.ROWS, "gen_idx int", HELD)
-        self.deadline = handle.getValueState(KS.DEADLINE, "at long")
+    held = HELD
 
-    def _entries(self, pdf: pd.DataFrame) -> Iterator[tuple[int, tuple]]:
+    def _entries(self, pdf: pd.DataFrame) -> Iterator[tuple]:
         clean = pdf[list(FIELDS)].astype(object).where(pdf[list(FIELDS)].notna(), None)
-        return zip(pdf["gen_idx"].tolist(), map(tuple, clean.itertuples(index=False)))
-
-    def _released(self, prompt: int, rows: dict, complete: bool) -> pd.DataFrame:
-        held = [dict(zip(FIELDS, rows[g])) for g in sorted(rows)] if complete else []
-        mean = lambda c: sum(r[c] for r in held) / len(held)
-        out = [(prompt % SHARDS, mean("acc"), majority(held), mean("length"), sum(r["reward"] for r in held), len(held))] if held else []
+        return map(tuple, clean.itertuples(index=False))
+
+    def _released(self, groups: list[tuple[int, dict]], complete: bool) -> pd.DataFrame:
+        out = []
+        for prompt, rows in groups if complete else []:
+            held = [dict(zip(FIELDS, rows[g])) for g in sorted(rows)]
+            mean = lambda c: sum(r[c] for r in held) / len(held)
+            out.append((prompt % SHARDS, mean("acc"), majority(held), mean("length"), sum(r["reward"] for r in held), len(held)))
         return pd.DataFrame(out, columns=["shard", "acc", "majority", "length", "reward", "n_rows"]).astype(
             {"shard": "int32", "n_rows": "int64"} | dict.fromkeys(["acc", "majority", "length", "reward"], "float64"))
 
@@ -101,7 +100,7 @@ def running_totals(stream: DataFrame, cfg: RunConfig, watermark: str = "30 days"
     scored = S.score(once, weights=cfg.weights).select(
         "prompt_idx", "gen_idx", "arrival_ts", "acc", "reward", F.length("content").cast("double").alias("length"), F.col("ans.canon").alias("canon"),
         F.col("ans.num").cast("string").alias("num"), F.col("ans.den").cast("string").alias("den"), F.col("gold_ans.canon").isNull().alias("no_gold"))
-    groups = scored.groupBy("prompt_idx").transformWithStateInPandas(GroupMetrics(cfg.group_size, timeout_ms), GROUP, "append", "EventTime")
+    groups = KS.by_shard(scored).transformWithStateInPandas(GroupMetrics(cfg.group_size, timeout_ms), GROUP, "append", "EventTime")
     return groups.groupBy("shard").transformWithStateInPandas(RunningTotals(), f"shard int, {TOTALS}", "append", "None")
 
 

@@ -69,3 +69,26 @@ def test_timer_releases_what_never_completes(spark):
     run(spark, src, sink, ckpt, watermark="10 minutes", timeout_ms=10 * 60 * 1000)
     assert KS.open_groups(spark, ckpt).count() == 0
     assert spark.read.parquet(f"{sink}/_released").where((F.col("prompt_idx") == 0) & F.col("complete")).count() == 0
+
+
+def test_one_call_takes_all_prompts_of_a_shard():
+    import pandas as pd
+
+    class Map(dict):
+        iterator, getValue, updateValue, removeKey = dict.items, dict.__getitem__, dict.__setitem__, dict.pop
+
+    class Handle(set):
+        registerTimer, deleteTimer = set.add, set.remove
+
+        def getMapState(self, *_):
+            return Map()
+
+    def rows(*pairs):
+        return pd.DataFrame([row(p, g, p) for p, g in pairs], columns=["prompt_idx", "gen_idx", "gold", "content", "arrival_ts"])
+    c, timers = KS.GroupCollector(2, 1000), Handle()
+    c.init(timers)
+    frames = list(c.handleInputRows((0,), iter([rows((1, 0), (2, 0), (3, 1)), rows((1, 1), (3, 0), (3, 0), (4, 0))]), None))
+    assert [[(r.prompt_idx, r.gen_idx, r.complete) for r in f.itertuples()] for f in frames] == [[(1, 0, True), (1, 1, True), (3, 0, True), (3, 1, True)]]
+    assert set(c.rows) == {(2, 0), (4, 0)} and len(timers) == 1  # of prompt 2, the earliest
+    assert [len(f) for f in c.handleInputRows((0,), iter([rows((2, 1))]), None)] == [2]
+    assert set(c.rows) == {(4, 0)} and set(c.deadline) == {(4,)} and timers == {c.deadline[(4,)][0]}
