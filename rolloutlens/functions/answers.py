@@ -141,8 +141,10 @@ def _sql_nested(c: str) -> str:
     with a stack of open brackets, each with its parts so far."""
     d = f"CAST({{}} AS {_DEC})"
     parsed = f"transform(transform(regexp_extract_all({c}, {_q(PIECE)}, 0), t -> {_sql_normal('t')}), n -> {_sql_parsed('n')})"
-    gcd = (f"aggregate(sequence(1, 96), named_struct('a', {d.format('abs(p.num)')}, 'b', {d.format('p.den')}), "
-           f"(s, i) -> CASE WHEN s.b = 0 THEN s ELSE named_struct('a', s.b, 'b', {d.format('s.a % s.b')}) END, s -> s.a)")
+    # Euclid takes at most five steps for each digit of the smaller number (Lamé), and one to put it second
+    steps = "sequence(1, 5 * length(CAST(p.den AS STRING)) + 1)"
+    gcd = (f"CASE WHEN p.den = 1 THEN p.den ELSE aggregate({steps}, named_struct('a', {d.format('abs(p.num)')}, 'b', {d.format('p.den')}), "
+           f"(s, i) -> CASE WHEN s.b = 0 THEN s ELSE named_struct('a', s.b, 'b', {d.format('s.a % s.b')}) END, s -> s.a) END")
     lowest = (f"transform({parsed}, p -> CASE WHEN p.num IS NULL THEN p.canon ELSE element_at(transform(array({gcd}), "
               f"g -> concat(CAST(CAST(p.num / g AS {_DEC}) AS STRING), CASE WHEN p.den = g THEN '' "
               f"ELSE concat('/', CAST(CAST(p.den / g AS {_DEC}) AS STRING)) END)), 1) END)")

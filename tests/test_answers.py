@@ -72,3 +72,21 @@ def test_long_text_with_many_braces(spark):
     text = "{x} " * 20000 + r"\boxed{4{2}}" + " }" * 500
     df = A.with_parsed(spark.createDataFrame([(text,)], "c string"), "c", "a")
     assert df.select("a.canon").first()[0] == "4{2}"
+
+
+def test_long_fractions_inside_values_come_to_lowest_terms(spark):
+    from pyspark.sql import functions as F
+
+    from rolloutlens.functions import answers as A
+    a, b = 679891637638612258, 1100087778366101931  # neighbours in Fibonacci's row: Euclid's longest way
+    pairs = [(a, b, 2 * a, 2 * b), (b, a, 2 * b, 2 * a), (6, 4, 3, 2), (0, 7, 0, 1), (5, 1, 5, 1)]
+    text = lambda n, d: r"\boxed{(\frac{%d}{%d},1)}" % (n, d)
+    df = spark.createDataFrame([(text(n, d), text(m, e)) for n, d, m, e in pairs], "x string, y string")
+    got = A.with_parsed(A.with_parsed(df, "x", "a"), "y", "b").select(F.col("a.canon"), F.col("b.canon")).collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
+    assert got[0][0] == f"({a}/{b},1)" and got[2][0] == "(3/2,1)"
+
+
+def test_nested_answers_are_spread_over_the_cores(spark):
+    from rolloutlens.sources import fixtures as FX
+    assert FX.nested_answers(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
