@@ -3,10 +3,13 @@
 ST1: completions arrive as files (prompt_idx, gen_idx, gold, content,
 arrival_ts). Redelivered rows are dropped by ``dropDuplicatesWithinWatermark``
 on (prompt_idx, gen_idx), so they can neither complete a group nor release it
-twice. ``applyInPandasWithState`` keyed by prompt_idx then holds the rows of an
-unfinished group (at most G per key) and releases the group once all G
-generations are in; an event-time timeout releases groups that will never
-complete, flagged ``complete = False``, so state cannot grow without bound.
+twice. Prompts are spread over ``SHARDS`` keys, so a batch calls Python once per
+shard and not once per prompt. ``applyInPandasWithState`` keyed by shard then
+holds the rows of unfinished groups (at most G per prompt) and releases a group
+once all G generations are in; an event-time timeout, the shard's earliest,
+releases groups that will never complete, flagged ``complete = False``, so
+state cannot grow without bound. A shard's open rows are one state value,
+written again when one of its prompts gets a row.
 Each micro-batch's released rows are written once, then scored with the same
 native plan as the batch path and put into the buffer folder, one sub-folder
 per batch id, overwritten on retry (idempotent). Groups that are still open
@@ -32,55 +35,96 @@ from ..config import RunConfig
 from ..plans import scoring as S
 
 STATE_SCHEMA = "gen_idx array<int>, gold array<string>, content array<string>, max_ts long"
+SHARD_STATE = "prompt_idx array<long>, gen_idx array<int>, gold array<string>, content array<string>, max_ts array<long>"
+SHARDS = 4096
 OUT_SCHEMA = "prompt_idx long, gen_idx int, gold string, content string, complete boolean"
 SOURCE_SCHEMA = T.StructType(schemas.ROLLOUTS.fields + [T.StructField("arrival_ts", T.TimestampType())])
 
 
-def _release(key, gen, gold, content, complete) -> pd.DataFrame:
-    return pd.DataFrame({"prompt_idx": [key] * len(gen), "gen_idx": gen, "gold": gold,
-                         "content": content, "complete": [complete] * len(gen)})
+def _release(groups: list[tuple[int, dict]], complete: bool) -> pd.DataFrame:
+    """The rows of groups: prompt -> (gen_idx -> (gold, content))."""
+    out = pd.DataFrame([(p, g, *entry, complete) for p, rows in groups for g, entry in rows.items()],
+                       columns=["prompt_idx", "gen_idx", "gold", "content", "complete"])
+    return out.astype({"prompt_idx": "int64", "gen_idx": "int32", "complete": "bool"})
+
+
+def _millis(arrival: pd.Series) -> pd.Series:
+    return arrival.astype("datetime64[ns]").astype("int64") // 1_000_000
 
 
 def group_collector(group_size: int, timeout_ms: int):
-    """State function: buffer a prompt's rows until it has ``group_size``."""
+    """State function of one prompt: buffer its rows until it has ``group_size``."""
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         k = int(key[0])
         if state.hasTimedOut:
             gen, gold, content, _ = state.get
             state.remove()
-            yield _release(k, list(gen), list(gold), list(content), False)
+            yield _release([(k, dict(zip(gen, zip(gold, content))))], False)
             return
-        gen, gold, content, max_ts = ([], [], [], 0)
+        rows, max_ts = {}, 0
         if state.exists:
-            g0, s0, c0, max_ts = state.get
-            gen, gold, content = list(g0), list(s0), list(c0)
+            gen, gold, content, max_ts = state.get
+            rows = dict(zip(gen, zip(gold, content)))
         for pdf in pdfs:
             for g, s, c in zip(pdf["gen_idx"], pdf["gold"], pdf["content"]):
-                if int(g) not in gen:  # a row beyond the watermark may come again
-                    gen.append(int(g))
-                    gold.append(s)
-                    content.append(c)
-            max_ts = max(max_ts, int(pd.to_datetime(pdf["arrival_ts"]).max().value // 1_000_000))
-        if len(gen) >= group_size:
+                rows.setdefault(int(g), (s, c))  # a row beyond the watermark may come again
+            max_ts = max(max_ts, int(_millis(pdf["arrival_ts"]).max()))
+        if len(rows) >= group_size:
             state.remove()
-            yield _release(k, gen, gold, content, True)
+            yield _release([(k, rows)], True)
         else:
-            state.update((gen, gold, content, max_ts))
+            state.update((list(rows), [s for s, _ in rows.values()], [c for _, c in rows.values()], max_ts))
             state.setTimeoutTimestamp(max_ts + timeout_ms)
 
     return fn
 
 
+def shard_collector(group_size: int, timeout_ms: int):
+    """State function of a shard of prompts: what :func:`group_collector` does
+    for one, for all of them in one call. The state holds the rows of the open
+    groups; the shard's timeout is that of the earliest of them."""
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, last = {}, {}
+        if state.exists:
+            for p, g, s, c, t in zip(*state.get):
+                held.setdefault(p, {})[g] = (s, c)
+                last[p] = t
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                for p, g, s, c, t in zip(pdf["prompt_idx"].tolist(), pdf["gen_idx"].tolist(), pdf["gold"], pdf["content"],
+                                         _millis(pdf["arrival_ts"]).tolist()):
+                    held.setdefault(p, {}).setdefault(g, (s, c))  # a row beyond the watermark may come again
+                    last[p] = max(last.get(p, 0), t)
+            done = [p for p, rows in held.items() if len(rows) >= group_size]
+            if done:
+                yield _release([(p, held.pop(p)) for p in done], True)
+        now = state.getCurrentWatermarkMs()
+        over = [p for p in held if last[p] + timeout_ms < now]
+        if over:
+            yield _release([(p, held.pop(p)) for p in over], False)
+        if held:
+            rows = [(p, g, s, c, last[p]) for p, group in held.items() for g, (s, c) in group.items()]
+            state.update(tuple(map(list, zip(*rows))))
+            state.setTimeoutTimestamp(max(min(last[p] for p in held) + timeout_ms, now + 1))
+        elif state.exists:
+            state.remove()
+
+    return fn
+
+
+def by_shard(rows: DataFrame):
+    """Rows of prompts, grouped by the shard of their prompt."""
+    return rows.withColumn("shard", F.pmod(F.xxhash64("prompt_idx"), F.lit(SHARDS)).cast("int")).groupBy("shard")
+
+
 def released_groups(stream: DataFrame, cfg: RunConfig, watermark: str = "30 days",
                     timeout_ms: int = 30 * 24 * 3600 * 1000) -> DataFrame:
     """ST1 first half: stream of released groups (complete or timed out)."""
-    return (stream.withWatermark("arrival_ts", watermark)
-                  .dropDuplicatesWithinWatermark(["prompt_idx", "gen_idx"])
-                  .groupBy("prompt_idx")
-                  .applyInPandasWithState(group_collector(cfg.group_size, timeout_ms),
-                                          OUT_SCHEMA, STATE_SCHEMA, "append",
-                                          GroupStateTimeout.EventTimeTimeout))
+    once = stream.withWatermark("arrival_ts", watermark).dropDuplicatesWithinWatermark(["prompt_idx", "gen_idx"])
+    return by_shard(once).applyInPandasWithState(shard_collector(cfg.group_size, timeout_ms), OUT_SCHEMA, SHARD_STATE, "append",
+                                                 GroupStateTimeout.EventTimeTimeout)
 
 
 def _start_with_partitions(spark: SparkSession, n: int | None, start):

@@ -100,7 +100,7 @@ def running_totals(stream: DataFrame, cfg: RunConfig, watermark: str = "30 days"
     scored = S.score(once, weights=cfg.weights).select(
         "prompt_idx", "gen_idx", "arrival_ts", "acc", "reward", F.length("content").cast("double").alias("length"), F.col("ans.canon").alias("canon"),
         F.col("ans.num").cast("string").alias("num"), F.col("ans.den").cast("string").alias("den"), F.col("gold_ans.canon").isNull().alias("no_gold"))
-    groups = KS.by_shard(scored).transformWithStateInPandas(GroupMetrics(cfg.group_size, timeout_ms), GROUP, "append", "EventTime")
+    groups = ST.by_shard(scored).transformWithStateInPandas(GroupMetrics(cfg.group_size, timeout_ms), GROUP, "append", "EventTime")
     return groups.groupBy("shard").transformWithStateInPandas(RunningTotals(), f"shard int, {TOTALS}", "append", "None")
 
 

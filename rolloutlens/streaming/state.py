@@ -1,6 +1,6 @@
 """Streaming collection (ST1) on ``transformWithState``.
 
-Prompts are spread over ``SHARDS`` keys, so a batch calls the processor once per
+Prompts are spread over ``collect.SHARDS`` keys, so a batch calls the processor once per
 shard and not once per prompt. The rows of an open group are entries of a map
 state, one per generation, so an arrival writes its own entry and not the
 group's rows again; a second map says of every open group when its time is up
@@ -29,7 +29,6 @@ from ..config import RunConfig
 from . import collect as ST
 
 ROWS, DEADLINE = "rows", "deadline"
-SHARDS = 4096
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COLUMNS = ["prompt_idx", "gen_idx", "gold", "content", "complete"]
@@ -115,15 +114,10 @@ class GroupCollector(StatefulProcessor):
         pass
 
 
-def by_shard(rows: DataFrame):
-    """Rows of prompts, grouped by the shard of their prompt."""
-    return rows.withColumn("shard", F.pmod(F.xxhash64("prompt_idx"), F.lit(SHARDS)).cast("int")).groupBy("shard")
-
-
 def released_groups(stream: DataFrame, cfg: RunConfig, watermark: str = "30 days", timeout_ms: int = 30 * 24 * 3600 * 1000) -> DataFrame:
     """Stream of released groups (complete or timed out), a row per generation."""
     once = stream.withWatermark("arrival_ts", watermark).dropDuplicatesWithinWatermark(["prompt_idx", "gen_idx"])
-    return by_shard(once).transformWithStateInPandas(GroupCollector(cfg.group_size, timeout_ms), ST.OUT_SCHEMA, "append", "EventTime")
+    return ST.by_shard(once).transformWithStateInPandas(GroupCollector(cfg.group_size, timeout_ms), ST.OUT_SCHEMA, "append", "EventTime")
 
 
 def start_collection(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, cfg: RunConfig,

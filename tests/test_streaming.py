@@ -80,3 +80,45 @@ def test_state_function_counts_different_generations():
     assert list(fn((7,), iter([rows(0, 1, 1), rows(2, 2)]), state)) == [] and state.value[0] == [0, 1, 2]
     out = list(fn((7,), iter([rows(3)]), state))
     assert sorted(out[0].gen_idx) == [0, 1, 2, 3] and out[0].complete.all() and not state.exists
+
+
+def test_one_call_takes_all_prompts_of_a_shard():
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, value, now, until = False, False, None, 0, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.value, self.exists = v, True
+
+        def remove(self):
+            self.value, self.exists, self.until = None, False, None
+
+        def setTimeoutTimestamp(self, t):
+            assert t > self.now
+            self.until = t
+
+        def getCurrentWatermarkMs(self):
+            return self.now
+
+    def rows(*arrivals):
+        return pd.DataFrame([(p, g, f"g{p}", f"c{t}", pd.Timestamp(t, unit="ms")) for p, g, t in arrivals],
+                            columns=["prompt_idx", "gen_idx", "gold", "content", "arrival_ts"])
+
+    def call(*pdfs):
+        return [[tuple(r) for r in f.itertuples(index=False)] for f in fn((0,), iter(pdfs), state)]
+    fn, state = ST.shard_collector(2, 1000), State()
+    out = call(rows((1, 0, 10), (2, 0, 20), (3, 1, 30)), rows((1, 1, 40), (3, 0, 50), (3, 0, 60), (4, 0, 70)))
+    assert out == [[(1, 0, "g1", "c10", True), (1, 1, "g1", "c40", True), (3, 1, "g3", "c30", True), (3, 0, "g3", "c50", True)]]
+    assert state.value == ([2, 4], [0, 0], ["g2", "g4"], ["c20", "c70"], [20, 70]) and state.until == 1020
+    assert call(rows((2, 0, 90))) == [] and state.until == 1070  # a row that comes again puts the time off
+    state.now, state.hasTimedOut = 1080, True
+    assert call() == [[(4, 0, "g4", "c70", False)]] and state.until == 1090  # its time is up, that of 2 is not
+    state.hasTimedOut = False
+    assert call(rows((2, 1, 1100))) == [[(2, 0, "g2", "c20", True), (2, 1, "g2", "c1100", True)]] and not state.exists
+    state.now = 1500
+    assert call(rows((5, 0, 100), (6, 0, 600))) == [[(5, 0, "g5", "c100", False)]] and state.until == 1600  # late beside one in time
