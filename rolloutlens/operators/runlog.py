@@ -2,13 +2,13 @@
 
 A run log is read line by line (S7): (run, file, block, seq, line); ``seq``
 counts up by one inside a split of a file. A point is a metric line that a fixed
-marker line follows. The text is scanned once: of every split only the lines
-that may be part of a point are kept, as numbers and flags (a few per cent of
-the text), in one row with the split's first and last place. That table is
-written. What follows works on it: neighbouring lines are neighbours in the
-row, the last two lines of a split are handed to the next one through a table
-of a row per split, and points are numbered by the counts of earlier splits. No
-task holds a whole run, and no text is shuffled.
+marker line follows. The text is scanned once: the lines of a split that may be
+part of a point are neighbours in one row, as numbers and flags, and that row
+gives the points inside the split before it is written; of the lines only the
+first two and the last two of the split are kept. What follows works on that
+table, a row per split: a split's last two lines are handed to the next one,
+which makes the points that lie across the border, and points are numbered by
+the counts of earlier splits. No task holds a whole run, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ TRAIN_POINTS = _M + r"\n已写入.*?条样本到缓冲区"
 INITIAL_TEST_POINTS = _M + r"\n\n=== 开始新的迭代周期 ==="
 CYCLE_TEST_POINTS = _M + r"\n周期完成"
 METRIC_LINE = _M + r"\z"
+WRITTEN_START = "已写入"
 WRITTEN_LINE = "^已写入.*?条样本到缓冲区"
 CYCLE_DONE = "周期完成"
 SERIES = (  # (name, phase, value)
@@ -52,23 +53,30 @@ def split_records(lines: DataFrame) -> DataFrame:
     One scan; a split is read by one task, so its row is made before the shuffle."""
     line = F.col("line")
     mark = (F.when(line == "", BLANK).when(F.startswith(line, F.lit(CYCLE_BANNER)), BANNER)
-             .when(F.startswith(line, F.lit(CYCLE_DONE)), DONE).when(line.rlike(WRITTEN_LINE), WRITTEN))
-    is_metric = F.contains(line, F.lit(METRIC_PREFIX)) & line.rlike("(?d)" + METRIC_LINE)
-    d = lines.select(*SPLIT, "seq", "line", mark.alias("mark"), is_metric.alias("metric"))
-    rec = F.struct("seq", "mark", "metric", *[F.when(F.col("metric"), m).alias(f) for f, m in zip(FIELDS, _metrics(line))])
+             .when(F.startswith(line, F.lit(CYCLE_DONE)), DONE)
+             .when(F.startswith(line, F.lit(WRITTEN_START)) & line.rlike(WRITTEN_LINE), WRITTEN))
+    # one search per line: a metric line becomes its four texts, a line each
+    texts = F.when(F.contains(line, F.lit(METRIC_PREFIX)), F.split(F.regexp_replace(line, "(?s:^.*?)(?d)" + METRIC_LINE, "$1\n$2\n$3\n$4"), "\n"))
+    d = lines.select(*SPLIT, "seq", mark.alias("mark"), texts.alias("texts"))
+    d = d.select(*SPLIT, "seq", "mark", "texts", F.coalesce(F.size("texts") == len(FIELDS), F.lit(False)).alias("metric"))
+    rec = F.struct("seq", "mark", "metric", *[F.when(F.col("metric"), F.get("texts", F.lit(i))).try_cast("double").alias(f) for i, f in enumerate(FIELDS)])
     return d.groupBy(*SPLIT).agg(F.min("seq").alias("first"), F.max("seq").alias("last"),
                                  F.sort_array(F.collect_list(F.when(F.col("mark").isNotNull() | F.col("metric"), rec))).alias("recs"))
 
 
-def _metrics(line: Column) -> list[Column]:
-    return [F.regexp_extract(line, "(?d)" + METRIC_LINE, i).try_cast("double").alias(f) for i, f in enumerate(FIELDS, 1)]
+def _inside(records: DataFrame) -> DataFrame:
+    """Of ``split_records`` what is written: first, last, the points inside the
+    split, and those of its first two (``head``) and last two lines (``tail``)
+    that may be part of a point."""
+    head = F.filter(F.slice("recs", 1, 2), lambda r: r["seq"] <= F.col("first") + 1)
+    tail = F.filter(F.slice("recs", F.greatest(F.size("recs") - 1, F.lit(1)), F.lit(2)), lambda r: r["seq"] >= F.col("last") - 1)
+    return records.select(*SPLIT, "first", "last", _points("recs").alias("points"), head.alias("head"), tail.alias("tail"))
 
 
 def _with_tails(splits: DataFrame) -> DataFrame:
-    """``recs`` of every split after those of the last two lines before it,
-    which get the places that they would have in this split."""
-    tail = F.filter("recs", lambda r: r["seq"] >= F.col("last") - 1)
-    t = splits.select(*SPLIT, "first", "last", (F.col("last") - F.col("first") + 1).alias("n"), tail.alias("tail"))
+    """Points and ``head`` of every split, this after those of the last two lines
+    before it, which get the places that they would have in this split."""
+    t = splits.select(*SPLIT, "first", "last", (F.col("last") - F.col("first") + 1).alias("n"), "tail")
     w = Window.partitionBy("run", "file").orderBy("block")  # a row per split
     for c in ("last", "n", "tail"):
         t = t.withColumn(f"{c}1", F.lag(c).over(w))
@@ -81,22 +89,22 @@ def _with_tails(splits: DataFrame) -> DataFrame:
     one = F.coalesce(moved(F.col("tail1"), "last1", 1), none)
     two = F.when(F.col("n1") == 1, moved(F.filter("tail2", lambda r: r["seq"] == F.col("last2")), "last2", 2))  # a split of one line before
     ghosts = t.select(*SPLIT, F.sort_array(F.concat(one, F.coalesce(two, none))).alias("ghosts"))
-    return splits.join(ghosts, SPLIT).select(*SPLIT, "first", F.concat("ghosts", "recs").alias("recs"))
+    return splits.join(ghosts, SPLIT).select(*SPLIT, "first", "points", F.concat("ghosts", "head").alias("head"))
 
 
-def _points(recs: str) -> Column:
-    """The points that end in a split: part (0 after L1's marker, 1 L2's, 2 L3's) and the numbers."""
-    def point(r, p, q):
-        after_one = (p["seq"] == r["seq"] - 1) & p["metric"]
-        after_two = (p["seq"] == r["seq"] - 1) & (p["mark"] == BLANK) & (q["seq"] == r["seq"] - 2) & q["metric"]
-        part = F.when((r["mark"] == WRITTEN) & after_one, 0).when((r["mark"] == BANNER) & after_two, 1).when((r["mark"] == DONE) & after_one, 2)
-        part = F.when(r["seq"] >= F.col("first"), part)  # the lines before made theirs in their own split
-        return F.struct(part.alias("part"), *[F.when(r["mark"] == BANNER, q[f]).otherwise(p[f]).alias(f) for f in FIELDS])
-    # side by side with the list one and two places later: no element is looked up by its place, which would cost the list each time
-    r = F.col(recs)
-    later = lambda k: F.concat(*[F.transform(F.slice(recs, 1, 1), lambda x: F.when(F.lit(False), x))] * k, r)
-    two = F.zip_with(r, later(1), lambda r, p: F.struct(r.alias("r"), p.alias("p")))
-    return F.filter(F.zip_with(two, later(2), lambda x, q: point(x["r"], x["p"], q)), lambda x: x["part"].isNotNull())
+def _points(recs: str, border: bool = False) -> Column:
+    """The points of ``recs``: part (0 before L1's marker, 1 L2's, 2 L3's) and the
+    numbers; with ``border`` those that begin before the split and end in it."""
+    first = F.col("first")
+
+    def point(r, i):
+        p, q = F.get(recs, i + 1), F.get(recs, i + 2)  # the list is a column of the row, so a place costs no list
+        banner = (p["mark"] == BLANK) & (q["mark"] == BANNER) & (q["seq"] == r["seq"] + 2) & (q["seq"] >= first)
+        part = F.when(p["mark"] == WRITTEN, 0).when(p["mark"] == DONE, 2)
+        part = F.when(p["seq"] == r["seq"] + 1, F.when(banner, 1).when(p["seq"] >= first, part))
+        begins = r["metric"] & (r["seq"] < first) if border else r["metric"]
+        return F.when(begins, F.struct(part.alias("part"), *[r[f].alias(f) for f in FIELDS]))
+    return F.filter(F.transform(recs, point), lambda x: x["part"].isNotNull())
 
 
 def log_points(lines: DataFrame) -> DataFrame:
@@ -105,11 +113,12 @@ def log_points(lines: DataFrame) -> DataFrame:
     train = L1: a metric line before a "written" line. test = L2 (before a
     blank line and the cycle banner) and then L3 (before a "cycle done" line),
     the point number counting on across both parts (U3)."""
-    splits = materialize(split_records(lines), "log-splits")
-    d = materialize(_with_tails(splits).select(*SPLIT, _points("recs").alias("points")).where(F.size("points") > 0), "log-points")
+    splits = materialize(_inside(split_records(lines)), "log-splits")
     def count(part):
         return F.size(F.filter("points", lambda x: x["part"] == part)).cast("long")
-    counts = d.select(*SPLIT, *[count(k).alias(f"n{k}") for k in range(3)])  # a row per split
+    d = _with_tails(splits).select(*SPLIT, F.concat(_points("head", border=True), "points").alias("points"))
+    d = materialize(d.select("*", *[count(k).alias(f"n{k}") for k in range(3)]), "log-points")
+    counts = d.select(*SPLIT, *[f"n{k}" for k in range(3)])  # a row per split
     run = Window.partitionBy("run")
     before = run.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     start = [F.coalesce(F.sum(f"n{k}").over(before), F.lit(0)) for k in range(3)]

@@ -72,3 +72,12 @@ def test_files_are_read_line_by_line_and_whole(spark, tmp_path):
     pts = RL.log_points(lines).groupBy("run", "phase").count().collect()
     assert sorted((r["run"], r["phase"], r["count"]) for r in pts) == [(x, p, n) for x in "ab" for p, n in (("test", 6), ("train", 5))]
     assert [r.log for r in RD.read_run_logs(spark, str(tmp_path), whole=True).collect()] == [log, log]
+
+
+def test_splits_are_written_with_their_points_and_not_with_their_lines(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(RL, "materialize", lambda d, name, f=RL.materialize: made.setdefault(name, f(d, name)))
+    assert RL.log_points(as_lines(spark, build_log(50), 20)).count() == 101
+    rows = made["log-splits"].collect()
+    assert max(max(len(r["head"]), len(r["tail"])) for r in rows) <= 2 and "recs" not in rows[0]
+    assert sum(len(r["points"]) for r in rows) == 76  # the other 25 lie across borders
