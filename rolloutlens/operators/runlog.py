@@ -107,18 +107,25 @@ def _points(recs: str, border: bool = False) -> Column:
     return F.filter(F.transform(recs, point), lambda x: x["part"].isNotNull())
 
 
+#: Points that a task writes or hands on, about.
+TASK_POINTS = 1 << 16
+
+
 def log_points(lines: DataFrame) -> DataFrame:
     """L1-L3 + U3: (run, phase, point, acc, major, reward, length).
 
     train = L1: a metric line before a "written" line. test = L2 (before a
     blank line and the cycle banner) and then L3 (before a "cycle done" line),
-    the point number counting on across both parts (U3)."""
+    the point number counting on across both parts (U3). The points are spread
+    over tasks by their number, so what a task makes of them does not grow."""
     splits = materialize(_inside(split_records(lines)), "log-splits")
     def count(part):
         return F.size(F.filter("points", lambda x: x["part"] == part)).cast("long")
     d = _with_tails(splits).select(*SPLIT, F.concat(_points("head", border=True), "points").alias("points"))
     d = materialize(d.select("*", *[count(k).alias(f"n{k}") for k in range(3)]), "log-points")
     counts = d.select(*SPLIT, *[f"n{k}" for k in range(3)])  # a row per split
+    total = counts.agg(F.sum(F.col("n0") + F.col("n1") + F.col("n2"))).first()[0] or 0
+    d = d.select(*SPLIT, "points").repartition(max(-(-total // TASK_POINTS), 1), *SPLIT)
     run = Window.partitionBy("run")
     before = run.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     start = [F.coalesce(F.sum(f"n{k}").over(before), F.lit(0)) for k in range(3)]

@@ -3,8 +3,11 @@ import re
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rolloutlens.operators import runlog as RL
+from rolloutlens.sources import fixtures as FX
+from rolloutlens.sources import sinks as SK
 
 
 def metric(a, m, r, l, n=None):
@@ -74,6 +77,24 @@ def test_files_are_read_line_by_line_and_whole(spark, tmp_path):
     assert [r.log for r in RD.read_run_logs(spark, str(tmp_path), whole=True).collect()] == [log, log]
 
 
+def test_points_are_spread_over_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(RL, "TASK_POINTS", 40)
+    pts = RL.log_points(as_lines(spark, build_log(300), 7))
+    rows = SK.metrics_long(pts, RL.FIELDS, step="point").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in rows) == 4 * 601 and max(r["count"] for r in rows) <= 3 * 4 * 40
+
+
+def test_written_logs_are_spread_over_tasks_by_their_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(FX, "LOG_TASK_LINES", 7 * 100)
+    FX.write_run_logs(FX.run_log_lines(spark, "/root/testdata/sf0.001"), str(tmp_path / "logs"))
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    files = list((tmp_path / "logs").glob("run=*/part-*"))
+    assert len(files) == events.select("event_type").distinct().count()
+    assert len({f.name.split("-")[1] for f in files}) > 1  # written by different tasks
+    banners = {f.parent.name[4:-2]: f.read_text(encoding="utf-8").count(RL.CYCLE_BANNER) for f in files}
+    assert banners == {r["event_type"]: r["count"] for r in events.groupBy("event_type").count().collect()}
+
+
 def test_splits_are_written_with_their_points_and_not_with_their_lines(spark, monkeypatch):
     made = {}
     monkeypatch.setattr(RL, "materialize", lambda d, name, f=RL.materialize: made.setdefault(name, f(d, name)))
